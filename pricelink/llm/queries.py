@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, urlfilter
+from . import bpe, dedup, mixing, quality, sharding, simhash, urlfilter
 
 RANKS = "byte_bpe_50k.tiktoken"
 N_SHARDS = 16
@@ -41,6 +41,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_groups(documents(spark, sf_dir))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urlfilter.judged(pages, urlfilter.policy(spark))
@@ -51,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_urlfilter": op8_urlfilter,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,6 +84,12 @@ f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
   + CASE WHEN n_words >= 10 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 32 ELSE 0 END)::BIGINT AS failures FROM m)
 SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM f
+""",
+    "op6_exact_dedup": r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS place, count(*) OVER (PARTITION BY t) AS group_size,
+  first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM r
 """,
     "op8_urlfilter": r"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
