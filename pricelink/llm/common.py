@@ -55,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """At most `rows` texts in an Arrow batch, so that a worker's memory does not hold thousands of long ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def unit_hash(*cols: Column | str) -> Column:
     """A hash as a number in [0, 1)."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)

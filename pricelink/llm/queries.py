@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing, quality, sharding, simhash, urlfilter
+from . import bpe, dedup, langid, licenses, lm_score, mixing, quality, sharding, simhash, urlfilter
 
 RANKS = "byte_bpe_50k.tiktoken"
 N_SHARDS = 16
@@ -27,6 +27,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.document_folders(documents(spark, sf_dir)), licenses.templates(spark))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identified(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    models = lm_score.fitted(lm_score.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "wanted")
+    return lm_score.scored(docs, models)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), [1.0] * N_SHARDS, [1.0] * (N_SHARDS + 1))
 
@@ -58,11 +74,14 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_langid": op7_langid,
     "op8_urlfilter": op8_urlfilter,
     "op9_simhash": op9_simhash,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL: dict[str, str] = {
