@@ -63,7 +63,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.clusters(documents(spark, sf_dir))
-    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hexadecimal(F.get("lanes", F.lit(0))).alias("fingerprint"), "component_id")
 
 
 def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:

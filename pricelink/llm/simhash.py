@@ -1,16 +1,18 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints: A-Z lower-cased, runs of four words (repeats included; a shorter text is one run), XXH64 with seed 42
-of each run; a bit is 1 if it is set in over half of the hashes. Texts without words have fingerprint 0. Each text
-is read whole, in bounded pieces.
+Fingerprints: A-Z lower-cased, runs of words (repeats included; a shorter text is one run), XXH64 with seed 42 of each
+run; a bit is 1 if it is set in over half of the hashes. Further lanes of 64 bits, for a finer distance, come from the
+same hashes, mixed. Texts without words have fingerprint 0. Each text is read whole, in bounded pieces.
 
 Links: documents with equal fingerprints are joined first (a group of copies is one node, however large). Distinct
-fingerprints at a distance of `limit` bits or fewer are found by multi-index hashing: the 64 bits are cut into
-segments with radii r_i such that sum(r_i + 1) > limit, so a pair within the limit lies within r_i in some segment
-i. One side enumerates the Hamming ball of radius r_i around its segment, the other side is a table by segment
-value; the join keeps a pair only if the complete distance holds, so candidates are never written out. Which
-segments are used depends on the number of fingerprints (fewer, wider segments for more of them) and is exact for
-each choice. Links become components by alternating large-star and small-star steps, every step a written table.
+fingerprints within `limit` bits in the first lane are found by multi-index hashing: the 64 bits are cut into segments
+with radii r_i such that sum(r_i + 1) > limit, so a pair within the limit lies within r_i in some segment i. Small
+Hamming balls are enumerated (each side half of the radius), matched by a join on segment and value, and the complete
+distance decides within the join: a pair is kept once, in its first segment, so candidates are never written out.
+With several limits, links are sought in turn, each time only between the components so far, which gives the same
+components as the last limit alone but spares most pairs of a dense group. Which segments serve a limit depends on the
+number of fingerprints (fewer, wider ones for more of them) and is exact for each choice. Links become components by
+alternating large-star and small-star steps, every step a written table.
 
 Null texts have fingerprint 0 and are linked like any other. Null ids count as larger than all others: a component
 of null ids only has a null id. Repeated rows are given back as often as they come. An empty table gives an empty
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 LIMIT = 4
 RUN = 4
@@ -38,40 +40,51 @@ BLOCK = 1 << 15
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-#: Segment widths with their radii; sum(radius + 1) is 5 for each, over the limit of 4.
-PLANS = [((16, 16, 16, 16), (1, 0, 0, 0)), ((23, 23, 18), (1, 1, 0)), ((32, 32), (2, 1))]
+#: Segment widths with their radii (2 at most) for a limit; sum(radius + 1) is over the limit in each.
+PLANS = {
+    4: [((16, 16, 16, 16), (1, 0, 0, 0)), ((23, 23, 18), (1, 1, 0)), ((32, 32), (2, 1))],
+    11: [((16, 16, 16, 16), (2, 2, 2, 2))],
+}
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves for lane 0, others made of them for the lanes after it."""
+    if not lane:
+        return hashes
+    x = (hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(text: str | None, run: int = RUN, lanes: int = 1) -> list[int]:
+    """The lanes of the fingerprint as signed 64-bit integers."""
     from xxhash import xxh64_intdigest
 
     found = b" ".join(WORDS.findall((text or "").encode().translate(LOWER)))
     if not found:
-        return 0
+        return [0] * lanes
     marks = np.flatnonzero(np.frombuffer(found, np.uint8) == 32)
     starts = np.concatenate(([0], marks + 1))
     ends = np.concatenate((marks, [len(found)]))
-    n = max(1, len(starts) - RUN + 1)
+    n = max(1, len(starts) - run + 1)
     starts, ends = starts[:n].tolist(), ends[-n:].tolist()
-    view, counts = memoryview(found), np.zeros(64, np.int64)
+    view, counts = memoryview(found), np.zeros((lanes, 64), np.int64)
     for at in range(0, n, BLOCK):
         hashes = np.array([xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        for lane in range(lanes):
+            counts[lane] += np.unpackbits(mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-def fingerprints(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([fingerprint(t) for t in batch], dtype="int64")
-
-    return run(text)
+def fingerprints(text: Column, run: int = RUN, lanes: int = 1) -> Column:
+    """The fingerprint's lanes as an array."""
 
+    @F.pandas_udf("array<long>")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([fingerprint(t, run, lanes) for t in batch], dtype=object)
 
-def segment(fp: Column, low: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    return each(text)
 
 
 def flips(width: int, radius: int) -> list[int]:
@@ -79,32 +92,57 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def plan_for(n: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """The plan with the least work for n fingerprints: probe rows (written, so ten times as dear) and comparisons."""
+def plan_for(n: int, limit: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The plan with the least work for n fingerprints: rows (written, so ten times as dear) and comparisons."""
 
     def cost(plan) -> float:
-        balls = [sum(comb(w, i) for i in range(r + 1)) for w, r in zip(*plan)]
-        return 10.0 * n * sum(balls) + float(n) ** 2 * sum(b / 2.0**w for b, w in zip(balls, plan[0]))
-
-    return min(PLANS, key=cost)
-
-
-def links(prints: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
-    """Pairs u > v of distinct fingerprints (column fp) at `limit` bits or fewer. Each pair comes at least once."""
-    widths, radii = plan or plan_for(prints.count())
-    low, probes, table = 0, [], []
-    for i, (width, radius) in enumerate(zip(widths, radii)):
-        part = segment(F.col("fp"), low, width)
-        low += width
-        ball = F.explode(F.transform(F.lit(flips(width, radius)).cast("array<long>"), lambda d: part.bitwiseXOR(d)))
-        probes.append(F.struct(F.lit(i).alias("seg"), part.alias("value")))
-        table.append(prints.select(F.col("fp").alias("u"), F.lit(i).alias("seg"), ball.alias("value")))
-    probing = table[0]
-    for t in table[1:]:
-        probing = probing.union(t)
-    held = prints.select(F.col("fp").alias("v"), F.inline(F.array(*probes)))
-    near = (probing["u"] > held["v"]) & (F.bit_count(probing["u"].bitwiseXOR(held["v"])) <= limit)
-    return probing.join(held, (probing["seg"] == held["seg"]) & (probing["value"] == held["value"]) & near).select("u", "v")
+        sides = [[sum(comb(w, i) for i in range(part + 1)) for part in (r - r // 2, r // 2)] for w, r in zip(*plan)]
+        return 10.0 * n * sum(a + b for a, b in sides) + float(n) ** 2 * sum(a * b / 2.0**w for (a, b), w in zip(sides, plan[0]))
+
+    return min(PLANS[limit], key=cost)
+
+
+def links(nodes: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
+    """Pairs u > v of nodes (id, fp, comp) of different comp at `limit` bits or fewer in fp, each pair once; with the
+    comps of both (cu, cv)."""
+    widths, radii = plan or plan_for(nodes.count(), limit)
+    lows = [sum(widths[:i]) for i in range(len(widths))]
+
+    def part(fp: Column, i: int) -> Column:
+        return F.shiftrightunsigned(fp, lows[i]).bitwiseAND(F.lit((1 << widths[i]) - 1).cast("long"))
+
+    def around(i: int, ball: Column) -> Column:
+        return F.transform(ball, lambda d: F.struct(F.lit(i).alias("seg"), part(F.col("fp"), i).bitwiseXOR(d).alias("value")))
+
+    def side(radius_of) -> Column:
+        rows = []
+        for i, (width, radius) in enumerate(zip(widths, radii)):
+            ball = F.array(*[F.lit(d).cast("long") for d in flips(width, radius_of(radius))])
+            rows.append(around(i, ball))
+        return F.inline(F.concat(*rows))
+
+    probing = nodes.select(F.col("id").alias("u"), F.col("fp").alias("fu"), F.col("comp").alias("cu"), side(lambda r: r - r // 2)).withColumnsRenamed({"seg": "su", "value": "xu"})
+    held = nodes.select(F.col("id").alias("v"), F.col("fp").alias("fv"), F.col("comp").alias("cv"), side(lambda r: r // 2)).withColumnsRenamed({"seg": "sv", "value": "xv"})
+    bits = F.col("fu").bitwiseXOR(F.col("fv"))
+    once = F.lit(True)
+    for i, radius in enumerate(radii):
+        change = part(bits, i)
+        # the probing side moves by the lowest bit that differs, if it moves at all
+        moved = change.bitwiseAND(-change) if radius else F.lit(0).cast("long")
+        here = F.col("xu") == part(F.col("fu"), i).bitwiseXOR(moved)
+        for j in range(i):
+            here = here & (F.bit_count(part(bits, j)) > radii[j])
+        once = once & ((F.col("su") != i) | here)
+    near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & (F.bit_count(bits) <= limit) & once
+    return probing.join(held, (F.col("su") == F.col("sv")) & (F.col("xu") == F.col("xv")) & near).select("u", "v", "cu", "cv")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """The pairs whose lanes (array column of `nodes`) differ in at most `total` bits altogether."""
+    one = pairs.join(nodes.select(F.col("id").alias("u"), F.col("lanes").alias("_lu")), "u")
+    both = one.join(nodes.select(F.col("id").alias("v"), F.col("lanes").alias("_lv")), "v")
+    apart = F.aggregate(F.zip_with("_lu", "_lv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    return both.where(apart <= total).select("u", "v", "cu", "cv")
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -139,27 +177,34 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def clusters(docs: DataFrame, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns (doc_id among them), fp and component_id of every document."""
-    prints = written(docs.select(*keep, fingerprints(F.col("text")).alias("fp")), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = written(nodes, "nodes")
-    roots = components(links(nodes.select("fp"), limit)) if limit else None
-    tagged = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(nodes["fp"], "least", F.coalesce("root", nodes["fp"]).alias("root"))
-    named = tagged.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = tagged.select("root", F.col("fp").alias("node")).join(named, "root").select("node", "component_id")
-    return prints.join(by_print, prints["fp"] == by_print["node"]).select(*keep, "fp", "component_id")
+def clusters(docs: DataFrame, limits: tuple[int, ...] = (LIMIT,), run: int = RUN, lanes: int = 1, total: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """`keep` columns (doc_id among them), lanes and component_id of every document. Pairs within the last of the
+    `limits` in the first lane are linked, if their lanes differ in `total` bits at most (where that is given)."""
+    small_batches(docs.sparkSession)
+    prints = written(docs.select(*keep, fingerprints(F.col("text"), run, lanes).alias("lanes")), "fingerprints")
+    named = F.get("lanes", F.lit(0)) if lanes == 1 else F.xxhash64("lanes")
+    nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("least")).select(named.alias("id"), F.get("lanes", F.lit(0)).alias("fp"), "lanes", "least")
+    nodes = written(nodes.withColumn("comp", F.col("id")), "nodes")
+    for limit in limits:
+        pairs = links(nodes, limit)
+        if total is not None:
+            pairs = verified(pairs, nodes, total)
+        roots = components(pairs.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")))
+        nodes = written(nodes.join(roots, F.col("comp") == F.col("node"), "left").select("id", "fp", "lanes", "least", F.coalesce("root", "comp").alias("comp")), "nodes")
+    ids = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))
+    by_print = nodes.select("comp", F.col("lanes").alias("_lanes")).join(ids, "comp").select("_lanes", "component_id")
+    return prints.join(by_print, F.col("lanes") == F.col("_lanes")).select(*keep, "lanes", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest doc_id stays (one of them
+def first_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The documents without near-duplicates (`how`: parameters of `clusters`): of each component the row with the smallest doc_id stays (one of them
     if it is repeated). Columns are those of `docs`."""
     marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    found = clusters(marked, limit, ("doc_id", "_row")).groupBy("component_id", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    found = clusters(marked, keep=("doc_id", "_row"), **how).groupBy("component_id", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"))
     winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"), F.col("n").alias("n")))
     winners = found.groupBy("component_id").agg(winner.alias("w")).select(F.col("w.id").alias("_id"), F.col("w.row").alias("_winner"), F.col("w.n").alias("_n"))
     stay = marked.join(winners, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_row"] == F.col("_winner")))
