@@ -53,11 +53,9 @@ def bind(value: Column, then) -> Column:
 
 def window_hashes(found: Column) -> Column:
     """A hash of each run of five words."""
-    def hashes(w: Column) -> Column:
-        each = F.transform(w, lambda x: F.xxhash64(x))
-        return bind(each, lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))), lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
-
-    return hashes(found)
+    each = F.transform(found, lambda x: F.xxhash64(x))
+    last = WINDOW - 1
+    return bind(each, lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - last, F.lit(0))), lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
 
 def covered(hashes: Column) -> Column:
