@@ -43,6 +43,7 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 #: Segment widths with their radii (2 at most) for a limit; sum(radius + 1) is over the limit in each.
 PLANS = {
     4: [((16, 16, 16, 16), (1, 0, 0, 0)), ((23, 23, 18), (1, 1, 0)), ((32, 32), (2, 1))],
+    7: [((16, 16, 16, 16), (1, 1, 1, 1)), ((22, 21, 21), (2, 2, 1))],
     11: [((16, 16, 16, 16), (2, 2, 2, 2))],
 }
 
@@ -51,7 +52,7 @@ def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     """The hashes themselves for lane 0, others made of them for the lanes after it."""
     if not lane:
         return hashes
-    x = (hashes + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
 
