@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, unit_hash
 
 #: Bound on the training sample: rows of each language, characters of each row, and languages.
-TRAIN_ROWS = 300
-TRAIN_CHARS = 2_000
+TRAIN_ROWS = 200
+TRAIN_CHARS = 1_000
 MAX_LANGS = 200
 SLOTS = 1 << 17
 ORDERS = (2, 3, 4)
@@ -198,7 +198,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     lengths = np.array([len(found[i][1]) for i in rows])
     target = np.repeat([langs.index(labels[i]) for i in rows], lengths)
     word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, slots.shape[1])))
-    flat, owner = slots.ravel(), np.tile(word, len(slots))
+    flat, owner = slots.ravel().astype(np.int32), np.tile(word.astype(np.int32), len(slots))
     weights, squares = np.zeros((SLOTS + 1, k)), np.full((SLOTS + 1, k), 1e-3)
     stay = np.log(np.where(np.eye(k, dtype=bool), 0.95, 0.05 / max(1, k - 1)))
     change, first = stay.copy(), np.full(k, -np.log(k))
