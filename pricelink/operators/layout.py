@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, is_price_header, is_product_header, normalize_key, price_candidate, product_id
+from ..sources.tables import staged
 from .catalog import group_records
 from .tables import single_column_records, tabular_records
 
@@ -162,11 +163,11 @@ def disambiguate(records: DataFrame) -> DataFrame:
 
 
 def positioned_raw(fragments: DataFrame) -> DataFrame:
-    """The records of all pages that have a header."""
-    cells = line_cells(page_lines(fragments))
+    """The records of all pages that have a header. Cells and price rows are read several times, so they are written."""
+    cells = staged(line_cells(page_lines(fragments)), "cells")
     heads = header_cells(cells)
-    bounds = column_bounds(heads, header_pairs(heads))
-    rows = price_rows(cells, bounds)
+    bounds = staged(column_bounds(heads, header_pairs(heads)), "bounds")
+    rows = staged(price_rows(cells, bounds), "price_rows")
     return row_records(cells, bounds, rows, row_windows(rows))
 
 

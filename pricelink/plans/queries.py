@@ -11,6 +11,7 @@ from ..functions import features as feat
 from ..functions import similarity, text
 from ..operators import catalog, intake, layout, matching, relations, report, tables
 from ..sources import files
+from ..sources.tables import staged
 from ..sources.views import STORES, duckdb_sql, view
 from . import sql
 
@@ -215,27 +216,32 @@ def _(rows):
     return layout.line_texts(layout.line_cells(layout.page_lines(rows))).select("doc_id", "page", "line_y", "text")
 
 
+def cells_of(rows: DataFrame) -> DataFrame:
+    return staged(layout.line_cells(layout.page_lines(rows)), "cells")
+
+
 def heads_of(rows: DataFrame) -> DataFrame:
-    return layout.header_cells(layout.line_cells(layout.page_lines(rows)))
+    return layout.header_cells(cells_of(rows))
 
 
 @on("header_pair", "fragments")
 def _(rows):
-    return layout.header_pairs(heads_of(rows)).select("doc_id", "page", "p_x", "p_end", "p_y", "r_x", "r_y", "score")
+    return layout.header_pairs(staged(heads_of(rows), "heads")).select("doc_id", "page", "p_x", "p_end", "p_y", "r_x", "r_y", "score")
 
 
-def bounds_of(rows: DataFrame) -> DataFrame:
-    heads = heads_of(rows)
+def bounds_of(cells: DataFrame) -> DataFrame:
+    heads = layout.header_cells(cells)
     return layout.column_bounds(heads, layout.header_pairs(heads))
 
 
 @on("column_bounds", "fragments")
 def _(rows):
-    return bounds_of(rows)
+    return bounds_of(cells_of(rows))
 
 
 def price_rows_of(rows: DataFrame) -> DataFrame:
-    return layout.price_rows(layout.line_cells(layout.page_lines(rows)), bounds_of(rows))
+    cells = cells_of(rows)
+    return staged(layout.price_rows(cells, bounds_of(cells)), "price_rows")
 
 
 @on("price_rows", "fragments")
