@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Characters of a text that go to the tokenizer in one call, unless no safe boundary follows.
 PIECE_CHARS = 200_000
 SAFE = re.compile(r"(?<=\S)(?=\s)")
@@ -86,6 +88,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", limit: int = PIECE_CHARS) -> DataFrame:
     """Adds `ids` (binary) and `n_tokens` (long). One pass over the rows, no shuffle; rows, their other columns and
     repeats stay as they are. An empty table gives an empty table."""
+    small_batches(docs.sparkSession)
     return docs.withColumn("ids", encoded(F.col(text), path, pattern, limit)).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
