@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, running_total
+from .common import n_words, running_total, written
 
 CAP = 3.0
 
@@ -108,10 +108,15 @@ def passes(planned: DataFrame) -> DataFrame:
     return rows.withColumn("taken", F.col("full") * F.col("size") + F.col("part")).withColumn("positions", at)
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """source, doc_id and size of each row, written once: the plan reads them several times, the texts once."""
+    return written(docs.select("source", "doc_id", n_words(F.col("text")).alias("size")), "sizes")
+
+
 def mix(docs: DataFrame, knots: DataFrame | None = None) -> DataFrame:
     """What the mix takes of each document, range-sorted by the first training position (documents that it does not
     take come last)."""
-    rows = docs.select("source", "doc_id", n_words(F.col("text")).alias("size"))
+    rows = sizes(docs)
     found = passes(plan(rows, knots)).withColumn("position", F.get("positions", F.lit(0)))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "position", "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -119,7 +124,7 @@ def mix(docs: DataFrame, knots: DataFrame | None = None) -> DataFrame:
 def mixed_documents(docs: DataFrame, knots: DataFrame | None = None) -> DataFrame:
     """The documents themselves in training order, one row for each pass; documents stay whole, so a partial pass
     counts if it takes over half of the document. Columns are those of `docs`."""
-    rows = docs.select("source", "doc_id", n_words(F.col("text")).alias("size"))
+    rows = sizes(docs)
     planned = plan(rows, knots).select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "size", "copies", "source_size", "target", "pieces", "area", "before")])
     sized = docs.withColumn("_n", n_words(F.col("text")))
     on = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_n") == F.col("_size"))
