@@ -6,14 +6,15 @@ score_pairs takes pairs of features (columns with prefixes a_ and b_; the order
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import FEATURES, containment, jaccard, shared, state_conflict, strong_overlap
+from .features import FEATURES, shared, state_conflict
 
 
 def lcs_ratio(a: str, b: str) -> float:
@@ -31,7 +32,19 @@ def lcs_ratio(a: str, b: str) -> float:
 
 
 def sequence_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    return matcher(b)(a)
+
+
+@lru_cache(maxsize=4096)
+def matcher(b: str) -> Callable[[str], float]:
+    """The ratio of any text to b, whose index is made once."""
+    held = SequenceMatcher(None, "", b)
+
+    def ratio(a: str) -> float:
+        held.set_seq1(a)
+        return held.ratio()
+
+    return ratio
 
 
 RATIOS = {"difflib": sequence_ratio, "lcs": lcs_ratio}
@@ -42,63 +55,69 @@ def text_ratio(a: Column, b: Column, kind: str = "difflib") -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ratio, known = RATIOS[kind], {}
+        ratio = RATIOS[kind]
         for left, right in batches:
-            out = []
-            for x, y in zip(left, right):
-                if x is None or y is None:
-                    out.append(None)
-                    continue
-                if (x, y) not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[x, y] = ratio(x, y)
-                out.append(known[x, y])
-            yield pd.Series(out, dtype="float64")
+            yield pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(left, right)], dtype="float64")
 
     return F.when(a == b, F.lit(1.0)).otherwise(run(F.when(a != b, a), F.when(a != b, b)))
 
 
-def side(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}_{c}") for c in FEATURES]
+def char_counts(text: Column) -> Column:
+    """A number for each character of an ASCII text and its place among equal ones, so that the common numbers of two
+    texts are the characters that they share, repeats included."""
+    chars = F.array(F.sort_array(F.filter(F.split(text, ""), lambda x: x != "")))
+    return F.flatten(F.transform(chars, lambda c: F.transform(c, lambda x, i: F.ascii(x).cast("long") * 2**32 + i - F.array_position(c, x))))
+
+
+def once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds columns as a generator's output: they are computed once a row, in generated code of their own, and filters on
+    them are not pushed below, which would repeat them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))
 
 
-def bounds(scorer: str = "v2") -> tuple[Column, Column]:
-    """(possible, best): whether a pair can score above zero, and the score that it has with a text ratio as large as the
-    lengths of the texts allow."""
-    possible, without, weight, limit = parts(scorer)
-    la, lb = F.length("a_canonical_text"), F.length("b_canonical_text")
-    most = F.least(F.lit(1.0), 2 * F.least(la, lb) / F.greatest(F.lit(1), la + lb))
-    return possible, without + weight * most
+def with_parts(pairs: DataFrame, scorer: str) -> DataFrame:
+    """Adds the parts of the score, and `_most`: no ratio matches more characters than the shorter text has, nor, where
+    pairs have char_counts, more than both texts share."""
+    a, b = ({c: F.col(f"{p}_{c}") for c in FEATURES} for p in "ab")
+    counts = {f"_{c}": shared(a[c], b[c]) for c in FEATURES[1:5]} | {"_clash": state_conflict(a["states"], b["states"])}
+    la, lb = F.length(a["canonical_text"]), F.length(b["canonical_text"])
+    matched = shared(F.col("a_chars"), F.col("b_chars")) if "a_chars" in pairs.columns else F.least(la, lb)
+    possible, without, _, least = parts(scorer)
+    most = F.least(F.lit(1.0), 2 * matched / F.greatest(F.lit(1), la + lb)) + 1e-9
+    found = once(once(pairs, counts), {"_possible": possible, "_without": without, "_least": least, "_most": most})
+    return found.drop(*counts)
 
 
 def parts(scorer: str) -> tuple[Column, Column, float, Column]:
-    """(possible, score without the text ratio, weight of the ratio, least ratio)."""
-    _, ta, sa, na, ca, xa = side("a")
-    _, tb, sb, nb, cb, xb = side("b")
-    some = (F.size(ta) > 0) & (F.size(tb) > 0)
-    numbers_differ = (F.size(na) > 0) & (F.size(nb) > 0) & (shared(na, nb) == 0)
+    """(possible, score without the text ratio, weight of the ratio, least ratio) of pairs with counts."""
+    tokens, strong, numbers, categories = (F.col(f"_{c}") for c in FEATURES[1:5])
+    na, nb = ({c: F.size(f"{p}_{c}") for c in FEATURES[1:5]} for p in "ab")
+    every, least = na["tokens"] + nb["tokens"] - tokens, F.least(na["tokens"], nb["tokens"])
+    jaccard = F.when(every == 0, 0.0).otherwise(tokens / every)
+    containment = F.when(least == 0, 0.0).otherwise(tokens / least)
+    numbers_differ = (na["numbers"] > 0) & (nb["numbers"] > 0) & (numbers == 0)
+    some = least > 0
     if scorer == "legacy":
-        possible = some & ~numbers_differ & ((shared(sa, sb) > 0) | (shared(na, nb) > 0))
-        score = 0.50 * F.greatest(jaccard(ta, tb), containment(ta, tb)) + 0.25 * jaccard(ta, tb)
-        score = score + F.when(shared(na, nb) > 0, 0.08).otherwise(0.0) + F.when(shared(sa, sb) >= 2, 0.05).otherwise(0.0)
+        possible = some & ~numbers_differ & ((strong > 0) | (numbers > 0))
+        score = 0.50 * F.greatest(jaccard, containment) + 0.25 * jaccard
+        score = score + F.when(numbers > 0, 0.08).otherwise(0.0) + F.when(strong >= 2, 0.05).otherwise(0.0)
         return possible, score, 0.25, F.lit(0.0)
-    possible = some & ~state_conflict(xa, xb) & ~numbers_differ
-    score = 0.44 * F.greatest(jaccard(ta, tb), containment(ta, tb)) + 0.26 * strong_overlap(sa, sb)
-    score = score + F.when(shared(na, nb) > 0, 0.07).otherwise(0.0)
-    both = (F.size(ca) > 0) & (F.size(cb) > 0)
-    score = score + F.when(both & (shared(ca, cb) > 0), 0.05).when(both, -0.22).otherwise(0.0)
-    noise = (shared(sa, sb) == 0) & (shared(ta, tb) < 2)
-    return possible, score, 0.30, F.when(noise, 0.78).otherwise(0.0)
+    possible = some & ~F.col("_clash") & ~numbers_differ
+    overlap = strong / F.greatest(F.lit(1), F.least(na["strong"], nb["strong"]))
+    score = 0.44 * F.greatest(jaccard, containment) + 0.26 * overlap
+    score = score + F.when(numbers > 0, 0.07).otherwise(0.0)
+    both = (na["categories"] > 0) & (nb["categories"] > 0)
+    score = score + F.when(both & (categories > 0), 0.05).when(both, -0.22).otherwise(0.0)
+    return possible, score, 0.30, F.when((strong == 0) & (tokens < 2), 0.78).otherwise(0.0)
 
 
 def score_pairs(pairs: DataFrame, scorer: str = "v2", ratio: str = "difflib", at_least: float | None = None) -> DataFrame:
     """Adds `score` (0 to 1). Pairs that cannot reach `at_least` are left out where it is given."""
-    possible, best = bounds(scorer)
+    columns, weight = pairs.columns, parts(scorer)[2]
+    open_pairs = with_parts(pairs, scorer)
     if at_least is not None:
-        pairs = pairs.where(possible & (best >= at_least - 1e-9))
-    _, without, weight, least = parts(scorer)
-    a, b = F.when(possible, F.col("a_canonical_text")), F.when(possible, F.col("b_canonical_text"))
-    found = pairs.withColumn("_ratio", text_ratio(a, b, ratio))
-    score = F.when(~possible | (F.col("_ratio") < least), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), without + weight * F.col("_ratio"))))
-    return found.withColumn("score", F.coalesce(score, F.lit(0.0))).drop("_ratio")
+        open_pairs = open_pairs.where(F.col("_possible") & (F.col("_most") >= F.col("_least")) & (F.col("_without") + weight * F.col("_most") >= at_least - 1e-9))
+    text = [F.when(F.col("_possible"), F.col(f"{p}_canonical_text")) for p in "ab"]
+    found = open_pairs.withColumn("_ratio", text_ratio(*text, ratio))
+    score = F.when(~F.col("_possible") | (F.col("_ratio") < F.col("_least")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_without") + weight * F.col("_ratio"))))
+    return found.withColumn("score", F.coalesce(score, F.lit(0.0))).select(*columns, "score")

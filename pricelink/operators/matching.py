@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURES, with_features
-from ..functions.similarity import score_pairs
+from ..functions.similarity import char_counts, score_pairs
 from ..functions.text import clean_text, normalize_key, valid_price
 from ..sources.tables import staged
 from . import report
@@ -27,6 +27,8 @@ THRESHOLD, MARGIN = 0.50, 0.06
 #: The best score without any shared token, by scorer.
 BEST_WITHOUT_TOKEN = {"v2": 0.35, "legacy": 0.0}
 ORDER = ["phase", "ord", "sub"]
+#: Tasks over which the items of one token are dealt.
+SALTS = 8
 
 
 def resolve_manual(catalog: DataFrame, manual: DataFrame) -> DataFrame:
@@ -67,19 +69,28 @@ def same_key(items: DataFrame, open_members: DataFrame) -> DataFrame:
     return found.withColumns({"score": F.lit(1.0), "second": F.lit(0.0)})
 
 
-def candidate_pairs(items: DataFrame, members: DataFrame, scorer: str = "v2") -> DataFrame:
-    """Distinct pairs of texts (a: item, b: member) that share a token; a shared number token where both have numbers."""
+def candidate_pairs(items: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct pairs of texts (a: item, b: member) that share a token; a shared number token where both have numbers.
+    A pair is kept at its first shared token, so nothing is left to drop later. The items of a token are dealt to SALTS
+    tasks, each with all members of it, so a frequent token is spread."""
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in FEATURES]).dropDuplicates([f"{p}_canonical_text", f"{p}_states"])
+        ident = [f"{p}_canonical_text", f"{p}_states"]
+        texts = df.select(*[F.col(c).alias(f"{p}_{c}") for c in FEATURES]).repartition(n, *ident).dropDuplicates(ident)
+        return texts.withColumn(f"{p}_chars", char_counts(F.col(f"{p}_canonical_text")))
+
+    def meeting(left: DataFrame, right: DataFrame, what: str) -> DataFrame:
+        dealt = left.withColumn("_t", F.explode(f"a_{what}")).withColumn("_salt", F.pmod(F.xxhash64("a_canonical_text", "a_states"), F.lit(SALTS)).cast("int")).repartition(n, "_t", "_salt")
+        every = right.withColumn("_t", F.explode(f"b_{what}")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        once = F.col("_t") == F.array_min(F.array_intersect(f"a_{what}", f"b_{what}"))
+        return dealt.join(every, ["_t", "_salt"]).where(once).drop("_t", "_salt")
 
     a, b = side(items, "a"), side(members, "b")
-    keyed = lambda df, p, what: df.withColumn("_t", F.explode(what))
-    both = keyed(a, "a", F.col("a_numbers")).join(keyed(b, "b", F.col("b_numbers")), "_t")
-    a_none, b_none = a.where(F.size("a_numbers") == 0), b.where(F.size("b_numbers") == 0)
-    one = keyed(a_none, "a", F.col("a_tokens")).join(keyed(b, "b", F.col("b_tokens")), "_t")
-    other = keyed(a.where(F.size("a_numbers") > 0), "a", F.col("a_tokens")).join(keyed(b_none, "b", F.col("b_tokens")), "_t")
-    ids = ["a_canonical_text", "a_states", "b_canonical_text", "b_states"]
-    return both.unionByName(one).unionByName(other).drop("_t").dropDuplicates(ids)
+    b_none = b.where(F.size("b_numbers") == 0)
+    one = meeting(a.where(F.size("a_numbers") == 0), b, "tokens")
+    other = meeting(a.where(F.size("a_numbers") > 0), b_none, "tokens")
+    return meeting(a, b, "numbers").unionByName(one).unionByName(other)
 
 
 def all_pairs(items: DataFrame, members: DataFrame) -> DataFrame:
@@ -96,7 +107,7 @@ def best_candidates(items: DataFrame, members: DataFrame, threshold: float = THR
     fuzzy_items = items.join(exact.select("store", "product_key"), ["store", "product_key"], "left_anti")
     floor = threshold - margin
     safe = blocked and floor > BEST_WITHOUT_TOKEN[scorer]
-    pairs = candidate_pairs(fuzzy_items, members, scorer) if safe else all_pairs(fuzzy_items, members)
+    pairs = candidate_pairs(fuzzy_items, members) if safe else all_pairs(fuzzy_items, members)
     scored = score_pairs(pairs, scorer, ratio, floor if safe else None).where("score > 0")
     scored = scored.select("a_canonical_text", "a_states", "b_canonical_text", "b_states", "score")
     texts = fuzzy_items.select("store", "product_key", F.col("canonical_text").alias("a_canonical_text"), F.col("states").alias("a_states"))
@@ -155,7 +166,8 @@ def compare(listings: DataFrame, stores: list[str], manual: DataFrame | None = N
     else:
         clusters, members = claim_manual(catalog, manual)
         clusters, members = staged(clusters, "clusters"), staged(members, "members")
-    names = catalog.select("product_name").distinct()
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = catalog.select("product_name").repartition(n_tasks, "product_name").distinct()
     features = staged(with_features(names, legacy=scorer == "legacy"), "features")
     open_items = remaining(catalog, members)
     done_clusters, done_members = [clusters], [members]
