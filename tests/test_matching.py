@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelink.functions.features import FEATURES, with_features
-from pricelink.functions.similarity import lcs_ratio, text_ratio
+from pricelink.functions.similarity import char_counts, lcs_ratio, score_pairs, text_ratio
 from pricelink.operators import matching
 
 STORES = ["A", "B", "C"]
@@ -120,6 +120,21 @@ def test_text_ratios(spark):
             assert ratio == SequenceMatcher(None, a, b).ratio() and lcs == lcs_ratio(a, b)
 
 
+def test_pairs_left_out_cannot_reach_the_bound(spark):
+    r = random.Random(5)
+    names = sorted({" ".join(r.choice(WORDS) for _ in range(r.randint(1, 5))) for _ in range(30)} | {"", "aa  aab"})
+    rows = with_features(spark.createDataFrame([(n,) for n in names], "product_name string")).withColumn("chars", char_counts(F.col("canonical_text")))
+    a, b = (rows.select(*[F.col(c).alias(f"{p}_{c}") for c in [*FEATURES, "chars", "product_name"]]) for p in "ab")
+    pairs, key = a.crossJoin(b), ["a_product_name", "b_product_name"]
+    features = {x["product_name"]: x.asDict() for x in rows.collect()}
+    for at_least in (0.44, 0.8):
+        got = {(x[0], x[1]): x[2] for x in score_pairs(pairs, at_least=at_least).select(*key, "score").collect()}
+        every = {(x, y): similarity(features[x], features[y]) for x in names for y in names}
+        assert {k for k, v in every.items() if v >= at_least} <= set(got)
+        assert all(abs(v - every[k]) < 1e-9 for k, v in got.items())
+    assert len(set(features["aa  aab"]["chars"])) == 6
+
+
 def test_features_of_odd_names(spark):
     names = ["Fresh Whole", "12 units", "boneless estables", None]
     got = {r["product_name"]: [r[c] for c in FEATURES] for r in with_features(spark.createDataFrame([(n,) for n in names], "product_name string")).collect()}
