@@ -11,8 +11,10 @@ Hamming balls are enumerated (each side half of the radius), matched by a join o
 distance decides within the join: a pair is kept once, in its first segment, so candidates are never written out.
 With several limits, links are sought in turn, each time only between the components so far, which gives the same
 components as the last limit alone but spares most pairs of a dense group. Which segments serve a limit depends on the
-number of fingerprints (fewer, wider ones for more of them) and is exact for each choice. Links become components by
-alternating large-star and small-star steps, every step a written table.
+number of fingerprints (fewer, wider ones for more of them) and is exact for each choice. With a `total` over several
+lanes, the other lanes are searched too: a pair within the total lies within total // lanes bits in some lane, so all
+such pairs are found. Links become components by alternating large-star and small-star steps, every step a written
+table.
 
 Null texts have fingerprint 0 and are linked like any other. Null ids count as larger than all others: a component
 of null ids only has a null id. Repeated rows are given back as often as they come. An empty table gives an empty
@@ -103,17 +105,21 @@ def plan_for(n: int, limit: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
     return min(PLANS[limit], key=cost)
 
 
-def links(nodes: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
+def links(nodes: DataFrame, limit: int = LIMIT, plan=None, lanes: tuple[int, ...] = ()) -> DataFrame:
     """Pairs u > v of nodes (id, fp, comp) of different comp at `limit` bits or fewer in fp, each pair once; with the
-    comps of both (cu, cv)."""
+    comps of both (cu, cv). With `lanes`, pairs at `limit` bits or fewer in any of these lanes, once for each of them."""
     widths, radii = plan or plan_for(nodes.count(), limit)
+    if lanes:
+        nodes = nodes.select("id", "comp", F.inline(F.array(*[F.struct(F.lit(k * len(widths)).alias("seg0"), F.get("lanes", F.lit(k)).alias("fp")) for k in lanes])))
+    else:
+        nodes = nodes.withColumn("seg0", F.lit(0))
     lows = [sum(widths[:i]) for i in range(len(widths))]
 
     def part(fp: Column, i: int) -> Column:
         return F.shiftrightunsigned(fp, lows[i]).bitwiseAND(F.lit((1 << widths[i]) - 1).cast("long"))
 
     def around(i: int, ball: Column) -> Column:
-        return F.transform(ball, lambda d: F.struct(F.lit(i).alias("seg"), part(F.col("fp"), i).bitwiseXOR(d).alias("value")))
+        return F.transform(ball, lambda d: F.struct((F.col("seg0") + i).alias("seg"), part(F.col("fp"), i).bitwiseXOR(d).alias("value")))
 
     def side(radius_of) -> Column:
         rows = []
@@ -133,7 +139,7 @@ def links(nodes: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
         here = F.col("xu") == part(F.col("fu"), i).bitwiseXOR(moved)
         for j in range(i):
             here = here & (F.bit_count(part(bits, j)) > radii[j])
-        once = once & ((F.col("su") != i) | here)
+        once = once & ((F.col("su") % len(widths) != i) | here)
     near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & (F.bit_count(bits) <= limit) & once
     return probing.join(held, (F.col("su") == F.col("sv")) & (F.col("xu") == F.col("xv")) & near).select("u", "v", "cu", "cv")
 
@@ -180,14 +186,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def clusters(docs: DataFrame, limits: tuple[int, ...] = (LIMIT,), run: int = RUN, lanes: int = 1, total: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns (doc_id among them), lanes and component_id of every document. Pairs within the last of the
-    `limits` in the first lane are linked, if their lanes differ in `total` bits at most (where that is given)."""
+    `limits` in the first lane are linked; where `total` is given, all pairs whose lanes differ in `total` bits at most,
+    and no others."""
     small_batches(docs.sparkSession)
     prints = written(docs.select(*keep, fingerprints(F.col("text"), run, lanes).alias("lanes")), "fingerprints")
     named = F.get("lanes", F.lit(0)) if lanes == 1 else F.xxhash64("lanes")
     nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("least")).select(named.alias("id"), F.get("lanes", F.lit(0)).alias("fp"), "lanes", "least")
     nodes = written(nodes.withColumn("comp", F.col("id")), "nodes")
-    for limit in limits:
-        pairs = links(nodes, limit)
+    steps = [(limit, ()) for limit in limits]
+    if total is not None:
+        # the first lane has been searched already if the last limit is large enough
+        each = total // lanes
+        rest = tuple(range(1 if limits[-1] >= each else 0, lanes))
+        steps += [(each, rest)] if rest else []
+    for limit, searched in steps:
+        pairs = links(nodes, limit, lanes=searched)
         if total is not None:
             pairs = verified(pairs, nodes, total)
         roots = components(pairs.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")))

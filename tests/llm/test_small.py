@@ -344,6 +344,31 @@ def test_every_plan_finds_each_pair_once(spark, plan):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_copies_are_found_in_every_lane(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(11)
+    base = [[f"w{r.randint(0, 5000)}" for _ in range(400)] for _ in range(60)]
+    texts = []
+    for words in base:
+        changed = list(words)
+        for at in r.sample(range(5, 395), 8):
+            changed[at] = "new"
+        texts += [" ".join(words), " ".join(changed)]
+    prints = [simhash.fingerprint(t, 5, 4) for t in texts]
+    runs = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[a], prints[b]))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    near = {(a, b) for a, b in pairs if apart(a, b) <= corpus_pipeline.NEAR_BITS}
+    alike = {(a, b) for a, b in pairs if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])}
+    assert len(alike) >= 50 and len(near & alike) >= 0.9 * len(alike)
+    assert sum(((prints[a][0] ^ prints[b][0]) & (1 << 64) - 1).bit_count() > 11 for a, b in near) >= 5
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
+    assert kept == set(range(len(texts))) - {a for a, b in near}
+
+
 # 10
 
 
