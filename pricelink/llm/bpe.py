@@ -23,7 +23,9 @@ from .common import small_batches
 
 #: Characters of a text that go to the tokenizer in one call, unless no safe boundary follows.
 PIECE_CHARS = 200_000
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: White space as the tokenizer has it: Unicode's, without U+001C to U+001F, which Python's \s holds too.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SAFE = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
 
 
 @lru_cache(maxsize=4)

@@ -144,6 +144,25 @@ def test_bpe_round_trip_and_safe_cuts(spark):
     assert bpe.encode(docs(spark, []), **files).count() == 0
 
 
+def test_bpe_cuts_follow_the_tokenizers_white_space(tmp_path):
+    import base64
+    import re
+    import sys
+
+    ranks = [bytes([i]) for i in range(256)] + [b"}\x1e", b"}\x1e{"]
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(ranks)))
+    whole = bpe.load(str(tmp_path / "ranks"), tokenizer_files()["pattern"])
+    ids = lambda t, limit: list(memoryview(bpe.encode_text(whole, t, limit)).cast("I"))
+    for c in "\x1c\x1d\x1e\x1f\x85\xa0\u2003\u3000 \n":
+        text = f'{{"a": 1}}{c}{{}}{c}{c}x ' * 300
+        assert ids(text, 7) == whole.encode_ordinary(text)
+    text = "}\x1e{" * 70_000 + " end"
+    assert ids("}\x1e{", 1) == [257]
+    assert ids(text, bpe.PIECE_CHARS) == whole.encode_ordinary(text)
+    spaces = {chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace()} - set("\x1c\x1d\x1e\x1f")
+    assert {c for c in map(chr, range(sys.maxunicode + 1)) if re.match(f"[{bpe.SPACE}]", c)} == spaces
+
+
 # 6
 
 
