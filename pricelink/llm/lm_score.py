@@ -1,13 +1,14 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Both models are matched: bigrams interpolated with add-one unigrams, the same weights, and one shared vocabulary, a
-hashed one: each word has one of WORD_SLOTS slots and each pair of words one of PAIR_SLOTS, the same in both models.
-Every word of every document is counted; words that meet in a slot share its count, so the tables have a fixed size
-(the bound on what is broadcast, 2 * 4 bytes * (WORD_SLOTS + PAIR_SLOTS)) whatever the corpus holds. The background
-is counted over all documents, the target over the documents with the wanted label.
+Both models are matched: bigrams interpolated with add-one unigrams, the same weights, and one shared vocabulary, which
+is every word of the corpus. Counts are a distributed table keyed by the word or pair itself; it grows with the corpus,
+is summed in the tasks before it is shuffled, and only five totals of it reach the driver. The background is counted
+over all documents, the target over the documents with the wanted label.
 
 The score of a document is the mean over its words of target loss minus background loss (natural logs): below zero,
-the target model predicts it better. Words are runs of non-space characters, A-Z lower-cased.
+the target model predicts it better. Words are runs of non-space characters, A-Z lower-cased. A document's distinct
+pairs are joined to the losses of the pairs; a hot word or pair is a skewed join, which AQE splits. Scored documents
+are among those that were counted: a pair without counts is an error.
 
 Null or empty texts have no words and null losses. Several labels of a document count as their largest; rows without
 a label are background only. Repeated rows count as often as they come. Texts are read whole, in bounded pieces that
@@ -16,162 +17,140 @@ end at white space. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small_batches
+from .common import A_TO_Z, SPACES, small_batches, written
 
-WORD_BITS, PAIR_BITS = 17, 19
-WORD_SLOTS, PAIR_SLOTS = 1 << WORD_BITS, 1 << PAIR_BITS
+#: In the table of counts, slots below this are words, those from it pairs.
+WORD_SLOTS = 1
 PAIR_WEIGHT = 0.7
 PIECE_BYTES = 1 << 20
 CHUNK_ROWS = 1 << 16
 
-_space = np.zeros(256, bool)
-_space[[ord(c) for c in SPACES]] = True
-_lower = np.arange(256, dtype=np.uint64)
-_lower[65:91] += 32
-_powers = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
-START = np.uint64(0x2545F4914F6CDD1D)
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place of the first byte) of each word."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = ~_space[raw]
-    starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    kept = np.flatnonzero(inside)
-    first = np.searchsorted(kept, starts)
-    offset = np.arange(len(kept)) - np.repeat(first, np.diff(np.append(first, len(kept))))
-    terms = (_lower[raw[kept]] + np.uint64(1)) * _powers[offset % len(_powers)]
-    found = np.add.reduceat(terms, first)
-    found = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return found ^ (found >> np.uint64(32)), starts
-
-
-def pieces(texts: list[str | None]) -> Iterator[tuple[bytes, list[int], list[int], bool]]:
-    """Runs of texts of about PIECE_BYTES: the bytes, where each text starts in them, its number, and whether the
-    first one goes on from the run before. A long text is cut where a word ends."""
-    data, at, who, size = [], [], [], 0
-    for i, text in enumerate(texts):
-        raw = (text or "").encode()
-        done, goes_on = 0, False
-        while done < len(raw):
-            end = len(raw)
-            if end - done > PIECE_BYTES:
-                end = next((e for e in range(done + PIECE_BYTES, len(raw)) if _space[raw[e]]), len(raw))
-            if size and (size + end - done > PIECE_BYTES or goes_on):
-                yield b"\n".join(data), at, who, False
-                data, at, who, size = [], [], [], 0
-            if goes_on or end < len(raw):
-                yield raw[done:end], [0], [i], goes_on
-            else:
-                data.append(raw[done:end])
-                at.append(size)
-                who.append(i)
-                size += end - done + 1
-            done, goes_on = end, True
-    if size:
-        yield b"\n".join(data), at, who, False
-
-
-def slots(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text number, word slot, slot of the word before or -1 at the start, pair slot) for the words of some texts."""
-    last = START
-    for data, at, who, goes_on in pieces(texts):
-        hashes, starts = word_hashes(data)
-        if not len(hashes):
-            continue
-        place = np.searchsorted(at, starts, side="right") - 1
-        owner = np.asarray(who)[place]
-        opens = np.concatenate(([not goes_on], place[1:] != place[:-1]))
-        before = np.concatenate(([last], hashes[:-1]))
-        before[opens] = START
-        last = hashes[-1]
-        word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        earlier = np.where(opens, -1, (before >> np.uint64(64 - WORD_BITS)).astype(np.int64))
-        pair = (before * np.uint64(0x9E3779B97F4A7C15) + hashes) * np.uint64(0xD6E8FEB86659FD93)
-        yield owner, word, earlier, (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def counts(docs: DataFrame, wanted: str, text: str = "text") -> DataFrame:
-    """(slot, target, background): counts of words (slots from 0), of pairs (from WORD_SLOTS) and of first words (one
-    slot at the end), over all documents. Each task sums its own texts in two arrays of fixed size and sends the slots
-    that it has seen."""
-    small_batches(docs.sparkSession)
-    total = WORD_SLOTS + PAIR_SLOTS + 1
+LOWER = bytes.maketrans(A_TO_Z.encode(), A_TO_Z.lower().encode())
+_spaces = frozenset(SPACES.encode())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, background = np.zeros(total, np.int64), np.zeros(total, np.int64)
-        for batch in batches:
-            is_target = batch["wanted"].to_numpy(bool)
-            for owner, word, earlier, pair in slots(batch["text"].tolist()):
-                chosen = is_target[owner]
-                places = np.concatenate((word, pair + WORD_SLOTS, np.full(int((earlier < 0).sum()), total - 1)))
-                which = np.concatenate((chosen, chosen, chosen[earlier < 0]))
-                background += np.bincount(places, minlength=total)
-                target += np.bincount(places[which], minlength=total)
-        seen = np.flatnonzero(background)
-        for i in range(0, len(seen), CHUNK_ROWS):
-            s = seen[i : i + CHUNK_ROWS]
-            yield pd.DataFrame({"slot": s.astype(np.int32), "target": target[s], "background": background[s]})
 
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(wanted), F.lit(False)).alias("wanted"))
-    local = rows.mapInPandas(run, "slot int, target long, background long")
-    return local.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+def pieces(text: str | None) -> Iterator[bytes]:
+    """A text in runs of about PIECE_BYTES, cut where a word ends."""
+    raw, done = (text or "").encode(), 0
+    while done < len(raw):
+        end = len(raw)
+        if end - done > PIECE_BYTES:
+            end = next((e for e in range(done + PIECE_BYTES, len(raw)) if raw[e] in _spaces), len(raw))
+        yield raw[done:end]
+        done = end
 
 
-class Model:
-    """Losses of words from the counts of one side."""
+def slots(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes], list[bytes], list[bytes]]]:
+    """(text number, word, word before or empty at the start, pair) for the words of some texts. A pair is both words
+    with a space between them."""
+    for i, text in enumerate(texts):
+        last = b""
+        for piece in pieces(text):
+            words = piece.translate(LOWER).split()
+            if words:
+                earlier = [last, *words[:-1]]
+                last = words[-1]
+                yield [i] * len(words), words, earlier, [a + b" " + b for a, b in zip(earlier, words)]
 
-    def __init__(self, found: np.ndarray):
-        self.word = found[:WORD_SLOTS].astype(np.float32)
-        self.pair = found[WORD_SLOTS:-1].astype(np.float32)
-        self.starts, self.total = float(found[-1]), float(self.word.sum(dtype=np.float64))
 
-    def losses(self, word: np.ndarray, earlier: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        alone = (self.word[word] + 1) / (self.total + WORD_SLOTS)
-        seen = np.where(earlier < 0, self.starts, self.word[earlier])
-        tied = np.minimum(1, self.pair[pair] / np.maximum(1, seen))
-        return -np.log(PAIR_WEIGHT * tied + (1 - PAIR_WEIGHT) * alone)
+def chunks(names: list[str], types: list[pa.DataType], columns: list[list]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(columns[0]), CHUNK_ROWS):
+        arrays = [pa.array(c[i : i + CHUNK_ROWS], pa.binary() if t == pa.string() else t).cast(t) for c, t in zip(columns, types)]
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def fitted(docs: DataFrame, wanted: str, text: str = "text") -> tuple[Model, Model]:
-    """Target and background model. The summed tables, of fixed size, reach the driver."""
-    total = WORD_SLOTS + PAIR_SLOTS + 1
-    target, background = np.zeros(total, np.int64), np.zeros(total, np.int64)
-    found = counts(docs, wanted, text).toArrow()
-    place = found["slot"].to_numpy()
-    target[place], background[place] = found["target"].to_numpy(), found["background"].to_numpy()
-    return Model(target), Model(background)
+def counts(docs: DataFrame, wanted: str, text: str = "text") -> DataFrame:
+    """(slot, key, target, background): counts of each word (slot 0) and pair (slot 1) over all documents."""
+    small_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = batch.column("wanted").to_pylist()
+            sums = [[Counter(), Counter()], [Counter(), Counter()]]
+            for owner, word, _, pair in slots(batch.column("text").to_pylist()):
+                for slot, keys in enumerate((word, pair)):
+                    sums[slot][chosen[owner[0]]].update(keys)
+            for slot, (other, target) in enumerate(sums):
+                for part, is_target in ((other, False), (target, True)):
+                    n = list(part.values())
+                    columns = [[slot] * len(n), list(part), n if is_target else [0] * len(n), n]
+                    yield from chunks(["slot", "key", "target", "background"], [pa.int32(), pa.string(), pa.int64(), pa.int64()], columns)
 
-def scored(docs: DataFrame, models: tuple[Model, Model], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(wanted), F.lit(False)).alias("wanted"))
+    local = rows.mapInArrow(run, "slot int, key string, target long, background long")
+    return local.groupBy("slot", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def fitted(docs: DataFrame, wanted: str, text: str = "text") -> DataFrame:
+    """(pair, target_loss, background_loss) of every pair of the corpus."""
+    sides = ("target", "background")
+    found = written(counts(docs, wanted, text), "ngrams")
+    words, pairs = found.where(F.col("slot") < WORD_SLOTS), found.where(F.col("slot") >= WORD_SLOTS)
+    opens = (F.col("slot") >= WORD_SLOTS) & F.startswith("key", F.lit(" "))
+    totals = found.agg(
+        F.count_if(F.col("slot") < WORD_SLOTS).alias("words"),
+        *[F.coalesce(F.sum(F.when(F.col("slot") < WORD_SLOTS, F.col(s))), F.lit(0)).alias(s) for s in sides],
+        *[F.coalesce(F.sum(F.when(opens, F.col(s))), F.lit(0)).alias(f"{s}_starts") for s in sides],
+    ).first()
+    last = words.select(F.col("key").alias("_word"), *[F.col(s).alias(f"{s}_word") for s in sides])
+    before = words.select(F.col("key").alias("_earlier"), *[F.col(s).alias(f"{s}_seen") for s in sides])
+    joined = pairs.join(last, F.substring_index("key", " ", -1) == F.col("_word")).join(before, F.substring_index("key", " ", 1) == F.col("_earlier"), "left")
+
+    def loss(side: str) -> Column:
+        alone = (F.col(f"{side}_word") + 1) / F.lit(float(totals[side] + totals["words"]))
+        seen = F.coalesce(f"{side}_seen", F.lit(totals[f"{side}_starts"]))
+        tied = F.least(F.lit(1.0), F.col(side) / F.greatest(F.lit(1), seen))
+        return -F.ln(PAIR_WEIGHT * tied + (1 - PAIR_WEIGHT) * alone)
+
+    return joined.select(F.col("key").alias("pair"), *[loss(s).alias(f"{s}_loss") for s in sides])
+
+
+def scored(docs: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep` columns, n_words, target_loss, background_loss and score (their difference) of every document."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    names = [f"_k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    kept = rows.drop("_text")
 
-    @F.pandas_udf("struct<n_words: long, target_loss: double, background_loss: double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        target, background = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.zeros((3, len(batch)))
-            for owner, word, earlier, pair in slots(batch.tolist()):
-                for row, x in enumerate((None, target.losses(word, earlier, pair), background.losses(word, earlier, pair))):
-                    sums[row] += np.bincount(owner, x, len(batch))
-            with np.errstate(invalid="ignore"):
-                means = sums[1:] / np.where(sums[0] > 0, sums[0], np.nan)
-            yield pd.DataFrame({"n_words": sums[0].astype(np.int64), "target_loss": means[0], "background_loss": means[1]})
-
-    found = docs.select(*keep, run(F.col(text)).alias("_s"))
-    losses = [F.when(F.col("_s.n_words") > 0, F.col(f"_s.{c}")).alias(c) for c in ("target_loss", "background_loss")]
-    return found.select(*keep, F.col("_s.n_words").alias("n_words"), *losses).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+            texts = batch.column("_text").to_pylist()
+            table = batch.select([*names, "_row"])
+            owners, pairs, n = [], [], []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                for i in range(0, len(owners), CHUNK_ROWS):
+                    part = slice(i, i + CHUNK_ROWS)
+                    columns = [table.column(j).take(pa.array(owners[part], pa.int32())) for j in range(table.num_columns)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(pairs[part], pa.binary()).cast(pa.string()), pa.array(n[part], pa.int64())], [*table.schema.names, "_pair", "_n"])
+                for column in (owners, pairs, n):
+                    column.clear()
+
+            for i, t in enumerate(texts):
+                found = Counter()
+                for _, _, _, pair in slots([t]):
+                    found.update(pair)
+                # a text without words has one row, without a pair
+                owners += [i] * max(1, len(found))
+                pairs += found or [None]
+                n += found.values() or [0]
+                if len(owners) >= CHUNK_ROWS:
+                    yield from flush()
+            yield from flush()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", _pair string, _n long"
+    grams = rows.mapInArrow(run, schema)
+    joined = grams.join(model, F.col("_pair") == F.col("pair"), "left")
+    known = F.when(F.col("_pair").isNotNull() & F.col("pair").isNull(), F.raise_error(F.lit("a scored document was not counted")).cast("long")).otherwise(F.col("_n"))
+    sums = joined.groupBy("_row", *names).agg(F.sum(known).alias("n_words"), *[(F.sum(F.col(c) * F.col("_n")) / F.nullif(F.sum("_n"), F.lit(0))).alias(c) for c in ("target_loss", "background_loss")])
+    return sums.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_words", "target_loss", "background_loss").withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -412,3 +412,27 @@ def test_lm_counts_are_those_of_all_words(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "PIECE_BYTES", 1000)
     cut = list(lm_score.slots(["x y z " * 3000]))
     assert [sum((list(p[k]) for p in cut), []) for k in range(4)] == [list(whole[0][k]) for k in range(4)]
+
+
+def test_lm_losses_are_those_of_the_words_themselves(spark):
+    import math
+
+    texts = [" ".join(f"w{(i * 911 + k * k * 31 + k) % 3001}" for k in range(i % 40)) + (" The the" if i % 3 else "") for i in range(300)] + [None, "", "é x É"]
+    df = docs(spark, texts + texts[:5])
+    good = set(range(0, len(texts), 4))
+    found = lm_score.scored(df, lm_score.fitted(df.withColumn("wanted", F.col("doc_id").isin(sorted(good))), "wanted")).collect()
+    lower = lambda t: ("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).split(" ") if t else []
+    words = [[w for w in lower(t) if w] for t in texts + texts[:5]]
+    sides = {}
+    for side in ("target", "background"):
+        chosen = [w for i, w in enumerate(words) if side == "background" or i in good]
+        sides[side] = (Counter(x for w in chosen for x in w), Counter(p for w in chosen for p in zip([None, *w], w)))
+    size = len(sides["background"][0])
+    assert len(found) == len(words)
+    for r in found:
+        w = words[r["doc_id"]]
+        assert r["n_words"] == len(w)
+        for side, (one, two) in sides.items():
+            one, starts = Counter(one), sum(n for (a, _), n in two.items() if a is None)
+            losses = [-math.log(0.7 * min(1, two[a, b] / max(1, starts if a is None else one[a])) + 0.3 * (one[b] + 1) / (one.total() + size)) for a, b in zip([None, *w], w)]
+            assert r[f"{side}_loss"] == (pytest.approx(sum(losses) / len(w)) if w else None)
