@@ -4,17 +4,24 @@ Fingerprints: A-Z lower-cased, runs of words (repeats included; a shorter text i
 run; a bit is 1 if it is set in over half of the hashes. Further lanes of 64 bits, for a finer distance, come from the
 same hashes, mixed. Texts without words have fingerprint 0. Each text is read whole, in bounded pieces.
 
-Links: documents with equal fingerprints are joined first (a group of copies is one node, however large). Distinct
-fingerprints within `limit` bits in the first lane are found by multi-index hashing: the 64 bits are cut into segments
-with radii r_i such that sum(r_i + 1) > limit, so a pair within the limit lies within r_i in some segment i. Small
-Hamming balls are enumerated (each side half of the radius), matched by a join on segment and value, and the complete
-distance decides within the join: a pair is kept once, in its first segment, so candidates are never written out.
-With several limits, links are sought in turn, each time only between the components so far, which gives the same
-components as the last limit alone but spares most pairs of a dense group. Which segments serve a limit depends on the
-number of fingerprints (fewer, wider ones for more of them) and is exact for each choice. With a `total` over several
-lanes, the other lanes are searched too: a pair within the total lies within total // lanes bits in some lane, so all
-such pairs are found. Links become components by alternating large-star and small-star steps, every step a written
-table.
+Links: documents with equal fingerprints are joined first (a group of copies is one node, however large).
+
+`clusters` is exact, for small limits: distinct fingerprints within `limit` bits of 64 are found by cutting the bits into
+segments with radii r_i such that sum(r_i + 1) > limit, so a pair within the limit lies within r_i in some segment i.
+Small Hamming balls are enumerated (each side half of the radius), matched by a join on segment and value, and the
+complete distance decides within the join: a pair is kept once, in its first segment, so candidates are never written
+out. Which segments serve a limit depends on the number of fingerprints (fewer, wider ones for more of them) and is exact
+for each choice.
+
+`near_clusters` is for large limits over several lanes (48 of 256 bits, a similarity of 0.8), where balls cost more than
+further segments: a segment is any choice of `width` bits of all lanes, the balls are of radius 0, and there are so
+many overlapping segments that a pair within the limit shares one with a probability of 0.99 at a similarity of 0.8 (a
+stated recall, tested). Segments get wider and more numerous with the number of fingerprints (`segments_for`), so
+comparisons a fingerprint stay bounded at every size. Before that, the members of each bucket of wide segments are tied
+to one member of the bucket, each by its complete distance: the rows of a dense group grow with its size, not with its
+square, and once it is one component only pairs with other components are compared.
+
+Links become components by alternating large-star and small-star steps, every step a written table.
 
 Null texts have fingerprint 0 and are linked like any other. Null ids count as larger than all others: a component
 of null ids only has a null id. Repeated rows are given back as often as they come. An empty table gives an empty
@@ -27,13 +34,14 @@ import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
+from random import Random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import discard, left_out, row_hash, small_batches, written
 
 LIMIT = 4
 RUN = 4
@@ -42,12 +50,26 @@ BLOCK = 1 << 15
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
-#: Segment widths with their radii (2 at most) for a limit; sum(radius + 1) is over the limit in each.
-PLANS = {
-    4: [((16, 16, 16, 16), (1, 0, 0, 0)), ((23, 23, 18), (1, 1, 0)), ((32, 32), (2, 1))],
-    7: [((16, 16, 16, 16), (1, 1, 1, 1)), ((22, 21, 21), (2, 2, 1))],
-    11: [((16, 16, 16, 16), (2, 2, 2, 2))],
-}
+def plans(limit: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """Segment widths with their radii for a limit, for each number of segments whose radii stay at 2 or less; the
+    sum of radius + 1 is over the limit by one in each. Wider segments get the larger radii."""
+    found = []
+    for n in range(2, 17):
+        width, radius = divmod(64, n), divmod(limit + 1 - n, n)
+        widths = tuple(width[0] + (i < width[1]) for i in range(n))
+        radii = tuple(radius[0] + (i < radius[1]) for i in range(n))
+        if 0 <= limit + 1 - n and max(radii) <= 2:
+            found.append((widths, radii))
+    if not found:
+        raise ValueError(f"a limit of {limit} bits of 64 needs segments too narrow for exact search; use near_clusters")
+    return found
+
+
+#: Comparisons that a fingerprint may take on average before segments get wider, and bits in the wide segments.
+COMPARISONS = 1000
+WIDE, WIDE_SEGMENTS = 32, 16
+#: Unrelated pairs differ in 32 of 64 bits on average, pairs near enough (48 of 256) in 12, with deviations of 4 and 2.7.
+LANE_BITS = 21
 
 
 def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -102,24 +124,19 @@ def plan_for(n: int, limit: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
         sides = [[sum(comb(w, i) for i in range(part + 1)) for part in (r - r // 2, r // 2)] for w, r in zip(*plan)]
         return 10.0 * n * sum(a + b for a, b in sides) + float(n) ** 2 * sum(a * b / 2.0**w for (a, b), w in zip(sides, plan[0]))
 
-    return min(PLANS[limit], key=cost)
+    return min(plans(limit), key=cost)
 
 
-def links(nodes: DataFrame, limit: int = LIMIT, plan=None, lanes: tuple[int, ...] = ()) -> DataFrame:
-    """Pairs u > v of nodes (id, fp, comp) of different comp at `limit` bits or fewer in fp, each pair once; with the
-    comps of both (cu, cv). With `lanes`, pairs at `limit` bits or fewer in any of these lanes, once for each of them."""
+def links(nodes: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
+    """Pairs u > v of nodes (id, fp) at `limit` bits or fewer in fp, each pair once."""
     widths, radii = plan or plan_for(nodes.count(), limit)
-    if lanes:
-        nodes = nodes.select("id", "comp", F.inline(F.array(*[F.struct(F.lit(k * len(widths)).alias("seg0"), F.get("lanes", F.lit(k)).alias("fp")) for k in lanes])))
-    else:
-        nodes = nodes.withColumn("seg0", F.lit(0))
     lows = [sum(widths[:i]) for i in range(len(widths))]
 
     def part(fp: Column, i: int) -> Column:
         return F.shiftrightunsigned(fp, lows[i]).bitwiseAND(F.lit((1 << widths[i]) - 1).cast("long"))
 
     def around(i: int, ball: Column) -> Column:
-        return F.transform(ball, lambda d: F.struct((F.col("seg0") + i).alias("seg"), part(F.col("fp"), i).bitwiseXOR(d).alias("value")))
+        return F.transform(ball, lambda d: F.struct(F.lit(i).alias("seg"), part(F.col("fp"), i).bitwiseXOR(d).alias("value")))
 
     def side(radius_of) -> Column:
         rows = []
@@ -128,8 +145,8 @@ def links(nodes: DataFrame, limit: int = LIMIT, plan=None, lanes: tuple[int, ...
             rows.append(around(i, ball))
         return F.inline(F.concat(*rows))
 
-    probing = nodes.select(F.col("id").alias("u"), F.col("fp").alias("fu"), F.col("comp").alias("cu"), side(lambda r: r - r // 2)).withColumnsRenamed({"seg": "su", "value": "xu"})
-    held = nodes.select(F.col("id").alias("v"), F.col("fp").alias("fv"), F.col("comp").alias("cv"), side(lambda r: r // 2)).withColumnsRenamed({"seg": "sv", "value": "xv"})
+    probing = nodes.select(F.col("id").alias("u"), F.col("fp").alias("fu"), side(lambda r: r - r // 2)).withColumnsRenamed({"seg": "su", "value": "xu"})
+    held = nodes.select(F.col("id").alias("v"), F.col("fp").alias("fv"), side(lambda r: r // 2)).withColumnsRenamed({"seg": "sv", "value": "xv"})
     bits = F.col("fu").bitwiseXOR(F.col("fv"))
     once = F.lit(True)
     for i, radius in enumerate(radii):
@@ -139,17 +156,62 @@ def links(nodes: DataFrame, limit: int = LIMIT, plan=None, lanes: tuple[int, ...
         here = F.col("xu") == part(F.col("fu"), i).bitwiseXOR(moved)
         for j in range(i):
             here = here & (F.bit_count(part(bits, j)) > radii[j])
-        once = once & ((F.col("su") % len(widths) != i) | here)
-    near = (F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & (F.bit_count(bits) <= limit) & once
-    return probing.join(held, (F.col("su") == F.col("sv")) & (F.col("xu") == F.col("xv")) & near).select("u", "v", "cu", "cv")
+        once = once & ((F.col("su") != i) | here)
+    near = (F.col("u") > F.col("v")) & (F.bit_count(bits) <= limit) & once
+    return probing.join(held, (F.col("su") == F.col("sv")) & (F.col("xu") == F.col("xv")) & near).select("u", "v")
+
+
+def segments_for(n: int) -> tuple[int, int]:
+    """(width, number) of segments for n fingerprints: four bits more for twice the segments keep the recall."""
+    width, number = 16, 96
+    while n * number / 2.0 ** (width + 1) > COMPARISONS:
+        width, number = width + 4, number * 2
+    return width, number
+
+
+def segment_keys(lanes: Column, n_lanes: int, width: int, number: int) -> Column:
+    """An array of one key a segment: a hash of its number and of `width` bits of all lanes, chosen by a seeded draw."""
+    draw = Random(width)
+    rows = []
+    for _ in range(number):
+        chosen = sum(1 << b for b in draw.sample(range(64 * n_lanes), width))
+        words = np.array([chosen >> 64 * k & (1 << 64) - 1 for k in range(n_lanes)], np.uint64).view(np.int64)
+        rows.append(F.array(*[F.lit(int(w)).cast("long") for w in words]))
+    return F.transform(F.array(*rows), lambda mask, i: F.xxhash64(i, *[F.get(lanes, F.lit(k)).bitwiseAND(F.get(mask, F.lit(k))) for k in range(n_lanes)]))
+
+
+def apart(a: str, b: str) -> Column:
+    """Bits that differ in all lanes of two array columns."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
-    """The pairs whose lanes (array column of `nodes`) differ in at most `total` bits altogether."""
+    """The pairs (u, v) of nodes (id, lanes) that differ in at most `total` bits altogether."""
     one = pairs.join(nodes.select(F.col("id").alias("u"), F.col("lanes").alias("_lu")), "u")
     both = one.join(nodes.select(F.col("id").alias("v"), F.col("lanes").alias("_lv")), "v")
-    apart = F.aggregate(F.zip_with("_lu", "_lv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    return both.where(apart <= total).select("u", "v", "cu", "cv")
+    return both.where(apart("_lu", "_lv") <= total).select("u", "v")
+
+
+def ties(nodes: DataFrame, n_lanes: int) -> DataFrame:
+    """Candidates (u, v): each member of a bucket of a wide segment with the bucket's least member."""
+    rows = nodes.select("id", F.explode(segment_keys(F.col("lanes"), n_lanes, WIDE, WIDE_SEGMENTS)).alias("key"))
+    least = F.min("id").over(Window.partitionBy("key"))
+    return rows.select(F.col("id").alias("u"), least.alias("v")).where("u > v").distinct()
+
+
+def across(nodes: DataFrame, n_lanes: int, width: int, number: int) -> DataFrame:
+    """Candidates (u, v) of different components that share a segment, and differ in LANE_BITS at most in the first
+    lane. In each bucket the rows of all components but the largest are compared with all others, so a component is
+    never compared with itself, however much of the bucket it fills."""
+    sizes = nodes.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("size"))
+    sized = nodes.join(sizes, F.col("comp") == F.col("_comp"))
+    rows = sized.select("id", "comp", "size", F.get("lanes", F.lit(0)).alias("fp"), F.explode(segment_keys(F.col("lanes"), n_lanes, width, number)).alias("key"))
+    bucket = Window.partitionBy("key")
+    marked = rows.withColumns({"main": F.max(F.struct("size", "comp")).over(bucket)["comp"], "low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
+    small = marked.where("comp <> main").select(F.col("key").alias("ku"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("fp").alias("fu"))
+    every = marked.select(F.col("key").alias("kv"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("fp").alias("fv"), (F.col("comp") == F.col("main")).alias("mv"))
+    near = (F.col("cu") != F.col("cv")) & (F.col("mv") | (F.col("u") > F.col("v"))) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= LANE_BITS)
+    return small.join(every, (F.col("ku") == F.col("kv")) & near).select("u", "v").distinct()
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -176,7 +238,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = seen(edges)
     while before[0]:
-        edges = written(star(star(edges, True), False), "stars")
+        last, edges = edges, written(star(star(edges, True), False), "stars")
+        discard(last)
         after = seen(edges)
         if after == before:
             break
@@ -184,44 +247,63 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def clusters(docs: DataFrame, limits: tuple[int, ...] = (LIMIT,), run: int = RUN, lanes: int = 1, total: int | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns (doc_id among them), lanes and component_id of every document. Pairs within the last of the
-    `limits` in the first lane are linked; where `total` is given, all pairs whose lanes differ in `total` bits at most,
-    and no others."""
+def merged(nodes: DataFrame, pairs: DataFrame, comp: str = "id") -> DataFrame:
+    """nodes with `comp`, the least `comp` of all that the pairs tie together."""
+    roots = components(pairs)
+    kept = [c for c in nodes.columns if c != "comp"]
+    return written(nodes.join(roots, F.col(comp) == F.col("node"), "left").select(*kept, F.coalesce("root", comp).alias("comp")), "nodes")
+
+
+def printed(docs: DataFrame, run: int, lanes: int, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Written tables: `keep` columns and lanes of every document; and nodes (id, fp, lanes, least), one for each distinct
+    fingerprint."""
     small_batches(docs.sparkSession)
-    prints = written(docs.select(*keep, fingerprints(F.col("text"), run, lanes).alias("lanes")), "fingerprints")
-    named = F.get("lanes", F.lit(0)) if lanes == 1 else F.xxhash64("lanes")
-    nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("least")).select(named.alias("id"), F.get("lanes", F.lit(0)).alias("fp"), "lanes", "least")
-    nodes = written(nodes.withColumn("comp", F.col("id")), "nodes")
-    steps = [(limit, ()) for limit in limits]
-    if total is not None:
-        # the first lane has been searched already if the last limit is large enough
-        each = total // lanes
-        rest = tuple(range(1 if limits[-1] >= each else 0, lanes))
-        steps += [(each, rest)] if rest else []
-    for limit, searched in steps:
-        pairs = links(nodes, limit, lanes=searched)
-        if total is not None:
-            pairs = verified(pairs, nodes, total)
-        roots = components(pairs.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")))
-        nodes = written(nodes.join(roots, F.col("comp") == F.col("node"), "left").select("id", "fp", "lanes", "least", F.coalesce("root", "comp").alias("comp")), "nodes")
+    prints = written(docs.select(*[v.alias(k) for k, v in keep.items()], fingerprints(F.col("text"), run, lanes).alias("lanes")), "fingerprints")
+    nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("least"))
+    return prints, written(nodes.select(F.monotonically_increasing_id().alias("id"), F.get("lanes", F.lit(0)).alias("fp"), "lanes", "least"), "nodes")
+
+
+def labelled(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """prints with component_id: the least doc_id of the component of their fingerprint; and comp, a number of it."""
     ids = nodes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_print = nodes.select("comp", F.col("lanes").alias("_lanes")).join(ids, "comp").select("_lanes", "component_id")
-    return prints.join(by_print, F.col("lanes") == F.col("_lanes")).select(*keep, "lanes", "component_id")
+    by_print = nodes.select("comp", F.col("lanes").alias("_lanes")).join(ids, "comp").select("_lanes", "comp", "component_id")
+    return prints.join(by_print, F.col("lanes") == F.col("_lanes")).drop("_lanes")
+
+
+def clusters(docs: DataFrame, limit: int = LIMIT, run: int = RUN, keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id (or the `keep` columns, doc_id among them), lanes and component_id of every document: all pairs within
+    `limit` bits of 64 are linked, and no others."""
+    prints, nodes = printed(docs, run, 1, keep or {"doc_id": F.col("doc_id")})
+    return labelled(prints, merged(nodes, links(nodes, limit)))
+
+
+def near_clusters(docs: DataFrame, total: int, run: int = 5, lanes: int = 4, keep: dict[str, Column] | None = None) -> DataFrame:
+    """As `clusters`, for pairs within `total` bits of all lanes: no pair beyond is linked, and those within it are found
+    at the recall of `segments_for`."""
+    prints, nodes = printed(docs, run, lanes, keep or {"doc_id": F.col("doc_id")})
+    tied = merged(nodes, verified(ties(nodes, lanes), nodes, total))
+    width, number = segments_for(tied.count())
+    comps = tied.select("id", "comp")
+    found = verified(across(tied, lanes, width, number), tied, total)
+    ends = found.join(comps.toDF("u", "cu"), "u").join(comps.toDF("v", "cv"), "v")
+    edges = ends.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).where("u <> v")
+    return labelled(prints, merged(tied, edges, "comp"))
 
 
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents without near-duplicates (`how`: parameters of `clusters`): of each component the row with the smallest doc_id stays (one of them
-    if it is repeated). Columns are those of `docs`."""
-    marked = docs.withColumn("_row", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    found = clusters(marked, keep=("doc_id", "_row"), **how).groupBy("component_id", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"))
-    winner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"), F.col("n").alias("n")))
-    winners = found.groupBy("component_id").agg(winner.alias("w")).select(F.col("w.id").alias("_id"), F.col("w.row").alias("_winner"), F.col("w.n").alias("_n"))
-    stay = marked.join(winners, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_row"] == F.col("_winner")))
-    once = stay.where("_n = 1").select(*docs.columns)
-    more = stay.where("_n > 1").dropDuplicates(["_id", "_row"]).select(*docs.columns)
-    return once.union(more)
+def first_of_each(docs: DataFrame, total: int, run: int = 5, lanes: int = 4) -> DataFrame:
+    """The documents without near-duplicates (see `near_clusters`): of each component the row with the smallest doc_id
+    stays (one of them if it is repeated). Columns are those of `docs`. Texts are moved only for documents that share
+    their id with a row that goes."""
+    row = row_hash(docs)
+    found = written(near_clusters(docs, total, run, lanes, {"doc_id": F.col("doc_id"), "row": row}), "components")
+    each = found.groupBy("comp", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    least = each.groupBy(F.col("comp").alias("_c")).agg(F.min(order).alias("least"))
+    stays = F.col("doc_id").eqNullSafe(F.col("least.id")) & (F.col("row") == F.col("least.row"))
+    marked = each.join(least, F.col("comp") == F.col("_c")).select("doc_id", "row", "n", stays.alias("stays"))
+    touched = written(marked.where("not stays or n > 1").select(F.col("doc_id").alias("id"), F.col("row").alias("key"), "stays"), "touched")
+    return left_out(docs, row, touched)

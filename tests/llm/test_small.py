@@ -315,8 +315,22 @@ def brute_fingerprint(text, run=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-@pytest.mark.parametrize("limits", [(4,), (4, 7), (4, 7, 11)])
-def test_simhash_components(spark, limits):
+def brute_components(prints, near):
+    """Least id reachable, for ids with fingerprints."""
+    least = {}
+    for i in prints:
+        seen, todo = {i}, [i]
+        while todo:
+            a = todo.pop()
+            for b in prints:
+                if b not in seen and near(prints[a], prints[b]):
+                    seen.add(b)
+                    todo.append(b)
+        least[i] = min(seen)
+    return least
+
+
+def test_simhash_components(spark):
     import random
 
     r = random.Random(5)
@@ -325,26 +339,15 @@ def test_simhash_components(spark, limits):
     texts += [None, "", " ", "Ab", "aB", base[0]]
     ids = [100 - i for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip(ids, texts)] + [(100, texts[0], "en", "s", 0)], DOCS)
-    got = simhash.clusters(df.withColumn("fp", F.lit("clash")), limits).withColumn("x", simhash.hexadecimal(F.get("lanes", F.lit(0)))).collect()
+    got = simhash.clusters(df.withColumn("fp", F.lit("clash"))).withColumn("x", simhash.hexadecimal(F.get("lanes", F.lit(0)))).collect()
     prints = {i: brute_fingerprint(t) for i, t in zip(ids, texts)}
-    least = dict.fromkeys(ids)
-    for i in ids:
-        seen, todo = {i}, [i]
-        while todo:
-            a = todo.pop()
-            for b in ids:
-                if b not in seen and (prints[a] ^ prints[b]).bit_count() <= limits[-1]:
-                    seen.add(b)
-                    todo.append(b)
-        least[i] = min(seen)
+    least = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
     assert len(got) == len(texts) + 1
     assert all((r["x"], r["component_id"]) == (f"{prints[r['doc_id']]:016x}", least[r["doc_id"]]) for r in got)
-    kept = simhash.first_of_each(df, limits=limits)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
-    assert simhash.clusters(docs(spark, []), limits).count() == 0
+    assert simhash.clusters(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("plan", [p for plans in simhash.PLANS.values() for p in plans])
+@pytest.mark.parametrize("plan", [p for limit in (2, 4, 7) for p in simhash.plans(limit)])
 def test_every_plan_finds_each_pair_once(spark, plan):
     import random
 
@@ -357,35 +360,108 @@ def test_every_plan_finds_each_pair_once(spark, plan):
         for k in range(limit + 3):
             prints.add(x ^ sum(1 << b for b in r.sample(range(64), k)))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    nodes = spark.createDataFrame([(signed(x), signed(x), signed(x)) for x in prints], "id long, fp long, comp long")
+    nodes = spark.createDataFrame([(signed(x), signed(x)) for x in prints], "id long, fp long")
     got = [(a["u"], a["v"]) for a in simhash.links(nodes, limit, plan).collect()]
     want = {(signed(a), signed(b)) for a in prints for b in prints if signed(a) > signed(b) and (a ^ b).bit_count() <= limit}
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_near_copies_are_found_in_every_lane(spark):
+def near_copies(r, n, words, changes, vocabulary=5000):
+    """n texts with a copy each, of which `changes` words are others."""
+    texts = []
+    for _ in range(n):
+        first = [f"w{r.randint(0, vocabulary)}" for _ in range(words)]
+        copy = list(first)
+        for at in r.sample(range(words), changes):
+            copy[at] = "new"
+        texts += [" ".join(first), " ".join(copy)]
+    return texts
+
+
+def test_near_dedup_recall_against_brute_force(spark):
     import random
 
     import corpus_pipeline
 
     r = random.Random(11)
-    base = [[f"w{r.randint(0, 5000)}" for _ in range(400)] for _ in range(60)]
-    texts = []
-    for words in base:
-        changed = list(words)
-        for at in r.sample(range(5, 395), 8):
-            changed[at] = "new"
-        texts += [" ".join(words), " ".join(changed)]
-    prints = [simhash.fingerprint(t, 5, 4) for t in texts]
-    runs = [{tuple(t.split()[i : i + 5]) for i in range(396)} for t in texts]
-    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(prints[a], prints[b]))
-    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
-    near = {(a, b) for a, b in pairs if apart(a, b) <= corpus_pipeline.NEAR_BITS}
-    alike = {(a, b) for a, b in pairs if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])}
-    assert len(alike) >= 50 and len(near & alike) >= 0.9 * len(alike)
-    assert sum(((prints[a][0] ^ prints[b][0]) & (1 << 64) - 1).bit_count() > 11 for a, b in near) >= 5
+    # changes of 400 words that give similarities from 0.8 (nine words) to 0.95
+    texts = [t for k in (2, 4, 6, 8, 9) for t in near_copies(r, 60, 400, k)] + [t for k in (30, 60) for t in near_copies(r, 20, 400, k)]
+    runs = [frozenset(tuple(t.split()[i : i + 5]) for i in range(396)) for t in texts]
+    holders = defaultdict(set)
+    for i, found in enumerate(runs):
+        for x in found:
+            holders[x].add(i)
+    pairs = {(a, b) for i, found in enumerate(runs) for x in found for a, b in [(i, j) for j in holders[x] if j < i]}
+    share = {(a, b): len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a, b in pairs}
+    alike = {p for p, j in share.items() if j >= 0.8}
+    least = sorted(p for p in alike if share[p] < 0.82)
+    assert len(alike) >= 250 and len(least) >= 30
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_clusters(docs(spark, texts), corpus_pipeline.NEAR_BITS).collect()}
+    assert sum(comp[a] == comp[b] for a, b in alike) >= 0.95 * len(alike)
+    assert sum(comp[a] == comp[b] for a, b in least) >= 0.9 * len(least)
+    assert all(comp[a] != comp[b] for (a, b), j in share.items() if j < 0.6)
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(spark, texts), "").collect()}
-    assert kept == set(range(len(texts))) - {a for a, b in near}
+    assert kept == set(comp.values())
+
+
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**7, 10**8, 10**9, 10**10])
+def test_segments_keep_recall_and_work_at_every_size(n):
+    width, number = simhash.segments_for(n)
+    assert n * number / 2.0 ** (width + 1) <= simhash.COMPARISONS
+    # pairs at a similarity of 0.8 differ in 39 of 256 bits on average
+    hit = 1.0
+    for i in range(width):
+        hit *= (256 - 39 - i) / (256 - i)
+    assert 1 - (1 - hit) ** number > 0.985
+
+
+def test_near_links_are_true_and_found_by_segments(spark):
+    import random
+
+    r = random.Random(2)
+    base = [[r.getrandbits(64) for _ in range(4)] for _ in range(150)]
+    flip = lambda lanes, n: [x ^ sum(1 << b - 64 * k for b in bits if b // 64 == k) for bits in [r.sample(range(256), n)] for k, x in enumerate(lanes)]
+    near, far = [flip(x, 39) for x in base], [flip(x, 60) for x in base]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, [signed(w) for w in x], i) for i, x in enumerate(base + near + far)]
+    nodes = spark.createDataFrame(rows, "id long, lanes array<long>, comp long")
+    got = {(p["u"], p["v"]) for p in simhash.verified(simhash.across(nodes, 4, *simhash.segments_for(len(rows))), nodes, 48).collect()}
+    pairs = {tuple(sorted(p, reverse=True)) for p in got}
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[a][1], rows[b][1]))
+    assert all(apart(a, b) <= 48 for a, b in pairs)
+    assert len(pairs & {(i + 150, i) for i in range(150)}) >= 0.95 * 150
+
+
+def test_a_dense_group_is_tied_before_pairs_are_sought(spark):
+    import random
+
+    r = random.Random(4)
+    words = [f"w{r.randint(0, 5000)}" for _ in range(400)]
+    texts = []
+    for _ in range(300):
+        copy = list(words)
+        for at in r.sample(range(400), 2):
+            copy[at] = f"new{r.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    prints, nodes = simhash.printed(docs(spark, texts), 5, 4, {"doc_id": F.col("doc_id")})
+    ties = simhash.ties(nodes, 4)
+    assert ties.count() <= simhash.WIDE_SEGMENTS * nodes.count()
+    tied = simhash.merged(nodes, simhash.verified(ties, nodes, 48))
+    assert tied.select("comp").distinct().count() <= 5
+    assert simhash.across(tied, 4, 16, 96).count() <= 20 * 300
+    assert {r["component_id"] for r in simhash.near_clusters(docs(spark, texts), 48).collect()} == {0}
+
+
+def test_first_of_each_keeps_columns_and_takes_any_names(spark):
+    base = [" ".join(f"w{(i * 31 + k * k) % 997}" for k in range(200)) for i in range(6)]
+    texts = [*base, *base, None, "", base[0] + " more"]
+    rows = [(100 - i if i % 7 else None, t, {"k": i % 6}, i % 6, "x") for i, t in enumerate(texts)] + [(99, base[1], {"k": 1}, 1, "x")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row map<string,int>, _id int, comp string").withColumn("_bloom", F.lit(1)).withColumn("key", F.lit("k"))
+    kept = simhash.first_of_each(df, 48)
+    got = kept.collect()
+    assert kept.columns == df.columns and len(got) == len({r["text"] or "" for r in got}) == 7
+    assert {r["doc_id"] for r in got if r["text"] == base[1]} == {99}
+    assert simhash.first_of_each(df.limit(0), 48).count() == 0
 
 
 # 10
