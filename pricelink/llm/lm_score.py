@@ -1,160 +1,226 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
 Both models are matched: bigrams interpolated with add-one unigrams, the same weights, and one shared vocabulary, which
-is every word of the corpus. Counts are a distributed table keyed by the word or pair itself; it grows with the corpus,
-is summed in the tasks before it is shuffled, and only five totals of it reach the driver. The background is counted
-over all documents, the target over the documents with the wanted label.
-
-The score of a document is the mean over its words of target loss minus background loss (natural logs): below zero,
-the target model predicts it better. Words are runs of non-space characters, A-Z lower-cased. A document's distinct
-pairs are joined to the losses of the pairs; a hot word or pair is a skewed join, which AQE splits. Scored documents
-are among those that were counted: a pair without counts is an error.
-
-Null or empty texts have no words and null losses. Several labels of a document count as their largest; rows without
-a label are background only. Repeated rows count as often as they come. Texts are read whole, in bounded pieces that
-end at white space. An empty table gives an empty table.
+is every word of the corpus and the end of a text. Words are runs of non-space characters, A-Z lower-cased. The
+background is counted over all documents, the target over the documents whose id is a target id. A document is
+scored by models without its own words (leave-one-out): its counts are taken off before its losses are, so it is not
+predicted by itself, and a text that occurs twice in the corpus stands apart from one that occurs once. For a word b
+after a, with the counts C left in a model of M tokens, and V words in the corpus,
+
+    P(b | a) = PAIR_WEIGHT * C(a b) / C(a) + (1 - PAIR_WEIGHT) * (C(b) + 1) / (M + V + 1)
+
+and the second fraction alone where C(a) is zero. A text's end is a token too (its start the context of its first
+word), so C(a) is the count of the word a. Losses are rounded to millionths of a nat and added as integers, so results
+do not depend on the order of rows. The score is the mean target loss minus the mean background loss over the tokens:
+below zero, the target model predicts the text better.
+
+Counts of all words and pairs of the corpus are gathered, none are hashed together (keys are 64 bits of two 64-bit word
+hashes) and none pass through the driver. Documents are dealt into blocks of about BLOCK_BYTES of text; a block counts
+its words and pairs, sends the counts to buckets of keys, and gets the corpus's totals of its own keys back, in order.
+So a key has at most one count in a block and no hot word is a hot key; a block's texts are read whole, in pieces.
+Shuffled are the texts and about nine bytes for each distinct pair of a block.
+
+Null or empty texts have no words, and null losses and score. Several labels of a document count as their largest;
+null ids and ids without a label are background only. Repeated rows count as often as they come; each is scored by the
+others. Documents that come in an order that changes from one reading to the next must be written before. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import A_TO_Z, SPACES, small_batches, written
+from .common import A_TO_Z, SPACES, may_meet, small_batches
 
-#: In the table of counts, slots below this are words, those from it pairs.
-WORD_SLOTS = 1
 PAIR_WEIGHT = 0.7
+UNIT = 1e6
+BLOCK_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
-CHUNK_ROWS = 1 << 16
 
 LOWER = bytes.maketrans(A_TO_Z.encode(), A_TO_Z.lower().encode())
 _spaces = frozenset(SPACES.encode())
+#: The key under which the number of tokens is summed; word and pair keys are odd multiples away from meeting it.
+TOTAL = np.uint64(0)
 
 
 def pieces(text: str | None) -> Iterator[bytes]:
     """A text in runs of about PIECE_BYTES, cut where a word ends."""
-    raw, done = (text or "").encode(), 0
+    raw, done = (text or "").encode("utf-8", "surrogatepass"), 0
     while done < len(raw):
         end = len(raw)
         if end - done > PIECE_BYTES:
             end = next((e for e in range(done + PIECE_BYTES, len(raw)) if raw[e] in _spaces), len(raw))
-        yield raw[done:end]
+        yield raw[done:end].translate(LOWER)
         done = end
 
 
-def slots(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes], list[bytes], list[bytes]]]:
-    """(text number, word, word before or empty at the start, pair) for the words of some texts. A pair is both words
-    with a space between them."""
-    for i, text in enumerate(texts):
-        last = b""
-        for piece in pieces(text):
-            words = piece.translate(LOWER).split()
-            if words:
-                earlier = [last, *words[:-1]]
-                last = words[-1]
-                yield [i] * len(words), words, earlier, [a + b" " + b for a, b in zip(earlier, words)]
-
-
-def chunks(names: list[str], types: list[pa.DataType], columns: list[list]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), CHUNK_ROWS):
-        arrays = [pa.array(c[i : i + CHUNK_ROWS], pa.binary() if t == pa.string() else t).cast(t) for c, t in zip(columns, types)]
-        yield pa.RecordBatch.from_arrays(arrays, names)
-
-
-def counts(docs: DataFrame, wanted: str, text: str = "text") -> DataFrame:
-    """(slot, key, target, background): counts of each word (slot 0) and pair (slot 1) over all documents."""
-    small_batches(docs.sparkSession)
+class Block:
+    """The tokens of some texts, and the counts of their words and pairs by key, for all texts and for the wanted
+    ones. Word 0 is the start and the end of a text."""
+
+    def __init__(self, texts: list[str | None], wanted: np.ndarray):
+        from xxhash import xxh64_intdigest
+
+        ids: dict[bytes, int] = defaultdict(count().__next__)
+        ids[b""]
+        self.tokens = []
+        for text in texts:
+            parts = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, pieces(text)) if words]
+            self.tokens.append(np.concatenate([*parts, [0]]) if parts else np.zeros(0, np.int64))
+        filled = [t for t in self.tokens if len(t)]
+        chosen = [t for t, w in zip(self.tokens, wanted) if w and len(t)]
+        self.pairs, pair_all = np.unique(self.codes(filled), return_counts=True)
+        pair_wanted = np.zeros(len(self.pairs), np.int64)
+        some, n = np.unique(self.codes(chosen), return_counts=True)
+        pair_wanted[np.searchsorted(self.pairs, some)] = n
+        words = [np.bincount(self.joined(x), minlength=len(ids)) for x in (filled, chosen)]
+        hashes = np.fromiter((xxh64_intdigest(w) for w in ids), np.uint64, len(ids)) | np.uint64(1)
+        keys = np.concatenate((hashes, pair_keys(hashes[self.pairs >> 32], hashes[self.pairs & 0xFFFFFFFF]), [TOTAL]))
+        self.n_words = len(ids)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        each = [np.concatenate((w, p, [w.sum()])) for w, p in zip(words, (pair_all, pair_wanted))]
+        self.background, self.target = (x[self.order] for x in each)
+
+    @staticmethod
+    def joined(tokens: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+
+    @staticmethod
+    def codes(tokens: list[np.ndarray]) -> np.ndarray:
+        """word before << 32 | word, of all tokens."""
+        if not tokens:
+            return np.zeros(0, np.int64)
+        return np.concatenate([np.concatenate(([0], t[:-1])) << 32 | t for t in tokens])
+
+    def losses(self, totals: dict[str, np.ndarray], wanted: np.ndarray, vocabulary: int) -> dict[str, list]:
+        """n_words and the sums of both losses (in units, integers) of each text, by the corpus's totals of `keys`."""
+        back = np.empty_like(self.order)
+        back[self.order] = np.arange(len(back))
+        sides = {name: total[back] for name, total in totals.items()}
+        out = {"n_words": [], "target_loss": [], "background_loss": []}
+        for tokens, is_target in zip(self.tokens, wanted):
+            if not len(tokens):
+                for name, value in (("n_words", 0), ("target_loss", None), ("background_loss", None)):
+                    out[name].append(value)
+                continue
+            out["n_words"].append(len(tokens) - 1)
+            pairs, n = np.unique(self.codes([tokens]), return_counts=True)
+            a, b, at = pairs >> 32, pairs & 0xFFFFFFFF, self.n_words + np.searchsorted(self.pairs, pairs)
+            words, place, own = np.unique(tokens, return_inverse=True, return_counts=True)
+            own_a, own_b = own[np.searchsorted(words, a)], own[np.searchsorted(words, b)]
+            for name, total in sides.items():
+                off = int(is_target or name == "background")
+                before, after = total[a] - off * own_a, total[b] - off * own_b
+                alone = (after + 1) / float(total[-1] - off * len(tokens) + vocabulary + 1)
+                tied = (total[at] - off * n) / np.maximum(before, 1)
+                p = np.where(before > 0, PAIR_WEIGHT * tied + (1 - PAIR_WEIGHT) * alone, alone)
+                out[f"{name}_loss"].append(int((np.rint(-np.log(p) * UNIT).astype(np.int64) * n).sum()))
+        return out
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of two hashes, even (word keys are odd) and not TOTAL but by chance."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b << np.uint64(31) | b >> np.uint64(33))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) & ~np.uint64(1)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Integers as eight planes of bytes: the upper ones are zeros, which shuffles compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def dealt(docs: DataFrame, target: DataFrame, key: str, text: str) -> DataFrame:
+    """_id, _text, _row and whether the id is one of the target's (a table of one column, ids). Only rows that a Bloom
+    filter of the target ids lets pass are joined to them."""
+    ids = target.toDF("_wanted").where(F.col("_wanted").isNotNull()).distinct()
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    sure, maybe = may_meet(rows, F.col("_id"), ids, F.col("_wanted"))
+    joined = maybe.join(ids, F.col("_id") == F.col("_wanted"), "left")
+    return sure.withColumn("_is", F.lit(False)).union(joined.select("_id", "_text", "_row", F.col("_wanted").isNotNull().alias("_is")))
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """(distinct words, bytes) of all texts."""
+    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = batch.column("wanted").to_pylist()
-            sums = [[Counter(), Counter()], [Counter(), Counter()]]
-            for owner, word, _, pair in slots(batch.column("text").to_pylist()):
-                for slot, keys in enumerate((word, pair)):
-                    sums[slot][chosen[owner[0]]].update(keys)
-            for slot, (other, target) in enumerate(sums):
-                for part, is_target in ((other, False), (target, True)):
-                    n = list(part.values())
-                    columns = [[slot] * len(n), list(part), n if is_target else [0] * len(n), n]
-                    yield from chunks(["slot", "key", "target", "background"], [pa.int32(), pa.string(), pa.int64(), pa.int64()], columns)
-
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(wanted), F.lit(False)).alias("wanted"))
-    local = rows.mapInArrow(run, "slot int, key string, target long, background long")
-    return local.groupBy("slot", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def fitted(docs: DataFrame, wanted: str, text: str = "text") -> DataFrame:
-    """(pair, target_loss, background_loss) of every pair of the corpus."""
-    sides = ("target", "background")
-    found = written(counts(docs, wanted, text), "ngrams")
-    words, pairs = found.where(F.col("slot") < WORD_SLOTS), found.where(F.col("slot") >= WORD_SLOTS)
-    opens = (F.col("slot") >= WORD_SLOTS) & F.startswith("key", F.lit(" "))
-    totals = found.agg(
-        F.count_if(F.col("slot") < WORD_SLOTS).alias("words"),
-        *[F.coalesce(F.sum(F.when(F.col("slot") < WORD_SLOTS, F.col(s))), F.lit(0)).alias(s) for s in sides],
-        *[F.coalesce(F.sum(F.when(opens, F.col(s))), F.lit(0)).alias(f"{s}_starts") for s in sides],
-    ).first()
-    last = words.select(F.col("key").alias("_word"), *[F.col(s).alias(f"{s}_word") for s in sides])
-    before = words.select(F.col("key").alias("_earlier"), *[F.col(s).alias(f"{s}_seen") for s in sides])
-    joined = pairs.join(last, F.substring_index("key", " ", -1) == F.col("_word")).join(before, F.substring_index("key", " ", 1) == F.col("_earlier"), "left")
-
-    def loss(side: str) -> Column:
-        alone = (F.col(f"{side}_word") + 1) / F.lit(float(totals[side] + totals["words"]))
-        seen = F.coalesce(f"{side}_seen", F.lit(totals[f"{side}_starts"]))
-        tied = F.least(F.lit(1.0), F.col(side) / F.greatest(F.lit(1), seen))
-        return -F.ln(PAIR_WEIGHT * tied + (1 - PAIR_WEIGHT) * alone)
-
-    return joined.select(F.col("key").alias("pair"), *[loss(s).alias(f"{s}_loss") for s in sides])
-
-
-def scored(docs: DataFrame, model: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """`keep` columns, n_words, target_loss, background_loss and score (their difference) of every document."""
+            words, n = set(), 0
+            for t in batch.column(0).to_pylist():
+                for piece in pieces(t):
+                    n += len(piece)
+                    words.update(piece.split())
+            hashes = pa.array([*(xxh64_intdigest(w) for w in words), 0], pa.uint64()).view(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hashes)) == len(hashes) - 1), hashes, pa.array([*[0] * len(words), n], pa.int64())], ["size", "word", "n"])
+
+    found = docs.select(text).mapInArrow(run, "size boolean, word long, n long").groupBy("size", "word").agg(F.sum("n").alias("n"))
+    row = found.agg(F.count_if(~F.col("size")), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """key, n_words, target_loss, background_loss and score of every document; `target`: a table of one column, the ids
+    of the target documents."""
     small_batches(docs.sparkSession)
-    names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    kept = rows.drop("_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            table = batch.select([*names, "_row"])
-            owners, pairs, n = [], [], []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                for i in range(0, len(owners), CHUNK_ROWS):
-                    part = slice(i, i + CHUNK_ROWS)
-                    columns = [table.column(j).take(pa.array(owners[part], pa.int32())) for j in range(table.num_columns)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(pairs[part], pa.binary()).cast(pa.string()), pa.array(n[part], pa.int64())], [*table.schema.names, "_pair", "_n"])
-                for column in (owners, pairs, n):
-                    column.clear()
-
-            for i, t in enumerate(texts):
-                found = Counter()
-                for _, _, _, pair in slots([t]):
-                    found.update(pair)
-                # a text without words has one row, without a pair
-                owners += [i] * max(1, len(found))
-                pairs += found or [None]
-                n += found.values() or [0]
-                if len(owners) >= CHUNK_ROWS:
-                    yield from flush()
-            yield from flush()
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", _pair string, _n long"
-    grams = rows.mapInArrow(run, schema)
-    joined = grams.join(model, F.col("_pair") == F.col("pair"), "left")
-    known = F.when(F.col("_pair").isNotNull() & F.col("pair").isNull(), F.raise_error(F.lit("a scored document was not counted")).cast("long")).otherwise(F.col("_n"))
-    sums = joined.groupBy("_row", *names).agg(F.sum(known).alias("n_words"), *[(F.sum(F.col(c) * F.col("_n")) / F.nullif(F.sum("_n"), F.lit(0))).alias(c) for c in ("target_loss", "background_loss")])
-    return sums.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "n_words", "target_loss", "background_loss").withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with `wanted`: the document has a label of quality 1. Labels grow with the documents, so both sides are
-    shuffled at every size, rather than broadcast while they are few."""
-    good = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("wanted"))
-    return docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("text", "wanted")
+    n_vocabulary, n_bytes = vocabulary(docs, text)
+    n = max(1, -(-n_bytes // block_bytes))
+    rows = dealt(docs, target, key, text).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(n).cast("long")))
+
+    def block_of(table: pa.Table) -> tuple[Block, np.ndarray]:
+        wanted = np.array(table.column("_is").to_pylist(), bool)
+        return Block(table.column("_text").to_pylist(), wanted), wanted
+
+    def counted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_row")
+        block, _ = block_of(table)
+        bucket = (block.keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        parts = [np.split(x, cuts) for x in (block.keys, block.target, block.background)]
+        names = bucket[np.concatenate(([0], cuts))].astype(np.int64)
+        arrays = [pa.array([table.column("_block")[0].as_py()] * len(names), pa.int64()), pa.array(names), *[pa.array([f(x) for x in part], pa.binary()) for f, part in zip((lambda x: x.tobytes(), planes, planes), parts)]]
+        return pa.Table.from_arrays(arrays, ["block", "bucket", "keys", "target", "background"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in keys])[:-1]
+        arrays = [table.column("block"), table.column("bucket")]
+        for side in ("target", "background"):
+            own = np.concatenate([unplaned(x) for x in table.column(side).to_pylist()])
+            total = np.zeros(place.max() + 1, np.int64)
+            np.add.at(total, place, own)
+            arrays.append(pa.array([planes(x) for x in np.split(total[place], cuts)], pa.binary()))
+        return pa.Table.from_arrays(arrays, ["block", "bucket", "target", "background"])
+
+    def judged(table: pa.Table, sums: pa.Table) -> pa.Table:
+        table, sums = table.sort_by("_row"), sums.sort_by("bucket")
+        block, wanted = block_of(table)
+        totals = {side: np.concatenate([unplaned(x) for x in sums.column(side).to_pylist()]) for side in ("target", "background")}
+        found = block.losses(totals, wanted, n_vocabulary)
+        return pa.Table.from_arrays([table.column("_id"), *[pa.array(x, pa.int64()) for x in found.values()]], ["_id", *found])
+
+    local = rows.groupBy("_block").applyInArrow(counted, "block long, bucket long, keys binary, target binary, background binary")
+    sums = local.groupBy("bucket").applyInArrow(summed, "block long, bucket long, target binary, background binary")
+    kind = rows.schema["_id"].dataType.simpleString()
+    losses = rows.groupBy("_block").cogroup(sums.groupBy("block")).applyInArrow(judged, f"_id {kind}, n_words long, target_loss long, background_loss long")
+    means = [(F.col(c) / (F.lit(UNIT) * (F.col("n_words") + 1))).alias(c) for c in ("target_loss", "background_loss")]
+    return losses.select(F.col("_id").alias(key), "n_words", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def good_documents(labels: DataFrame) -> DataFrame:
+    """Ids of the documents with a label of quality 1."""
+    return labels.groupBy("doc_id").agg(F.max("quality").alias("most")).where("most = 1").select("doc_id")

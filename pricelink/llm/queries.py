@@ -38,9 +38,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    models = lm_score.fitted(lm_score.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "wanted")
-    return lm_score.scored(docs, models)
+    return lm_score.scored(documents(spark, sf_dir), lm_score.good_documents(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +118,26 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AN
   nullif(regexp_extract(host, '(?:^|\.)((?:cheap-pills|free-bets|spam-farm|adult-x|casino-win|ads-track)\.example\.(?:com|net|org))$', 1), '') AS listed FROM p)
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
   ELSE CASE WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END END AS verdict, listed FROM r
+""",
+    "op10_lm_score": r"""
+WITH good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM good WHERE doc_id IS NOT NULL), FALSE) AS wanted,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, wanted, unnest(list_prepend('', w)) AS a, unnest(list_append(w, '')) AS b FROM d WHERE len(w) > 0),
+p AS (SELECT r, wanted, a, b, count(*) AS n FROM t GROUP BY ALL),
+u AS (SELECT r, b AS x, count(*) AS n FROM t GROUP BY ALL),
+cp AS (SELECT a, b, sum(n) AS bg, sum(CASE WHEN wanted THEN n ELSE 0 END) AS tg FROM p GROUP BY ALL),
+cw AS (SELECT b AS x, sum(n) AS bg, sum(CASE WHEN wanted THEN n ELSE 0 END) AS tg FROM p GROUP BY ALL),
+m AS (SELECT sum(bg) AS bg, sum(tg) AS tg, count(*) - 1 AS v FROM cw),
+s AS (SELECT r, sum(n) AS n FROM u GROUP BY r),
+x AS (SELECT p.r, p.n, s.n AS tokens,
+  CASE WHEN wanted THEN 1 ELSE 0 END AS own, cp.bg AS ab_b, cp.tg AS ab_t, ca.bg AS a_b, ca.tg AS a_t, cb.bg AS b_b, cb.tg AS b_t, ua.n AS own_a, ub.n AS own_b, m.bg AS m_b, m.tg AS m_t, m.v
+  FROM p JOIN s USING (r) JOIN cp USING (a, b) JOIN cw ca ON ca.x = p.a JOIN cw cb ON cb.x = p.b JOIN u ua ON ua.r = p.r AND ua.x = p.a JOIN u ub ON ub.r = p.r AND ub.x = p.b CROSS JOIN m),
+y AS (SELECT r, n, tokens, (b_b - own_b + 1)::DOUBLE / (m_b - tokens + v + 1)::DOUBLE AS one_b, (b_t - own * own_b + 1)::DOUBLE / (m_t - own * tokens + v + 1)::DOUBLE AS one_t,
+  a_b - own_a AS left_b, a_t - own * own_a AS left_t, ab_b - n AS two_b, ab_t - own * n AS two_t FROM x),
+l AS (SELECT r, tokens, sum(n * round(-ln(CASE WHEN left_b > 0 THEN 0.7::DOUBLE * (two_b::DOUBLE / left_b::DOUBLE) + (1 - 0.7::DOUBLE) * one_b ELSE one_b END) * 1e6)::BIGINT) AS lb,
+  sum(n * round(-ln(CASE WHEN left_t > 0 THEN 0.7::DOUBLE * (two_t::DOUBLE / left_t::DOUBLE) + (1 - 0.7::DOUBLE) * one_t ELSE one_t END) * 1e6)::BIGINT) AS lt FROM y GROUP BY ALL),
+f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, lt::DOUBLE / (1e6 * tokens::DOUBLE) AS target_loss, lb::DOUBLE / (1e6 * tokens::DOUBLE) AS background_loss FROM d LEFT JOIN l USING (r))
+SELECT *, target_loss - background_loss AS score FROM f
 """,
 }

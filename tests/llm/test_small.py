@@ -469,46 +469,79 @@ def test_first_of_each_keeps_columns_and_takes_any_names(spark):
 
 def test_lm_score(spark):
     good, bad = "the model reads clean prose and learns", "buy cheap pills now click here"
-    texts = [f"{good} {i}" for i in range(20)] + [f"{bad} {i}" for i in range(60)] + [None, "", " \n"]
-    df = docs(spark, texts).withColumn("n_words", F.lit("clash"))
-    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(0, 1), (0, 0), (30, 0)], "doc_id long, quality int")
-    models = lm_score.fitted(lm_score.labelled(df, labels), "wanted")
-    got = {r["doc_id"]: r for r in lm_score.scored(df, models).collect()}
+    texts = [f"{good} {i}" for i in range(20)] + [f"{bad} {100 + i}" for i in range(60)] + [None, "", " \n"]
+    df = docs(spark, texts).withColumn("n_words", F.lit("clash")).withColumn("_row", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(0, 1), (0, 0), (30, 0), (None, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lm_score.scored(df, lm_score.good_documents(labels)).collect()}
     assert all(got[i]["score"] < 0 for i in range(20)) and all(got[i]["score"] > 0 for i in range(20, 80))
     assert all(got[i]["n_words"] == 0 and got[i]["score"] is None for i in (80, 81, 82))
-    assert lm_score.scored(docs(spark, []), models).count() == 0
+    assert lm_score.scored(docs(spark, []), lm_score.good_documents(labels)).count() == 0
+    none = lm_score.scored(df, labels.where("quality > 5").select("doc_id")).where("score is not null").select("target_loss")
+    assert none.count() == 80
 
 
-def test_lm_counts_are_those_of_all_words(spark, monkeypatch):
-    texts = ["a b a b", "B a", None, "c " * 5000]
-    found = lm_score.counts(docs(spark, texts).withColumn("wanted", F.col("doc_id") == 0), "wanted").collect()
-    words = sum(r["background"] for r in found if r["slot"] < lm_score.WORD_SLOTS)
-    assert words == 5006 and sum(r["target"] for r in found if r["slot"] < lm_score.WORD_SLOTS) == 4
-    whole = [tuple(map(tuple, s)) for s in lm_score.slots(["x y z " * 3000])]
-    monkeypatch.setattr(lm_score, "PIECE_BYTES", 1000)
-    cut = list(lm_score.slots(["x y z " * 3000]))
-    assert [sum((list(p[k]) for p in cut), []) for k in range(4)] == [list(whole[0][k]) for k in range(4)]
+def brute_losses(texts, wanted):
+    import math
+
+    lower = lambda t: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\n", " ").split(" ") if w]
+    tokens = [[*w, ""] if w else [] for w in map(lower, texts)]
+    size = len({x for w in tokens for x in w if x})
+    for d, w in enumerate(tokens):
+        out = []
+        for side in ("target", "background"):
+            others = [x for i, x in enumerate(tokens) if i != d and (side == "background" or wanted[i])]
+            one, two = Counter(x for o in others for x in o), Counter(p for o in others for p in zip(["", *o], o))
+            total = 0
+            for a, b in zip(["", *w], w):
+                alone = (one[b] + 1) / (one.total() + size + 1)
+                p = 0.7 * two[a, b] / one[a] + 0.3 * alone if one[a] else alone
+                total += round(-math.log(p) * 1e6)
+            out.append(total / 1e6 / len(w) if w else None)
+        yield len(w[:-1]), *out
+
+
+@pytest.mark.parametrize("block", [2000, 1 << 24])
+def test_lm_losses_are_those_of_the_other_documents(spark, monkeypatch, block):
+    texts = [" ".join(f"w{(i * 911 + k * k * 31 + k) % 301}" for k in range(i % 40)) + (" The the" if i % 3 else "") for i in range(120)] + [None, "", "é x É", "only once here"]
+    texts += texts[20:30] + ["twice told tale"] * 2 + ["x\ny " * 700]
+    wanted = [i % 4 == 0 for i in range(len(texts))]
+    target = spark.createDataFrame([(i,) for i, w in enumerate(wanted) if w] + [(4,)], "id long")
+    monkeypatch.setattr(lm_score, "PIECE_BYTES", 500)
+    got = {r["doc_id"]: r for r in lm_score.scored(docs(spark, texts), target, block_bytes=block).collect()}
+    assert len(got) == len(texts)
+    for i, (n, t, b) in enumerate(brute_losses(texts, wanted)):
+        assert got[i]["n_words"] == n
+        for name, want in (("target_loss", t), ("background_loss", b)):
+            assert got[i][name] == (None if want is None else pytest.approx(want, abs=1e-6))
+    # a text that occurs twice is known to the background, one that occurs once is not
+    assert got[len(texts) - 2]["background_loss"] < got[123]["background_loss"] - 1
+
+
+def test_lm_probabilities_add_up():
+    import math
 
+    import numpy as np
 
-def test_lm_losses_are_those_of_the_words_themselves(spark):
+    known = ["a b a c", "b a", "c c d a"]
+    for wanted in (True, False):
+        for a in "abcd":
+            total = 0.0
+            for b in ["a", "b", "c", "d", ""]:
+                loss = lambda text: list(brute_losses([*known, text], [wanted] * 3 + [False]))[3][1 if wanted else 2] * (len(text.split()) + 1)
+                block = lm_score.Block([*known, f"{a} {b}"], np.array([wanted] * 3 + [False]))
+                mine = block.losses({"target": block.target, "background": block.background}, np.array([wanted] * 3 + [False]), 4)
+                assert mine["target_loss" if wanted else "background_loss"][3] / 1e6 == pytest.approx(loss(f"{a} {b}"), abs=1e-4)
+                # of start a b end, all but the pair (a, b) is in start a end or in start b end
+                ends = {"": 0.0} | {x: lm_pair(known, x, "") for x in "abcd"}
+                total += math.exp(-(loss(f"{a} {b}") - lm_pair(known, "", a) - ends[b]))
+            assert total == pytest.approx(1, abs=1e-4)
+
+
+def lm_pair(known, a, b):
+    """The loss of one pair by the definition, with four words in the corpus."""
     import math
 
-    texts = [" ".join(f"w{(i * 911 + k * k * 31 + k) % 3001}" for k in range(i % 40)) + (" The the" if i % 3 else "") for i in range(300)] + [None, "", "é x É"]
-    df = docs(spark, texts + texts[:5])
-    good = set(range(0, len(texts), 4))
-    found = lm_score.scored(df, lm_score.fitted(df.withColumn("wanted", F.col("doc_id").isin(sorted(good))), "wanted")).collect()
-    lower = lambda t: ("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).split(" ") if t else []
-    words = [[w for w in lower(t) if w] for t in texts + texts[:5]]
-    sides = {}
-    for side in ("target", "background"):
-        chosen = [w for i, w in enumerate(words) if side == "background" or i in good]
-        sides[side] = (Counter(x for w in chosen for x in w), Counter(p for w in chosen for p in zip([None, *w], w)))
-    size = len(sides["background"][0])
-    assert len(found) == len(words)
-    for r in found:
-        w = words[r["doc_id"]]
-        assert r["n_words"] == len(w)
-        for side, (one, two) in sides.items():
-            one, starts = Counter(one), sum(n for (a, _), n in two.items() if a is None)
-            losses = [-math.log(0.7 * min(1, two[a, b] / max(1, starts if a is None else one[a])) + 0.3 * (one[b] + 1) / (one.total() + size)) for a, b in zip([None, *w], w)]
-            assert r[f"{side}_loss"] == (pytest.approx(sum(losses) / len(w)) if w else None)
+    texts = [[*t.split(), ""] for t in known]
+    one, two = Counter(x for t in texts for x in t), Counter(p for t in texts for p in zip(["", *t], t))
+    alone = (one[b] + 1) / (one.total() + 5)
+    return -math.log(0.7 * two[a, b] / one[a] + 0.3 * alone if one[a] else alone)
