@@ -68,8 +68,6 @@ def plans(limit: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
 #: Comparisons that a fingerprint may take on average before segments get wider, and bits in the wide segments.
 COMPARISONS = 1000
 WIDE, WIDE_SEGMENTS = 32, 16
-#: Unrelated pairs differ in 32 of 64 bits on average, pairs near enough (48 of 256) in 12, with deviations of 4 and 2.7.
-LANE_BITS = 21
 
 
 def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -163,21 +161,23 @@ def links(nodes: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
 
 def segments_for(n: int) -> tuple[int, int]:
     """(width, number) of segments for n fingerprints: four bits more for twice the segments keep the recall."""
-    width, number = 16, 96
+    width, number = 16, 64
     while n * number / 2.0 ** (width + 1) > COMPARISONS:
         width, number = width + 4, number * 2
     return width, number
 
 
 def segment_keys(lanes: Column, n_lanes: int, width: int, number: int) -> Column:
-    """An array of one key a segment: a hash of its number and of `width` bits of all lanes, chosen by a seeded draw."""
+    """An array of one key a segment: a hash of its number and of `width` bits of all lanes, chosen by a seeded draw. Keys
+    of narrow segments are 32 bits, which shuffle in fewer bytes; other keys that meet by chance cost comparisons only."""
+    hashed = F.hash if width <= 20 else F.xxhash64
     draw = Random(width)
     rows = []
     for _ in range(number):
         chosen = sum(1 << b for b in draw.sample(range(64 * n_lanes), width))
         words = np.array([chosen >> 64 * k & (1 << 64) - 1 for k in range(n_lanes)], np.uint64).view(np.int64)
         rows.append(F.array(*[F.lit(int(w)).cast("long") for w in words]))
-    return F.transform(F.array(*rows), lambda mask, i: F.xxhash64(i, *[F.get(lanes, F.lit(k)).bitwiseAND(F.get(mask, F.lit(k))) for k in range(n_lanes)]))
+    return F.transform(F.array(*rows), lambda mask, i: hashed(i, *[F.get(lanes, F.lit(k)).bitwiseAND(F.get(mask, F.lit(k))) for k in range(n_lanes)]))
 
 
 def apart(a: str, b: str) -> Column:
@@ -199,19 +199,21 @@ def ties(nodes: DataFrame, n_lanes: int) -> DataFrame:
     return rows.select(F.col("id").alias("u"), least.alias("v")).where("u > v").distinct()
 
 
-def across(nodes: DataFrame, n_lanes: int, width: int, number: int) -> DataFrame:
-    """Candidates (u, v) of different components that share a segment, and differ in LANE_BITS at most in the first
-    lane. In each bucket the rows of all components but the largest are compared with all others, so a component is
-    never compared with itself, however much of the bucket it fills."""
+def across(nodes: DataFrame, n_lanes: int, total: int, width: int, number: int) -> DataFrame:
+    """Pairs (u > v) of components with nodes (id, lanes, comp) that share a segment and differ in `total` bits at most. In
+    each bucket the rows of all components but the largest are compared with all others, so a component is never
+    compared with itself, however much of the bucket it fills. The complete distance decides within the join."""
     sizes = nodes.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("size"))
     sized = nodes.join(sizes, F.col("comp") == F.col("_comp"))
-    rows = sized.select("id", "comp", "size", F.get("lanes", F.lit(0)).alias("fp"), F.explode(segment_keys(F.col("lanes"), n_lanes, width, number)).alias("key"))
+    fps = [F.get("lanes", F.lit(k)).alias(f"f{k}") for k in range(n_lanes)]
+    rows = sized.select("id", "comp", "size", *fps, F.explode(segment_keys(F.col("lanes"), n_lanes, width, number)).alias("key"))
     bucket = Window.partitionBy("key")
     marked = rows.withColumns({"main": F.max(F.struct("size", "comp")).over(bucket)["comp"], "low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
-    small = marked.where("comp <> main").select(F.col("key").alias("ku"), F.col("id").alias("u"), F.col("comp").alias("cu"), F.col("fp").alias("fu"))
-    every = marked.select(F.col("key").alias("kv"), F.col("id").alias("v"), F.col("comp").alias("cv"), F.col("fp").alias("fv"), (F.col("comp") == F.col("main")).alias("mv"))
-    near = (F.col("cu") != F.col("cv")) & (F.col("mv") | (F.col("u") > F.col("v"))) & (F.bit_count(F.col("fu").bitwiseXOR(F.col("fv"))) <= LANE_BITS)
-    return small.join(every, (F.col("ku") == F.col("kv")) & near).select("u", "v").distinct()
+    small = marked.where("comp <> main").select(F.col("key").alias("ku"), F.col("id").alias("u"), F.col("comp").alias("cu"), *[F.col(f"f{k}").alias(f"u{k}") for k in range(n_lanes)])
+    every = marked.select(F.col("key").alias("kv"), F.col("id").alias("v"), F.col("comp").alias("cv"), (F.col("comp") == F.col("main")).alias("mv"), *[F.col(f"f{k}").alias(f"v{k}") for k in range(n_lanes)])
+    bits = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, n_lanes)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+    near = (F.col("cu") != F.col("cv")) & (F.col("mv") | (F.col("u") > F.col("v"))) & (bits <= total)
+    return small.join(every, (F.col("ku") == F.col("kv")) & near).select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct()
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -282,11 +284,7 @@ def near_clusters(docs: DataFrame, total: int, run: int = 5, lanes: int = 4, kee
     at the recall of `segments_for`."""
     prints, nodes = printed(docs, run, lanes, keep or {"doc_id": F.col("doc_id")})
     tied = merged(nodes, verified(ties(nodes, lanes), nodes, total))
-    width, number = segments_for(tied.count())
-    comps = tied.select("id", "comp")
-    found = verified(across(tied, lanes, width, number), tied, total)
-    ends = found.join(comps.toDF("u", "cu"), "u").join(comps.toDF("v", "cv"), "v")
-    edges = ends.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).where("u <> v")
+    edges = across(tied, lanes, total, *segments_for(tied.count()))
     return labelled(prints, merged(tied, edges, "comp"))
 
 

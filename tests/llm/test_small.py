@@ -258,6 +258,36 @@ def test_forward_backward_is_exact_over_blocks():
         at += n
 
 
+def test_language_of_long_texts_is_that_of_one_pass(spark, monkeypatch):
+    import numpy as np
+
+    en, de = sample_texts()
+    model = langid.fit([en, de] * 20, ["en", "de"] * 20)
+    text = " ".join([en, de, "12 ", de, en, en] * 40)
+    monkeypatch.setattr(langid, "piece_chars", lambda k: 1 << 30)
+    whole = langid.predict(model, [text, en])
+    for size in (50, 1000, 5000):
+        monkeypatch.setattr(langid, "piece_chars", lambda k: size)
+        names, scores = langid.predict(model, [text, en])
+        assert names == whole[0] and scores == pytest.approx(whole[1], abs=1e-9)
+        assert np.array_equal(np.concatenate(list(langid.word_ends(langid.codes(text), size))), langid.codes(text))
+
+
+def test_every_letter_and_language_counts(spark, monkeypatch):
+    rare = "\U00030001\U00030002 \U00031350"
+    en, _ = sample_texts()
+    model = langid.fit([en, rare] * 5, ["en", "rare"] * 5)
+    assert langid.predict(model, [rare])[0] == ["rare"] and langid.predict(model, ["\U00031360"])[0] != ["und"]
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: (texts, labels))
+    rows = [(i, f"text {i}", f"l{i % 230:03}", "s", 0) for i in range(8000)] + [(9001 + i, "x" * 5000, "long", "s", 0) for i in range(3)]
+    texts, labels = langid.train(spark.createDataFrame(rows, DOCS), rows=20)
+    found = Counter(labels)
+    assert len(found) == 231 and max(found.values()) == 20 and min(found.values()) <= 3 and max(map(len, texts)) < langid.TRAIN_CHARS + 9
+    assert sum(v == 20 for v in found.values()) >= 200
+    long = spark.createDataFrame([("a" * 900 + "b" * 900 + "c" * 900 + "d" * 900,), ("short",)], "text string")
+    assert [r[0] for r in long.select(langid.sample_of(F.col("text"), 40)).collect()] == ["\n".join(["a" * 10, "b" * 10, "c" * 10, "d" * 10]), "short"]
+
+
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identified(df, langid.train(df)).where(langid.held_out(F.col("doc_id")))
@@ -425,8 +455,7 @@ def test_near_links_are_true_and_found_by_segments(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     rows = [(i, [signed(w) for w in x], i) for i, x in enumerate(base + near + far)]
     nodes = spark.createDataFrame(rows, "id long, lanes array<long>, comp long")
-    got = {(p["u"], p["v"]) for p in simhash.verified(simhash.across(nodes, 4, *simhash.segments_for(len(rows))), nodes, 48).collect()}
-    pairs = {tuple(sorted(p, reverse=True)) for p in got}
+    pairs = {(p["u"], p["v"]) for p in simhash.across(nodes, 4, 48, *simhash.segments_for(len(rows))).collect()}
     apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[a][1], rows[b][1]))
     assert all(apart(a, b) <= 48 for a, b in pairs)
     assert len(pairs & {(i + 150, i) for i in range(150)}) >= 0.95 * 150
@@ -448,7 +477,7 @@ def test_a_dense_group_is_tied_before_pairs_are_sought(spark):
     assert ties.count() <= simhash.WIDE_SEGMENTS * nodes.count()
     tied = simhash.merged(nodes, simhash.verified(ties, nodes, 48))
     assert tied.select("comp").distinct().count() <= 5
-    assert simhash.across(tied, 4, 16, 96).count() <= 20 * 300
+    assert simhash.across(tied, 4, 48, 16, 64).count() <= 20 * 300
     assert {r["component_id"] for r in simhash.near_clusters(docs(spark, texts), 48).collect()} == {0}
 
 
@@ -529,7 +558,7 @@ def test_lm_probabilities_add_up():
             for b in ["a", "b", "c", "d", ""]:
                 loss = lambda text: list(brute_losses([*known, text], [wanted] * 3 + [False]))[3][1 if wanted else 2] * (len(text.split()) + 1)
                 block = lm_score.Block([*known, f"{a} {b}"], np.array([wanted] * 3 + [False]))
-                mine = block.losses({"target": block.target, "background": block.background}, np.array([wanted] * 3 + [False]), 4)
+                mine = block.losses({"target": block.target, "background": block.background}, 4)
                 assert mine["target_loss" if wanted else "background_loss"][3] / 1e6 == pytest.approx(loss(f"{a} {b}"), abs=1e-4)
                 # of start a b end, all but the pair (a, b) is in start a end or in start b end
                 ends = {"": 0.0} | {x: lm_pair(known, x, "") for x in "abcd"}
