@@ -6,13 +6,16 @@ neighbouring words, and forward-backward gives each word's distribution over lan
 language is labelled word by word. A document's language is the one with the largest share of its words; the share
 is the score.
 
-Training reads a bounded sample: at most TRAIN_ROWS rows of each language by a hash of the id, TRAIN_CHARS characters
-of each. It starts from the row's language for each word, then relabels words by forward-backward (rows hold foreign
-passages), and fits weights and transitions by the gradient of the conditional likelihood.
+Training reads a bounded sample: at most TRAIN_ROWS rows of each language by a hash of the id (fewer where there are so
+many languages that TRAIN_TOTAL rows are not enough), TRAIN_CHARS characters of each, in TRAIN_PIECES pieces from all
+over the text. It starts from the row's language for each word, then relabels words by forward-backward (rows hold
+foreign passages), and fits weights and transitions by the gradient of the conditional likelihood. Every language with a
+labelled row is learned.
 
 A null text, or one without letters, is `und` with score 0. With no labelled rows all texts are `und`. Texts are read
-whole: features in bounded pieces, forward-backward in blocks whose transfer matrices are chained. Repeated rows and
-other columns stay as they are; an empty table gives an empty table.
+whole: short ones side by side, a long one in pieces that hand the forward and the backward vector on, so memory is
+bounded by the piece (smaller for many languages), whatever the text's length. Repeated rows and other columns stay as
+they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,15 +26,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, unit_hash
+from .common import small_batches, spare, unit_hash
 
-#: Bound on the training sample: rows of each language, characters of each row, and languages.
-TRAIN_ROWS = 200
-TRAIN_CHARS = 1_000
-MAX_LANGS = 200
+#: Bounds on the training sample: rows of each language, rows in all (but 10 of each language), characters of each row,
+#: and the pieces that these come from.
+TRAIN_ROWS = 300
+TRAIN_TOTAL = 6_000
+TRAIN_CHARS = 2_000
+TRAIN_PIECES = 4
 SLOTS = 1 << 17
 ORDERS = (2, 3, 4)
 PIECE_CHARS = 1 << 19
@@ -54,7 +59,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: is it a letter, and its lower case (if that is one code point)."""
     letter = np.zeros(0x110000, bool)
     lower = np.arange(0x110000, dtype=np.uint32)
-    for i in range(0x30000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             letter[i] = True
@@ -76,7 +81,7 @@ def features(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     opens = is_letter & ~before
     n = int(opens.sum())
     if not n:
-        return np.zeros((len(ORDERS) + 1, 0), np.int64), np.zeros(0, np.int64)
+        return np.zeros((len(ORDERS) + 1, 0), np.int32), np.zeros(0, np.int64)
     kept = np.flatnonzero(is_letter)
     word = np.cumsum(opens)[kept] - 1
     place = np.arange(len(kept)) + word + 1
@@ -88,7 +93,7 @@ def features(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = len(line) - 1
     padded = np.concatenate((line, np.ones(max(ORDERS), np.uint64)))
     edge = np.concatenate((border, np.ones(max(ORDERS), bool)))
-    out = np.full((len(ORDERS) + 1, size), SLOTS, np.int64)
+    out = np.full((len(ORDERS) + 1, size), SLOTS, np.int32)
     key, ok = padded[:size].copy(), np.ones(size, bool)
     for k in range(1, max(ORDERS)):
         if k > 1:
@@ -96,11 +101,11 @@ def features(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = key * np.uint64(0x100000001B3) + padded[k : k + size]
         if k + 1 in ORDERS:
             mixed = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 17)
-            out[ORDERS.index(k + 1)] = np.where(ok, mixed.astype(np.int64), SLOTS)
+            out[ORDERS.index(k + 1)] = np.where(ok, mixed.astype(np.int32), SLOTS)
     offset = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
     powers = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
     whole = np.add.reduceat(line[:size] * powers[offset % 64], starts)
-    out[-1, starts] = ((whole * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 17)).astype(np.int64)
+    out[-1, starts] = ((whole * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - 17)).astype(np.int32)
     return out, starts
 
 
@@ -118,9 +123,16 @@ def softened(rows: np.ndarray) -> np.ndarray:
     return np.exp(rows - rows.max(axis=-1, keepdims=True))
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, first: np.ndarray, pairs: bool = False):
+def opening(change: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The vector before a text, which the first transition turns into `first`."""
+    return np.linalg.lstsq(np.exp(change).T, np.exp(first), rcond=None)[0]
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, first: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
     """Each word's distribution over labels, for sequences of the given lengths laid end to end. Sequences are cut
-    into blocks; a block's transfer matrix tells what it does to any start, so all blocks run side by side."""
+    into blocks; a block's transfer matrix tells what it does to any start, so all blocks run side by side. With
+    `before` and `after` (the vectors on both sides of one sequence, a piece of a text), also the forward vector at its
+    end and the backward vector at its start."""
     k = scores.shape[1]
     lengths = lengths[lengths > 0]
     n_blocks = -(-lengths // BLOCK)
@@ -131,7 +143,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, first
     at = begin[:, None] + np.minimum(np.arange(BLOCK), size[:, None] - 1)
     inside = np.arange(BLOCK) < size[:, None]
     emit = softened(scores.astype(np.float64))[at]
-    move, start = np.exp(change), np.exp(first)
+    move = np.exp(change)
     total = len(seq)
 
     def step(vector: np.ndarray, t: int) -> np.ndarray:
@@ -145,16 +157,14 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, first
     left, right = np.empty((total, k)), np.empty((total, k))
     deepest = int(n_blocks.max()) if total else 0
     heads = np.cumsum(n_blocks) - n_blocks
-    # before a sequence stands a vector which the first transition turns into `start`
-    initial = np.linalg.lstsq(move.T, start, rcond=None)[0]
-    vector = np.repeat(initial[None], len(lengths), axis=0)
+    vector = np.repeat((opening(change, first) if before is None else before)[None], len(lengths), axis=0)
     for b in range(deepest):
         on = np.flatnonzero(n_blocks > b)
         here = heads[on] + b
         left[here] = vector[on]
         new = np.einsum("bi,bij->bj", vector[on], transfer[here])
         vector[on] = new / np.abs(new).sum(axis=1, keepdims=True)
-    vector = np.ones((len(lengths), k))
+    vector = np.repeat((np.ones(k) if after is None else after)[None], len(lengths), axis=0)
     for b in range(deepest - 1, -1, -1):
         on = np.flatnonzero(n_blocks > b)
         here = heads[on] + b
@@ -181,6 +191,8 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, change: np.ndarray, first
         behind = np.where(live, back / np.abs(back).sum(axis=1, keepdims=True), behind)
     flat = np.maximum(out[inside], 0)
     flat /= flat.sum(axis=1, keepdims=True)
+    if before is not None:
+        return flat, ahead[-1, size[-1] - 1], behind[0]
     return (flat, both) if pairs else flat
 
 
@@ -198,7 +210,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     lengths = np.array([len(found[i][1]) for i in rows])
     target = np.repeat([langs.index(labels[i]) for i in rows], lengths)
     word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, slots.shape[1])))
-    flat, owner = slots.ravel().astype(np.int32), np.tile(word.astype(np.int32), len(slots))
+    flat, owner = slots.ravel(), np.tile(word.astype(np.int32), len(slots))
     weights, squares = np.zeros((SLOTS + 1, k)), np.full((SLOTS + 1, k), 1e-3)
     stay = np.log(np.where(np.eye(k, dtype=bool), 0.95, 0.05 / max(1, k - 1)))
     change, first = stay.copy(), np.full(k, -np.log(k))
@@ -236,18 +248,40 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     return Model(langs, weights.astype(np.float32), change, first)
 
 
-def text_evidence(model: Model, text: str) -> np.ndarray:
-    """Evidence of all words of a text, in pieces that end outside of words."""
-    out, start, (letter, _) = [], 0, tables()
-    code = codes(text)
+def word_ends(code: np.ndarray, chars: int) -> Iterator[np.ndarray]:
+    """Pieces of a text of about `chars` characters that end outside of words."""
+    letter, start = tables()[0], 0
     while start < len(code):
-        end = min(len(code), start + PIECE_CHARS)
+        end = min(len(code), start + chars)
         while end < len(code) and letter[code[end]] and letter[code[end - 1]]:
             end += 1
-        slots, starts = features(code[start:end])
-        out.append(evidence(model.weights, slots, starts))
+        yield code[start:end]
         start = end
-    return np.concatenate(out) if out else np.zeros((0, len(model.langs)), np.float32)
+
+
+def piece_chars(k: int) -> int:
+    """Characters in a piece: for k languages, the transfer matrices of its blocks take 64 MB at most."""
+    return max(1 << 12, min(PIECE_CHARS, (3 << 30) // (k * k)))
+
+
+def long_text(model: Model, text: str) -> np.ndarray | None:
+    """The mean distribution of a text's words, piece by piece: forward vectors are kept at the ends of pieces, then the
+    pieces are gone through backwards."""
+    parts = list(word_ends(codes(text), piece_chars(len(model.langs))))
+    vector = opening(model.change, model.first)
+    lefts = []
+    for i in range(len(parts)):
+        lefts.append(vector)
+        found = evidence(model.weights, *features(parts[i]))
+        if len(found):
+            vector = marginals(found, np.array([len(found)]), model.change, model.first, before=vector, after=np.ones(len(vector)))[1]
+    total, n, vector = np.zeros(len(vector)), 0, np.ones(len(vector))
+    for left, part in zip(lefts[::-1], parts[::-1]):
+        found = evidence(model.weights, *features(part))
+        if len(found):
+            each, _, vector = marginals(found, np.array([len(found)]), model.change, model.first, before=left, after=vector)
+            total, n = total + each.sum(axis=0), n + len(each)
+    return total / n if n else None
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -255,13 +289,16 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if not model.langs:
         return names, scores
+    most = piece_chars(len(model.langs))
     group, chars = [], 0
 
+    def give(i: int, mean: np.ndarray) -> None:
+        names[i], scores[i] = model.langs[int(mean.argmax())], float(min(1.0, mean.max()))
+
     def flush() -> None:
         nonlocal group, chars
         if group:
-            joined = "\n".join(texts[i] for i in group)
-            found = text_evidence(model, joined)
+            found = evidence(model.weights, *features(codes("\n".join(texts[i] for i in group))))
             lengths = np.array([n_words(texts[i]) for i in group])
             if lengths.sum():
                 each = marginals(found, lengths, model.change, model.first)
@@ -269,15 +306,19 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
                 ends = np.cumsum(lengths[filled])
                 means = np.add.reduceat(each, ends - lengths[filled], axis=0) / lengths[filled][:, None]
                 for j, m in zip(filled, means):
-                    names[group[j]], scores[group[j]] = model.langs[int(m.argmax())], float(min(1.0, m.max()))
+                    give(group[j], m)
         group, chars = [], 0
 
     for i, text in enumerate(texts):
-        if text:
+        if text and len(text) > most:
+            mean = long_text(model, text)
+            if mean is not None:
+                give(i, mean)
+        elif text:
+            if chars + len(text) > most:
+                flush()
             group.append(i)
             chars += len(text)
-            if chars > PIECE_CHARS:
-                flush()
     flush()
     return names, scores
 
@@ -291,24 +332,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def sample_of(text: Column, chars: int, pieces: int = TRAIN_PIECES) -> Column:
+    """A text of up to `chars` characters; of a longer one, as many in pieces spread evenly from its start to its end."""
+    each = chars // pieces
+    gap = (F.length(text) - each) / max(1, pieces - 1)
+    cut = F.concat_ws("\n", *[text.substr((F.lit(1) + F.floor(gap * i)).cast("int"), F.lit(each)) for i in range(pieces)])
+    return F.when(F.length(text) <= chars, text).otherwise(cut)
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Fit on the labelled documents that are not held out; only the bounded sample reaches the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
+    rows = max(min(10, rows), min(rows, TRAIN_TOTAL // max(1, len(counts))))
     u = unit_hash(F.lit("langid"), F.col("doc_id"))
-    wanted = F.lit(False)
-    for row in counts:
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (u < min(1.0, 1.5 * rows / row["count"])))
-    best = known.where(wanted).select("lang", F.substring("text", 1, chars).alias("text"), u.alias("u"), F.col("doc_id").alias("id"))
-    found = best.orderBy("u", "id").limit(2 * rows * max(1, len(counts))).collect()
-    taken: dict[str, int] = {}
-    texts, labels = [], []
-    for r in found:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= rows:
-            texts.append(r["text"])
-            labels.append(r["lang"])
-    return fit(texts, labels)
+    few = [r["lang"] for r in counts if r["count"] <= 2 * rows]
+    wanted = F.col("lang").isin(few)
+    for r in counts:
+        if r["count"] > 2 * rows:
+            wanted = wanted | ((F.col("lang") == r["lang"]) & (u < 2 * rows / r["count"]))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "id"))
+    best = known.where(wanted).select("lang", sample_of(F.col("text"), chars).alias("text"), u.alias("u"), F.col("doc_id").alias("id"))
+    found = best.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect()
+    return fit([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -323,4 +369,5 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores = predict(shared.value, batch.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_lang", run(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    found = spare(docs.columns, "_found")
+    return docs.withColumn(found, run(F.col(text))).withColumns({"lang_pred": F.col(found)["lang_pred"], "score": F.col(found)["score"]}).drop(found)
