@@ -41,13 +41,14 @@ from .common import A_TO_Z, SPACES, may_meet, small_batches
 
 PAIR_WEIGHT = 0.7
 UNIT = 1e6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 PIECE_BYTES = 1 << 20
 
 LOWER = bytes.maketrans(A_TO_Z.encode(), A_TO_Z.lower().encode())
 _spaces = frozenset(SPACES.encode())
 #: The key under which the number of tokens is summed; word and pair keys are odd multiples away from meeting it.
 TOTAL = np.uint64(0)
+LOW = 0xFFFFFFFF
 
 
 def pieces(text: str | None) -> Iterator[bytes]:
@@ -70,59 +71,54 @@ class Block:
 
         ids: dict[bytes, int] = defaultdict(count().__next__)
         ids[b""]
-        self.tokens = []
-        for text in texts:
-            parts = [np.fromiter(map(ids.__getitem__, words), np.int64, len(words)) for words in map(bytes.split, pieces(text)) if words]
-            self.tokens.append(np.concatenate([*parts, [0]]) if parts else np.zeros(0, np.int64))
-        filled = [t for t in self.tokens if len(t)]
-        chosen = [t for t, w in zip(self.tokens, wanted) if w and len(t)]
-        self.pairs, pair_all = np.unique(self.codes(filled), return_counts=True)
-        pair_wanted = np.zeros(len(self.pairs), np.int64)
-        some, n = np.unique(self.codes(chosen), return_counts=True)
-        pair_wanted[np.searchsorted(self.pairs, some)] = n
-        words = [np.bincount(self.joined(x), minlength=len(ids)) for x in (filled, chosen)]
+        parts, self.sizes, self.wanted = [], np.zeros(len(texts), np.int64), wanted
+        for i, text in enumerate(texts):
+            for words in map(bytes.split, pieces(text)):
+                if words:
+                    parts.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+                    self.sizes[i] += len(words)
+            if self.sizes[i]:
+                parts.append(np.zeros(1, np.int64))
+                self.sizes[i] += 1
+        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        # a text ends with word 0, which so stands before the first word of the next one
+        before = np.concatenate(([0], self.tokens[:-1]))[: len(self.tokens)]
+        self.pairs, self.place, pair_all = np.unique(before << 32 | self.tokens, return_inverse=True, return_counts=True)
+        chosen = wanted[self.owner]
+        counts = [(np.bincount(self.tokens, minlength=len(ids)), pair_all), (np.bincount(self.tokens[chosen], minlength=len(ids)), np.bincount(self.place[chosen], minlength=len(self.pairs)))]
         hashes = np.fromiter((xxh64_intdigest(w) for w in ids), np.uint64, len(ids)) | np.uint64(1)
-        keys = np.concatenate((hashes, pair_keys(hashes[self.pairs >> 32], hashes[self.pairs & 0xFFFFFFFF]), [TOTAL]))
+        keys = np.concatenate((hashes, pair_keys(hashes[self.pairs >> 32], hashes[self.pairs & LOW]), [TOTAL]))
         self.n_words = len(ids)
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
-        each = [np.concatenate((w, p, [w.sum()])) for w, p in zip(words, (pair_all, pair_wanted))]
-        self.background, self.target = (x[self.order] for x in each)
+        self.background, self.target = (np.concatenate((w, p, [w.sum()]))[self.order] for w, p in counts)
 
-    @staticmethod
-    def joined(tokens: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-
-    @staticmethod
-    def codes(tokens: list[np.ndarray]) -> np.ndarray:
-        """word before << 32 | word, of all tokens."""
-        if not tokens:
-            return np.zeros(0, np.int64)
-        return np.concatenate([np.concatenate(([0], t[:-1])) << 32 | t for t in tokens])
-
-    def losses(self, totals: dict[str, np.ndarray], wanted: np.ndarray, vocabulary: int) -> dict[str, list]:
+    def losses(self, totals: dict[str, np.ndarray], vocabulary: int) -> dict[str, list]:
         """n_words and the sums of both losses (in units, integers) of each text, by the corpus's totals of `keys`."""
         back = np.empty_like(self.order)
         back[self.order] = np.arange(len(back))
-        sides = {name: total[back] for name, total in totals.items()}
-        out = {"n_words": [], "target_loss": [], "background_loss": []}
-        for tokens, is_target in zip(self.tokens, wanted):
-            if not len(tokens):
-                for name, value in (("n_words", 0), ("target_loss", None), ("background_loss", None)):
-                    out[name].append(value)
-                continue
-            out["n_words"].append(len(tokens) - 1)
-            pairs, n = np.unique(self.codes([tokens]), return_counts=True)
-            a, b, at = pairs >> 32, pairs & 0xFFFFFFFF, self.n_words + np.searchsorted(self.pairs, pairs)
-            words, place, own = np.unique(tokens, return_inverse=True, return_counts=True)
-            own_a, own_b = own[np.searchsorted(words, a)], own[np.searchsorted(words, b)]
-            for name, total in sides.items():
-                off = int(is_target or name == "background")
-                before, after = total[a] - off * own_a, total[b] - off * own_b
-                alone = (after + 1) / float(total[-1] - off * len(tokens) + vocabulary + 1)
-                tied = (total[at] - off * n) / np.maximum(before, 1)
-                p = np.where(before > 0, PAIR_WEIGHT * tied + (1 - PAIR_WEIGHT) * alone, alone)
-                out[f"{name}_loss"].append(int((np.rint(-np.log(p) * UNIT).astype(np.int64) * n).sum()))
+        each, n = np.unique(self.owner << 32 | self.place, return_counts=True)
+        words, own = np.unique(self.owner << 32 | self.tokens, return_counts=True)
+        text, at = each >> 32, each & LOW
+        a, b = self.pairs[at] >> 32, self.pairs[at] & LOW
+        own_a, own_b = own[np.searchsorted(words, text << 32 | a)], own[np.searchsorted(words, text << 32 | b)]
+        filled = np.flatnonzero(self.sizes)
+        starts = np.searchsorted(text, filled)
+        out = {"n_words": np.maximum(self.sizes - 1, 0).tolist()}
+        for name in ("target", "background"):
+            total = totals[name][back]
+            off = np.ones(len(text), np.int64) if name == "background" else self.wanted[text].astype(np.int64)
+            first, second = total[a] - off * own_a, total[b] - off * own_b
+            alone = (second + 1) / (total[-1] - off * self.sizes[text] + vocabulary + 1).astype(np.float64)
+            tied = (total[self.n_words + at] - off * n) / np.maximum(first, 1)
+            p = np.where(first > 0, PAIR_WEIGHT * tied + (1 - PAIR_WEIGHT) * alone, alone)
+            sums: list[int | None] = [None] * len(self.sizes)
+            if len(filled):
+                added = np.add.reduceat(np.rint(-np.log(p) * UNIT).astype(np.int64) * n, starts)
+                for i, x in zip(filled, added.tolist()):
+                    sums[i] = x
+            out[f"{name}_loss"] = sums
         return out
 
 
@@ -153,70 +149,55 @@ def dealt(docs: DataFrame, target: DataFrame, key: str, text: str) -> DataFrame:
     return sure.withColumn("_is", F.lit(False)).union(joined.select("_id", "_text", "_row", F.col("_wanted").isNotNull().alias("_is")))
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """(distinct words, bytes) of all texts."""
-    from xxhash import xxh64_intdigest
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, n = set(), 0
-            for t in batch.column(0).to_pylist():
-                for piece in pieces(t):
-                    n += len(piece)
-                    words.update(piece.split())
-            hashes = pa.array([*(xxh64_intdigest(w) for w in words), 0], pa.uint64()).view(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hashes)) == len(hashes) - 1), hashes, pa.array([*[0] * len(words), n], pa.int64())], ["size", "word", "n"])
-
-    found = docs.select(text).mapInArrow(run, "size boolean, word long, n long").groupBy("size", "word").agg(F.sum("n").alias("n"))
-    row = found.agg(F.count_if(~F.col("size")), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return row[0], row[1]
-
-
 def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_words, target_loss, background_loss and score of every document; `target`: a table of one column, the ids
     of the target documents."""
     small_batches(docs.sparkSession)
-    n_vocabulary, n_bytes = vocabulary(docs, text)
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     n = max(1, -(-n_bytes // block_bytes))
     rows = dealt(docs, target, key, text).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(n).cast("long")))
 
-    def block_of(table: pa.Table) -> tuple[Block, np.ndarray]:
-        wanted = np.array(table.column("_is").to_pylist(), bool)
-        return Block(table.column("_text").to_pylist(), wanted), wanted
+    def block_of(table: pa.Table) -> tuple[pa.Table, Block]:
+        table = table.sort_by("_row")
+        return table, Block(table.column("_text").to_pylist(), np.array(table.column("_is").to_pylist(), bool))
 
     def counted(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_row")
-        block, _ = block_of(table)
+        _, block = block_of(table)
         bucket = (block.keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        parts = [np.split(x, cuts) for x in (block.keys, block.target, block.background)]
+        parts = [[planes(x) for x in np.split(values, cuts)] for values in (block.target, block.background)]
+        # keys of a bucket are near each other, so their steps have fewer bytes
+        parts.insert(0, [planes(np.diff(x, prepend=np.uint64(0))) for x in np.split(block.keys, cuts)])
         names = bucket[np.concatenate(([0], cuts))].astype(np.int64)
-        arrays = [pa.array([table.column("_block")[0].as_py()] * len(names), pa.int64()), pa.array(names), *[pa.array([f(x) for x in part], pa.binary()) for f, part in zip((lambda x: x.tobytes(), planes, planes), parts)]]
+        arrays = [pa.array([table.column("_block")[0].as_py()] * len(names), pa.int64()), pa.array(names), *[pa.array(x, pa.binary()) for x in parts]]
         return pa.Table.from_arrays(arrays, ["block", "bucket", "keys", "target", "background"])
 
     def summed(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        keys = [np.cumsum(unplaned(x).view(np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
         cuts = np.cumsum([len(x) for x in keys])[:-1]
-        arrays = [table.column("block"), table.column("bucket")]
+        parts = []
         for side in ("target", "background"):
-            own = np.concatenate([unplaned(x) for x in table.column(side).to_pylist()])
-            total = np.zeros(place.max() + 1, np.int64)
-            np.add.at(total, place, own)
-            arrays.append(pa.array([planes(x) for x in np.split(total[place], cuts)], pa.binary()))
-        return pa.Table.from_arrays(arrays, ["block", "bucket", "target", "background"])
+            total = np.zeros(len(found), np.int64)
+            np.add.at(total, place, np.concatenate([unplaned(x) for x in table.column(side).to_pylist()]))
+            parts.append([planes(x) for x in np.split(total[place], cuts)])
+        n_words = int((found & np.uint64(1)).sum())
+        columns = [table.column("block").to_pylist() + [None], table.column("bucket").to_pylist() + [None], *[x + [None] for x in parts], [None] * len(keys) + [n_words]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "bucket", "target", "background", "n_words"])
 
     def judged(table: pa.Table, sums: pa.Table) -> pa.Table:
-        table, sums = table.sort_by("_row"), sums.sort_by("bucket")
-        block, wanted = block_of(table)
+        (table, block), sums = block_of(table), sums.sort_by("bucket")
         totals = {side: np.concatenate([unplaned(x) for x in sums.column(side).to_pylist()]) for side in ("target", "background")}
-        found = block.losses(totals, wanted, n_vocabulary)
+        found = block.losses(totals, sums.column("vocabulary")[0].as_py())
         return pa.Table.from_arrays([table.column("_id"), *[pa.array(x, pa.int64()) for x in found.values()]], ["_id", *found])
 
     local = rows.groupBy("_block").applyInArrow(counted, "block long, bucket long, keys binary, target binary, background binary")
-    sums = local.groupBy("bucket").applyInArrow(summed, "block long, bucket long, target binary, background binary")
+    sums = local.groupBy("bucket").applyInArrow(summed, "block long, bucket long, target binary, background binary, n_words long")
+    # the word 0 is no word of the vocabulary
+    size = sums.agg((F.coalesce(F.sum("n_words"), F.lit(0)) - 1).alias("n")).scalar()
+    told = sums.where(F.col("block").isNotNull()).withColumn("vocabulary", size)
     kind = rows.schema["_id"].dataType.simpleString()
-    losses = rows.groupBy("_block").cogroup(sums.groupBy("block")).applyInArrow(judged, f"_id {kind}, n_words long, target_loss long, background_loss long")
+    losses = rows.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(judged, f"_id {kind}, n_words long, target_loss long, background_loss long")
     means = [(F.col(c) / (F.lit(UNIT) * (F.col("n_words") + 1))).alias(c) for c in ("target_loss", "background_loss")]
     return losses.select(F.col("_id").alias(key), "n_words", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
