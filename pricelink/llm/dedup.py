@@ -23,13 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, without_spaces, written
+from .common import left_out, may_meet, text_or_empty, without_spaces, written
 
 PRIMES = (2147483647, 2147483629)
 BASE = 1000003
 #: Bytes in a chunk, and from how many on a text's chunks go to different tasks.
 CHUNK = 1 << 16
 HUGE = 1 << 22
+#: Rows of a group that are compared in one task; the first text is sent to as many tasks as the group needs.
+COMPARED = 256
 
 
 def power(base: int, n: int, prime: int) -> int:
@@ -124,31 +126,35 @@ def fingerprinted(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 
 
 def differing(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, sha) of rows whose text differs from the first text of their group. `groups`: one row for each distinct
-    (doc_id, text) of groups of two or more texts' rows, with PRINT, KEY and `leads` (true for the first one)."""
-    rows = keyed(docs)
-    wanted = groups.select(*[F.col(c).alias(f"_{c}") for c in KEY], "h1", "h2", "leads")
+    """(doc_id, sha) of rows whose text differs from the first text of their group. `groups` (a written table): one row for
+    each distinct (doc_id, text) of groups of two or more of these, with PRINT, KEY, `leads` (true for the first one) and
+    `salts`. Only texts whose id may be one of a group's are moved."""
+    rows = keyed(may_meet(docs, F.col("doc_id"), groups, F.col("doc_id"))[1])
+    wanted = groups.select(*[F.col(c).alias(f"_{c}") for c in KEY], "h1", "h2", "leads", "salts")
     same = F.lit(True)
     for c in KEY:
         same = same & rows[c].eqNullSafe(F.col(f"_{c}"))
-    cut = rows.join(wanted, same).select("doc_id", "sha", "n_bytes", "h1", "h2", "leads", F.inline(chunks(F.col("data"), F.col("n_bytes"))))
-    first = cut.where("leads").select(*[F.col(c).alias(f"_{c}") for c in [*PRINT, "number", "chunk"]]).dropDuplicates([f"_{c}" for c in [*PRINT, "number"]])
+    cut = rows.join(wanted, same).select("doc_id", "sha", "n_bytes", "h1", "h2", "leads", "salts", F.inline(chunks(F.col("data"), F.col("n_bytes"))))
+    place = [*PRINT, "number", "salt"]
+    first = cut.where("leads").dropDuplicates([*PRINT, "number"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    first = first.select(*[F.col(c).alias(f"_{c}") for c in [*place, "chunk"]])
+    others = cut.where(~F.col("leads")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "sha"), F.col("salts")))
     on = F.lit(True)
-    for c in [*PRINT, "number"]:
+    for c in place:
         on = on & (F.col(c) == F.col(f"_{c}"))
-    return cut.where(~F.col("leads")).join(first, on & (F.col("chunk") != F.col("_chunk"))).select("doc_id", "sha").distinct()
+    return others.join(first, on & (F.col("chunk") != F.col("_chunk"))).select("doc_id", "sha").distinct()
 
 
 def classes(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """One row for each distinct (doc_id, text): KEY, copies, keep_id, group_size, and `wins` (of its class)."""
     prints = written(fingerprinted(docs, huge), "fingerprints")
     leads = prints.groupBy(*PRINT).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n_chars", "sha")).alias("lead"), F.sum("copies").alias("n"), F.count(F.lit(1)).alias("n_keys"))
-    many = leads.where("n_keys > 1").select(*[F.col(c).alias(f"_{c}") for c in PRINT], "lead")
+    many = leads.where("n_keys > 1").select(*[F.col(c).alias(f"_{c}") for c in PRINT], "lead", "n_keys")
     on = F.lit(True)
     for c in PRINT:
         on = on & (F.col(c) == F.col(f"_{c}"))
     is_lead = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("n_chars") == F.col("lead.n_chars")) & (F.col("sha") == F.col("lead.sha"))
-    groups = prints.join(many, on).withColumn("leads", is_lead)
+    groups = written(prints.join(many, on).select(*KEY, "h1", "h2", is_lead.alias("leads"), F.ceil(F.col("n_keys") / COMPARED).cast("long").alias("salts")), "groups")
     odd = written(differing(docs, groups), "differing").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.lit(True).alias("odd"))
     tagged = prints.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
     tagged = tagged.select(*KEY, "h1", "h2", "copies", F.when(F.col("odd"), F.col("sha")).otherwise("").alias("other"))
@@ -166,12 +172,9 @@ def exact_groups(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """The rows that stay, with the columns of `docs`. The winner's text is found by doc_id, length and SHA-256 of the
-    text; repeats of one winner are then dropped."""
-    winners = classes(docs, huge).where("wins").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "n_chars", "sha", "copies")])
-    sized = docs.withColumn("_len", F.length(text_or_empty(F.col("text"))).cast("long")).withColumn("_plain", F.sha2(without_spaces(F.col("text")).cast("binary"), 256))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_len") == F.col("_n_chars")) & (F.col("_plain") == F.col("_sha"))
-    stay = sized.join(winners, on)
-    once = stay.where("_copies = 1").select(*docs.columns)
-    more = stay.where("_copies > 1").dropDuplicates(["_doc_id", "_n_chars", "_sha"]).select(*docs.columns)
-    return once.union(more)
+    """The rows that stay, with the columns of `docs`. Rows that go are known by doc_id, length and SHA-256 of the text;
+    of a winner that is repeated one row stays. Only rows whose id may be that of such a row are shuffled."""
+    each = classes(docs, huge).where("not wins or copies > 1")
+    touched = written(each.select(F.col("doc_id").alias("id"), F.concat_ws(":", "n_chars", "sha").alias("key"), F.col("wins").alias("stays")), "touched")
+    plain = F.sha2(without_spaces(F.col("text")).cast("binary"), 256)
+    return left_out(docs, F.concat_ws(":", F.length(text_or_empty(F.col("text"))), plain), touched)
