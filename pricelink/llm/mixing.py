@@ -123,15 +123,19 @@ def mix(docs: DataFrame, knots: DataFrame | None = None) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, knots: DataFrame | None = None) -> DataFrame:
     """The documents themselves in training order, one row for each pass; documents stay whole, so a partial pass
-    counts if it takes over half of the document. Columns are those of `docs`."""
-    rows = sizes(docs)
-    planned = plan(rows, knots).select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "size", "copies", "source_size", "target", "pieces", "area", "before")])
-    sized = docs.withColumn("_n", n_words(F.col("text")))
-    on = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_n") == F.col("_size"))
-    copy = F.row_number().over(Window.partitionBy("_source", "_doc_id", "_size").orderBy(F.col("_n"))) - 1
-    one = sized.join(planned, on).withColumn("_copy", copy.cast("long")).withColumn("_before", F.col("_before") + F.col("_copy") * F.col("_size")).withColumn("_copies", F.lit(1).cast("long"))
-    keep = docs.columns
-    inner = one.select(*[F.col(c).alias(f"doc__{c}") for c in keep], *[F.col(f"_{c}").alias(c) for c in ("size", "copies", "source_size", "target", "pieces", "area", "before")])
-    taken = passes(inner).withColumn("whole", F.col("full") + F.when(F.col("part") * 2 > F.col("size"), 1).otherwise(0))
-    each = taken.withColumn("_t", F.explode(F.slice("positions", F.lit(1), F.col("whole").cast("int"))))
-    return each.repartitionByRange(F.col("_t"), F.col("doc__doc_id")).sortWithinPartitions("_t", "doc__doc_id").select(*[F.col(f"doc__{c}").alias(c) for c in keep])
+    counts if it takes over half of the document. Columns are those of `docs`. Times are found without the texts, which
+    are shuffled twice: to their times, and into the order."""
+    planned = plan(sizes(docs), knots)
+
+    def keys(source: Column, doc_id: Column, size: Column) -> list[Column]:
+        return [F.coalesce(source, F.lit("")).alias("k0"), source.isNull().alias("k1"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("k2"), doc_id.isNull().alias("k3"), size.alias("k4")]
+
+    names = [f"k{i}" for i in range(5)]
+    held = docs.select(F.struct("*").alias("doc"), *keys(F.col("source"), F.col("doc_id"), n_words(F.col("text"))))
+    needed = ("size", "copies", "source_size", "target", "pieces", "area", "before")
+    joined = held.join(planned.select(*keys(F.col("source"), F.col("doc_id"), F.col("size")), *needed), names)
+    copy = (F.row_number().over(Window.partitionBy(*names).orderBy("k4")) - 1).cast("long")
+    numbered = joined.withColumn("before", F.col("before") + copy * F.col("size")).withColumn("copies", F.lit(1).cast("long"))
+    taken = passes(numbered).withColumn("whole", F.col("full") + F.when(F.col("part") * 2 > F.col("size"), 1).otherwise(0))
+    each = taken.select("doc", "k2", F.explode(F.slice("positions", F.lit(1), F.col("whole").cast("int"))).alias("t"))
+    return each.repartitionByRange("t", "k2").sortWithinPartitions("t", "k2").select("doc.*")
