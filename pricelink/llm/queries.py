@@ -115,7 +115,7 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AN
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-  nullif(regexp_extract(host, '(?:^|\.)((?:cheap-pills|free-bets|spam-farm|adult-x|casino-win|ads-track)\.example\.(?:com|net|org))$', 1), '') AS listed FROM p)
+  nullif(regexp_extract(rtrim(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.'), '(?:^|\.)((?:cheap-pills|free-bets|spam-farm|adult-x|casino-win|ads-track)\.example\.(?:com|net|org))$', 1), '') AS listed FROM p)
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
   ELSE CASE WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END END AS verdict, listed FROM r
 """,

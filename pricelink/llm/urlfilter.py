@@ -3,11 +3,15 @@
 A list entry is a host and a path with a verdict; it fits its host and all subdomains of it, if the URL's path
 starts with the entry's. Of the entries of a class that fit, the longest (host, then path) decides.
 
-The candidates of a URL are its host and parent domains, each with its path cut to every length that occurs in
-the list (and ends within the path). The Bloom filter holds the list's keys: each key sets BITS bits within one
-block of 64. It has a bounded number of blocks (a documented parameter, MAX_BLOCKS), reaches the tasks as one
-array, and drops most candidates before anything is shuffled; the join that follows compares the keys themselves,
-so false positives cost time, never results. Rows without any possible hit are never shuffled.
+Entries of class 0 are rules and are held against the host as it is written; those of other classes are listed hosts in
+canonical form (lower case, without user, port and trailing dots), and are held against the URL's canonical host.
+
+The candidates of a URL are its host and parent domains that are no longer than the longest listed host, each with its
+path cut to every length that occurs in the list (and ends within the path). The Bloom filter holds the list's keys:
+each key sets BLOOM_BITS bits within one block of 64. It has a bounded number of blocks (a documented parameter,
+MAX_BLOCKS), reaches the tasks as one array, and drops most candidates before anything is shuffled; the join that
+follows compares the keys themselves, so false positives cost time, never results. Rows without any possible hit are
+never shuffled. A long URL takes time by its length: only the end of its host is cut into domains.
 
 Null and unparsable URLs have empty host and path and fit no entry. Equal rows are counted together and given back
 one by one. An empty table or list gives an empty result or no hits.
@@ -18,12 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
-
-BITS = 6
-KEYS_PER_BLOCK = 4
-#: 64 bits each: at most 2 MB of filter. Beyond 4 * MAX_BLOCKS entries more candidates reach the join.
-MAX_BLOCKS = 1 << 18
+from .common import MAX_BLOCKS, bloom_filter, lower_ascii, may_hold
 
 
 def host_of(url: Column) -> Column:
@@ -34,38 +33,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def key(host: Column, path: Column) -> Column:
-    return F.concat(host, path)
-
-
-def block_and_mask(k: Column, blocks: Column) -> tuple[Column, Column]:
-    h, g = F.xxhash64(k), F.xxhash64(k, F.lit(1))
-    bits = F.lit(0).cast("long")
-    for i in range(BITS):
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    return F.pmod(h, blocks), bits
+def canonical(host: Column) -> Column:
+    """A host without user, port and trailing dots."""
+    return F.rtrim(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), F.lit("."))
 
 
-def dense_bits(entries: DataFrame, n_blocks: int) -> DataFrame:
-    """One row: `bits`, an array of n_blocks longs."""
-    block, bits = block_and_mask(key(F.col("host"), F.col("path")), F.lit(n_blocks).cast("long"))
-    spark = entries.sparkSession
-    empty = spark.range(n_blocks).select(F.col("id").alias("block"), F.lit(0).cast("long").alias("bits"))
-    every = entries.select(block.alias("block"), bits.alias("bits")).union(empty).groupBy("block").agg(F.bit_or("bits").alias("bits"))
-    ordered = every.agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("all"))
-    return ordered.select(F.transform("all", lambda x: x["bits"]).alias("bits"))
+def key(host: Column, path: Column) -> Column:
+    return F.concat(host, path)
 
 
-def candidates(host: Column, path: Column, lengths: Column) -> Column:
-    """(host suffix, path prefix) for all parent domains and all listed path lengths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: Column, path: Column, lengths: Column, longest: Column, rules: Column) -> Column:
+    """(host suffix, path prefix, rules) for the host and all parent domains of at most `longest` characters, and all
+    listed path lengths."""
+    tail = F.right(host, longest + 1)
+    labels = F.split(tail, r"\.")
+    whole = F.length(host) <= longest
+    starts = F.filter(F.sequence(F.lit(1), F.size(labels)), lambda i: (i > 1) | whole)
+    suffixes = F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cuts = F.filter(lengths, lambda n: n <= F.length(path))
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda n: F.struct(s.alias("host"), F.substring(path, F.lit(1), n).alias("path")))))
+    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda n: F.struct(s.alias("host"), F.substring(path, F.lit(1), n).alias("path"), rules.alias("rules")))))
     return F.when(host == "", F.array().cast(pairs_type)).otherwise(pairs)
 
 
-pairs_type = "array<struct<host:string,path:string>>"
+pairs_type = "array<struct<host:string,path:string,rules:boolean>>"
 
 
 def matches(urls: DataFrame, entries: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -73,22 +63,19 @@ def matches(urls: DataFrame, entries: DataFrame, url: str = "url", keep: tuple[s
     (class, size, entry, verdict). `entries`: host, path, verdict, class; the list may be of any size."""
     entries = entries.select("host", "path", "verdict", "class").distinct()
     n = entries.count()
-    n_blocks = max(1, min(max_blocks, -(-n // KEYS_PER_BLOCK)))
     lengths = F.sort_array(F.coalesce(entries.agg(F.collect_set(F.length("path"))).scalar(), F.array().cast("array<int>")))
-    filter_bits = dense_bits(entries, n_blocks).scalar()
-
-    def possible(x: Column) -> Column:
-        block, bits = block_and_mask(key(x["host"], x["path"]), F.lit(n_blocks).cast("long"))
-        return F.get(F.col("_bloom"), block.cast("int")).bitwiseAND(bits) == bits
-
+    longest = F.coalesce(entries.agg(F.max(F.length("host"))).scalar(), F.lit(0))
+    filter_bits, n_blocks = bloom_filter(entries.select(F.xxhash64(key(F.col("host"), F.col("path"))).alias("h")), n, max_blocks)
+    possible = lambda x: may_hold(F.col("_bloom"), n_blocks, F.xxhash64(key(x["host"], x["path"])))
     parts = urls.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    probed = parts.withColumn("_lengths", lengths).withColumn("_bloom", filter_bits)
-    probed = probed.withColumn("_maybe", F.filter(candidates(F.col("host"), F.col("path"), F.col("_lengths")), possible)).drop("_bloom", "_lengths")
+    probed = parts.withColumn("_lengths", lengths).withColumn("_longest", longest).withColumn("_bloom", filter_bits)
+    written_as, plain = (candidates(h, F.col("path"), F.col("_lengths"), F.col("_longest"), F.lit(r)) for h, r in ((F.col("host"), True), (canonical(F.col("host")), False)))
+    probed = probed.withColumn("_maybe", F.filter(F.concat(written_as, plain), possible)).drop("_bloom", "_lengths", "_longest")
     none = probed.where(F.size("_maybe") == 0).select(*keep, "host", "path", F.array().cast(hits_type).alias("hits"))
     counted = probed.where(F.size("_maybe") > 0).groupBy(*keep, "host", "path", "_maybe").agg(F.count(F.lit(1)).alias("_copies"))
     each = counted.withColumn("_x", F.explode("_maybe")).withColumn("_key", key(F.col("_x.host"), F.col("_x.path")))
     listed = entries.select(key(F.col("host"), F.col("path")).alias("_lkey"), F.col("host").alias("_lhost"), F.col("path").alias("_lpath"), F.col("verdict").alias("_verdict"), F.col("class").alias("_class"))
-    joined = each.join(listed, (F.col("_key") == F.col("_lkey")) & (F.col("_x.host") == F.col("_lhost")), "left")
+    joined = each.join(listed, (F.col("_key") == F.col("_lkey")) & (F.col("_x.host") == F.col("_lhost")) & (F.col("_x.rules") == (F.col("_class") == 0)), "left")
     hit = F.struct(F.col("_class").alias("class"), F.length("_lhost").alias("host_size"), F.length("_lpath").alias("path_size"), F.col("_lkey").alias("entry"), F.col("_verdict").alias("verdict"))
     best = joined.groupBy(*keep, "host", "path", "_copies").agg(F.sort_array(F.collect_list(F.when(F.col("_lkey").isNotNull(), hit)), asc=False).alias("hits"))
     again = best.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*keep, "host", "path", F.col("hits").cast(hits_type))

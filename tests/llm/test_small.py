@@ -45,8 +45,9 @@ def test_mixing_is_repeatable_and_takes_repeated_and_no_rows(spark):
     a, b = ([tuple(r) for r in mixing.mix(df.repartition(n)).drop("positions").collect()] for n in (1, 3))
     assert sorted(a) == sorted(b) and sum(r[4] for r in a) == 19
     assert mixing.mix(docs(spark, [])).count() == 0
-    out = mixing.mixed_documents(df.withColumn("size", F.lit("x")))
-    assert out.columns == [*df.columns, "size"] and out.count() == 7
+    clash = df.withColumn("size", F.lit("x")).withColumn("_size", F.lit("y")).withColumn("_n", F.lit("z")).withColumn("k2", F.create_map(F.lit(1), F.lit(2)))
+    out = mixing.mixed_documents(clash)
+    assert out.columns == clash.columns and out.count() == 7 and {(r["size"], r["_size"], r["_n"]) for r in out.collect()} == {("x", "y", "z")}
 
 
 def test_schedules_are_inverted(spark):
@@ -191,8 +192,11 @@ def test_exact_dedup(spark, monkeypatch, huge):
         assert r["text_sha256"] == hashlib.sha256(plain(text).encode()).hexdigest()
         kept[r["text_sha256"]] += r["kept"]
     assert set(kept.values()) == {1}
-    out = dedup.without_copies(df.withColumn("sha", F.lit(1)), huge)
-    assert out.columns[-1] == "sha" and out.count() == len(want)
+    clash = df.withColumn("sha", F.lit(1)).withColumn("_sha", F.lit(1)).withColumn("key", F.lit(None)).withColumn("stays", F.create_map(F.lit(1), F.lit(2)))
+    out = dedup.without_copies(clash, huge)
+    assert out.columns == clash.columns
+    assert sorted(plain(r["text"]) for r in out.collect()) == sorted(want)
+    assert {plain(r["text"]): r["doc_id"] for r in out.collect()} == {k: v[0] for k, v in want.items()}
     assert dedup.exact_groups(docs(spark, [])).count() == 0
 
 
@@ -206,6 +210,7 @@ def test_fingerprints_compose():
 
 
 def test_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "COMPARED", 2)
     monkeypatch.setattr(dedup, "fingerprinted", lambda d, huge: dedup.keyed(d).groupBy(*dedup.KEY).agg(F.count(F.lit(1)).alias("copies")).withColumns({"h1": F.lit(1).cast("long"), "h2": F.lit(2).cast("long")}))
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in dedup.exact_groups(docs(spark, ["aa", "bb", "b b", "a a ", "cc"])).collect()}
     assert got == {0: (3, 2), 3: (3, 2), 1: (2, 2), 2: (2, 2), 4: (4, 1)}
@@ -307,6 +312,12 @@ def test_url_filter(spark):
         "http://notexample.com/de/1": ("notexample.com", "/de/1", None, "allow"),
         "http://w.casino-win.example.org/fr/1": ("w.casino-win.example.org", "/fr/1", "org/fr/", "allow"),
         "http://w.casino-win.example.org/en/1": ("w.casino-win.example.org", "/en/1", None, "block"),
+        "http://me@W.Casino-Win.example.org:80/x": ("me@w.casino-win.example.org:80", "/x", None, "block"),
+        "http://casino-win.example.org./x": ("casino-win.example.org.", "/x", None, "block"),
+        "http://xcasino-win.example.org/": ("xcasino-win.example.org", "/", None, "allow"),
+        "http://x.net:80/": ("x.net:80", "/", None, "allow"),
+        f"http://{'a.' * 20000}casino-win.example.org/{'p' * 20000}": ("a." * 20000 + "casino-win.example.org", "/" + "p" * 20000, None, "block"),
+        f"http://{'b' * 20000}.net/": ("b" * 20000 + ".net", "/", "net/", "block"),
         "nothing": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
         "://?": ("", "", None, "allow"),
