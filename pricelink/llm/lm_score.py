@@ -29,7 +29,7 @@ table gives an empty table.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -41,7 +41,7 @@ from .common import A_TO_Z, SPACES, may_meet, small_batches
 
 PAIR_WEIGHT = 0.7
 UNIT = 1e6
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 
 LOWER = bytes.maketrans(A_TO_Z.encode(), A_TO_Z.lower().encode())
@@ -66,12 +66,12 @@ class Block:
     """The tokens of some texts, and the counts of their words and pairs by key, for all texts and for the wanted
     ones. Word 0 is the start and the end of a text."""
 
-    def __init__(self, texts: list[str | None], wanted: np.ndarray):
+    def __init__(self, texts: Iterable[str | None], wanted: np.ndarray):
         from xxhash import xxh64_intdigest
 
         ids: dict[bytes, int] = defaultdict(count().__next__)
         ids[b""]
-        parts, self.sizes, self.wanted = [], np.zeros(len(texts), np.int64), wanted
+        parts, self.sizes, self.wanted = [], np.zeros(len(wanted), np.int64), wanted
         for i, text in enumerate(texts):
             for words in map(bytes.split, pieces(text)):
                 if words:
@@ -81,7 +81,7 @@ class Block:
                 parts.append(np.zeros(1, np.int64))
                 self.sizes[i] += 1
         self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        self.owner = np.repeat(np.arange(len(wanted)), self.sizes)
         # a text ends with word 0, which so stands before the first word of the next one
         before = np.concatenate(([0], self.tokens[:-1]))[: len(self.tokens)]
         self.pairs, self.place, pair_all = np.unique(before << 32 | self.tokens, return_inverse=True, return_counts=True)
@@ -157,12 +157,11 @@ def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     n = max(1, -(-n_bytes // block_bytes))
     rows = dealt(docs, target, key, text).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(n).cast("long")))
 
-    def block_of(table: pa.Table) -> tuple[pa.Table, Block]:
-        table = table.sort_by("_row")
-        return table, Block(table.column("_text").to_pylist(), np.array(table.column("_is").to_pylist(), bool))
+    def block_of(table: pa.Table) -> Block:
+        return Block((x.as_py() for x in table.column("_text")), table.column("_is").to_numpy())
 
     def counted(table: pa.Table) -> pa.Table:
-        _, block = block_of(table)
+        block = block_of(table)
         bucket = (block.keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         parts = [[planes(x) for x in np.split(values, cuts)] for values in (block.target, block.background)]
@@ -173,21 +172,22 @@ def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
         return pa.Table.from_arrays(arrays, ["block", "bucket", "keys", "target", "background"])
 
     def summed(table: pa.Table) -> pa.Table:
+        """What the other blocks have of each block's keys: zeros for most, which shuffle in few bytes."""
         keys = [np.cumsum(unplaned(x).view(np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         cuts = np.cumsum([len(x) for x in keys])[:-1]
         parts = []
         for side in ("target", "background"):
-            total = np.zeros(len(found), np.int64)
-            np.add.at(total, place, np.concatenate([unplaned(x) for x in table.column(side).to_pylist()]))
-            parts.append([planes(x) for x in np.split(total[place], cuts)])
+            total, own = np.zeros(len(found), np.int64), np.concatenate([unplaned(x) for x in table.column(side).to_pylist()])
+            np.add.at(total, place, own)
+            parts.append([planes(x) for x in np.split(total[place] - own, cuts)])
         n_words = int((found & np.uint64(1)).sum())
         columns = [table.column("block").to_pylist() + [None], table.column("bucket").to_pylist() + [None], *[x + [None] for x in parts], [None] * len(keys) + [n_words]]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "bucket", "target", "background", "n_words"])
 
     def judged(table: pa.Table, sums: pa.Table) -> pa.Table:
-        (table, block), sums = block_of(table), sums.sort_by("bucket")
-        totals = {side: np.concatenate([unplaned(x) for x in sums.column(side).to_pylist()]) for side in ("target", "background")}
+        block, sums = block_of(table), sums.sort_by("bucket")
+        totals = {side: own + np.concatenate([unplaned(x) for x in sums.column(side).to_pylist()]) for side, own in (("target", block.target), ("background", block.background))}
         found = block.losses(totals, sums.column("vocabulary")[0].as_py())
         return pa.Table.from_arrays([table.column("_id"), *[pa.array(x, pa.int64()) for x in found.values()]], ["_id", *found])
 
