@@ -48,10 +48,14 @@ def matcher(b: str) -> Callable[[str], float]:
 
 
 RATIOS = {"difflib": sequence_ratio, "lcs": lcs_ratio}
+#: The ratio that needs no helper: one for equal texts, else none.
+EQUAL = "equal"
 
 
 def text_ratio(a: Column, b: Column, kind: str = "difflib") -> Column:
     """Ratio of two texts; equal texts and nulls never reach the loop."""
+    if kind == EQUAL:
+        return F.when(a.isNotNull() & b.isNotNull(), (a == b).cast("double"))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -111,13 +115,25 @@ def parts(scorer: str) -> tuple[Column, Column, float, Column]:
     return possible, score, 0.30, F.when((strong == 0) & (tokens < 2), 0.78).otherwise(0.0)
 
 
-def score_pairs(pairs: DataFrame, scorer: str = "v2", ratio: str = "difflib", at_least: float | None = None) -> DataFrame:
-    """Adds `score` (0 to 1). Pairs that cannot reach `at_least` are left out where it is given."""
-    columns, weight = pairs.columns, parts(scorer)[2]
-    open_pairs = with_parts(pairs, scorer)
+def open_pairs(pairs: DataFrame, scorer: str = "v2", at_least: float | None = None) -> DataFrame:
+    """Pairs with the parts of their score, and `_low` and `_high`, what the score is between whatever the ratio. Pairs that
+    cannot reach `at_least` are left out where it is given."""
+    weight = parts(scorer)[2]
+    found = with_parts(pairs, scorer)
     if at_least is not None:
-        open_pairs = open_pairs.where(F.col("_possible") & (F.col("_most") >= F.col("_least")) & (F.col("_without") + weight * F.col("_most") >= at_least - 1e-9))
+        found = found.where(F.col("_possible") & (F.col("_most") >= F.col("_least")) & (F.col("_without") + weight * F.col("_most") >= at_least - 1e-9))
+    low = F.when(F.col("_possible") & (F.col("_least") <= 0), F.col("_without")).otherwise(0.0)
+    return found.withColumns({"_low": F.greatest(F.lit(0.0), F.least(F.lit(1.0), low)), "_high": F.when(F.col("_possible"), F.col("_without") + weight * F.col("_most")).otherwise(0.0)})
+
+
+def with_score(pairs: DataFrame, scorer: str = "v2", ratio: str = "difflib") -> DataFrame:
+    """Adds `score` (0 to 1) to open pairs."""
     text = [F.when(F.col("_possible"), F.col(f"{p}_canonical_text")) for p in "ab"]
-    found = open_pairs.withColumn("_ratio", text_ratio(*text, ratio))
-    score = F.when(~F.col("_possible") | (F.col("_ratio") < F.col("_least")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_without") + weight * F.col("_ratio"))))
-    return found.withColumn("score", F.coalesce(score, F.lit(0.0))).select(*columns, "score")
+    found = pairs.withColumn("_ratio", text_ratio(*text, ratio))
+    score = F.when(~F.col("_possible") | (F.col("_ratio") < F.col("_least")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_without") + parts(scorer)[2] * F.col("_ratio"))))
+    return found.withColumn("score", F.coalesce(score, F.lit(0.0)))
+
+
+def score_pairs(pairs: DataFrame, scorer: str = "v2", ratio: str = "difflib", at_least: float | None = None) -> DataFrame:
+    """Adds `score` (0 to 1). Pairs that cannot reach `at_least` are left out where it is given."""
+    return with_score(open_pairs(pairs, scorer, at_least), scorer, ratio).select(*pairs.columns, "score")

@@ -11,13 +11,14 @@ and members (cluster_id, store, product_key, product_name, price, score, source)
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURES, with_features
-from ..functions.similarity import char_counts, score_pairs
+from ..functions.similarity import char_counts, open_pairs, with_score
 from ..functions.text import clean_text, normalize_key, valid_price
 from ..sources.tables import staged
 from . import report
@@ -27,8 +28,9 @@ THRESHOLD, MARGIN = 0.50, 0.06
 #: The best score without any shared token, by scorer.
 BEST_WITHOUT_TOKEN = {"v2": 0.35, "legacy": 0.0}
 ORDER = ["phase", "ord", "sub"]
-#: Tasks over which the items of one token are dealt.
-SALTS = 8
+#: Texts of items that meet the members of one token in one task, and pairs that a join without tokens may make.
+DEALT = 1000
+MAX_PAIRS = 10**9
 
 
 def resolve_manual(catalog: DataFrame, manual: DataFrame) -> DataFrame:
@@ -69,47 +71,68 @@ def same_key(items: DataFrame, open_members: DataFrame) -> DataFrame:
     return found.withColumns({"score": F.lit(1.0), "second": F.lit(0.0)})
 
 
+def distinct_texts(df: DataFrame, p: str) -> DataFrame:
+    """One row for each text and its states, with the features; of members also `b_first`, the first of the clusters that
+    hold the text."""
+    ident = ["canonical_text", "states"]
+    rest = [F.first(c).alias(c) for c in FEATURES if c not in ident]
+    first = [F.min("cluster_id").alias("first")] if p == "b" else []
+    texts = df.groupBy(*ident).agg(*rest, *first)
+    return texts.select(*[F.col(c).alias(f"{p}_{c}") for c in [*FEATURES, *(["first"] if first else [])]])
+
+
 def candidate_pairs(items: DataFrame, members: DataFrame) -> DataFrame:
     """Distinct pairs of texts (a: item, b: member) that share a token; a shared number token where both have numbers.
-    A pair is kept at its first shared token, so nothing is left to drop later. The items of a token are dealt to SALTS
-    tasks, each with all members of it, so a frequent token is spread."""
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        ident = [f"{p}_canonical_text", f"{p}_states"]
-        texts = df.select(*[F.col(c).alias(f"{p}_{c}") for c in FEATURES]).repartition(n, *ident).dropDuplicates(ident)
-        return texts.withColumn(f"{p}_chars", char_counts(F.col(f"{p}_canonical_text")))
+    A pair is kept at its first shared token, so nothing is left to drop later. The items of a frequent token are dealt
+    to as many tasks as its frequency needs, each with all members of it."""
+    a, b = (distinct_texts(df, p).withColumn(f"{p}_chars", char_counts(F.col(f"{p}_canonical_text"))) for df, p in ((items, "a"), (members, "b")))
 
     def meeting(left: DataFrame, right: DataFrame, what: str) -> DataFrame:
-        dealt = left.withColumn("_t", F.explode(f"a_{what}")).withColumn("_salt", F.pmod(F.xxhash64("a_canonical_text", "a_states"), F.lit(SALTS)).cast("int")).repartition(n, "_t", "_salt")
-        every = right.withColumn("_t", F.explode(f"b_{what}")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        each = left.withColumn("_t", F.explode(f"a_{what}"))
+        salts = each.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("_salts"))
+        dealt = each.join(salts, "_t").withColumn("_salt", F.pmod(F.xxhash64("a_canonical_text", "a_states"), F.col("_salts")).cast("int")).drop("_salts")
+        every = right.withColumn("_t", F.explode(f"b_{what}")).join(salts, "_t").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
         once = F.col("_t") == F.array_min(F.array_intersect(f"a_{what}", f"b_{what}"))
         return dealt.join(every, ["_t", "_salt"]).where(once).drop("_t", "_salt")
 
-    a, b = side(items, "a"), side(members, "b")
     b_none = b.where(F.size("b_numbers") == 0)
     one = meeting(a.where(F.size("a_numbers") == 0), b, "tokens")
     other = meeting(a.where(F.size("a_numbers") > 0), b_none, "tokens")
     return meeting(a, b, "numbers").unionByName(one).unionByName(other)
 
 
-def all_pairs(items: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair of texts; for thresholds so low that names without a shared token may match."""
-    a = items.select(*[F.col(c).alias(f"a_{c}") for c in FEATURES]).dropDuplicates(["a_canonical_text", "a_states"])
-    b = members.select(*[F.col(c).alias(f"b_{c}") for c in FEATURES]).dropDuplicates(["b_canonical_text", "b_states"])
+def all_pairs(items: DataFrame, members: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
+    """Every pair of texts; for thresholds so low that names without a shared token may match. Their number is the product
+    of both sides', so it is bounded."""
+    a, b = distinct_texts(items, "a"), distinct_texts(members, "b")
+    n = a.count() * b.count()
+    if n > most:
+        raise ValueError(f"{n} pairs of texts without a token to join on; raise the threshold, or the bound of {most}")
+    warnings.warn(f"{n} pairs of texts are compared, as at this threshold names without a shared token may match", stacklevel=2)
     return a.crossJoin(b)
 
 
+def contenders(pairs: DataFrame) -> DataFrame:
+    """Open pairs that may be the best or the second of their item: those whose highest score is not below the lowest
+    score of the second of its clusters."""
+    item = Window.partitionBy("a_canonical_text", "a_states")
+    best = F.max(F.struct("_low", "b_first")).over(item)
+    second = F.max(F.when(F.col("b_first") != F.col("_best.b_first"), F.col("_low"))).over(item)
+    return pairs.withColumn("_best", best).withColumn("_second", second).where(F.col("_high") >= F.coalesce("_second", F.lit(0.0)) - 1e-9)
+
+
 def best_candidates(items: DataFrame, members: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, scorer: str = "v2", ratio: str = "difflib", blocked: bool = True) -> DataFrame:
-    """store, product_key, cluster_id, score, second for each item with any candidate. `items`: one store's items with
-    features; `members`: members of clusters without that store, with features and the cluster's order."""
+    """store, product_key, cluster_id, score, second for each item with a candidate of threshold - margin or more; what
+    scores less decides nothing and counts as no candidate. `items`: one store's items with features; `members`: members of
+    clusters without that store, with features and the cluster's order."""
     exact = same_key(items, members)
     fuzzy_items = items.join(exact.select("store", "product_key"), ["store", "product_key"], "left_anti")
     floor = threshold - margin
     safe = blocked and floor > BEST_WITHOUT_TOKEN[scorer]
     pairs = candidate_pairs(fuzzy_items, members) if safe else all_pairs(fuzzy_items, members)
-    scored = score_pairs(pairs, scorer, ratio, floor if safe else None).where("score > 0")
-    scored = scored.select("a_canonical_text", "a_states", "b_canonical_text", "b_states", "score")
+    ident = ["a_canonical_text", "a_states", "b_canonical_text", "b_states"]
+    bounds = open_pairs(pairs, scorer, floor if safe else None).select(*ident, "b_first", "_possible", "_without", "_least", "_low", "_high")
+    scored = with_score(contenders(bounds), scorer, ratio).where((F.col("score") > 0) & (F.col("score") >= floor - 1e-9)).select(*ident, "score")
     texts = fuzzy_items.select("store", "product_key", F.col("canonical_text").alias("a_canonical_text"), F.col("states").alias("a_states"))
     held = members.select("cluster_id", *ORDER, F.col("canonical_text").alias("b_canonical_text"), F.col("states").alias("b_states"))
     each = texts.join(scored, ["a_canonical_text", "a_states"]).join(held, ["b_canonical_text", "b_states"])

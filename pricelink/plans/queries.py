@@ -458,6 +458,62 @@ def _(listings):
     return fuzzy(listings).relations()
 
 
+def sysco_and(listings: DataFrame, store: str) -> tuple[DataFrame, DataFrame]:
+    """A store's items, and SYSCO's as members of clusters, with features."""
+    names = feat.with_features(catalog.build_catalog(listings))
+    order = {"cluster_id": F.concat(F.lit("s0:"), "product_key"), "phase": F.lit(1), "ord": F.lit(0).cast("long"), "sub": F.col("product_key")}
+    return names.where(F.col("store") == store), names.where("store = 'SYSCO'").withColumns(order)
+
+
+@on("best_candidates_equal", "listings")
+def _(listings):
+    return matching.best_candidates(*sysco_and(listings, "KOHL"), ratio=similarity.EQUAL)
+
+
+@on("assignment_equal", "listings")
+def _(listings):
+    return matching.assign(matching.best_candidates(*sysco_and(listings, "US FOOD"), ratio=similarity.EQUAL))
+
+
+@on("comparison_equal", "listings")
+def _(listings):
+    return fuzzy(listings, ratio=similarity.EQUAL).comparison()
+
+
+@on("ranking_equal", "listings")
+def _(listings):
+    return fuzzy(listings, ratio=similarity.EQUAL).ranking()
+
+
+@on("relations_equal", "listings")
+def _(listings):
+    return fuzzy(listings, ratio=similarity.EQUAL).relations()
+
+
+def named_pairs(pairs: DataFrame, legacy: bool) -> DataFrame:
+    """Pairs of names (a_name, b_name) with the features of both."""
+    names = pairs.select(F.col("a_name").alias("product_name")).union(pairs.select("b_name")).distinct()
+    known = feat.with_features(names, legacy=legacy)
+    for p in "ab":
+        pairs = pairs.join(known.select(F.col("product_name").alias(f"{p}_name"), *[F.col(c).alias(f"{p}_{c}") for c in feat.FEATURES]), f"{p}_name")
+    return pairs
+
+
+@on("pair_similarity", "name_pairs")
+def _(pairs):
+    return similarity.score_pairs(named_pairs(pairs, False), ratio=similarity.EQUAL).select("a_name", "b_name", "score")
+
+
+@on("pair_similarity_legacy", "name_pairs")
+def _(pairs):
+    return similarity.score_pairs(named_pairs(pairs, True), "legacy", similarity.EQUAL).select("a_name", "b_name", "score")
+
+
+@on("pair_sequence_ratio", "name_pairs")
+def _(pairs):
+    return named_pairs(pairs, False).select("a_name", "b_name", similarity.text_ratio(F.col("a_canonical_text"), F.col("b_canonical_text")).alias("ratio"))
+
+
 @on("relation_rows", "same_listings")
 def _(listings):
     clusters, members = exact_clusters(listings)

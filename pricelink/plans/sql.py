@@ -56,19 +56,19 @@ def values(pairs) -> str:
     return ", ".join("(" + ", ".join("'" + v + "'" for v in p) + ")" for p in pairs)
 
 
-def features(legacy: bool) -> str:
+def features(legacy: bool, source: str = "{listings}") -> str:
     words = [(k, v) for k, v in TRANSLATIONS.items() if not (legacy and k in NOT_IN_LEGACY)]
     generic = ", ".join(f"'{w}'" for w in GENERIC if not (legacy and w in KEPT_IN_LEGACY))
     one = "CASE WHEN length(t) > 4 AND suffix(t, 's') THEN t[:-2] ELSE t END"
     singular = one if legacy else f"CASE WHEN length(t) > 5 AND suffix(t, 'es') THEN t[:-3] WHEN length(t) > 4 AND suffix(t, 's') THEN t[:-2] ELSE t END"
-    return f"""names AS (SELECT DISTINCT product_name FROM {{listings}}),
+    return f"""names AS (SELECT DISTINCT product_name FROM {source}),
 raw AS (SELECT product_name, unnest(string_split({key('product_name')}, ' ')) AS r, generate_subscripts(string_split({key('product_name')}, ' '), 1) AS i FROM names),
-tr(r, en) AS (VALUES {values(words)}), cat(t, category) AS (VALUES {values((t, c) for c, ts in CATEGORIES.items() for t in ts)}), st(t, state) AS (VALUES {values(STATES.items())}),
+tr(r, en) AS (VALUES {values(words)}), kind(t, category) AS (VALUES {values((t, c) for c, ts in CATEGORIES.items() for t in ts)}), st(t, state) AS (VALUES {values(STATES.items())}),
 tok AS (SELECT product_name, i, {singular} AS t FROM (SELECT product_name, i, coalesce(en, raw.r) AS t FROM raw LEFT JOIN tr USING (r))),
 kept AS (SELECT * FROM tok WHERE t NOT IN ({generic})),
 f AS (SELECT product_name, string_agg(t, ' ' ORDER BY i) AS canonical_text, list_sort(list_distinct(list(t))) AS tokens,
   list_sort(list_distinct(list(t) FILTER (length(t) >= 4 AND NOT regexp_matches(t, '[0-9]')))) AS strong, list_sort(list_distinct(list(t) FILTER (regexp_matches(t, '[0-9]')))) AS numbers,
-  list_sort(list_distinct(list(category) FILTER (category IS NOT NULL))) AS categories FROM kept LEFT JOIN cat USING (t) GROUP BY product_name),
+  list_sort(list_distinct(list(category) FILTER (category IS NOT NULL))) AS categories FROM kept LEFT JOIN kind USING (t) GROUP BY product_name),
 s AS (SELECT product_name, list_sort(list_distinct(list(state))) AS states FROM tok JOIN st USING (t) GROUP BY product_name)"""
 
 
@@ -91,6 +91,51 @@ def pivot(what: str, stores=("SYSCO", "US FOOD", "KOHL")) -> str:
     return ", ".join(f"max({what}) FILTER (store = '{s}') AS \"{s}\"" for s in stores)
 
 
+def score(legacy: bool, a: str = "a", b: str = "b") -> str:
+    """The similarity of two rows with features where the text ratio is one for equal texts, else zero."""
+    both = lambda c: f"len(list_intersect({a}.{c}, {b}.{c}))"
+    n = lambda x, c: f"len({x}.{c})"
+    least = lambda c: f"least({n(a, c)}, {n(b, c)})"
+    jaccard = f"({both('tokens')} / greatest(1, len({a}.tokens) + len({b}.tokens) - {both('tokens')}))"
+    containment = f"({both('tokens')} / greatest(1, {least('tokens')}))"
+    equal = f"CASE WHEN {a}.canonical_text = {b}.canonical_text THEN 1 ELSE 0 END"
+    differ = f"({n(a, 'numbers')} > 0 AND {n(b, 'numbers')} > 0 AND {both('numbers')} = 0)"
+    if legacy:
+        stop = f"{least('tokens')} = 0 OR {differ} OR ({both('strong')} = 0 AND {both('numbers')} = 0)"
+        total = f"0.50::DOUBLE * greatest({jaccard}, {containment}) + 0.25::DOUBLE * {jaccard} + CASE WHEN {both('numbers')} > 0 THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN {both('strong')} >= 2 THEN 0.05::DOUBLE ELSE 0 END + 0.25::DOUBLE * {equal}"
+    else:
+        clash = " OR ".join(f"(list_contains({x}.states, 'fresh') AND list_has_any({y}.states, ['canned', 'frozen']))" for x, y in ((a, b), (b, a)))
+        stop = f"{least('tokens')} = 0 OR {clash} OR {differ} OR ({both('strong')} = 0 AND {both('tokens')} < 2 AND {equal} = 0)"
+        kinds = f"CASE WHEN {least('categories')} = 0 THEN 0 WHEN {both('categories')} > 0 THEN 0.05::DOUBLE ELSE -0.22::DOUBLE END"
+        total = f"0.44::DOUBLE * greatest({jaccard}, {containment}) + 0.26::DOUBLE * ({both('strong')} / greatest(1, {least('strong')})) + CASE WHEN {both('numbers')} > 0 THEN 0.07::DOUBLE ELSE 0 END + {kinds} + 0.30::DOUBLE * {equal}"
+    return f"CASE WHEN {stop} THEN 0 ELSE greatest(0, least(1, {total})) END::DOUBLE"
+
+
+def featured(rows: str, legacy: bool = False) -> str:
+    """Rows with product_name, with their features (empty lists for none)."""
+    lists = ", ".join(f"coalesce({c}, []) AS {c}" for c in ("tokens", "strong", "numbers", "categories", "states"))
+    return f"(SELECT r.*, coalesce(canonical_text, '') AS canonical_text, {lists} FROM {rows} r LEFT JOIN f ON r.product_name = f.product_name LEFT JOIN s ON r.product_name = s.product_name)"
+
+
+MATCHED = f"""{CAT}, {features(False)}, fx AS {featured('cat')},
+m0 AS (SELECT 's0:' || product_key AS cluster_id, 0 AS ord, product_key AS sub, 1.0::DOUBLE AS score, * FROM fx WHERE store = 'SYSCO')"""
+
+
+def round_of(n: int, store: str) -> str:
+    """Tables of the n-th store's round: best candidates b, assigned ones w, and all members m."""
+    return f""", i{n} AS (SELECT * FROM fx WHERE store = '{store}'),
+e{n} AS (SELECT i.product_key, arg_min(m.cluster_id, (m.ord, m.sub)) AS cluster_id, 1.0::DOUBLE AS score, 0.0::DOUBLE AS second FROM i{n} i JOIN m{n - 1} m USING (product_key) GROUP BY i.product_key),
+p{n} AS (SELECT a.product_key, b.cluster_id, b.ord, b.sub, max({score(False)}) AS score FROM (SELECT * FROM i{n} ANTI JOIN e{n} USING (product_key)) a JOIN m{n - 1} b ON list_has_any(a.tokens, b.tokens)
+  GROUP BY ALL HAVING score > 0 AND score >= 0.50::DOUBLE - 0.06::DOUBLE - 1e-9::DOUBLE),
+b{n} AS (SELECT product_key, cluster_id, score, second FROM (SELECT *, coalesce(lead(score) OVER v, 0.0::DOUBLE) AS second, row_number() OVER v AS n FROM p{n} WINDOW v AS (PARTITION BY product_key ORDER BY score DESC, ord, sub)) WHERE n = 1 UNION ALL SELECT * FROM e{n}),
+w{n} AS (SELECT * FROM b{n} WHERE score >= 0.50::DOUBLE AND score - second >= 0.06::DOUBLE QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, product_key) = 1),
+c{n} AS (SELECT DISTINCT cluster_id, ord, sub FROM m{n - 1}),
+m{n} AS (SELECT * FROM m{n - 1} UNION ALL SELECT coalesce(w.cluster_id, 's{n}:' || i.product_key), coalesce(c.ord, {n}), coalesce(c.sub, i.product_key), coalesce(w.score, 1.0::DOUBLE), i.* FROM i{n} i LEFT JOIN w{n} w USING (product_key) LEFT JOIN c{n} c ON c.cluster_id = w.cluster_id)"""
+
+
+ROUNDS = MATCHED + round_of(1, "US FOOD") + round_of(2, "KOHL") + """,
+disp2 AS (SELECT cluster_id, arg_min(product_name, (length(product_name), lower(product_name), product_name)) AS name FROM m2 GROUP BY cluster_id)"""
+
 RESOLVED = SAME + f""", byname AS (SELECT store, {key('product_name')} AS norm, min(product_key) AS k FROM cat GROUP BY 1, 2 HAVING norm <> ''),
 m AS (SELECT *, {clean('ref')} AS r FROM {{manual_rows}}),
 res AS (SELECT m.manual_ord, m.product_name, m.store_pos, m.store, coalesce(a.product_key, b.k) AS product_key FROM m LEFT JOIN cat a ON a.store = m.store AND a.product_key = r LEFT JOIN byname b ON b.store = m.store AND b.norm = {key('r')} WHERE r <> '' AND coalesce(a.product_key, b.k) IS NOT NULL),
@@ -245,6 +290,13 @@ SELECT cluster_id, store, price, ratio, round_even(ratio * 10, 0)::INT AS step,
     "search": f"SELECT doc_id FROM documents WHERE contains({key('text')}, 'of the')",
     "options_sorted": f"WITH {CAT} SELECT store, product_key, product_name, row_number() OVER (PARTITION BY store ORDER BY lower(product_name), product_key)::INT AS place FROM cat",
     "editor_price": f"WITH {SAME} SELECT manual_ord, m.store, {clean('ref')} AS product_key, CASE WHEN price > 0 THEN '$' || format('{{:,.2f}}', price) ELSE '' END AS price_text FROM {{manual_rows}} m LEFT JOIN cat ON cat.store = m.store AND cat.product_key = {clean('ref')}",
+    "best_candidates_equal": f"WITH {MATCHED}{round_of(1, 'KOHL')} SELECT 'KOHL' AS store, * FROM b1",
+    "assignment_equal": f"WITH {MATCHED}{round_of(1, 'US FOOD')} SELECT 'US FOOD' AS store, * FROM w1",
+    "comparison_equal": f"WITH {ROUNDS} SELECT {key('any_value(name)')} AS product_key, any_value(name) AS \"Product\", {pivot('price')} FROM m2 JOIN disp2 USING (cluster_id) GROUP BY cluster_id HAVING max(price) > 0",
+    "ranking_equal": f"WITH {ROUNDS}, p AS (SELECT *, min(price) OVER (PARTITION BY cluster_id) AS low FROM m2 WHERE price > 0) SELECT s AS \"Store\", count(p.store) AS \"Products with best price\" FROM (VALUES ('SYSCO'), ('US FOOD'), ('KOHL')) v(s) LEFT JOIN p ON p.store = s AND abs(price - low) < 1e-9 GROUP BY s",
+    "relations_equal": f"WITH {ROUNDS} SELECT any_value(name) AS \"Product\", 'auto' AS \"Match Source\", " + ", ".join(f"max(product_name) FILTER (store = '{s}') AS \"{s} Product\", max(price) FILTER (store = '{s}') AS \"{s} Price\", round(max(score) FILTER (store = '{s}'), 4) AS \"{s} Score\"" for s in ("SYSCO", "US FOOD", "KOHL")) + " FROM m2 JOIN disp2 USING (cluster_id) GROUP BY cluster_id",
+    "pair_similarity": f"WITH {features(False, '{name_pairs_names}')}, x AS {featured('names')} SELECT a_name, b_name, {score(False)} AS score FROM {{name_pairs}} p JOIN x a ON a.product_name = a_name JOIN x b ON b.product_name = b_name",
+    "pair_similarity_legacy": f"WITH {features(True, '{name_pairs_names}')}, x AS {featured('names')} SELECT a_name, b_name, {score(True)} AS score FROM {{name_pairs}} p JOIN x a ON a.product_name = a_name JOIN x b ON b.product_name = b_name",
     "relation_rows": f"WITH {EXACT} SELECT any_value(name) AS product_name, 'auto' AS source, " + ", ".join(f"max(product_key) FILTER (store = '{s}') AS \"{s}_product_key\", max(price) FILTER (store = '{s}') AS \"{s}_price\"" for s in ("SYSCO", "US FOOD", "KOHL")) + " FROM cat JOIN disp ON cat.product_key = cluster_id GROUP BY cluster_id",
     "provider_map": f"""WITH s AS (SELECT list_ord AS ord, list_ord || ' ' || {clean('list_name')} AS store FROM {{lists}}), k AS (SELECT *, {provider_key('store')} AS p FROM s),
 f AS (SELECT store, p FROM k WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p ORDER BY ord) = 1), free AS (SELECT p, row_number() OVER (ORDER BY o) AS n FROM (VALUES ('sysco', 0), ('kohl', 1), ('usfood', 2)) v(p, o) ANTI JOIN f USING (p)),

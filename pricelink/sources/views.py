@@ -61,6 +61,12 @@ SELECT doc_id % 100 AS doc_id, CAST(floor(doc_id / 100) + 1 AS INT) AS page, CAS
 SELECT p_partkey AS manual_ord, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Group ' || p_name END AS product_name, store_pos, store,
   CASE WHEN p_partkey % 7 = store_pos THEN 'N/A' WHEN store_pos = 0 THEN p_name || ' ' || p_type || ' ' || CAST(p_size AS STRING) || ' CT' ELSE lower(p_name || ' ' || p_type || ' ' || CAST(p_size AS STRING) || ' CT') END AS ref
 FROM {part} CROSS JOIN (SELECT 0 AS store_pos, 'SYSCO' AS store UNION ALL SELECT 1, 'US FOOD' UNION ALL SELECT 2, 'KOHL') AS s""",
+    "name_pairs": """
+SELECT DISTINCT a_name, b_name FROM (
+  SELECT p.p_name || ' ' || p.p_type || ' ' || CAST(p.p_size AS STRING) || ' CT' AS a_name, CASE k WHEN 0 THEN q.p_type || ' ' || q.p_name || ' ' || CAST(q.p_size AS STRING) || ' CT'
+    WHEN 1 THEN replace(q.p_name, 'red', 'rojo') || ' ' || q.p_type || ' ' || CAST(q.p_size AS STRING) || 'CT' WHEN 2 THEN 'Fresh ' || q.p_name WHEN 3 THEN 'frozen ' || p.p_name || ' ' || CAST(q.p_size AS STRING) || ' CT' ELSE p.p_name || ' ' || p.p_type || ' ' || CAST(p.p_size AS STRING) || ' CT' END AS b_name
+  FROM {part} p JOIN {part} q ON q.p_partkey BETWEEN p.p_partkey AND p.p_partkey + 2 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS s) AS x""",
+    "name_pairs_names": "SELECT a_name AS product_name FROM {name_pairs} UNION SELECT b_name FROM {name_pairs}",
     "standard_sheet": """
 SELECT p_partkey AS row_ord, CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE p_name END AS nombre_producto, CASE WHEN p_partkey % 3 = 0 THEN '-' ELSE p_name || ' ' || p_type END AS nombre_sysco,
   CASE WHEN p_partkey % 2 = 0 THEN 'Sin Dato' ELSE ' ' || p_type || '  ' || p_name END AS nombre_kohl, CASE WHEN p_partkey % 6 < 3 THEN NULL ELSE p_brand END AS nombre_usfood FROM {part}""",
