@@ -81,7 +81,7 @@ def spare(taken: list[str], name: str) -> str:
     return name
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:

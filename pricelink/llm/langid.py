@@ -39,7 +39,7 @@ TRAIN_CHARS = 2_000
 TRAIN_PIECES = 4
 SLOTS = 1 << 17
 ORDERS = (2, 3, 4)
-PIECE_CHARS = 1 << 19
+PIECE_CHARS = 1 << 18
 BLOCK = 64
 ROUNDS = (15, 15)
 RATE = 0.5
