@@ -13,7 +13,7 @@ from ..operators import catalog, intake, layout, matching, relations, report, ta
 from ..sources import files
 from ..sources.tables import staged
 from ..sources.views import STORES, duckdb_sql, view
-from . import sql
+from . import jobs, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -490,6 +490,26 @@ def _(listings):
     return fuzzy(listings, ratio=similarity.EQUAL).relations()
 
 
+def three_lists(fragments: DataFrame, rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, ...]:
+    """Three lists of many pages, one for each way of reading: positioned words, tables, and lines."""
+    lists = fragments.sparkSession.sql("SELECT * FROM VALUES (0, 'Sysco', 'lists/a.pdf', 0L), (1, ' ', 'lists/b.PDF', 1L), (2, 'Sysco', 'lists/c.pdf', 2L), (3, 'none', 'lists/d.pdf', 3L), (4, 'x', 'lists/a.pdf', 4L) AS t(list_ord, list_name, path, doc_id)")
+    words = fragments.withColumn("page", F.col("doc_id").cast("int")).withColumn("doc_id", F.lit(0).cast("long"))
+    cells = rows.withColumn("table_no", F.col("doc_id").cast("int")).withColumn("doc_id", F.lit(1).cast("long"))
+    lines = pages.withColumn("page", (F.col("doc_id") * 3 + F.col("page")).cast("int")).withColumn("doc_id", F.lit(2).cast("long"))
+    return lists, words, cells, lines
+
+
+@on("job_comparison", "fragments", "table_rows", "page_text")
+def _(fragments, rows, pages):
+    return jobs.compare_lists(*three_lists(fragments, rows, pages)).bundle.comparison()
+
+
+@on("job_log", "fragments", "table_rows", "page_text")
+def _(fragments, rows, pages):
+    stores, listings = jobs.listings_of(*three_lists(fragments, rows, pages))
+    return intake.ingestion_log(stores, listings)
+
+
 def named_pairs(pairs: DataFrame, legacy: bool) -> DataFrame:
     """Pairs of names (a_name, b_name) with the features of both."""
     names = pairs.select(F.col("a_name").alias("product_name")).union(pairs.select("b_name")).distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
-from ..operators.relations import DISPLAY
+from ..operators.relations import DISPLAY, provider_mapping, relations_to_standard, store_frame
 
 SCHEMAS = {
     "lists": "list_ord int, list_name string, path string",
@@ -50,18 +52,46 @@ def write_saved(manual: DataFrame, path: str) -> None:
     saved_json(manual).write.mode("overwrite").partitionBy("signature").text(path)
 
 
-def write_report(bundle, path: str, fmt: str = "parquet") -> None:
-    """Comparison (without product_key), Ranking, and Relations if there are any, as folders under one path."""
-    write = lambda df, name: df.write.mode("overwrite").format(fmt).option("header", "true").save(f"{path}/{name}")
-    write(bundle.comparison().drop("product_key"), "Comparison")
-    write(bundle.ranking(), "Ranking")
-    replace_relations(bundle.relations(), path, fmt)
+def swap_in(spark: SparkSession, folders: dict[str, str]) -> None:
+    """Move written folders (from -> to) into place, once all of them are complete."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    for source, target in folders.items():
+        new, old = fs_path(source), fs_path(target)
+        fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        if not fs.rename(new, old):
+            raise OSError(f"{source} could not be moved to {target}")
+
+
+def with_row_ord(sheet: DataFrame) -> DataFrame:
+    """A sheet with row_ord, which keeps its order in files."""
+    return sheet.select(F.monotonically_increasing_id().alias("row_ord"), "*")
+
+
+def write_report(bundle, path: str, fmt: str = "parquet", standard: DataFrame | None = None) -> None:
+    """Comparison (without product_key), Ranking and Relations (in the standard layout, with row_ord), as folders under one
+    path. All are written before any of an earlier report is replaced."""
+    spark = bundle.members.sparkSession
+    if standard is None:
+        mapping = {r["store"]: r["provider"] for r in provider_mapping(store_frame(spark, bundle.stores)).collect()}
+        standard = relations_to_standard(bundle.relations(), mapping)
+    parts = {"Comparison": bundle.comparison().drop("product_key"), "Ranking": bundle.ranking(), "Relations": with_row_ord(standard)}
+    run = uuid.uuid4().hex
+    for name, df in parts.items():
+        df.write.format(fmt).option("header", "true").save(f"{path}/_new-{run}-{name}")
+    swap_in(spark, {f"{path}/_new-{run}-{name}": f"{path}/{name}" for name in parts})
+
+
+def replace_relations(standard: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Replace only the relations of a report; a table without rows replaces them too."""
+    new = f"{path}/_new-{uuid.uuid4().hex}-Relations"
+    with_row_ord(standard).write.format(fmt).option("header", "true").save(new)
+    swap_in(standard.sparkSession, {new: f"{path}/Relations"})
 
 
-def replace_relations(relations: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite only the relations of a report."""
-    if not relations.isEmpty():
-        relations.write.mode("overwrite").format(fmt).option("header", "true").save(f"{path}/Relations")
+def read_relations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The relations of a report, a sheet with row_ord."""
+    return spark.read.format(fmt).option("header", "true").load(f"{path}/Relations").withColumn("row_ord", F.col("row_ord").cast("long"))
 
 
 def empty_template(spark: SparkSession) -> DataFrame:

@@ -8,13 +8,21 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+_own: dict[str, str] = {}
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back. The folder is that of spark.checkpoint.dir; one of our own only where it is unset."""
+    """Write df and read it back. The folder is that of spark.checkpoint.dir; one of our own only where it is unset and the
+    driver is the only machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
+        folder = _own[context.applicationId]
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

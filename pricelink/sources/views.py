@@ -56,7 +56,7 @@ SELECT doc_id, 1 AS page, CAST(792 AS DOUBLE) AS page_height, text, CAST(x AS DO
 SELECT CAST(s_suppkey AS INT) AS list_ord, CASE s_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'Sysco  North' WHEN 2 THEN s_name ELSE 'us food' END AS list_name,
   'lists/' || CASE WHEN s_suppkey % 9 = 0 THEN 'sysco' WHEN s_suppkey % 9 = 4 THEN 'us foods ' ELSE '' END || CAST(s_suppkey % 37 AS STRING) || CASE WHEN s_suppkey % 10 = 3 THEN '.txt' ELSE '.PDF' END AS path, s_suppkey AS doc_id FROM {supplier}""",
     "list_pages": """
-SELECT doc_id % 100 AS doc_id, CAST(floor(doc_id / 100) + 1 AS INT) AS page, CASE doc_id % 5 WHEN 0 THEN 'Kohl Wholesale order guide ' WHEN 1 THEN 'US  Foods ' ELSE '' END || text AS text FROM {documents}""",
+SELECT CAST(floor(doc_id / 10) AS BIGINT) AS doc_id, CAST(doc_id % 10 + 1 AS INT) AS page, CASE doc_id % 5 WHEN 0 THEN 'Kohl Wholesale order guide ' WHEN 1 THEN 'US  Foods ' ELSE '' END || text AS text FROM {documents}""",
     "manual_rows": """
 SELECT p_partkey AS manual_ord, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Group ' || p_name END AS product_name, store_pos, store,
   CASE WHEN p_partkey % 7 = store_pos THEN 'N/A' WHEN store_pos = 0 THEN p_name || ' ' || p_type || ' ' || CAST(p_size AS STRING) || ' CT' ELSE lower(p_name || ' ' || p_type || ' ' || CAST(p_size AS STRING) || ' CT') END AS ref

@@ -19,7 +19,7 @@ def test_report_and_next_run(spark, tmp_path):
     bundle = matching.compare(listings, ["A", "B"])
     files.write_report(bundle, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/Comparison")).columns == ["Product", "A", "B"]
-    sheet = spark.read.parquet(str(tmp_path / "out/Relations")).selectExpr("1L as row_ord", "*")
+    sheet = files.read_relations(spark, str(tmp_path / "out"))
     manual = relations.relations_to_manual(sheet, ["A", "B"])
     again = matching.compare(listings, ["A", "B"], manual)
     assert [(r["Product"], r["Match Source"]) for r in again.relations().collect()] == [("Beef 10", "manual")]
