@@ -1,36 +1,47 @@
 """License scans: sparse TF-IDF cosine against templates, then inheritance from the nearest licence file.
 
-Every line of a text that speaks of a licence is a header candidate. A line and a template are vectors of word counts
+Templates are header statements and whole licence texts. What is held against them are a file's lines and sentences, each
+two of these that stand together (a header that is wrapped), and the file as a whole. Each is a vector of word counts
 times inverse document frequency over the templates (a word of no template weighs the most); the template with the
-largest cosine of at least THRESHOLD gives the line its licence. A file whose matched lines hold FILE_SHARE of its
-words or more is a licence file of its directory. A file without a header of its own takes the licence of the nearest
-directory above it (its own first) that has a licence file; of several there, the best cosine, then the first name.
+largest cosine of at least THRESHOLD gives its licence, on a tie the first name.
 
-Lines are scored once for each distinct line, directories are resolved once for each directory, so a hot line or
-directory adds no work. Null texts have no lines; null parts of a path count as empty. Repeated rows are counted
-together and given back one by one. An empty table gives an empty table.
+A file of which the whole, or parts with FILE_SHARE of its words, reach the threshold is a licence file of its directory;
+one that reaches it in any other part has a header. A file without either takes the licence of the nearest directory above
+it (its own first) that has a licence file; of several there, the best cosine, then the first name.
+
+Before anything is shuffled, each part is bounded within its row: a cosine is at most the share of the template words in
+the vector's length, so a part whose unknown words are too many is dropped, and none that could reach the threshold is.
+What is left is scored once for each distinct run of words, and directories are resolved once each, so a hot header or
+directory adds no work. Templates are a list that the driver can hold.
+
+Null texts have no words; null parts of a path count as empty. Repeated rows are given back as often as they come. Texts
+are read whole; the arrays of a row grow with its text. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import A_TO_Z, n_words, text_or_empty
+from .common import A_TO_Z, text_or_empty, written
 
 THRESHOLD = 0.6
 FILE_SHARE = 0.3
-MENTION = r"(?i)licen[sc]e|copyright|spdx|cc[ -]by|public domain|all rights reserved"
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
+PART = r"\n|[.!?][ \t]+"
+LINE, PAIR, WHOLE = 0, 1, 2
 
 #: Header statements of licences.
-TEMPLATES = [
+HEADERS = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "This software is licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "Distributed under the terms of the GPL v3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
@@ -44,37 +55,84 @@ TEMPLATES = [
     ("proprietary", "Copyright. All rights reserved."),
 ]
 
+#: Licence texts, and the notices of licences whose texts are long.
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+GPL_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+TEXTS = [
+    ("MIT", f'MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {AS_IS} IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", f"{BSD_CONDITIONS}\n{BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{BSD_CONDITIONS}\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n{BSD_DISCLAIMER}"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", GPL_NOTICE.format("3")),
+    ("GPL-2.0", GPL_NOTICE.format("2")),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("statement")) for a, b in TEMPLATES])))
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("statement")) for a, b in HEADERS + TEXTS])))
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, A_TO_Z, A_TO_Z.lower()), F.lit(TOKEN), F.lit(0))
 
 
-def weighted_templates(found: DataFrame) -> tuple[DataFrame, Column]:
-    """(token, idf, license, statement, w): unit vectors of the templates; and the idf of a word of no template."""
-    n = found.count()
+def weighted_templates(found: DataFrame, n: int) -> DataFrame:
+    """(token, idf, license, statement, w): unit vectors of the n templates."""
     counts = found.select("license", "statement", F.explode(tokens(F.col("statement"))).alias("token")).groupBy("license", "statement", "token").agg(F.count(F.lit(1)).alias("tf"))
     idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
     raw = counts.join(idf, "token").withColumn("x", F.col("tf") * F.col("idf"))
     size = raw.groupBy("license", "statement").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return raw.join(size, ["license", "statement"]).select("token", "idf", "license", "statement", (F.col("x") / F.col("size")).alias("w")), F.ln(F.lit(1.0 + n)) + 1
+    return raw.join(size, ["license", "statement"]).select("token", "idf", "license", "statement", (F.col("x") / F.col("size")).alias("w"))
+
+
+def possible(words: Column, known: dict[str, float], unknown: float, threshold: float = THRESHOLD) -> Column:
+    """May a part with these words reach the threshold? The squared length of its known words, each weighed as the most of
+    its half of the vocabulary, against the least that its unknown words add."""
+    half = sorted(known.values())[len(known) // 2]
+    common = [t for t, x in known.items() if x < half]
+    heavy, light = max(known.values()) ** 2, max([known[t] for t in common], default=0.0) ** 2
+    mine = F.array_sort(F.filter(words, lambda x: x.isin(list(known))))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
 
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        # the odd numbers up to the count's add up to its square
+        return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + (2 * run - 1) * F.when(x.isin(common), light).otherwise(heavy)).alias("sum"))
 
-def scored_lines(lines: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """line, license, cosine for each distinct line that reaches the threshold."""
-    weights, unknown = weighted_templates(found)
+    square = F.aggregate(mine, start, step, lambda acc: acc["sum"])
+    strange = F.size(F.array_distinct(F.filter(words, lambda x: ~x.isin(list(known)))))
+    return square * (1 - threshold**2) >= strange * unknown**2 * threshold**2 - 1e-6
+
+
+def parts(text: Column) -> Column:
+    """(kind, words) of lines and sentences with words, of two that stand together, and of the whole."""
+    each = F.filter(F.transform(F.split(text_or_empty(text), PART), tokens), lambda x: F.size(x) > 0)
+
+    def kinds(e: Column) -> Column:
+        pairs = F.transform(F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda x, i: F.struct(F.lit(PAIR).alias("kind"), F.concat(F.get(e, i), x).alias("words")))
+        whole = F.filter(F.array(F.struct(F.lit(WHOLE).alias("kind"), F.flatten(e).alias("words"))), lambda p: F.size(p["words"]) > 0)
+        return F.concat(F.transform(e, lambda x: F.struct(F.lit(LINE).alias("kind"), x.alias("words"))), pairs, whole)
+
+    return F.get(F.transform(F.array(each), kinds), F.lit(0))
+
+
+def scored_parts(units: DataFrame, weights: DataFrame, unknown: float, threshold: float = THRESHOLD) -> DataFrame:
+    """unit (words joined by spaces), license, cosine for each distinct unit that reaches the threshold."""
     words = weights.select("token", "idf").distinct()
     by_token = weights.groupBy("token").agg(F.collect_list(F.struct("license", "statement", "w")).alias("in"))
-    counts = lines.select("line").distinct().select("line", F.explode(tokens(F.col("line"))).alias("token")).groupBy("line", "token").agg(F.count(F.lit(1)).alias("tf"))
-    vector = counts.join(words, "token", "left").join(by_token, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", unknown))
-    sizes = vector.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), F.collect_list(F.when(F.col("in").isNotNull(), F.struct("x", "in"))).alias("parts"))
-    dots = sizes.select("line", "size", F.explode(F.flatten(F.transform("parts", lambda p: F.transform(p["in"], lambda t: F.struct(t["license"].alias("license"), t["statement"].alias("statement"), (p["x"] * t["w"]).alias("y")))))).alias("d"))
-    cosines = dots.groupBy("line", "size", "d.license", "d.statement").agg(F.sum("d.y").alias("dot")).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9))
-    best = cosines.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
-    return best.select("line", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine")).where(F.col("cosine") >= threshold)
+    counts = units.select("unit").distinct().select("unit", F.explode(F.split("unit", " ")).alias("token")).groupBy("unit", "token").agg(F.count(F.lit(1)).alias("tf"))
+    vector = counts.join(words, "token", "left").join(by_token, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+    sizes = vector.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), F.collect_list(F.when(F.col("in").isNotNull(), F.struct("x", "in"))).alias("parts"))
+    dots = sizes.select("unit", "size", F.explode(F.flatten(F.transform("parts", lambda p: F.transform(p["in"], lambda t: F.struct(t["license"].alias("license"), t["statement"].alias("statement"), (p["x"] * t["w"]).alias("y")))))).alias("d"))
+    cosines = dots.groupBy("unit", "size", "d.license", "d.statement").agg(F.sum("d.y").alias("dot")).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9))
+    best = cosines.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
+    return best.select("unit", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def parents(folder: Column) -> Column:
@@ -94,21 +152,33 @@ def inherited(folders: DataFrame, licensed: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, found: DataFrame, key: str = "doc_id", folder: str = "folder", text: str = "text") -> DataFrame:
-    """key, folder, license, cosine, how (header, file, inherited or none), given_by (a directory) and n_headers."""
-    lines = F.transform(F.filter(F.split(text_or_empty(F.col(text)), "\n"), lambda x: x.rlike(MENTION)), lambda x: F.trim(x))
-    rows = files.select(F.col(key).alias("key"), F.coalesce(F.col(folder), F.lit("")).alias("folder"), F.when(F.size(lines) > 0, n_words(F.col(text))).otherwise(F.lit(0)).cast("long").alias("n_words"), lines.alias("lines"))
-    rows = rows.groupBy("key", "folder", "n_words", "lines").agg(F.count(F.lit(1)).alias("copies"))
-    each = rows.where(F.size("lines") > 0).withColumn("line", F.explode("lines"))
-    scores = scored_lines(each, found)
-    hits = each.join(scores, "line").groupBy("key", "folder", "n_words", "lines", "copies").agg(
-        F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"), F.sum(n_words(F.col("line"))).alias("words"), F.count(F.lit(1)).alias("n_headers"))
-    headed = hits.select("key", "folder", "n_words", "lines", "copies", "n_headers", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"), (F.col("words") >= FILE_SHARE * F.col("n_words")).alias("is_file"))
-    near = inherited(rows, headed.where("is_file").select("folder", "license", "cosine"))
-    bare = rows.join(headed.select(F.col("key").alias("_k"), F.col("folder").alias("_f"), F.col("n_words").alias("_n"), F.col("lines").alias("_l")),
-        F.col("key").eqNullSafe(F.col("_k")) & (F.col("folder") == F.col("_f")) & (F.col("n_words") == F.col("_n")) & (F.col("lines") == F.col("_l")), "left_anti")
-    taken = bare.join(near, "folder", "left").select("key", "folder", "copies", "license", "cosine", F.when(F.col("license").isNotNull(), "inherited").otherwise("none").alias("how"), "given_by", F.lit(0).cast("long").alias("n_headers"))
-    own = headed.select("key", "folder", "copies", "license", "cosine", F.when(F.col("is_file"), "file").otherwise("header").alias("how"), F.lit(None).cast("string").alias("given_by"), "n_headers")
-    return own.union(taken).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(F.col("key").alias(key), "folder", "license", "cosine", "how", "given_by", "n_headers")
+    """key, folder, license, cosine, how (header, file, inherited or none), given_by (a directory) and n_headers (lines and
+    sentences that reach the threshold)."""
+    n = found.count()
+    weights, unknown = written(weighted_templates(found, n), "templates"), log(1.0 + n) + 1
+    known = {r["token"]: r["idf"] for r in weights.select("token", "idf").distinct().collect()}
+    every = parts(F.col(text))
+    open_parts = F.transform(F.filter(every, lambda p: possible(p["words"], known, unknown)), lambda p: F.struct(p["kind"].alias("kind"), F.array_join(p["words"], " ").alias("unit"), F.size(p["words"]).alias("size")))
+    size = F.coalesce(F.try_element_at(F.transform(F.filter(every, lambda p: p["kind"] == WHOLE), lambda p: F.size(p["words"])), F.lit(1)), F.lit(0))
+    rows = written(files.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(folder), F.lit("")).alias("folder"), size.alias("n_words"), open_parts.alias("parts")), "license_parts")
+    each = rows.select("row", "n_words", F.inline("parts"))
+    hits = each.join(scored_parts(each, weights, unknown), "unit")
+
+    def words(kind: int) -> Column:
+        return F.when(F.col("kind") == kind, F.col("size"))
+
+    share = F.greatest(F.coalesce(F.sum(words(LINE)), F.lit(0)), F.coalesce(F.max(words(PAIR)), F.lit(0)))
+    best = lambda p: F.min(F.when(p, F.struct((-F.col("cosine")).alias("minus"), F.col("license"))))
+    whole, part = best(F.col("kind") == WHOLE), best(F.col("kind") != WHOLE)
+    headed = hits.groupBy("row").agg(F.coalesce(whole, part).alias("best"), (whole.isNotNull() | (share >= FILE_SHARE * F.first("n_words"))).alias("is_file"), F.count_if(F.col("kind") == LINE).alias("n_headers"))
+    headed = written(headed.select("row", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"), "is_file", "n_headers"), "license_headers")
+    own = rows.select("row", "key", "folder").join(headed, "row", "left")
+    near = inherited(rows, own.where("is_file").select("folder", "license", "cosine")).withColumnsRenamed({"license": "_license", "cosine": "_cosine"})
+    how = F.when(F.col("is_file"), "file").when(F.col("is_file").isNotNull(), "header").when(F.col("_license").isNotNull(), "inherited").otherwise("none")
+    bare = F.col("is_file").isNull()
+    return own.join(near, "folder", "left").select(
+        F.col("key").alias(key), "folder", F.when(bare, F.col("_license")).otherwise(F.col("license")).alias("license"), F.when(bare, F.col("_cosine")).otherwise(F.col("cosine")).alias("cosine"),
+        how.alias("how"), F.when(bare, F.col("given_by")).alias("given_by"), F.coalesce("n_headers", F.lit(0).cast("long")).alias("n_headers"))
 
 
 def document_folders(docs: DataFrame) -> DataFrame:
@@ -117,4 +187,4 @@ def document_folders(docs: DataFrame) -> DataFrame:
     place = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(7))
     top, lang = F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
     deep = F.concat_ws("/", top, lang, F.floor(F.coalesce("doc_id", F.lit(0)) / 1000).cast("string"))
-    return docs.withColumn("folder", F.when(place == 0, top).when(place <= 2, F.concat_ws("/", top, lang)).otherwise(deep))
+    return docs.select("doc_id", "text", F.when(place == 0, top).when(place <= 2, F.concat_ws("/", top, lang)).otherwise(deep).alias("folder"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, dedup, langid, licenses, lm_score, mixing, quality, sharding, simhash, urlfilter
+from .common import written
 
 RANKS = "byte_bpe_50k.tiktoken"
 N_SHARDS = 16
@@ -55,6 +56,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy does, from the written ledger alone."""
+    return quality.ablation(written(quality.ledger(documents(spark, sf_dir)), "ledger"), "v1")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(documents(spark, sf_dir))
 
@@ -80,10 +86,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
+    "quality_ablation": quality_ablation,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op2_quality": r"""
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Every part against every template, without any bound.
+LICENSES = r"""
+WITH tpl(license, statement) AS (VALUES TEMPLATES),
+tt AS (SELECT license, statement, unnest(regexp_extract_all(translate(statement, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\.[0-9]+)*')) AS token FROM tpl),
+tc AS (SELECT license, statement, token, count(*) AS tf FROM tt GROUP BY ALL),
+idf AS (SELECT token, ln((1 + (SELECT count(*) FROM tpl))::DOUBLE / (1 + count(*))) + 1 AS idf FROM tc GROUP BY token),
+ts AS (SELECT license, statement, sqrt(sum((tf * idf) * (tf * idf))) AS size FROM tc JOIN idf USING (token) GROUP BY ALL),
+tw AS (SELECT token, license, statement, tf * idf / size AS w FROM tc JOIN idf USING (token) JOIN ts USING (license, statement)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(doc_id, 0) AS k, coalesce(source, '') AS top, coalesce(lang, '') AS l FROM documents),
+f AS (SELECT r, doc_id, t, CASE WHEN k % 7 = 0 THEN top WHEN k % 7 <= 2 THEN top || '/' || l ELSE top || '/' || l || '/' || floor(k / 1000)::BIGINT END AS folder FROM d),
+e0 AS (SELECT r, unnest(string_split_regex(t, '\n|[.!?][ \t]+')) AS x, generate_subscripts(string_split_regex(t, '\n|[.!?][ \t]+'), 1) AS i FROM f),
+e1 AS (SELECT r, i, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\.[0-9]+)*') AS w FROM e0),
+e AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY i) AS i, w FROM e1 WHERE len(w) > 0),
+u AS (SELECT r, 0 AS kind, w FROM e UNION ALL SELECT a.r, 1, a.w || b.w FROM e a JOIN e b ON a.r = b.r AND b.i = a.i + 1 UNION ALL SELECT r, 2, flatten(list(w ORDER BY i)) FROM e GROUP BY r),
+uu AS (SELECT r, kind, array_to_string(w, ' ') AS unit, len(w) AS size FROM u),
+dist AS (SELECT row_number() OVER () AS id, unit FROM (SELECT DISTINCT unit FROM uu)),
+uc AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(string_split(unit, ' ')) AS token FROM dist) GROUP BY ALL),
+ux AS (SELECT id, uc.token, tf * coalesce(idf, ln((1.0 + (SELECT count(*) FROM tpl))::DOUBLE) + 1) AS x FROM uc LEFT JOIN idf USING (token)),
+us AS (SELECT id, sqrt(sum(x * x)) AS size FROM ux GROUP BY id),
+cs AS (SELECT id, license, round(sum(x * w) / any_value(us.size), 9) AS cosine FROM ux JOIN tw USING (token) JOIN us USING (id) GROUP BY id, license, statement),
+best AS (SELECT unit, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM cs JOIN dist USING (id) GROUP BY unit HAVING max(cosine) >= 0.6::DOUBLE),
+h AS (SELECT uu.r, kind, size, license, cosine FROM uu JOIN best USING (unit)),
+n AS (SELECT r, max(size) AS n_words FROM uu WHERE kind = 2 GROUP BY r),
+hd AS (SELECT r, coalesce(arg_min(license, (-cosine, license)) FILTER (kind = 2), arg_min(license, (-cosine, license)) FILTER (kind < 2)) AS license, coalesce(max(cosine) FILTER (kind = 2), max(cosine)) AS cosine,
+  bool_or(kind = 2) OR greatest(coalesce(sum(size) FILTER (kind = 0), 0), coalesce(max(size) FILTER (kind = 1), 0)) >= 0.3::DOUBLE * any_value(n_words) AS is_file, count(*) FILTER (kind = 0) AS n_headers FROM h JOIN n USING (r) GROUP BY r),
+lic AS (SELECT folder AS given_by, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine FROM hd JOIN f USING (r) WHERE is_file GROUP BY folder),
+up AS (SELECT folder, unnest(range(0, len(p) + 1)) AS depth, p FROM (SELECT DISTINCT folder, CASE WHEN folder = '' THEN [] ELSE string_split(folder, '/') END AS p FROM f)),
+near AS (SELECT folder, arg_max(lic.license, depth) AS license, arg_max(lic.cosine, depth) AS cosine, arg_max(given_by, depth) AS given_by FROM up JOIN lic ON given_by = array_to_string(p[:depth], '/') GROUP BY folder)
+SELECT doc_id, f.folder, CASE WHEN hd.r IS NULL THEN near.license ELSE hd.license END AS license, CASE WHEN hd.r IS NULL THEN near.cosine ELSE hd.cosine END AS cosine,
+  CASE WHEN hd.is_file THEN 'file' WHEN hd.r IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN hd.r IS NULL THEN given_by END AS given_by, coalesce(n_headers, 0)::BIGINT AS n_headers
+FROM f LEFT JOIN hd USING (r) LEFT JOIN near USING (folder)
+""".replace("TEMPLATES", ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in licenses.HEADERS + licenses.TEXTS))
+
+QUALITY = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
 g AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM w)),
@@ -101,7 +145,15 @@ f AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
   + CASE WHEN n_words >= 10 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 32 ELSE 0 END)::BIGINT AS failures FROM m)
 SELECT *, failures & 3 <> 0 AS base_failed, failures = 0 AS kept FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality": QUALITY,
+    "quality_ablation": f"""
+SELECT rule, count(*) FILTER (failures & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (failures = bit)::BIGINT AS n_only_this FROM ({QUALITY})
+CROSS JOIN (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('upper_case', 8), ('repeated_lines', 16), ('word_length', 32)) p(rule, bit) GROUP BY rule
 """,
+    "op3_licenses": LICENSES,
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS place, count(*) OVER (PARTITION BY t) AS group_size,

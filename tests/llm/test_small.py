@@ -50,6 +50,52 @@ def test_mixing_is_repeatable_and_takes_repeated_and_no_rows(spark):
     assert out.columns == clash.columns and out.count() == 7 and {(r["size"], r["_size"], r["_n"]) for r in out.collect()} == {("x", "y", "z")}
 
 
+def spark_hash(*values):
+    """xxhash64 of a row of ints (Python's int is a long, a pair of an int and 4 an integer), strings and booleans."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(4, "little", signed=True) if isinstance(v, bool) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def test_mixing_is_the_restated_one(spark):
+    sources = ["b"] * 80 + ["a"] * 9 + [None] * 25 + ["c"] * 40
+    rows = [(i, "w " * (i * i % 11), "en", s, 0) for i, s in enumerate(sources)]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    size = {i: i * i % 11 for i in range(len(rows))}
+    order = ["a", "b", "c", None]
+    own = {s: sum(size[i] for i, x in enumerate(sources) if x == s) for s in order}
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    # targets: share by weight, stop those above their cap, share again
+    target, rest, free = {}, float(sum(own.values())), list(order)
+    while free:
+        fill = rest / sum(weight[s] for s in free)
+        full = [s for s in free if fill * weight[s] > 3 * own[s]]
+        if not full:
+            target |= {s: fill * weight[s] for s in free}
+            break
+        for s in full:
+            target[s] = 3.0 * own[s]
+            rest -= target[s]
+            free.remove(s)
+    for k, s in enumerate(order):
+        goal, before = round(target[s]), 0
+        mine = sorted((i for i, x in enumerate(sources) if x == s), key=lambda i: (spark_hash("words", i, size[i]) >> 11, i))
+        for i in mine:
+            r, full = got[i], goal // own[s]
+            assert r["target"] == pytest.approx(target[s]) and r["taken"] == full * size[i] + min(size[i], max(0, goal - full * own[s] - before))
+            if r["position"] is not None:
+                # a source of even rank fades from 1.5 to 0.5, the others grow from 0.5 to 1.5; the integral at the position is the demand
+                t = r["position"]
+                area = 1.5 * t - t * t / 2 if k % 2 == 0 else 0.5 * t + t * t / 2
+                assert area == pytest.approx(before / target[s], abs=1e-9)
+            before += size[i]
+
+
 def test_schedules_are_inverted(spark):
     knots = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.5, 2.0), ("a", 1.0, 2.0)], "src string, t double, w double")
     s = mixing.segments(knots).first()
@@ -95,16 +141,50 @@ def test_quality_ablation(spark):
 
 
 def test_licences(spark):
-    texts = ["Released under the MIT License.", "code\n" * 30 + "Licensed under the Apache License, Version 2.0.\n" + "x " * 200, "no header " * 20, None, "a licence to kill is not one of these many lines", "plain"]
-    folders = ["a", "a/b", "a/b", "a/b/c", "", "z"]
-    files = spark.createDataFrame([(i, t, f, "clash") for i, (t, f) in enumerate(zip(texts, folders))] + [(2, texts[2], "a/b", "clash")], "doc_id long, text string, folder string, license string")
+    mit = dict(licenses.TEXTS)["MIT"]
+    words = mit.split()
+    wrapped = "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11))
+    texts = [
+        "Released under the MIT License.", "code\n" * 30 + "Licensed under the Apache License, Version 2.0.\n" + "x " * 200, "no header " * 20, None, "a licence to kill is not one of these many lines", "plain",
+        "Copyright (c) 2020 Some Body\n\n" + wrapped, dict(licenses.TEXTS)["BSD-3-Clause"].replace("copyright holder", "University"), "y " * 90 + "\nThis work is licensed under the GNU\nGeneral Public License, version 3.\n" + "z " * 90,
+        "q " * 40 + "is here. Distributed under the terms of the GPL v3. " + "and more " * 40, "w " * 100_000 + "\nLicensed under CC BY 4.0.",
+    ]
+    folders = ["a", "a/b", "a/b", "a/b/c", "", "z", "m", "n", "o", "o", "o/p"]
+    files = spark.createDataFrame([(i, t, f, "clash", 1) for i, (t, f) in enumerate(zip(texts, folders))] + [(2, texts[2], "a/b", "clash", 1)], "doc_id long, text string, folder string, license string, row int")
     rows = licenses.scan(files, licenses.templates(spark)).collect()
     got = {r["doc_id"]: (r["license"], r["how"], r["given_by"]) for r in rows}
-    assert len(rows) == 7
-    assert got == {0: ("MIT", "file", None), 1: ("Apache-2.0", "header", None), 2: ("MIT", "inherited", "a"), 3: ("MIT", "inherited", "a"), 4: (None, "none", None), 5: (None, "none", None)}
+    assert len(rows) == 12
+    assert got == {
+        0: ("MIT", "file", None), 1: ("Apache-2.0", "header", None), 2: ("MIT", "inherited", "a"), 3: ("MIT", "inherited", "a"), 4: (None, "none", None), 5: (None, "none", None),
+        6: ("MIT", "file", None), 7: ("BSD-3-Clause", "file", None), 8: ("GPL-3.0", "header", None), 9: ("GPL-3.0", "header", None), 10: ("CC-BY-4.0", "header", None),
+    }
     assert licenses.scan(files.limit(0), licenses.templates(spark)).count() == 0
 
 
+def test_licence_bound_drops_nothing(spark):
+    import math
+    import random
+    import re
+
+    r = random.Random(8)
+    lists = [Counter(re.findall(licenses.TOKEN, b.lower())) for _, b in licenses.HEADERS + licenses.TEXTS]
+    df = Counter(t for x in lists for t in x)
+    idf = {t: math.log((1 + len(lists)) / (1 + n)) + 1 for t, n in df.items()}
+    unknown = math.log(1 + len(lists)) + 1
+    cosine = lambda a, b: sum(a[t] * b[t] * idf[t] ** 2 for t in a.keys() & b.keys()) / math.sqrt(sum((n * idf.get(t, unknown)) ** 2 for t, n in a.items()) * sum((n * idf[t]) ** 2 for t, n in b.items()))
+    units = []
+    for _ in range(400):
+        words = list(r.choice(lists).elements())
+        r.shuffle(words)
+        units.append(" ".join(words[: r.randint(1, len(words))] + [f"x{r.randint(0, 9)}" for _ in range(r.randint(0, 12))]))
+    frame = spark.createDataFrame([(u,) for u in units], "unit string")
+    kept = {x["unit"] for x in frame.where(licenses.possible(F.split("unit", " "), idf, unknown)).collect()}
+    found = {x["unit"]: x["cosine"] for x in licenses.scored_parts(frame, licenses.weighted_templates(licenses.templates(spark), len(lists)), unknown).collect()}
+    best = {u: max(cosine(Counter(u.split()), t) for t in lists) for u in units}
+    assert all(u in kept and found[u] == pytest.approx(c, abs=1e-8) for u, c in best.items() if c >= 0.6)
+    assert all(c >= 0.6 - 1e-9 for u, c in best.items() if u in found) and len(kept) < len(set(units))
+
+
 # 4
 
 
@@ -124,6 +204,19 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, []), [1.0], [1.0, 1.0]).count() == 0
 
 
+def test_sharding_is_the_restated_one(spark):
+    import math
+
+    weights = [1.0, 2.0, 0.5, 0.0, 1.0]
+    ids = [*range(-20, 300), 2**62, None]
+    frame = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = {r["id"]: r["s"] for r in frame.withColumn("s", sharding.rendezvous(F.col("id"), weights)).collect()}
+    for i in ids:
+        u = [((spark_hash((k, 4), i is None, i) >> 11) + 0.5) * 2.0**-53 for k in range(len(weights))]
+        score = [-w / math.log(x) if w else -1.0 for w, x in zip(weights, u)]
+        assert got[i] == score.index(max(score))
+
+
 def test_sharding_follows_weights(spark):
     ids = spark.range(4000)
     got = {r[0]: r[1] for r in ids.groupBy(sharding.rendezvous(F.col("id"), [1.0, 3.0, 0.0])).count().collect()}
