@@ -37,14 +37,15 @@ def page_lines(fragments: DataFrame) -> DataFrame:
 
 
 def merged(items: DataFrame, gap: float) -> DataFrame:
-    """Neighbours of a line (text, x, end_x, line_no, line_y) at most `gap` apart as one cell."""
-    line = Window.partitionBy(*PAGE, "line_no").orderBy("x", "end_x", "text")
+    """Neighbours of a line (text, x, end_x, y, line_no, line_y) at most `gap` apart as one cell; of those at one x, the
+    upper one comes first."""
+    line = Window.partitionBy(*PAGE, "line_no").orderBy("x", "y", "end_x", "text")
     far = F.col("x") - F.lag("end_x").over(line) > gap
     marked = items.withColumn("cell_no", F.sum(F.when(far, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.sort_array(F.collect_list(F.struct("x", "end_x", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("x", "y", "end_x", "text")))
     cells = marked.groupBy(*PAGE, "page_height", "line_no", "line_y", "cell_no").agg(parts.alias("_p"))
     return cells.select(*PAGE, "page_height", "line_no", "line_y", "cell_no", clean_text(F.array_join(F.transform("_p", lambda p: p["text"]), " ")).alias("text"),
-        F.get("_p", F.lit(0))["x"].alias("x"), F.element_at("_p", -1)["end_x"].alias("end_x"))
+        F.get("_p", F.lit(0))["x"].alias("x"), F.element_at("_p", -1)["end_x"].alias("end_x"), F.get("_p", F.lit(0))["y"].alias("y"))
 
 
 def line_cells(lines: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def line_cells(lines: DataFrame) -> DataFrame:
 
 def line_texts(cells: DataFrame, gap: float = GLUE_GAP) -> DataFrame:
     """The text of each line: a space where cells are more than `gap` apart."""
-    line = Window.partitionBy(*PAGE, "line_no").orderBy("x", "end_x", "text")
+    line = Window.partitionBy(*PAGE, "line_no").orderBy("x", "y", "end_x", "text")
     apart = F.when(F.col("x") - F.lag("end_x").over(line) > gap, " ").otherwise("")
-    parts = cells.withColumn("_s", F.concat(apart, F.col("text"))).groupBy(*PAGE, "line_no", "line_y").agg(F.sort_array(F.collect_list(F.struct("x", "end_x", "text", "_s"))).alias("_p"))
+    parts = cells.withColumn("_s", F.concat(apart, F.col("text"))).groupBy(*PAGE, "line_no", "line_y").agg(F.sort_array(F.collect_list(F.struct("x", "y", "end_x", "text", "_s"))).alias("_p"))
     return parts.select(*PAGE, "line_no", "line_y", clean_text(F.array_join(F.transform("_p", lambda p: p["_s"]), "")).alias("text"))
 
 
@@ -111,7 +112,7 @@ def within(x: Column, name: str) -> Column:
 def price_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """Lines below the header with a price (or `no price`) in the price column: line_no, y, price, unit."""
     below = cells.join(bounds, PAGE).where((F.col("line_y") > F.col("header_bottom")) & within(F.col("x"), "price"))
-    texts = below.groupBy(*PAGE, "line_no", "line_y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda p: p["text"]), " ").alias("text"))
+    texts = below.groupBy(*PAGE, "line_no", "line_y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "y", "cell_no", "text"))), lambda p: p["text"]), " ").alias("text"))
     rows = texts.withColumn("_p", price_candidate(F.col("text")))
     none = normalize_key(F.col("text")).contains("no price")
     has = F.col("_p.price") > 0
@@ -134,7 +135,7 @@ def row_records(cells: DataFrame, bounds: DataFrame, rows: DataFrame, windows: D
     each = near.join(below, PAGE).where(F.abs(F.col("line_y") - F.col("row_y")) <= F.col("row_window"))
 
     def column(name: str) -> Column:
-        got = F.sort_array(F.collect_list(F.when(within(F.col("x"), name), F.struct("line_y", "x", "text"))))
+        got = F.sort_array(F.collect_list(F.when(within(F.col("x"), name), F.struct("line_y", "x", "y", "cell_no", "text"))))
         return clean_text(F.array_join(F.transform(got, lambda p: p["text"]), " "))
 
     found = each.groupBy(*PAGE, "row_no", "row_y", "price", "unit").agg(column("product").alias("product_name"), column("pack").alias("pack_size"), product_id(column("ident")).alias("product_id"))

@@ -24,3 +24,10 @@ def test_cascade_takes_the_first_way_that_finds_products(spark):
 def test_tables_without_header_or_columns_give_nothing(spark):
     rows = [(1, 1, 0, 0, ["a", "b"]), (1, 1, 0, 1, ["c", "1"]), (2, 1, 0, 0, ["Name", "Qty"]), (2, 1, 0, 1, ["x", "1"]), (3, 1, 0, 0, ["", ""])]
     assert tables.tabular_records(spark.createDataFrame(rows, SCHEMAS["table_rows"])).count() == 0
+
+
+def test_stacked_words_come_from_top_to_bottom(spark):
+    words = [(1, 1, 792.0, t, x, e, y) for t, x, e, y in (("Alpha", 100.0, 120.0, 121.0), ("Zulu", 100.0, 128.0, 120.0), ("next", 131.0, 150.0, 120.5), ("far", 300.0, 310.0, 122.0))]
+    cells = layout.line_cells(layout.page_lines(spark.createDataFrame(words, SCHEMAS["fragments"])))
+    assert [(r["text"], r["x"], r["y"]) for r in cells.orderBy("x").collect()] == [("Zulu Alpha", 100.0, 120.0), ("next", 131.0, 120.5), ("far", 300.0, 122.0)]
+    assert [r["text"] for r in layout.line_texts(cells).collect()] == ["Zulu Alpha next far"]
