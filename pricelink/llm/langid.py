@@ -210,8 +210,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     lengths = np.array([len(found[i][1]) for i in rows])
     target = np.repeat([langs.index(labels[i]) for i in rows], lengths)
     word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, slots.shape[1])))
-    flat, owner = slots.ravel(), np.tile(word.astype(np.int32), len(slots))
-    weights, squares = np.zeros((SLOTS + 1, k)), np.full((SLOTS + 1, k), 1e-3)
+    weights, squares = np.zeros((SLOTS + 1, k), np.float32), np.full((SLOTS + 1, k), 1e-3)
     stay = np.log(np.where(np.eye(k, dtype=bool), 0.95, 0.05 / max(1, k - 1)))
     change, first = stay.copy(), np.full(k, -np.log(k))
     inner = np.ones(len(starts), bool)
@@ -233,7 +232,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
                 guess /= guess.sum(axis=1, keepdims=True)
             error = goal - guess
             for j in range(k):
-                slope = np.bincount(flat, error[owner, j], SLOTS + 1) / len(starts) - 1e-7 * weights[:, j]
+                each = error[word, j]
+                slope = sum(np.bincount(row, each, SLOTS + 1) for row in slots) / len(starts) - 1e-7 * weights[:, j]
                 squares[:, j] += (slope * 1e3) ** 2
                 weights[:, j] += RATE * slope * 1e3 / np.sqrt(squares[:, j])
             weights[SLOTS] = 0
