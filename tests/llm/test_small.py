@@ -130,6 +130,21 @@ def test_quality_measurements(spark):
     assert quality.judged(docs(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_come_back_as_often_whatever_their_columns(spark):
+    files, long = tokenizer_files(), "long word " * 60_000
+    df = docs(spark, ["a b c", "a b c", long]).union(docs(spark, ["a b c"])).withColumn("n_words", F.lit("x")).withColumn("_t", F.lit("y")).withColumn("ids_", F.lit(1)).withColumn("_found", F.lit(2)).withColumn("slot_", F.lit(3))
+    judged = quality.judged(df).collect()
+    assert sorted((r["doc_id"], r["n_words"]) for r in judged) == [(0, 3), (0, 3), (1, 3), (2, 120_000)]
+    tokens = bpe.encode(df, **files).collect()
+    assert len(tokens) == 4 and len({bytes(r["ids"]) for r in tokens}) == 2 and {r["_found"] for r in tokens} == {2}
+    en, de = sample_texts()
+    langs = langid.identified(df, langid.fit([en, de], ["en", "de"])).collect()
+    assert len(langs) == 4 and {r["_found"] for r in langs} == {2}
+    assert sorted(r["size"] for r in mixing.mix(df).collect()) == [3, 3, 3, 120_000]
+    placed = sharding.shard_documents(df, [1.0] * 2, [1.0] * 3).collect()
+    assert sorted(r["size"] for r in placed) == [6, 6, 6, len(long) + 1] and len({r["shard"] for r in placed if r["doc_id"] == 0}) == 1
+
+
 def test_quality_ablation(spark):
     found = spark.createDataFrame([(0,), (1,), (1,), (3,), (4,)], "failures long")
     got = {r["rule"]: (r["n_failed"], r["n_only_this"]) for r in quality.ablation(found, "v1").collect()}
