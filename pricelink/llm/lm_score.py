@@ -28,6 +28,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
@@ -130,13 +131,19 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) & ~np.uint64(1)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers as eight planes of bytes: the upper ones are zeros, which shuffles compress to nothing."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def packed(values: np.ndarray, level: int = 0) -> bytes:
+    """Integers as planes of bytes, as many as the largest needs (their number comes first); with a level, compressed, as
+    most counts are small."""
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width])
+    return bytes([width]) + zlib.compress(planes, level)
 
 
-def unplaned(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : data[0]] = planes.T
+    return whole.view("<u8").ravel().astype(np.int64)
 
 
 def dealt(docs: DataFrame, target: DataFrame, key: str, text: str) -> DataFrame:
@@ -164,30 +171,30 @@ def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
         block = block_of(table)
         bucket = (block.keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
-        parts = [[planes(x) for x in np.split(values, cuts)] for values in (block.target, block.background)]
+        parts = [[packed(x, 1) for x in np.split(values, cuts)] for values in (block.target, block.background)]
         # keys of a bucket are near each other, so their steps have fewer bytes
-        parts.insert(0, [planes(np.diff(x, prepend=np.uint64(0))) for x in np.split(block.keys, cuts)])
+        parts.insert(0, [packed(np.diff(x, prepend=x[:1])) + x[0].tobytes() for x in np.split(block.keys, cuts)])
         names = bucket[np.concatenate(([0], cuts))].astype(np.int64)
         arrays = [pa.array([table.column("_block")[0].as_py()] * len(names), pa.int64()), pa.array(names), *[pa.array(x, pa.binary()) for x in parts]]
         return pa.Table.from_arrays(arrays, ["block", "bucket", "keys", "target", "background"])
 
     def summed(table: pa.Table) -> pa.Table:
         """What the other blocks have of each block's keys: zeros for most, which shuffle in few bytes."""
-        keys = [np.cumsum(unplaned(x).view(np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        keys = [np.cumsum(unpacked(x[:-8]).view(np.uint64), dtype=np.uint64) + np.frombuffer(x[-8:], np.uint64) for x in table.column("keys").to_pylist()]
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         cuts = np.cumsum([len(x) for x in keys])[:-1]
         parts = []
         for side in ("target", "background"):
-            total, own = np.zeros(len(found), np.int64), np.concatenate([unplaned(x) for x in table.column(side).to_pylist()])
+            total, own = np.zeros(len(found), np.int64), np.concatenate([unpacked(x) for x in table.column(side).to_pylist()])
             np.add.at(total, place, own)
-            parts.append([planes(x) for x in np.split(total[place] - own, cuts)])
+            parts.append([packed(x, 1) for x in np.split(total[place] - own, cuts)])
         n_words = int((found & np.uint64(1)).sum())
         columns = [table.column("block").to_pylist() + [None], table.column("bucket").to_pylist() + [None], *[x + [None] for x in parts], [None] * len(keys) + [n_words]]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "bucket", "target", "background", "n_words"])
 
     def judged(table: pa.Table, sums: pa.Table) -> pa.Table:
         block, sums = block_of(table), sums.sort_by("bucket")
-        totals = {side: own + np.concatenate([unplaned(x) for x in sums.column(side).to_pylist()]) for side, own in (("target", block.target), ("background", block.background))}
+        totals = {side: own + np.concatenate([unpacked(x) for x in sums.column(side).to_pylist()]) for side, own in (("target", block.target), ("background", block.background))}
         found = block.losses(totals, sums.column("vocabulary")[0].as_py())
         return pa.Table.from_arrays([table.column("_id"), *[pa.array(x, pa.int64()) for x in found.values()]], ["_id", *found])
 
