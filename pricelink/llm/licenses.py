@@ -9,8 +9,9 @@ A file of which the whole, or parts with FILE_SHARE of its words, reach the thre
 one that reaches it in any other part has a header. A file without either takes the licence of the nearest directory above
 it (its own first) that has a licence file; of several there, the best cosine, then the first name.
 
-Before anything is shuffled, each part is bounded within its row: a cosine is at most the share of the template words in
-the vector's length, so a part whose unknown words are too many is dropped, and none that could reach the threshold is.
+Before anything is shuffled, each part is bounded within its row: its product with a template is at most that with the
+largest weight of each of its words in any template, and at most the length of its template words. A part that cannot
+reach the threshold by both is dropped, and no other.
 What is left is scored once for each distinct run of words, and directories are resolved once each, so a hot header or
 directory adds no work. Templates are a list that the driver can hold.
 
@@ -32,6 +33,8 @@ FILE_SHARE = 0.3
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 PART = r"\n|[.!?][ \t]+"
 LINE, PAIR, WHOLE = 0, 1, 2
+SLOTS = 1024
+WORDS = "array<struct<h: long, idf: double, most: double>>"
 
 #: Header statements of licences.
 HEADERS = [
@@ -91,48 +94,82 @@ def weighted_templates(found: DataFrame, n: int) -> DataFrame:
     return raw.join(size, ["license", "statement"]).select("token", "idf", "license", "statement", (F.col("x") / F.col("size")).alias("w"))
 
 
-def possible(words: Column, known: dict[str, float], unknown: float, threshold: float = THRESHOLD) -> Column:
-    """May a part with these words reach the threshold? The squared length of its known words, each weighed as the most of
-    its half of the vocabulary, against the least that its unknown words add."""
-    half = sorted(known.values())[len(known) // 2]
-    common = [t for t, x in known.items() if x < half]
-    heavy, light = max(known.values()) ** 2, max([known[t] for t in common], default=0.0) ** 2
-    mine = F.array_sort(F.filter(words, lambda x: x.isin(list(known))))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+def vocabulary(weights: DataFrame) -> Column:
+    """The templates' words as a scalar: SLOTS arrays of (hash, idf, largest weight), by the hash."""
+    words = weights.groupBy("token").agg(F.first("idf").alias("idf"), F.max("w").alias("most")).select(F.xxhash64("token").alias("h"), "idf", "most")
+    held = words.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.collect_list(F.struct("h", "idf", "most")).alias("words"))
+    every = weights.sparkSession.range(SLOTS).join(held, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("words", F.array().cast(WORDS)).alias("words"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", "words"))).alias("all")).select(F.transform("all", lambda x: x["words"])).scalar()
+
+
+def known_words(words: Column, slots: Column) -> Column:
+    """(hash, idf, largest weight) of those words that occur in a template."""
+
+    def found(x: Column) -> Column:
+        return F.get(F.filter(F.get(slots, F.pmod(F.xxhash64(x), F.lit(SLOTS)).cast("int")), lambda e: e["h"] == F.xxhash64(x)), F.lit(0))
+
+    return F.filter(F.transform(words, found), lambda e: e.isNotNull())
+
+
+def possible(known: Column, strange: Column, unknown: float, threshold: float = THRESHOLD) -> Column:
+    """May a part with these known words and `strange` others reach the threshold? A word that occurs n times adds the
+    square of n times its idf to the squared length, which is the sum of the odd numbers up to n; the others add at
+    least as much as if they were all distinct."""
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("length"), F.lit(0.0).alias("dot"))
 
     def step(acc: Column, x: Column) -> Column:
-        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
-        # the odd numbers up to the count's add up to its square
-        return F.struct(x.alias("last"), run.alias("run"), (acc["sum"] + (2 * run - 1) * F.when(x.isin(common), light).otherwise(heavy)).alias("sum"))
+        run = F.when(acc["last"] == x["h"], acc["run"] + 1).otherwise(1)
+        return F.struct(x["h"].alias("last"), run.alias("run"), (acc["length"] + (2 * run - 1) * x["idf"] * x["idf"]).alias("length"), (acc["dot"] + x["idf"] * x["most"]).alias("dot"))
 
-    square = F.aggregate(mine, start, step, lambda acc: acc["sum"])
-    strange = F.size(F.array_distinct(F.filter(words, lambda x: ~x.isin(list(known)))))
-    return square * (1 - threshold**2) >= strange * unknown**2 * threshold**2 - 1e-6
+    def reaches(acc: Column) -> Column:
+        rest, least = strange * unknown**2, threshold**2
+        return (acc["length"] * (1 - least) >= rest * least - 1e-6) & (acc["dot"] * acc["dot"] >= (acc["length"] + rest) * least - 1e-6)
 
+    return (F.size(known) > 0) & F.aggregate(F.array_sort(known), start, step, reaches)
 
-def parts(text: Column) -> Column:
-    """(kind, words) of lines and sentences with words, of two that stand together, and of the whole."""
-    each = F.filter(F.transform(F.split(text_or_empty(text), PART), tokens), lambda x: F.size(x) > 0)
+
+def parts(text: Column, slots: Column) -> Column:
+    """(kind, words, known) of lines and sentences with words, of two that stand together, and of the whole."""
+    found = F.filter(F.transform(F.split(text_or_empty(text), PART), tokens), lambda x: F.size(x) > 0)
+    each = F.transform(found, lambda x: F.struct(x.alias("words"), known_words(x, slots).alias("known")))
+
+    def part(kind: int, words: Column, known: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), words.alias("words"), known.alias("known"))
 
     def kinds(e: Column) -> Column:
-        pairs = F.transform(F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda x, i: F.struct(F.lit(PAIR).alias("kind"), F.concat(F.get(e, i), x).alias("words")))
-        whole = F.filter(F.array(F.struct(F.lit(WHOLE).alias("kind"), F.flatten(e).alias("words"))), lambda p: F.size(p["words"]) > 0)
-        return F.concat(F.transform(e, lambda x: F.struct(F.lit(LINE).alias("kind"), x.alias("words"))), pairs, whole)
+        pairs = F.transform(F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda x, i: part(PAIR, F.concat(F.get(e, i)["words"], x["words"]), F.concat(F.get(e, i)["known"], x["known"])))
+        whole = F.filter(F.array(part(WHOLE, F.flatten(F.transform(e, lambda x: x["words"])), F.flatten(F.transform(e, lambda x: x["known"])))), lambda p: F.size(p["words"]) > 0)
+        return F.concat(F.transform(e, lambda x: part(LINE, x["words"], x["known"])), pairs, whole)
 
     return F.get(F.transform(F.array(each), kinds), F.lit(0))
 
 
+def as_unit(words: Column, slots: Column) -> Column:
+    """What the cosine needs of a part: its template words, and for the others the sum of their squared counts."""
+    known = lambda x: F.exists(F.get(slots, F.pmod(F.xxhash64(x), F.lit(SLOTS)).cast("int")), lambda e: e["h"] == F.xxhash64(x))
+    others = F.array_sort(F.transform(F.filter(words, lambda x: ~known(x)), lambda x: F.xxhash64(x)))
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+
+    def step(acc: Column, h: Column) -> Column:
+        run = F.when(acc["last"] == h, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(h.alias("last"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
+
+    return F.struct(F.array_join(F.filter(words, known), " ").alias("unit"), F.aggregate(others, start, step, lambda acc: acc["sum"]).alias("strange"))
+
+
 def scored_parts(units: DataFrame, weights: DataFrame, unknown: float, threshold: float = THRESHOLD) -> DataFrame:
-    """unit (words joined by spaces), license, cosine for each distinct unit that reaches the threshold."""
-    words = weights.select("token", "idf").distinct()
-    by_token = weights.groupBy("token").agg(F.collect_list(F.struct("license", "statement", "w")).alias("in"))
-    counts = units.select("unit").distinct().select("unit", F.explode(F.split("unit", " ")).alias("token")).groupBy("unit", "token").agg(F.count(F.lit(1)).alias("tf"))
-    vector = counts.join(words, "token", "left").join(by_token, "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    sizes = vector.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"), F.collect_list(F.when(F.col("in").isNotNull(), F.struct("x", "in"))).alias("parts"))
-    dots = sizes.select("unit", "size", F.explode(F.flatten(F.transform("parts", lambda p: F.transform(p["in"], lambda t: F.struct(t["license"].alias("license"), t["statement"].alias("statement"), (p["x"] * t["w"]).alias("y")))))).alias("d"))
-    cosines = dots.groupBy("unit", "size", "d.license", "d.statement").agg(F.sum("d.y").alias("dot")).withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9))
-    best = cosines.groupBy("unit").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
-    return best.select("unit", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine")).where(F.col("cosine") >= threshold)
+    """unit, strange, license, cosine for each distinct unit (see `as_unit`) that reaches the threshold."""
+    distinct = written(units.select("unit", "strange").distinct().select(F.monotonically_increasing_id().alias("id"), "unit", "strange"), "license_units")
+    by_token = weights.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("license", "statement", "w")).alias("in"))
+    counts = distinct.select("id", F.explode(F.split("unit", " ")).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    vector = counts.join(by_token, "token").withColumn("x", F.col("tf") * F.col("idf"))
+    known = vector.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    sizes = known.join(distinct, "id").select("id", F.sqrt(F.col("square") + F.col("strange") * F.lit(unknown**2)).alias("size"))
+    each = vector.select("id", "x", F.inline("in"))
+    dots = each.groupBy("id", "license", "statement").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    cosines = dots.join(sizes, "id").withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= threshold)
+    best = cosines.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
+    return best.join(distinct, "id").select("unit", "strange", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
 
 
 def parents(folder: Column) -> Column:
@@ -156,13 +193,13 @@ def scan(files: DataFrame, found: DataFrame, key: str = "doc_id", folder: str =
     sentences that reach the threshold)."""
     n = found.count()
     weights, unknown = written(weighted_templates(found, n), "templates"), log(1.0 + n) + 1
-    known = {r["token"]: r["idf"] for r in weights.select("token", "idf").distinct().collect()}
-    every = parts(F.col(text))
-    open_parts = F.transform(F.filter(every, lambda p: possible(p["words"], known, unknown)), lambda p: F.struct(p["kind"].alias("kind"), F.array_join(p["words"], " ").alias("unit"), F.size(p["words"]).alias("size")))
-    size = F.coalesce(F.try_element_at(F.transform(F.filter(every, lambda p: p["kind"] == WHOLE), lambda p: F.size(p["words"])), F.lit(1)), F.lit(0))
-    rows = written(files.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(folder), F.lit("")).alias("folder"), size.alias("n_words"), open_parts.alias("parts")), "license_parts")
-    each = rows.select("row", "n_words", F.inline("parts"))
-    hits = each.join(scored_parts(each, weights, unknown), "unit")
+    named = files.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.coalesce(F.col(folder), F.lit("")).alias("folder"), F.col(text).alias("text")).withColumn("slots", vocabulary(weights))
+    cut = named.select("row", "key", "folder", "slots", parts(F.col("text"), F.col("slots")).alias("every"))
+    last = F.try_element_at("every", F.lit(-1))
+    open_parts = F.transform(F.filter("every", lambda p: possible(p["known"], F.size(p["words"]) - F.size(p["known"]), unknown)), lambda p: F.struct(p["kind"].alias("kind"), F.size(p["words"]).alias("size"), as_unit(p["words"], F.col("slots")).alias("u")))
+    rows = written(cut.select("row", "key", "folder", F.coalesce(F.size(last["words"]), F.lit(0)).alias("n_words"), open_parts.alias("parts")), "license_parts")
+    each = rows.select("row", "n_words", F.inline("parts")).select("row", "n_words", "kind", "size", "u.unit", "u.strange")
+    hits = each.join(scored_parts(each, weights, unknown), ["unit", "strange"])
 
     def words(kind: int) -> Column:
         return F.when(F.col("kind") == kind, F.col("size"))

@@ -193,8 +193,12 @@ def test_licence_bound_drops_nothing(spark):
         r.shuffle(words)
         units.append(" ".join(words[: r.randint(1, len(words))] + [f"x{r.randint(0, 9)}" for _ in range(r.randint(0, 12))]))
     frame = spark.createDataFrame([(u,) for u in units], "unit string")
-    kept = {x["unit"] for x in frame.where(licenses.possible(F.split("unit", " "), idf, unknown)).collect()}
-    found = {x["unit"]: x["cosine"] for x in licenses.scored_parts(frame, licenses.weighted_templates(licenses.templates(spark), len(lists)), unknown).collect()}
+    weights = licenses.weighted_templates(licenses.templates(spark), len(lists))
+    known = licenses.known_words(F.split("unit", " "), F.col("slots"))
+    frame = frame.withColumn("slots", licenses.vocabulary(weights)).withColumn("u", licenses.as_unit(F.split("unit", " "), F.col("slots"))).where("u.unit <> ''").cache()
+    kept = {x["unit"] for x in frame.where(licenses.possible(known, F.size(F.split("unit", " ")) - F.size(known), unknown)).collect()}
+    scored = licenses.scored_parts(frame.select("u.*"), weights, unknown)
+    found = {x["unit"]: x["cosine"] for x in frame.select(F.col("unit").alias("text"), "u.*").join(scored, ["unit", "strange"]).select(F.col("text").alias("unit"), "cosine").collect()}
     best = {u: max(cosine(Counter(u.split()), t) for t in lists) for u in units}
     assert all(u in kept and found[u] == pytest.approx(c, abs=1e-8) for u, c in best.items() if c >= 0.6)
     assert all(c >= 0.6 - 1e-9 for u, c in best.items() if u in found) and len(kept) < len(set(units))
