@@ -160,13 +160,15 @@ def as_unit(words: Column, slots: Column) -> Column:
 def scored_parts(units: DataFrame, weights: DataFrame, unknown: float, threshold: float = THRESHOLD) -> DataFrame:
     """unit, strange, license, cosine for each distinct unit (see `as_unit`) that reaches the threshold."""
     distinct = written(units.select("unit", "strange").distinct().select(F.monotonically_increasing_id().alias("id"), "unit", "strange"), "license_units")
-    by_token = weights.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("license", "statement", "w")).alias("in"))
-    counts = distinct.select("id", F.explode(F.split("unit", " ")).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    template = F.struct("license", F.xxhash64("license", "statement").alias("number"), "w")
+    by_token = F.broadcast(weights.groupBy("token").agg(F.first("idf").alias("idf"), F.collect_list(template).alias("in")))
+    # dealt by unit once, all that follows stays in place
+    counts = distinct.repartition("id").select("id", F.explode(F.split("unit", " ")).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
     vector = counts.join(by_token, "token").withColumn("x", F.col("tf") * F.col("idf"))
     known = vector.groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
     sizes = known.join(distinct, "id").select("id", F.sqrt(F.col("square") + F.col("strange") * F.lit(unknown**2)).alias("size"))
     each = vector.select("id", "x", F.inline("in"))
-    dots = each.groupBy("id", "license", "statement").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = each.groupBy("id", "license", "number").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     cosines = dots.join(sizes, "id").withColumn("cosine", F.round(F.col("dot") / F.col("size"), 9)).where(F.col("cosine") >= threshold)
     best = cosines.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"))
     return best.join(distinct, "id").select("unit", "strange", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("cosine"))
