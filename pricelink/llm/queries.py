@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, licenses, lm_score, mixing, quality, sharding, simhash, urlfilter
+from . import bpe, dedup, langid, licenses, lm_score, merkle, mixing, quality, sharding, simhash, urlfilter
 from .common import written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -75,6 +75,10 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(pages, urlfilter.policy(spark))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(documents(spark, sf_dir), merkle.without_line_ends())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
+    "op12_merkle": op12_merkle,
     "quality_ablation": quality_ablation,
 }
 
@@ -170,6 +175,27 @@ r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AN
   nullif(regexp_extract(rtrim(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '.'), '(?:^|\.)((?:cheap-pills|free-bets|spam-farm|adult-x|casino-win|ads-track)\.example\.(?:com|net|org))$', 1), '') AS listed FROM p)
 SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
   ELSE CASE WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END END AS verdict, listed FROM r
+""",
+    "op12_merkle": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM documents),
+f AS (SELECT r, doc_id, source, xor(crc, 4294967295) % 2 = 0 AS forged, text, concat(strlen(doc_id::VARCHAR), ':', doc_id) AS a, CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END AS b,
+  CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END AS c, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END AS e, replace(text, chr(10), '') AS cut FROM d),
+l AS (SELECT r, doc_id, source, forged, sha256(concat(a, b, c, e, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END)) AS leaf,
+  sha256(concat(a, b, c, e, CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(cut), ':', cut) END)) AS other, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM f),
+lv AS (SELECT source, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM l GROUP BY source
+  UNION ALL SELECT source, level + 1, list_transform(range((len(nodes) + 2) // 3), lambda k: sha256(array_to_string(nodes[3 * k + 1:3 * k + 3], ''))) FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM lv WHERE len(nodes) = 1),
+tv AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM sub
+  UNION ALL SELECT level + 1, list_transform(range((len(nodes) + 2) // 3), lambda k: sha256(array_to_string(nodes[3 * k + 1:3 * k + 3], ''))) FROM tv WHERE len(nodes) > 1),
+w AS (SELECT r, source, 0 AS level, pos, CASE WHEN forged THEN other ELSE leaf END AS h, '' AS proof FROM l
+  UNION ALL SELECT r, w.source, w.level + 1, pos // 3, sha256(concat(array_to_string(nodes[pos - pos % 3 + 1:pos], ''), h, array_to_string(nodes[pos + 2:pos - pos % 3 + 3], ''))),
+  concat(proof, array_to_string(nodes[pos - pos % 3 + 1:pos], ''), array_to_string(nodes[pos + 2:pos - pos % 3 + 3], '')) FROM w JOIN lv ON lv.source IS NOT DISTINCT FROM w.source AND lv.level = w.level AND len(nodes) > 1),
+x AS (SELECT r, 0 AS level, sub.pos, h, proof FROM w JOIN lv ON lv.source IS NOT DISTINCT FROM w.source AND lv.level = w.level AND len(nodes) = 1 JOIN sub ON sub.source IS NOT DISTINCT FROM w.source
+  UNION ALL SELECT r, x.level + 1, pos // 3, sha256(concat(array_to_string(nodes[pos - pos % 3 + 1:pos], ''), h, array_to_string(nodes[pos + 2:pos - pos % 3 + 3], ''))),
+  concat(proof, array_to_string(nodes[pos - pos % 3 + 1:pos], ''), array_to_string(nodes[pos + 2:pos - pos % 3 + 3], '')) FROM x JOIN tv ON tv.level = x.level AND len(nodes) > 1)
+SELECT l.doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = nodes[1] AS verified
+FROM x JOIN tv ON tv.level = x.level AND len(nodes) = 1 JOIN l USING (r) JOIN sub ON sub.source IS NOT DISTINCT FROM l.source
 """,
     "op10_lm_score": r"""
 WITH good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
