@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, licenses, lm_score, merkle, mixing, quality, sharding, simhash, urlfilter
+from . import bpe, dedup, langid, licenses, lm_score, merkle, mixing, quality, runs, sharding, simhash, urlfilter
 from .common import written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -75,6 +75,10 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(pages, urlfilter.policy(spark))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.with_planted_runs(documents(spark, sf_dir)))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(documents(spark, sf_dir), merkle.without_line_ends())
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urlfilter": op8_urlfilter,
     "op9_simhash": op9_simhash,
     "op10_lm_score": op10_lm_score,
+    "op11_runs": op11_runs,
     "op12_merkle": op12_merkle,
     "quality_ablation": quality_ablation,
 }
