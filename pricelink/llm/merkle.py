@@ -84,7 +84,7 @@ def taken_apart(blocks: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "rank", "node.item", "path")
 
 
-NO_PATH = F.array().cast("array<struct<before: string, after: string>>")
+PATH = "array<struct<before: string, after: string>>"
 
 
 def tiers(nodes: DataFrame, group: list[str]) -> list[DataFrame]:
@@ -103,7 +103,7 @@ def proved(found: list[DataFrame], group: list[str], tops: DataFrame | None, car
     the root of each group; without it there is one group and nothing above."""
     above = found[-1].select(*group, F.lit(0).cast("long").alias("rank"), F.col("node.h").alias("top"))
     if tops is None:
-        above = above.withColumn("path", NO_PATH)
+        above = above.withColumn("path", F.array().cast(PATH))
     else:
         above = meet(above, tops, group)
     for blocks in reversed(found):
