@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, licenses, lm_score, merkle, mixing, quality, runs, sharding, simhash, urlfilter
+from . import bpe, dedup, langid, licenses, lm_score, merkle, mixing, quality, runs, sharding, simhash, substring, urlfilter
 from .common import written
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -83,6 +83,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(documents(spark, sf_dir), merkle.without_line_ends())
 
 
+def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_score": op10_lm_score,
     "op11_runs": op11_runs,
     "op12_merkle": op12_merkle,
+    "op13_substring": op13_substring,
     "quality_ablation": quality_ablation,
 }
 
@@ -201,6 +206,16 @@ x AS (SELECT r, 0 AS level, sub.pos, h, proof FROM w JOIN lv ON lv.source IS NOT
   concat(proof, array_to_string(nodes[pos - pos % 3 + 1:pos], ''), array_to_string(nodes[pos + 2:pos - pos % 3 + 3], '')) FROM x JOIN tv ON tv.level = x.level AND len(nodes) > 1)
 SELECT l.doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = nodes[1] AS verified
 FROM x JOIN tv ON tv.level = x.level AND len(nodes) = 1 JOIN l USING (r) JOIN sub ON sub.source IS NOT DISTINCT FROM l.source
+""",
+    "op13_substring": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i+49], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT r, i FROM g QUALIFY doc_id > min(doc_id) OVER (PARTITION BY g)),
+c AS (SELECT DISTINCT r, i + k AS i FROM f, range(50) AS k(k)),
+x AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (r, i) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
 """,
     "op10_lm_score": r"""
 WITH good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
