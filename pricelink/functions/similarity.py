@@ -63,7 +63,8 @@ def text_ratio(a: Column, b: Column, kind: str = "difflib") -> Column:
         for left, right in batches:
             yield pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(left, right)], dtype="float64")
 
-    return F.when(a == b, F.lit(1.0)).otherwise(run(F.when(a != b, a), F.when(a != b, b)))
+    # so marked, a filter on the ratio stays above it, and it is computed once, where its pairs are dealt to
+    return F.when(a == b, F.lit(1.0)).otherwise(run.asNondeterministic()(F.when(a != b, a), F.when(a != b, b)))
 
 
 def char_counts(text: Column) -> Column:

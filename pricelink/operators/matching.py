@@ -2,8 +2,9 @@
 
 Stores are taken in order. Each item of a store proposes to one cluster: the first one with the same key, else the most
 similar one, if it is similar enough and ahead of the runner-up; a cluster takes its best proposal, and all other items
-open clusters of their own. Similar pairs come from a join on shared tokens (number tokens where both names have some),
-which loses nothing: without a shared token a score cannot reach threshold - margin.
+open clusters of their own. Similar pairs come from joins on shared tokens, which lose nothing: without a shared token (a
+number token where both names have some) a score cannot reach threshold - margin. Pairs that share a number and two rare
+tokens are scored first; of the others only those are met that can still be the best or second of their item.
 
 Clusters are two long tables: clusters (cluster_id, phase, ord, sub, source, given_name) in the order (phase, ord, sub),
 and members (cluster_id, store, product_key, product_name, price, score, source).
@@ -14,11 +15,11 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import FEATURES, with_features
-from ..functions.similarity import char_counts, open_pairs, with_score
+from ..functions.similarity import EQUAL, char_counts, open_pairs, with_score
 from ..functions.text import clean_text, normalize_key, valid_price
 from ..sources.tables import staged
 from . import report
@@ -30,6 +31,8 @@ BEST_WITHOUT_TOKEN = {"v2": 0.35, "legacy": 0.0}
 ORDER = ["phase", "ord", "sub"]
 #: Texts of items that meet the members of one token in one task, and pairs that a join without tokens may make.
 DEALT = 1000
+#: A token in more than one of so many texts is common: it selects little.
+COMMON = 4
 MAX_PAIRS = 10**9
 
 
@@ -81,24 +84,106 @@ def distinct_texts(df: DataFrame, p: str) -> DataFrame:
     return texts.select(*[F.col(c).alias(f"{p}_{c}") for c in [*FEATURES, *(["first"] if first else [])]])
 
 
-def candidate_pairs(items: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct pairs of texts (a: item, b: member) that share a token; a shared number token where both have numbers.
-    A pair is kept at its first shared token, so nothing is left to drop later. The items of a frequent token are dealt
-    to as many tasks as its frequency needs, each with all members of it."""
-    a, b = (distinct_texts(df, p).withColumn(f"{p}_chars", char_counts(F.col(f"{p}_canonical_text"))) for df, p in ((items, "a"), (members, "b")))
-
-    def meeting(left: DataFrame, right: DataFrame, what: str) -> DataFrame:
-        each = left.withColumn("_t", F.explode(f"a_{what}"))
-        salts = each.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("_salts"))
-        dealt = each.join(salts, "_t").withColumn("_salt", F.pmod(F.xxhash64("a_canonical_text", "a_states"), F.col("_salts")).cast("int")).drop("_salts")
-        every = right.withColumn("_t", F.explode(f"b_{what}")).join(salts, "_t").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-        once = F.col("_t") == F.array_min(F.array_intersect(f"a_{what}", f"b_{what}"))
-        return dealt.join(every, ["_t", "_salt"]).where(once).drop("_t", "_salt")
-
-    b_none = b.where(F.size("b_numbers") == 0)
-    one = meeting(a.where(F.size("a_numbers") == 0), b, "tokens")
-    other = meeting(a.where(F.size("a_numbers") > 0), b_none, "tokens")
-    return meeting(a, b, "numbers").unionByName(one).unionByName(other)
+def text_sides(items: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts of items (a_) and members (b_) with char_counts and `rare`, the tokens without a digit that are in fewer
+    than one in COMMON texts. At most COMMON times the mean number of tokens are not rare, so these fit in one value."""
+    sides = {p: staged(distinct_texts(df, p).withColumn(f"{p}_chars", char_counts(F.col(f"{p}_canonical_text"))), f"texts_{p}") for p, df in (("a", items), ("b", members))}
+    every = sides["a"].select(F.col("a_tokens").alias("_t")).unionByName(sides["b"].select(F.col("b_tokens").alias("_t")))
+    counts = every.select(F.explode("_t").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    common = F.array(*[F.lit(r["_t"]) for r in counts.where(F.col("_n") * COMMON >= every.count()).collect()]).cast("array<string>")
+    return tuple(sides[p].withColumn(f"{p}_rare", F.sort_array(F.array_except(F.array_except(f"{p}_tokens", f"{p}_numbers"), common))) for p in "ab")
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: str) -> DataFrame:
+    """Pairs (a, b) that share a key of the arrays a_<keys>, b_<keys>, each at its first shared key, so nothing is left to drop
+    later. The items of a frequent key are dealt to as many tasks as its frequency needs, each with all members of it."""
+    each = left.withColumn("_t", F.explode(f"a_{keys}"))
+    salts = each.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("_salts"))
+    dealt = each.join(salts, "_t").withColumn("_salt", F.pmod(F.xxhash64("a_canonical_text", "a_states"), F.col("_salts")).cast("int")).drop("_salts")
+    every = right.withColumn("_t", F.explode(f"b_{keys}")).join(salts, "_t").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    once = F.col("_t") == F.array_min(F.array_intersect(f"a_{keys}", f"b_{keys}"))
+    return dealt.join(every, ["_t", "_salt"]).where(once).drop("_t", "_salt")
+
+
+def seed_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs that share a number and two rare tokens, by a join on all three."""
+
+    def keys(side: str) -> Column:
+        rare = F.col(f"{side}_rare")
+        twos = F.flatten(F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, F.greatest(F.lit(0), F.size(rare) - i - 1)), lambda y: F.concat_ws(" ", x, y))))
+        return F.flatten(F.transform(F.col(f"{side}_numbers"), lambda n: F.transform(twos, lambda t: F.concat_ws(" ", n, t))))
+
+    return meeting(a.withColumn("a_keys", keys("a")), b.withColumn("b_keys", keys("b")), "keys").drop("a_keys", "b_keys")
+
+
+def ceiling(scorer: str) -> Column:
+    """The most that a pair with at most one rare token in common can score, from the sizes of both sides."""
+    n, other, strong, plain, length = ({p: F.col(f"{p}_{c}") for p in "ab"} for c in ("n", "other", "n_strong", "n_plain", "length"))
+    both = F.least(F.lit(1.0), (1 + F.least(*other.values())) / F.greatest(F.lit(1), F.least(*n.values())))
+    ratio = F.least(F.lit(1.0), 2 * F.least(*length.values()) / F.greatest(F.lit(1), length["a"] + length["b"]))
+    if scorer == "legacy":
+        return 0.75 * both + 0.13 + 0.25 * ratio
+    overlap = F.least(F.lit(1.0), (1 + F.least(*plain.values())) / F.greatest(F.lit(1), F.least(*strong.values())))
+    return 0.44 * both + 0.26 * overlap + 0.07 + F.when(F.col("a_kinds") > 0, 0.05).otherwise(0.0) + 0.30 * ratio
+
+
+def sizes(side: str) -> list[Column]:
+    """What `ceiling` needs of a text."""
+    tokens, strong, rare = (F.col(f"{side}_{c}") for c in ("tokens", "strong", "rare"))
+    kinds = [F.size("a_categories").alias("a_kinds")] if side == "a" else []
+    return [F.size(tokens).alias(f"{side}_n"), (F.size(tokens) - F.size(rare)).alias(f"{side}_other"), F.size(strong).alias(f"{side}_n_strong"),
+        F.size(F.array_except(strong, rare)).alias(f"{side}_n_plain"), F.length(f"{side}_canonical_text").alias(f"{side}_length"), *kinds]
+
+
+SIZES = ["n", "other", "n_strong", "n_plain", "length"]
+
+
+def other_pairs(a: DataFrame, b: DataFrame, scorer: str) -> DataFrame:
+    """Pairs that share a number but at most one rare token, and may score `a_floor`. Members are first taken together by
+    number and sizes: most of these groups cannot reach an item's floor, and only members of the others are met."""
+    groups = b.select(F.explode("b_numbers").alias("_t"), *sizes("b")).distinct()
+    wanted = a.select("a_canonical_text", "a_states", "a_floor", F.explode("a_numbers").alias("_t"), *sizes("a")).join(groups, "_t").where(ceiling(scorer) >= F.col("a_floor") - 1e-9)
+    wanted = wanted.select("a_canonical_text", "a_states", "_t", *[f"b_{c}" for c in SIZES])
+    items = wanted.join(a, ["a_canonical_text", "a_states"])
+    held = b.select("*", F.explode("b_numbers").alias("_t"), *sizes("b"))
+    once = (F.col("_t") == F.array_min(F.array_intersect("a_numbers", "b_numbers"))) & (F.size(F.array_intersect("a_rare", "b_rare")) < 2)
+    met = items.join(held, ["_t", *[f"b_{c}" for c in SIZES]]).where(once)
+    return met.select(*a.columns, *b.columns)
+
+
+IDENT = ["a_canonical_text", "a_states", "b_canonical_text", "b_states"]
+
+
+def scored_pairs(pairs: DataFrame, scorer: str, ratio: str, floor: float | None) -> DataFrame:
+    """IDENT, b_first and score of the pairs that may be best or second of their item. The text ratio is dealt to all tasks,
+    the pairs of one member text side by side."""
+    extra = ["a_floor"] if "a_floor" in pairs.columns else []
+    bounds = open_pairs(pairs, scorer, floor).select(*IDENT, *extra, "b_first", "_possible", "_without", "_least", "_low", "_high")
+    if extra:
+        bounds = bounds.where(F.col("_high") >= F.col("a_floor") - 1e-9)
+    found = contenders(bounds)
+    if ratio != EQUAL:
+        n_tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = found.repartition(n_tasks, F.col("b_canonical_text"), F.pmod(F.xxhash64("a_canonical_text"), F.lit(8))).sortWithinPartitions("b_canonical_text")
+    least = F.lit(-1.0) if floor is None else F.lit(floor - 1e-9)
+    return with_score(found, scorer, ratio).where((F.col("score") > 0) & (F.col("score") >= least)).select(*IDENT, "b_first", "score")
+
+
+def blocked_scores(items: DataFrame, members: DataFrame, scorer: str, ratio: str, floor: float) -> DataFrame:
+    """IDENT and score of all pairs of texts that may be best or second of their item and reach `floor`.
+
+    Seeds, pairs that share a number and two rare tokens, are scored first. An item's floor is then the score of the second
+    of its clusters, or `floor`; any other pair must be able to reach that. Where one name has no number, a pair is met at
+    any shared token."""
+    a, b = text_sides(items, members)
+    seeds = staged(scored_pairs(seed_pairs(a, b), scorer, ratio, floor), "seeds")
+    item = ["a_canonical_text", "a_states"]
+    best = seeds.groupBy(*item).agg(F.max(F.struct("score", "b_first")).alias("_best"))
+    second = seeds.join(best, item).where(F.col("b_first") != F.col("_best.b_first")).groupBy(*item).agg(F.max("score").alias("_second"))
+    floored = a.join(second, item, "left").withColumn("a_floor", F.greatest(F.lit(floor), F.coalesce("_second", F.lit(0.0)))).drop("_second")
+    numbered, plain = F.size("a_numbers") > 0, b.where(F.size("b_numbers") == 0)
+    rest = other_pairs(floored.where(numbered), b, scorer).unionByName(meeting(floored.where(~numbered), b, "tokens")).unionByName(meeting(floored.where(numbered), plain, "tokens"))
+    return seeds.select(*IDENT, "score").unionByName(scored_pairs(rest, scorer, ratio, floor).select(*IDENT, "score"))
 
 
 def all_pairs(items: DataFrame, members: DataFrame, most: int = MAX_PAIRS) -> DataFrame:
@@ -128,11 +213,10 @@ def best_candidates(items: DataFrame, members: DataFrame, threshold: float = THR
     exact = same_key(items, members)
     fuzzy_items = items.join(exact.select("store", "product_key"), ["store", "product_key"], "left_anti")
     floor = threshold - margin
-    safe = blocked and floor > BEST_WITHOUT_TOKEN[scorer]
-    pairs = candidate_pairs(fuzzy_items, members) if safe else all_pairs(fuzzy_items, members)
-    ident = ["a_canonical_text", "a_states", "b_canonical_text", "b_states"]
-    bounds = open_pairs(pairs, scorer, floor if safe else None).select(*ident, "b_first", "_possible", "_without", "_least", "_low", "_high")
-    scored = with_score(contenders(bounds), scorer, ratio).where((F.col("score") > 0) & (F.col("score") >= floor - 1e-9)).select(*ident, "score")
+    if blocked and floor > BEST_WITHOUT_TOKEN[scorer]:
+        scored = blocked_scores(fuzzy_items, members, scorer, ratio, floor)
+    else:
+        scored = scored_pairs(all_pairs(fuzzy_items, members), scorer, ratio, None).where(F.col("score") >= floor - 1e-9).select(*IDENT, "score")
     texts = fuzzy_items.select("store", "product_key", F.col("canonical_text").alias("a_canonical_text"), F.col("states").alias("a_states"))
     held = members.select("cluster_id", *ORDER, F.col("canonical_text").alias("b_canonical_text"), F.col("states").alias("b_states"))
     each = texts.join(scored, ["a_canonical_text", "a_states"]).join(held, ["b_canonical_text", "b_states"])
