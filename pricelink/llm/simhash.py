@@ -13,13 +13,15 @@ complete distance decides within the join: a pair is kept once, in its first seg
 out. Which segments serve a limit depends on the number of fingerprints (fewer, wider ones for more of them) and is exact
 for each choice.
 
-`near_clusters` is for large limits over several lanes (48 of 256 bits, a similarity of 0.8), where balls cost more than
-further segments: a segment is any choice of `width` bits of all lanes, the balls are of radius 0, and there are so
-many overlapping segments that a pair within the limit shares one with a probability of 0.99 at a similarity of 0.8 (a
-stated recall, tested). Segments get wider and more numerous with the number of fingerprints (`segments_for`), so
-comparisons a fingerprint stay bounded at every size. Before that, the members of each bucket of wide segments are tied
-to one member of the bucket, each by its complete distance: the rows of a dense group grow with its size, not with its
-square, and once it is one component only pairs with other components are compared.
+`near_clusters` is for large limits over several lanes (48 of 256 bits, a similarity of 0.8). There, segments of the
+fingerprint cannot work at every size: what keeps 0.98 of the pairs at 39 differing bits takes 64 segments of 16 bits for a
+million fingerprints, and 2,048 of 36 bits for ten billion, as chance matches grow with their square. Candidates come from
+MinHash bands over the same hashes instead: BANDS keys a document, each the least values of ROWS permutations, at any size.
+Two texts share a band with a probability of 1 - (1 - s ** ROWS) ** BANDS, which is 0.997 at a similarity s of 0.8 and does
+not depend on the number of texts, and texts without common runs share none. The complete distance of the fingerprints
+decides, as before. The members of each bucket are first tied to its least member, each by its complete distance, so the rows
+of a dense group grow with its size, not with its square; once it is one component, only pairs with other components are
+compared.
 
 Links become components by alternating large-star and small-star steps, every step a written table.
 
@@ -32,13 +34,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 from random import Random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, left_out, row_hash, small_batches, written
@@ -65,9 +68,10 @@ def plans(limit: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
     return found
 
 
-#: Comparisons that a fingerprint may take on average before segments get wider, and bits in the wide segments.
-COMPARISONS = 1000
-WIDE, WIDE_SEGMENTS = 32, 16
+#: Keys of a text, and least values in each of them.
+BANDS, ROWS = 20, 6
+#: Hashes of a text that are permuted at once.
+PERMUTED = 1 << 12
 
 
 def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -79,33 +83,63 @@ def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprint(text: str | None, run: int = RUN, lanes: int = 1) -> list[int]:
-    """The lanes of the fingerprint as signed 64-bit integers."""
+def run_hashes(text: str | None, run: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The hashes of a text's runs in blocks, and how many there are of them; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     found = b" ".join(WORDS.findall((text or "").encode().translate(LOWER)))
     if not found:
-        return [0] * lanes
+        return
     marks = np.flatnonzero(np.frombuffer(found, np.uint8) == 32)
     starts = np.concatenate(([0], marks + 1))
     ends = np.concatenate((marks, [len(found)]))
     n = max(1, len(starts) - run + 1)
     starts, ends = starts[:n].tolist(), ends[-n:].tolist()
-    view, counts = memoryview(found), np.zeros((lanes, 64), np.int64)
+    view = memoryview(found)
     for at in range(0, n, BLOCK):
-        hashes = np.array([xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], "<u8")
+        yield np.array([xxh64_intdigest(view[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], "<u8"), n
+
+
+@lru_cache(maxsize=1)
+def permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and terms of BANDS * ROWS permutations of the numbers below 2 ** 32."""
+    draw = Random(SEED)
+    return tuple(np.array([draw.getrandbits(32) | odd for _ in range(BANDS * ROWS)], np.uint32)[:, None] for odd in (1, 0))
+
+
+def least_values(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over hashes."""
+    factors, terms = permutations()
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    return np.min([(factors * x[at : at + PERMUTED] + terms).min(axis=1) for at in range(0, len(x), PERMUTED)], axis=0)
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """One number for each band of least values."""
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        key = mixed(key ^ part, 1)
+    return key.view(np.int64).tolist()
+
+
+def fingerprint(text: str | None, run: int = RUN, lanes: int = 1, bands: bool = False) -> tuple[list[int], list[int]]:
+    """The lanes of the fingerprint as signed 64-bit integers, and the keys of its bands if they are asked for."""
+    counts, least, n = np.zeros((lanes, 64), np.int64), np.full(BANDS * ROWS, 2**32 - 1, np.uint32), 0
+    for hashes, n in run_hashes(text, run):
         for lane in range(lanes):
             counts[lane] += np.unpackbits(mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+        if bands:
+            least = np.minimum(least, least_values(hashes))
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist(), band_keys(least) if bands else []
 
 
-def fingerprints(text: Column, run: int = RUN, lanes: int = 1) -> Column:
-    """The fingerprint's lanes as an array."""
+def fingerprints(text: Column, run: int = RUN, lanes: int = 1, bands: bool = False) -> Column:
+    """The fingerprint's lanes and its bands as arrays."""
 
-    @F.pandas_udf("array<long>")
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<lanes: array<long>, bands: array<long>>")
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([fingerprint(t, run, lanes) for t in batch], dtype=object)
+            yield pd.DataFrame([fingerprint(t, run, lanes, bands) for t in batch], columns=["lanes", "bands"])
 
     return each(text)
 
@@ -159,27 +193,6 @@ def links(nodes: DataFrame, limit: int = LIMIT, plan=None) -> DataFrame:
     return probing.join(held, (F.col("su") == F.col("sv")) & (F.col("xu") == F.col("xv")) & near).select("u", "v")
 
 
-def segments_for(n: int) -> tuple[int, int]:
-    """(width, number) of segments for n fingerprints: four bits more for twice the segments keep the recall."""
-    width, number = 16, 64
-    while n * number / 2.0 ** (width + 1) > COMPARISONS:
-        width, number = width + 4, number * 2
-    return width, number
-
-
-def segment_keys(lanes: Column, n_lanes: int, width: int, number: int) -> Column:
-    """An array of one key a segment: a hash of its number and of `width` bits of all lanes, chosen by a seeded draw. Keys
-    of narrow segments are 32 bits, which shuffle in fewer bytes; other keys that meet by chance cost comparisons only."""
-    hashed = F.hash if width <= 20 else F.xxhash64
-    draw = Random(width)
-    rows = []
-    for _ in range(number):
-        chosen = sum(1 << b for b in draw.sample(range(64 * n_lanes), width))
-        words = np.array([chosen >> 64 * k & (1 << 64) - 1 for k in range(n_lanes)], np.uint64).view(np.int64)
-        rows.append(F.array(*[F.lit(int(w)).cast("long") for w in words]))
-    return F.transform(F.array(*rows), lambda mask, i: hashed(i, *[F.get(lanes, F.lit(k)).bitwiseAND(F.get(mask, F.lit(k))) for k in range(n_lanes)]))
-
-
 def apart(a: str, b: str) -> Column:
     """Bits that differ in all lanes of two array columns."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
@@ -192,23 +205,23 @@ def verified(pairs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     return both.where(apart("_lu", "_lv") <= total).select("u", "v")
 
 
-def ties(nodes: DataFrame, n_lanes: int) -> DataFrame:
-    """Candidates (u, v): each member of a bucket of a wide segment with the bucket's least member."""
-    rows = nodes.select("id", F.explode(segment_keys(F.col("lanes"), n_lanes, WIDE, WIDE_SEGMENTS)).alias("key"))
-    least = F.min("id").over(Window.partitionBy("key"))
-    return rows.select(F.col("id").alias("u"), least.alias("v")).where("u > v").distinct()
+def ties(nodes: DataFrame) -> DataFrame:
+    """Candidates (u, v): each member of a bucket of nodes (id, bands) with the bucket's least member."""
+    rows = nodes.select("id", F.explode("bands").alias("key"))
+    least = rows.groupBy(F.col("key").alias("_key")).agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(least, F.col("key") == F.col("_key")).where("id > v").select(F.col("id").alias("u"), "v").distinct()
 
 
-def across(nodes: DataFrame, n_lanes: int, total: int, width: int, number: int) -> DataFrame:
-    """Pairs (u > v) of components with nodes (id, lanes, comp) that share a segment and differ in `total` bits at most. In
-    each bucket the rows of all components but the largest are compared with all others, so a component is never
-    compared with itself, however much of the bucket it fills. The complete distance decides within the join."""
-    sizes = nodes.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("size"))
-    sized = nodes.join(sizes, F.col("comp") == F.col("_comp"))
-    fps = [F.get("lanes", F.lit(k)).alias(f"f{k}") for k in range(n_lanes)]
-    rows = sized.select("id", "comp", "size", *fps, F.explode(segment_keys(F.col("lanes"), n_lanes, width, number)).alias("key"))
-    bucket = Window.partitionBy("key")
-    marked = rows.withColumns({"main": F.max(F.struct("size", "comp")).over(bucket)["comp"], "low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
+def across(nodes: DataFrame, n_lanes: int, total: int) -> DataFrame:
+    """Pairs (u > v) of components with nodes (id, lanes, bands, comp) that share a bucket and differ in `total` bits at most.
+    In each bucket the rows of all components but its largest are compared with all others, so a component is never
+    compared with itself, however much of the bucket it fills. Lanes are fetched for buckets of several components only;
+    the complete distance decides within the join."""
+    rows = nodes.select("id", "comp", F.explode("bands").alias("key"))
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    lanes = nodes.select(F.col("id").alias("_id"), *[F.get("lanes", F.lit(k)).alias(f"f{k}") for k in range(n_lanes)])
+    marked = written(rows.join(several, F.col("key") == F.col("_key")).join(lanes, F.col("id") == F.col("_id")).drop("_key", "_id", "parts"), "buckets")
     small = marked.where("comp <> main").select(F.col("key").alias("ku"), F.col("id").alias("u"), F.col("comp").alias("cu"), *[F.col(f"f{k}").alias(f"u{k}") for k in range(n_lanes)])
     every = marked.select(F.col("key").alias("kv"), F.col("id").alias("v"), F.col("comp").alias("cv"), (F.col("comp") == F.col("main")).alias("mv"), *[F.col(f"f{k}").alias(f"v{k}") for k in range(n_lanes)])
     bits = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, n_lanes)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
@@ -256,13 +269,14 @@ def merged(nodes: DataFrame, pairs: DataFrame, comp: str = "id") -> DataFrame:
     return written(nodes.join(roots, F.col(comp) == F.col("node"), "left").select(*kept, F.coalesce("root", comp).alias("comp")), "nodes")
 
 
-def printed(docs: DataFrame, run: int, lanes: int, keep: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Written tables: `keep` columns and lanes of every document; and nodes (id, fp, lanes, least), one for each distinct
-    fingerprint."""
+def printed(docs: DataFrame, run: int, lanes: int, keep: dict[str, Column], bands: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Written tables: `keep` columns and lanes of every document; and nodes (id, fp, lanes, bands, least), one for each
+    distinct fingerprint."""
     small_batches(docs.sparkSession)
-    prints = written(docs.select(*[v.alias(k) for k, v in keep.items()], fingerprints(F.col("text"), run, lanes).alias("lanes")), "fingerprints")
-    nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("least"))
-    return prints, written(nodes.select(F.monotonically_increasing_id().alias("id"), F.get("lanes", F.lit(0)).alias("fp"), "lanes", "least"), "nodes")
+    prints = written(docs.select(*[v.alias(k) for k, v in keep.items()], fingerprints(F.col("text"), run, lanes, bands).alias("_f")).select(*keep, "_f.lanes", "_f.bands"), "fingerprints")
+    nodes = prints.groupBy("lanes").agg(F.min("doc_id").alias("least"), *([F.min("bands").alias("bands")] if bands else []))
+    kept = ["lanes", *(["bands"] if bands else []), "least"]
+    return prints.drop("bands"), written(nodes.select(F.monotonically_increasing_id().alias("id"), F.get("lanes", F.lit(0)).alias("fp"), *kept), "nodes")
 
 
 def labelled(prints: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -281,11 +295,10 @@ def clusters(docs: DataFrame, limit: int = LIMIT, run: int = RUN, keep: dict[str
 
 def near_clusters(docs: DataFrame, total: int, run: int = 5, lanes: int = 4, keep: dict[str, Column] | None = None) -> DataFrame:
     """As `clusters`, for pairs within `total` bits of all lanes: no pair beyond is linked, and those within it are found
-    at the recall of `segments_for`."""
-    prints, nodes = printed(docs, run, lanes, keep or {"doc_id": F.col("doc_id")})
-    tied = merged(nodes, verified(ties(nodes, lanes), nodes, total))
-    edges = across(tied, lanes, total, *segments_for(tied.count()))
-    return labelled(prints, merged(tied, edges, "comp"))
+    if they share a band."""
+    prints, nodes = printed(docs, run, lanes, keep or {"doc_id": F.col("doc_id")}, True)
+    tied = merged(nodes, verified(ties(nodes), nodes, total))
+    return labelled(prints, merged(tied, across(tied, lanes, total), "comp"))
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -558,30 +558,37 @@ def test_near_dedup_recall_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("n", [10**4, 10**6, 10**7, 10**8, 10**9, 10**10])
-def test_segments_keep_recall_and_work_at_every_size(n):
-    width, number = simhash.segments_for(n)
-    assert n * number / 2.0 ** (width + 1) <= simhash.COMPARISONS
-    # pairs at a similarity of 0.8 differ in 39 of 256 bits on average
-    hit = 1.0
-    for i in range(width):
-        hit *= (256 - 39 - i) / (256 - i)
-    assert 1 - (1 - hit) ** number > 0.985
+def test_candidates_keep_recall_and_rows_at_every_size(n):
+    """Measured on pairs of sets at a similarity of 0.8, with the distance of their fingerprints: neither the rows a document nor
+    what is found depends on n; chance matches of a key do, and stay below one a document."""
+    import numpy as np
+
+    draw = np.random.default_rng(n)
+    found, kept, trials = 0, 0, 600
+    for _ in range(trials):
+        shared, own, other = (draw.integers(0, 1 << 64, k, np.uint64, endpoint=False) for k in (320, 40, 40))
+        sides = [np.concatenate((shared, x)) for x in (own, other)]
+        keys = [simhash.band_keys(simhash.least_values(x)) for x in sides]
+        hit = bool(set(keys[0]) & set(keys[1]))
+        bits = sum(int(np.sum(np.abs(np.diff([2 * np.unpackbits(simhash.mixed(x, lane).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) > len(x) for x in sides], axis=0)))) for lane in range(4))
+        found, kept = found + hit, kept + (hit and bits <= 48)
+    assert simhash.BANDS == len(keys[0]) == 20 and simhash.BANDS * n / 2.0**64 < 1
+    assert found / trials > 0.985 and kept / trials >= 0.9
 
 
-def test_near_links_are_true_and_found_by_segments(spark):
+def test_near_links_are_true_and_found_by_bands(spark):
     import random
 
     r = random.Random(2)
-    base = [[r.getrandbits(64) for _ in range(4)] for _ in range(150)]
-    flip = lambda lanes, n: [x ^ sum(1 << b - 64 * k for b in bits if b // 64 == k) for bits in [r.sample(range(256), n)] for k, x in enumerate(lanes)]
-    near, far = [flip(x, 39) for x in base], [flip(x, 60) for x in base]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [(i, [signed(w) for w in x], i) for i, x in enumerate(base + near + far)]
-    nodes = spark.createDataFrame(rows, "id long, lanes array<long>, comp long")
-    pairs = {(p["u"], p["v"]) for p in simhash.across(nodes, 4, 48, *simhash.segments_for(len(rows))).collect()}
-    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[a][1], rows[b][1]))
-    assert all(apart(a, b) <= 48 for a, b in pairs)
-    assert len(pairs & {(i + 150, i) for i in range(150)}) >= 0.95 * 150
+    texts = near_copies(r, 150, 400, 7)
+    nodes = simhash.printed(docs(spark, texts), 5, 4, {"doc_id": F.col("doc_id")}, True)[1].withColumn("comp", F.col("id"))
+    rows = {x["id"]: x for x in nodes.collect()}
+    pairs = {(p["u"], p["v"]) for p in simhash.across(nodes, 4, 48).collect()}
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(rows[a]["lanes"], rows[b]["lanes"]))
+    assert all(u > v and apart(u, v) <= 48 for u, v in pairs)
+    by = {x["least"]: i for i, x in rows.items()}
+    near = [tuple(sorted((by[2 * i], by[2 * i + 1]), reverse=True)) for i in range(150)]
+    assert len({p for p in near if apart(*p) <= 48} & pairs) >= 0.98 * sum(apart(*p) <= 48 for p in near)
 
 
 def test_a_dense_group_is_tied_before_pairs_are_sought(spark):
@@ -595,12 +602,12 @@ def test_a_dense_group_is_tied_before_pairs_are_sought(spark):
         for at in r.sample(range(400), 2):
             copy[at] = f"new{r.randint(0, 10**6)}"
         texts.append(" ".join(copy))
-    prints, nodes = simhash.printed(docs(spark, texts), 5, 4, {"doc_id": F.col("doc_id")})
-    ties = simhash.ties(nodes, 4)
-    assert ties.count() <= simhash.WIDE_SEGMENTS * nodes.count()
+    prints, nodes = simhash.printed(docs(spark, texts), 5, 4, {"doc_id": F.col("doc_id")}, True)
+    ties = simhash.ties(nodes)
+    assert ties.count() <= simhash.BANDS * nodes.count()
     tied = simhash.merged(nodes, simhash.verified(ties, nodes, 48))
     assert tied.select("comp").distinct().count() <= 5
-    assert simhash.across(tied, 4, 48, 16, 64).count() <= 20 * 300
+    assert simhash.across(tied, 4, 48).count() <= 20 * 300
     assert {r["component_id"] for r in simhash.near_clusters(docs(spark, texts), 48).collect()} == {0}
 
 
