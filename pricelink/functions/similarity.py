@@ -1,4 +1,4 @@
-"""Similarity of product names: text ratios in a vectorised helper, all else as column expressions.
+"""Similarity of product names as column expressions; the sequence ratio runs in a vectorised helper.
 
 score_pairs takes pairs of features (columns with prefixes a_ and b_; the order matters for the text ratio) and adds
 `score`. The ratio runs only for pairs that the other rules leave open, once for each distinct pair of texts.
@@ -17,18 +17,46 @@ from pyspark.sql import functions as F
 from .features import FEATURES, shared, state_conflict
 
 
-def lcs_ratio(a: str, b: str) -> float:
-    """Twice the length of the longest common subsequence over the sum of lengths."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+#: Bits of a word of the bit-parallel subsequence: sums of two words and a carry stay below 2 ** 63.
+WORD_BITS = 62
+FULL = (1 << WORD_BITS) - 1
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, bit-parallel: words of 62 places of a, in which a zero says
+    that a character of b lengthens the subsequence there; each character of b is one addition with carry."""
+    chars = F.filter(F.split(a, ""), lambda x: x != "")
+    n = F.size(chars)
+    words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / F.lit(WORD_BITS)).cast("int")))
+    one = F.lit(1).cast("long")
+
+    def mask(c: Column, w: Column) -> Column:
+        part = F.slice(chars, w * WORD_BITS + 1, F.lit(WORD_BITS))
+        return F.aggregate(F.transform(part, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(0)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+
+    kinds = F.array_distinct(chars)
+    masks = F.map_from_arrays(kinds, F.transform(kinds, lambda c: F.transform(words, lambda w: mask(c, w))))
+    full = F.transform(words, lambda w: F.call_function("shiftleft", one, F.least(F.lit(WORD_BITS), n - w * WORD_BITS)) - 1)
+
+    def step(v: Column, m: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("words"))
+
+        def add(acc: Column, x: Column) -> Column:
+            total = x["v"] + x["v"].bitwiseAND(x["m"]) + acc["carry"]
+            word = total.bitwiseAND(F.lit(FULL).cast("long")).bitwiseOR(x["v"].bitwiseAND(F.bitwise_not(x["m"])))
+            return F.struct(F.shiftrightunsigned(total, WORD_BITS).alias("carry"), F.concat(acc["words"], F.array(word)).alias("words"))
+
+        return F.aggregate(F.zip_with(v, m, lambda x, y: F.struct(x.alias("v"), y.alias("m"))), start, add)["words"]
+
+    met = F.filter(F.transform(F.split(b, ""), lambda c: F.try_element_at(masks, c)), lambda m: m.isNotNull())
+    last = F.aggregate(met, full, step)
+    return n - F.aggregate(F.zip_with(last, full, lambda v, f: F.bit_count(v.bitwiseAND(f))), F.lit(0), lambda x, y: x + y)
+
+
+def lcs_ratio(a: Column, b: Column) -> Column:
+    """Twice the length of the longest common subsequence over the sum of lengths; one for equal texts, null for a null."""
+    total = F.length(a) + F.length(b)
+    return F.when(a == b, F.lit(1.0)).when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), 2 * lcs_length(a, b) / total)
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -47,21 +75,23 @@ def matcher(b: str) -> Callable[[str], float]:
     return ratio
 
 
-RATIOS = {"difflib": sequence_ratio, "lcs": lcs_ratio}
+#: The ratio by the longest common subsequence, in column expressions.
+LCS = "lcs"
 #: The ratio that needs no helper: one for equal texts, else none.
 EQUAL = "equal"
 
 
 def text_ratio(a: Column, b: Column, kind: str = "difflib") -> Column:
     """Ratio of two texts; equal texts and nulls never reach the loop."""
+    if kind == LCS:
+        return lcs_ratio(a, b)
     if kind == EQUAL:
         return F.when(a.isNotNull() & b.isNotNull(), (a == b).cast("double"))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ratio = RATIOS[kind]
         for left, right in batches:
-            yield pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(left, right)], dtype="float64")
+            yield pd.Series([None if x is None or y is None else sequence_ratio(x, y) for x, y in zip(left, right)], dtype="float64")
 
     # so marked, a filter on the ratio stays above it, and it is computed once, where its pairs are dealt to
     return F.when(a == b, F.lit(1.0)).otherwise(run.asNondeterministic()(F.when(a != b, a), F.when(a != b, b)))

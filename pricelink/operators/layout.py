@@ -19,21 +19,23 @@ LINE_GAP, CELL_GAP, GLUE_GAP, HEADER_GAP = 2.5, 6.0, 1.5, 8.0
 
 def page_lines(fragments: DataFrame) -> DataFrame:
     """Fragments with line_no (from 0) and line_y: a fragment joins the line whose first fragment lies within LINE_GAP
-    above it. A fold over the fragments of a page in their order."""
+    above it. A pass over the fragments of a page in their order notes where lines start, and the page is cut there; arrays
+    are copied at the start of a line only."""
     rows = fragments.withColumn("text", clean_text(F.col("text"))).where("text <> ''")
     ordered = F.sort_array(F.collect_list(F.struct("y", "x", "end_x", "text")))
     pages = rows.groupBy(*PAGE).agg(F.first("page_height").alias("page_height"), ordered.alias("_all"))
 
     def step(acc: Column, w: Column) -> Column:
-        opens = (F.size(acc["ys"]) == 0) | (w["y"] - F.get(acc["ys"], F.size(acc["ys"]) - 1) > LINE_GAP)
-        ys = F.when(opens, F.concat(acc["ys"], F.array(w["y"]))).otherwise(acc["ys"])
-        return F.struct(ys.alias("ys"), F.concat(acc["nos"], F.array(F.size(ys) - 1)).alias("nos"))
+        opens = acc["y"].isNull() | (w["y"] - acc["y"] > LINE_GAP)
+        starts = F.when(opens, F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"])
+        return F.struct(F.when(opens, w["y"]).otherwise(acc["y"]).alias("y"), (acc["n"] + 1).alias("n"), starts.alias("starts"))
 
-    start = F.struct(F.array().cast("array<double>").alias("ys"), F.array().cast("array<int>").alias("nos"))
-    folded = pages.withColumn("_f", F.aggregate("_all", start, step))
-    each = folded.select(*PAGE, "page_height", "_f", F.posexplode("_all").alias("i", "w"))
-    no = F.get("_f.nos", F.col("i"))
-    return each.select(*PAGE, "page_height", no.alias("line_no"), F.get("_f.ys", no).alias("line_y"), "w.text", "w.x", "w.end_x", F.col("w.y").alias("y"))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+    noted = pages.withColumn("_starts", F.aggregate("_all", start, step)["starts"])
+    end = lambda i: F.coalesce(F.get("_starts", i + 1), F.size("_all"))
+    lines = F.transform("_starts", lambda at, i: F.struct(i.alias("line_no"), F.slice("_all", at + 1, end(i) - at).alias("_line")))
+    each = noted.select(*PAGE, "page_height", F.inline(lines)).select(*PAGE, "page_height", "line_no", F.get("_line", F.lit(0))["y"].alias("line_y"), F.explode("_line").alias("w"))
+    return each.select(*PAGE, "page_height", "line_no", "line_y", "w.text", "w.x", "w.end_x", F.col("w.y").alias("y"))
 
 
 def merged(items: DataFrame, gap: float) -> DataFrame:
@@ -177,15 +179,20 @@ def positioned_records(fragments: DataFrame) -> DataFrame:
     return group_records(disambiguate(prefer_case_prices(positioned_raw(fragments))))
 
 
+def still_open(rows: DataFrame, *found: DataFrame) -> DataFrame:
+    """Rows of the documents in which none of the earlier ways has found anything."""
+    for records in found:
+        rows = rows.join(records.select("doc_id").distinct(), "doc_id", "left_anti")
+    return rows
+
+
 def parse_listings(fragments: DataFrame, table_rows: DataFrame, page_text: DataFrame) -> DataFrame:
-    """Products of each document by the first way that finds any: words by place, tables, text lines. Adds
-    source_format."""
-    a = positioned_records(fragments).select("doc_id", "product_name", "price", F.lit(1).alias("way"))
-    b = tabular_records(table_rows).select("doc_id", "product_name", "price", F.lit(2).alias("way"))
-    c = single_column_records(table_rows, page_text).select("doc_id", "product_name", "price", F.lit(3).alias("way"))
-    every = a.unionByName(b).unionByName(c)
-    first = F.min("way").over(Window.partitionBy("doc_id"))
-    kept = every.withColumn("_first", first).where("way = _first")
-    ways = kept.groupBy("doc_id").agg(F.first("way").alias("way"))
-    grouped = group_records(kept.select("doc_id", "product_name", "price"))
-    return grouped.join(ways, "doc_id").select("doc_id", "product_key", "product_name", "price", F.when(F.col("way") == 3, "single-column").otherwise("tabular").alias("source_format"))
+    """Products of each document by the first way that finds any: words by place, tables, text lines; each way reads only
+    the documents that the ways before it leave open. Adds source_format."""
+    columns = ["doc_id", "product_name", "price"]
+    a = staged(positioned_records(fragments).select(*columns), "by_place")
+    b = staged(tabular_records(still_open(table_rows, a)).select(*columns), "by_table")
+    c = single_column_records(still_open(table_rows, a, b), still_open(page_text, a, b)).select(*columns)
+    kept = a.unionByName(b).withColumn("way", F.lit("tabular")).unionByName(c.withColumn("way", F.lit("single-column")))
+    ways = kept.groupBy("doc_id").agg(F.first("way").alias("source_format"))
+    return group_records(kept.select(*columns)).join(ways, "doc_id").select("doc_id", "product_key", "product_name", "price", "source_format")

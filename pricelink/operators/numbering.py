@@ -42,12 +42,13 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, size:
     counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.withColumn("_part", part).withColumn("_place", place)
+    numbered = rows.withColumn("_part", part).withColumn("_place", place).join(starts, "_part").withColumn("_number", F.col("_start") + F.col("_place") + 1)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not group:
+        return numbered.select(*columns, F.col("_number").alias(out), *([F.lit(rows.count()).cast("long").alias(size)] if size else []))
     firsts = rows.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min("_at").alias("_at"), F.count(F.lit(1)).alias("_size"))
-    firsts = firsts.withColumn("_part", part).withColumn("_place0", place).join(starts, "_part").withColumn("_first", F.col("_start") + F.col("_place0")).drop("_part", "_place0", "_start", "_at")
+    firsts = firsts.withColumn("_part0", part).withColumn("_before", place).drop("_at").join(starts.toDF("_part0", "_start0"), "_part0").withColumn("_before", F.col("_start0") + F.col("_before"))
     on = F.lit(True)
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    found = numbered.join(starts, "_part").join(firsts, on) if group else numbered.join(starts, "_part").crossJoin(firsts)
-    number = F.col("_start") + F.col("_place") - F.col("_first") + 1
-    return found.select(*[F.col(f"`{c}`") for c in df.columns], number.alias(out), *([F.col("_size").alias(size)] if size else []))
+    return numbered.join(firsts, on).select(*columns, (F.col("_number") - F.col("_before")).alias(out), *([F.col("_size").alias(size)] if size else []))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, currency_text, normalize_key, step_colour, valid_price
+from .numbering import ranked
 
 
 def named_clusters(clusters: DataFrame, members: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def keyed_clusters(named: DataFrame) -> DataFrame:
     normalise to nothing sort first, so only these are numbered."""
     key = normalize_key(F.col("display_name"))
     rows = named.withColumn("product_key", key)
-    blank = rows.where("product_key = ''").withColumn("product_key", F.concat(F.lit("cluster_"), F.row_number().over(Window.orderBy("phase", "ord", "sub"))))
-    return rows.where("product_key <> ''").unionByName(blank)
+    blank = ranked(rows.where("product_key = ''"), [], [F.col(c).asc() for c in ("phase", "ord", "sub")], "_place")
+    return rows.where("product_key <> ''").unionByName(blank.withColumn("product_key", F.concat(F.lit("cluster_"), "_place")).drop("_place"))
 
 
 def pivoted(members: DataFrame, stores: list[str]) -> DataFrame:
@@ -85,8 +86,8 @@ def search(table: DataFrame, query: str, column: str = "Product") -> DataFrame:
 
 def options(catalog: DataFrame) -> DataFrame:
     """Catalog items of each store in the order of their names."""
-    place = F.row_number().over(Window.partitionBy("store").orderBy(F.lower("product_name"), "product_key"))
-    return catalog.select("store", "product_key", "product_name", place.alias("place"))
+    order = [F.lower("product_name").asc(), F.col("product_key").asc()]
+    return ranked(catalog.select("store", "product_key", "product_name"), ["store"], order, "place").withColumn("place", F.col("place").cast("int"))
 
 
 def price_texts(selected: DataFrame, catalog: DataFrame) -> DataFrame:

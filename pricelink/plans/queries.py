@@ -317,9 +317,9 @@ def _(rows, pages):
     return tables.single_column_records(rows, pages, all_pages=True)
 
 
-@on("parse_cascade", "fragments", "table_rows", "page_text")
+@on("parse_cascade", "fragments", "cascade_rows", "cascade_text")
 def _(fragments, rows, pages):
-    return layout.parse_listings(fragments, rows.withColumn("doc_id", -F.col("doc_id") - 1), pages.withColumn("doc_id", -F.col("doc_id") - 61))
+    return layout.parse_listings(fragments, rows, pages)
 
 
 # catalog and matching

@@ -229,6 +229,14 @@ FROM (SELECT *, unnest([{{'store_pos': 0, 'store': 'SYSCO', 'ref': a}}, {{'store
 DOC_PROVIDER = f"""dp AS (SELECT doc_id, arg_min({provider('left(text, 4000)')}, page) FILTER ({provider('left(text, 4000)')} IS NOT NULL) AS p FROM {{list_pages}} WHERE page <= 2 GROUP BY doc_id),
 lp AS (SELECT list_ord, coalesce({provider("regexp_extract(path, '[^/]*$', 0)")}, p, 'SYSCO') AS provider FROM {{lists}} LEFT JOIN dp USING (doc_id))"""
 
+CASCADE = (f"{POSITIONED}, pos AS ({grouped('dist')}), {TABLES}{ONE.removeprefix(NORMAL)}{FIRST_HIT}".replace("{table_rows}", "{cascade_rows}").replace("{page_text}", "{cascade_text}")
+    + f""", every AS (SELECT doc_id, product_name, price, 1 AS way FROM pos UNION ALL SELECT doc_id, product_name, price, 2 FROM extracted UNION ALL SELECT doc_id, product_name, price, 3 FROM single),
+first_way AS (SELECT doc_id, min(way) AS way FROM every GROUP BY doc_id), kept_rows AS (SELECT every.* FROM every SEMI JOIN first_way USING (doc_id, way)), grp AS ({grouped('kept_rows')})""")
+
+# the rows of the usual table of subsequence lengths, one for each character of b, made cell by cell
+LCS = """list_reduce(list_prepend(list_transform(range(length(a) + 1), lambda i: 0), list_transform(string_split(b, ''), lambda c: [ascii(c)])), lambda row, x:
+  list_reduce(list_prepend([0], list_transform(range(1, length(a) + 1), lambda j: [j::INT])), lambda done, j: list_append(done, CASE WHEN ascii(a[j[1]]) = x[1] THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], done[j[1]]) END)))"""
+
 SQL = {
     "clean_text": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
     "normalize_key": f"SELECT doc_id, {key('text')} AS norm FROM documents",
@@ -273,6 +281,10 @@ SQL = {
     "table_extract": f"WITH {TABLES} SELECT * FROM extracted",
     "single_column": f"WITH {ONE}{FIRST_HIT} SELECT * FROM single",
     "single_column_all_pages": f"WITH {ONE} SELECT * FROM tr1 UNION ALL SELECT * FROM lr",
+    "parse_cascade": f"WITH RECURSIVE {CASCADE} SELECT grp.*, CASE way WHEN 3 THEN 'single-column' ELSE 'tabular' END AS source_format FROM grp JOIN first_way USING (doc_id)",
+    "lcs_ratio": OVERLAP + f""", p AS (SELECT x.product_name AS a_name, y.product_name AS b_name, x.canonical_text AS a, y.canonical_text AS b FROM u x JOIN u y ON x.store = 'SYSCO' AND y.store = 'KOHL' AND x.num = y.num),
+t AS (SELECT a, b, CASE WHEN a = b THEN 1 ELSE 2 * {LCS}[length(a) + 1] / (length(a) + length(b)) END::DOUBLE AS ratio FROM (SELECT DISTINCT a, b FROM p))
+SELECT a_name, b_name, ratio FROM p JOIN t USING (a, b)""",
     "catalog": f"WITH {CAT} SELECT * FROM cat",
     "lookup_name": f"WITH {CAT} SELECT store, {key('product_name')} AS norm_name, min(product_key) AS product_key FROM cat GROUP BY 1, 2 HAVING norm_name <> ''",
     "manual_resolve": f"WITH {RESOLVED} SELECT manual_ord, store_pos, store, product_key, item_name, price FROM resolved",

@@ -36,6 +36,8 @@ SELECT doc_id, page, table_no, row_no, cells FROM (
       WHEN p_partkey % 19 = 0 THEN ARRAY(p_name) ELSE ARRAY(CAST(p_partkey + 10000 AS STRING), p_name || ' ' || p_type, '1 ' || CAST(p_size AS STRING), '$' || CAST(p_retailprice AS STRING)) END AS cells FROM {part}
   UNION ALL SELECT DISTINCT CAST(p_partkey % 40 AS BIGINT), 1, 0, 1, CASE WHEN p_partkey % 40 = 7 THEN ARRAY('A', 'B', 'C', 'D') WHEN p_partkey % 40 = 8 THEN ARRAY('Name', '', 'Name', 'Cost') ELSE ARRAY('Item #', 'Product Description', 'Pack', 'Unit Price') END FROM {part}
   UNION ALL SELECT CAST(p_partkey % 40 + 40 AS BIGINT), 1, 0, CAST(floor(p_partkey / 40) AS INT), ARRAY(CAST(p_partkey + 10000 AS STRING) || ' 2 5 KG ' || p_brand || ' ' || p_name || ' ' || CAST(p_retailprice AS STRING) || ' EA') FROM {part}) AS x""",
+    "cascade_rows": "SELECT -doc_id - 1 AS doc_id, page, table_no, row_no, cells FROM {table_rows}",
+    "cascade_text": "SELECT -doc_id - 61 AS doc_id, page, text FROM {page_text}",
     "order_rows": """
 SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS r, l_partkey, l_suppkey, l_linenumber, p_name, p_type, p_size
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",

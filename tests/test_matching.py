@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelink.functions.features import FEATURES, with_features
-from pricelink.functions.similarity import char_counts, lcs_ratio, score_pairs, text_ratio
+from pricelink.functions.similarity import char_counts, score_pairs, text_ratio
 from pricelink.operators import matching
 
 STORES = ["A", "B", "C"]
@@ -109,6 +109,22 @@ def test_saved_relations_come_first(spark):
     assert [(r[0], r[1]) for r in bundle.ranking().collect()] == [("A", 1), ("B", 1), ("C", 0)]
 
 
+def lcs_ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        corner = 0
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+    return 1.0 if a == b else 2 * row[-1] / (len(a) + len(b))
+
+
+def test_subsequences_over_several_words(spark):
+    r = random.Random(8)
+    pairs = [("".join(r.choice("abcd "[: r.randint(1, 5)]) for _ in range(n)), "".join(r.choice("abcd ") for _ in range(m))) for n in (1, 61, 62, 63, 124, 125, 200) for m in (0, 1, 62, 130)] + [("", ""), ("", "x")]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i").select(text_ratio(F.col("a"), F.col("b"), "lcs").alias("x")).collect()
+    assert [x["x"] for x in got] == [lcs_ratio(a, b) if a or b else 1.0 for a, b in pairs]
+
+
 def test_text_ratios(spark):
     pairs = [("abc def", "abd def"), ("a", ""), ("same", "same"), ("x" * 250 + "ab", "y" + "x" * 230 + "ab"), (None, "a")]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
