@@ -11,7 +11,7 @@ from ..functions import features as feat
 from ..functions import similarity, text
 from ..operators import catalog, intake, layout, matching, relations, report, tables
 from ..sources import files
-from ..sources.tables import staged
+from ..sources.tables import shared_path, staged
 from ..sources.views import STORES, duckdb_sql, view
 from . import jobs, sql
 
@@ -609,6 +609,21 @@ def _(manual):
     return files.parse_saved(saved)
 
 
+@on("saved_lines", "manual_rows")
+def _(manual):
+    path = shared_path(manual.sparkSession, "saved")
+    files.write_saved_lines(manual.withColumn("signature", F.sha1((F.col("manual_ord") % 7).cast("string").cast("binary"))), path)
+    return files.read_saved_lines(manual.sparkSession, path)
+
+
+@on("read_checked", "listing_lines")
+def _(lines):
+    path = shared_path(lines.sparkSession, "lines")
+    lines.select("line").write.text(path)
+    rows, quarantine = files.read_checked(lines.sparkSession, path, "listings")
+    return rows.select("product_key", "price", F.lit(None).cast("string").alias("raw")).unionByName(quarantine.select("raw"), allowMissingColumns=True)
+
+
 @on("chosen_sheet", "manual_rows")
 def _(manual):
     book = F.col("manual_ord") % 4

@@ -331,6 +331,8 @@ g AS (SELECT manual_ord, {clean('any_value(given)')} AS given, arg_min(item, sto
 SELECT manual_ord, coalesce(nullif(given, ''), nullif({clean('fallback')}, ''), 'group_' || row_number() OVER (ORDER BY manual_ord)) AS product_name, n_stores FROM g""",
     "saved_json": f"""WITH m AS (SELECT sha1((manual_ord % 7)::VARCHAR) AS signature, * FROM {{manual_rows}})
 SELECT signature, (dense_rank() OVER (PARTITION BY signature ORDER BY manual_ord) - 1)::INT AS manual_ord, {clean('product_name')} AS product_name, (row_number() OVER (PARTITION BY manual_ord ORDER BY store) - 1)::INT AS store_pos, store, {clean('ref')} AS ref FROM m""",
+    "saved_lines": f"""SELECT sha1((manual_ord % 7)::VARCHAR) AS signature, manual_ord, {clean('product_name')} AS product_name, (row_number() OVER (PARTITION BY manual_ord ORDER BY store) - 1)::INT AS store_pos, store, {clean('ref')} AS ref FROM {{manual_rows}}""",
+    "read_checked": "SELECT CASE WHEN p_partkey % 10 NOT IN (3, 4) THEN p_partkey::VARCHAR END AS product_key, CASE WHEN p_partkey % 10 NOT IN (3, 4) THEN p_size + 0.5::DOUBLE END AS price, CASE WHEN p_partkey % 10 IN (3, 4) THEN line END AS raw FROM {listing_lines} JOIN {part} USING (p_partkey)",
     "chosen_sheet": """WITH s AS (SELECT manual_ord % 4 AS workbook, CASE WHEN store_pos = 1 AND manual_ord % 4 < 2 THEN 'Cuadro_Relaciones' WHEN store_pos = 2 AND manual_ord % 4 = 1 THEN 'Relations' ELSE 'Sheet' || store_pos END AS sheet_name, store_pos AS sheet_ord, manual_ord, ref FROM {manual_rows}),
 b AS (SELECT workbook, arg_min(sheet_name, (CASE sheet_name WHEN 'Relations' THEN 0 WHEN 'Cuadro_Relaciones' THEN 1 ELSE 2 END, sheet_ord)) AS sheet_name FROM s GROUP BY 1) SELECT s.* FROM s SEMI JOIN b USING (workbook, sheet_name)""",
 }

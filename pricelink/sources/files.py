@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators.relations import DISPLAY, provider_mapping, relations_to_standard, store_frame
+from .tables import staged
 
 SCHEMAS = {
     "lists": "list_ord int, list_name string, path string",
@@ -25,17 +27,41 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet")
     return spark.read.format(fmt).schema(SCHEMAS[name]).option("header", "true").load(path)
 
 
+CORRUPT = "_corrupt"
+
+
+def read_checked(spark: SparkSession, path: str, name: str, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of an input table in JSON lines or CSV. Lines that do not fit the schema go to the quarantine (file,
+    raw) instead of becoming rows of nulls or ending the run. What is read is written once, so both tables are of the same
+    files."""
+    schema = f"{SCHEMAS[name]}, {CORRUPT} string"
+    read = spark.read.format(fmt).schema(schema).options(header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).load(path)
+    rows = staged(read.select("*", F.col("_metadata.file_name").alias("_file")), "checked")
+    good, bad = rows.where(F.col(CORRUPT).isNull()), rows.where(F.col(CORRUPT).isNotNull())
+    return good.drop(CORRUPT, "_file"), bad.select(F.col("_file").alias("file"), F.col(CORRUPT).alias("raw"))
+
+
+def quarantine_counts(quarantine: DataFrame) -> DataFrame:
+    """file and n_bad, for the log of a run."""
+    return quarantine.groupBy("file").agg(F.count(F.lit(1)).alias("n_bad"))
+
+
 def read_saved(spark: SparkSession, path: str) -> DataFrame:
     """Saved relations from JSON files: signature, manual_ord, product_name, store_pos, store, ref. Malformed files give
     no rows."""
     return parse_saved(spark.read.text(path, wholetext=True))
 
 
+def kept_refs(stores: Column) -> Column:
+    """An array of (store, ref) of a map, cleaned, without blank ones."""
+    pairs = F.transform(F.map_entries(stores), lambda e: F.struct(clean_text(e["key"]).alias("store"), clean_text(e["value"]).alias("ref")))
+    return F.filter(pairs, lambda e: (e["store"] != "") & (e["ref"] != ""))
+
+
 def parse_saved(texts: DataFrame, column: str = "value") -> DataFrame:
     found = texts.select(F.from_json(F.col(column), SAVED).alias("j")).select(F.explode("j.comparisons").alias("signature", "rows"))
     rows = found.select("signature", F.posexplode("rows").alias("manual_ord", "row")).where("row.stores is not null")
-    pairs = F.transform(F.map_entries("row.stores"), lambda e: F.struct(clean_text(e["key"]).alias("store"), clean_text(e["value"]).alias("ref")))
-    kept = F.filter(pairs, lambda e: (e["store"] != "") & (e["ref"] != ""))
+    kept = kept_refs(F.col("row.stores"))
     return rows.select("signature", "manual_ord", clean_text(F.col("row.product_name")).alias("product_name"), F.posexplode(kept).alias("store_pos", "e")).select("signature", "manual_ord", "product_name", "store_pos", "e.store", "e.ref")
 
 
@@ -52,15 +78,63 @@ def write_saved(manual: DataFrame, path: str) -> None:
     saved_json(manual).write.mode("overwrite").partitionBy("signature").text(path)
 
 
-def swap_in(spark: SparkSession, folders: dict[str, str]) -> None:
-    """Move written folders (from -> to) into place, once all of them are complete."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for source, target in folders.items():
-        new, old = fs_path(source), fs_path(target)
-        fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"{source} could not be moved to {target}")
+LINE = "product_name string, stores map<string, string>"
+
+
+def write_saved_lines(manual: DataFrame, path: str) -> None:
+    """Saved relations (signature, manual_ord, product_name, store, ref) as one JSON line each, in folders by signature; no value
+    holds more than one relation. Signatures among the rows replace their own folder, others stay."""
+    row = manual.groupBy("signature", "manual_ord").agg(F.first("product_name").alias("product_name"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("store", "ref")))).alias("stores"))
+    lines = row.select("signature", F.to_json(F.struct("manual_ord", "product_name", "stores")).alias("value"))
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("signature").text(path)
+
+
+def read_saved_lines(spark: SparkSession, path: str, signature: str | None = None) -> DataFrame:
+    """What `write_saved_lines` wrote, of one signature or of all; a malformed line gives no row."""
+    lines = spark.read.schema("value string, signature string").text(path)
+    if signature is not None:
+        lines = lines.where(F.col("signature") == signature)
+    rows = lines.select("signature", F.from_json("value", f"manual_ord long, {LINE}").alias("j")).where("j.manual_ord is not null and j.stores is not null")
+    return rows.select("signature", "j.manual_ord", clean_text(F.col("j.product_name")).alias("product_name"), F.posexplode(kept_refs(F.col("j.stores"))).alias("store_pos", "e")).select("signature", "manual_ord", "product_name", "store_pos", "e.store", "e.ref")
+
+
+POINTER = "CURRENT"
+
+
+def current_parts(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder of each part of a report, by its pointer; none where there is no report yet."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return {}
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{path}/{POINTER}", wholetext=True).collect()))
+
+
+def point_to(spark: SparkSession, path: str, parts: dict[str, str]) -> None:
+    """Let the pointer of a report name these folders. The new pointer is written beside the old one and takes its place in
+    one rename, so a reader finds the old report or the new one, whenever a run dies."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fresh, target = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in (f"_pointer-{uuid.uuid4().hex}", POINTER))
+    out = fresh.getFileSystem(conf).create(fresh)
+    out.write(bytearray(json.dumps(parts).encode()))
+    out.close()
+    options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, target, options)
+
+
+def delete_parts(spark: SparkSession, path: str, parts: list[str]) -> None:
+    for part in parts:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def replace_parts(spark: SparkSession, path: str, parts: dict[str, DataFrame], fmt: str) -> None:
+    """Write parts of a report into folders of their own, then point to them; what they replace is deleted last."""
+    run, before = uuid.uuid4().hex, current_parts(spark, path)
+    for name, df in parts.items():
+        df.write.format(fmt).option("header", "true").save(f"{path}/{name}-{run}")
+    point_to(spark, path, before | {name: f"{name}-{run}" for name in parts})
+    delete_parts(spark, path, [before[name] for name in parts if name in before])
 
 
 def with_row_ord(sheet: DataFrame) -> DataFrame:
@@ -69,29 +143,29 @@ def with_row_ord(sheet: DataFrame) -> DataFrame:
 
 
 def write_report(bundle, path: str, fmt: str = "parquet", standard: DataFrame | None = None) -> None:
-    """Comparison (without product_key), Ranking and Relations (in the standard layout, with row_ord), as folders under one
-    path. All are written before any of an earlier report is replaced."""
+    """Comparison (without product_key), Ranking and Relations (in the standard layout, with row_ord), in folders under one
+    path that its pointer names. All are written before the pointer turns from an earlier report to them."""
     spark = bundle.members.sparkSession
     if standard is None:
         mapping = {r["store"]: r["provider"] for r in provider_mapping(store_frame(spark, bundle.stores)).collect()}
         standard = relations_to_standard(bundle.relations(), mapping)
     parts = {"Comparison": bundle.comparison().drop("product_key"), "Ranking": bundle.ranking(), "Relations": with_row_ord(standard)}
-    run = uuid.uuid4().hex
-    for name, df in parts.items():
-        df.write.format(fmt).option("header", "true").save(f"{path}/_new-{run}-{name}")
-    swap_in(spark, {f"{path}/_new-{run}-{name}": f"{path}/{name}" for name in parts})
+    replace_parts(spark, path, parts, fmt)
 
 
 def replace_relations(standard: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace only the relations of a report; a table without rows replaces them too."""
-    new = f"{path}/_new-{uuid.uuid4().hex}-Relations"
-    with_row_ord(standard).write.format(fmt).option("header", "true").save(new)
-    swap_in(standard.sparkSession, {new: f"{path}/Relations"})
+    replace_parts(standard.sparkSession, path, {"Relations": with_row_ord(standard)}, fmt)
+
+
+def read_part(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
+    """A part of the report that the pointer names: Comparison, Ranking or Relations."""
+    return spark.read.format(fmt).option("header", "true").load(f"{path}/{current_parts(spark, path)[name]}")
 
 
 def read_relations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The relations of a report, a sheet with row_ord."""
-    return spark.read.format(fmt).option("header", "true").load(f"{path}/Relations").withColumn("row_ord", F.col("row_ord").cast("long"))
+    return read_part(spark, path, "Relations", fmt).withColumn("row_ord", F.col("row_ord").cast("long"))
 
 
 def empty_template(spark: SparkSession) -> DataFrame:

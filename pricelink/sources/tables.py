@@ -5,16 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df and read it back. The folder is that of spark.checkpoint.dir; one of our own only where it is unset and the
-    driver is the only machine."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; in one of our own only where it is unset and the driver is the only
+    machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
@@ -23,6 +22,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         if context.applicationId not in _own:
             _own[context.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
         folder = _own[context.applicationId]
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df into the shared folder and read it back."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -38,6 +38,9 @@ SELECT doc_id, page, table_no, row_no, cells FROM (
   UNION ALL SELECT CAST(p_partkey % 40 + 40 AS BIGINT), 1, 0, CAST(floor(p_partkey / 40) AS INT), ARRAY(CAST(p_partkey + 10000 AS STRING) || ' 2 5 KG ' || p_brand || ' ' || p_name || ' ' || CAST(p_retailprice AS STRING) || ' EA') FROM {part}) AS x""",
     "cascade_rows": "SELECT -doc_id - 1 AS doc_id, page, table_no, row_no, cells FROM {table_rows}",
     "cascade_text": "SELECT -doc_id - 61 AS doc_id, page, text FROM {page_text}",
+    "listing_lines": """
+SELECT p_partkey, chr(123) || CASE p_partkey % 10 WHEN 3 THEN '"store": "SYSCO", "product_key": ' || CAST(p_partkey AS STRING) WHEN 4 THEN '"store": "KOHL", "product_key": "' || CAST(p_partkey AS STRING) || '", "price": "none"' || chr(125)
+  ELSE '"store": "KOHL", "store_ord": 2, "product_key": "' || CAST(p_partkey AS STRING) || '", "product_name": "' || p_name || '", "price": ' || CAST(p_size AS STRING) || '.5' || chr(125) END AS line FROM {part}""",
     "order_rows": """
 SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS r, l_partkey, l_suppkey, l_linenumber, p_name, p_type, p_size
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -44,6 +45,31 @@ def test_job_writes_a_report_and_the_next_run_starts_from_it(spark, tmp_path):
     assert again.bundle.clusters.where("source = 'manual'").count() == manual.select("manual_ord").distinct().count()
 
 
+def test_saved_relations_of_one_signature_are_taken_and_written_back(spark, tmp_path):
+    row = "signature string, manual_ord long, product_name string, store_pos int, store string, ref string"
+    saved = spark.createDataFrame([(s, 0, f"of {s}", i, st, f"{s}{i}") for s in ("s1", "s2") for i, st in enumerate("xy")], row)
+    got = jobs.saved_relations(["x", "y"], saved=saved, signature="s2").collect()
+    assert {(r["product_name"], r["store"], r["ref"]) for r in got} == {("of s2", "x", "s20"), ("of s2", "y", "s21")}
+    with pytest.raises(ValueError):
+        jobs.saved_relations(["x", "y"], saved=saved)
+    stores = spark.createDataFrame([("North", "a.pdf"), ("south ", "B.pdf")], "store string, path string")
+    signature = jobs.run_signature(stores)
+    assert signature == hashlib.sha1(b"NORTH|a.pdf\nSOUTH|b.pdf").hexdigest()
+    path = str(tmp_path / "saved")
+    files.write_saved_lines(saved, path)
+    jobs.save_back(path, saved.where("signature = 's1'"), signature)
+    assert files.read_saved_lines(spark, path).groupBy("signature").count().count() == 3
+    again = jobs.saved_relations(["x", "y"], saved=files.read_saved_lines(spark, path), signature=signature)
+    assert {r["ref"] for r in again.collect()} == {"s10", "s11"}
+
+
+def test_what_the_storage_raises_is_not_a_summary(spark, tmp_path):
+    with pytest.raises(Exception, match="nowhere|PATH_NOT_FOUND|exist"):
+        lists, fragments, rows, pages = inputs(spark)
+        missing = spark.read.schema(pages.schema).parquet(str(tmp_path / "nowhere"))
+        jobs.run(str(tmp_path / "out"), lists, fragments, rows, missing)
+
+
 def groups(bundle):
     found = {}
     for r in bundle.members.collect():
