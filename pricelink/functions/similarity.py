@@ -22,21 +22,26 @@ WORD_BITS = 62
 FULL = (1 << WORD_BITS) - 1
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two texts, bit-parallel: words of 62 places of a, in which a zero says
     that a character of b lengthens the subsequence there; each character of b is one addition with carry."""
-    chars = F.filter(F.split(a, ""), lambda x: x != "")
-    n = F.size(chars)
+    one, n = F.lit(1).cast("long"), F.length(a)
     words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / F.lit(WORD_BITS)).cast("int")))
-    one = F.lit(1).cast("long")
+    bits = lambda w: F.call_function("shiftleft", one, F.least(F.lit(WORD_BITS), n - w * WORD_BITS)) - 1
 
-    def mask(c: Column, w: Column) -> Column:
-        part = F.slice(chars, w * WORD_BITS + 1, F.lit(WORD_BITS))
-        return F.aggregate(F.transform(part, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(0)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    def masks(chars: Column) -> Column:
+        def mask(c: Column, w: Column) -> Column:
+            part = F.slice(chars, w * WORD_BITS + 1, F.lit(WORD_BITS))
+            places = F.transform(part, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(0))
+            return F.aggregate(places, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
 
-    kinds = F.array_distinct(chars)
-    masks = F.map_from_arrays(kinds, F.transform(kinds, lambda c: F.transform(words, lambda w: mask(c, w))))
-    full = F.transform(words, lambda w: F.call_function("shiftleft", one, F.least(F.lit(WORD_BITS), n - w * WORD_BITS)) - 1)
+        kinds = F.array_distinct(chars)
+        return F.map_from_arrays(kinds, F.transform(kinds, lambda c: F.transform(words, lambda w: mask(c, w))))
 
     def step(v: Column, m: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("words"))
@@ -48,9 +53,13 @@ def lcs_length(a: Column, b: Column) -> Column:
 
         return F.aggregate(F.zip_with(v, m, lambda x, y: F.struct(x.alias("v"), y.alias("m"))), start, add)["words"]
 
-    met = F.filter(F.transform(F.split(b, ""), lambda c: F.try_element_at(masks, c)), lambda m: m.isNotNull())
-    last = F.aggregate(met, full, step)
-    return n - F.aggregate(F.zip_with(last, full, lambda v, f: F.bit_count(v.bitwiseAND(f))), F.lit(0), lambda x, y: x + y)
+    def zeros(full: Column, held: Column) -> Column:
+        met = F.filter(F.transform(F.split(b, ""), lambda c: F.try_element_at(held, c)), lambda m: m.isNotNull())
+        ones = F.zip_with(F.aggregate(met, full, step), full, lambda v, f: F.bit_count(v.bitwiseAND(f)))
+        return n - F.aggregate(ones, F.lit(0), lambda x, y: x + y)
+
+    chars = F.filter(F.split(a, ""), lambda x: x != "")
+    return let(F.transform(words, bits), lambda full: let(let(chars, masks), lambda held: zeros(full, held)))
 
 
 def lcs_ratio(a: Column, b: Column) -> Column:
