@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Units of prices, and the shape of their numbers.
 UNITS = "CS|EA|LB|CT|PK|BX|BG|RL|DZ"
 NUMBER = r"-?\d{1,5}(?:\.\d+)?"
 
@@ -44,8 +45,10 @@ def ascii_only(c: Column) -> Column:
     """Letters without accents, compatibility forms spelled out, and all else beyond ASCII dropped."""
     single, to, several = decompositions()
     marks = "[" + "".join(several) + "]"
-    spelled = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    whole = F.when(c.rlike(marks), F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")).otherwise(c)
+    # two literals that fold to a map; only characters beyond ASCII are looked up in it
+    spelled = F.map_from_arrays(*[F.split(F.lit("\n".join(side)), "\n") for side in (several, several.values())])
+    other = lambda x: F.when(x > "\x7f", F.coalesce(F.try_element_at(spelled, x), x)).otherwise(x)
+    whole = F.when(c.rlike(marks), F.array_join(F.transform(F.split(c, ""), other), "")).otherwise(c)
     return F.when(c.rlike(r"^[\x00-\x7f]*$"), c).otherwise(F.regexp_replace(F.translate(whole, single, to), r"[^\x00-\x7f]+", ""))
 
 

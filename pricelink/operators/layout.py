@@ -131,7 +131,8 @@ def row_windows(rows: DataFrame) -> DataFrame:
 
 
 def row_records(cells: DataFrame, bounds: DataFrame, rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """A record for each price row: the texts near it in the product, pack and id columns."""
+    """A record for each price row: the texts near it in the product, pack and id columns. rec_ord, by which the records of a
+    document are ordered, is the place of the row, so no task has to number a whole document."""
     below = cells.join(bounds, PAGE).where(F.col("line_y") > F.col("header_bottom"))
     near = rows.join(windows, PAGE).select(*PAGE, F.col("line_no").alias("row_no"), F.col("y").alias("row_y"), "price", "unit", "row_window")
     each = near.join(below, PAGE).where(F.abs(F.col("line_y") - F.col("row_y")) <= F.col("row_window"))
@@ -141,8 +142,7 @@ def row_records(cells: DataFrame, bounds: DataFrame, rows: DataFrame, windows: D
         return clean_text(F.array_join(F.transform(got, lambda p: p["text"]), " "))
 
     found = each.groupBy(*PAGE, "row_no", "row_y", "price", "unit").agg(column("product").alias("product_name"), column("pack").alias("pack_size"), product_id(column("ident")).alias("product_id"))
-    ordinal = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "row_y", "row_no"))
-    return found.where("product_name <> ''").select("doc_id", ordinal.cast("long").alias("rec_ord"), "product_name", "price", F.col("unit").alias("price_unit"), "pack_size", "product_id")
+    return found.where("product_name <> ''").select("doc_id", F.struct("page", "row_y", "row_no").alias("rec_ord"), "product_name", "price", F.col("unit").alias("price_unit"), "pack_size", "product_id")
 
 
 def prefer_case_prices(records: DataFrame) -> DataFrame:

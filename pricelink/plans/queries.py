@@ -125,6 +125,18 @@ def _(lists, pages):
     return intake.suggested_names(intake.detect_list_provider(lists, pages)).select("list_ord", "suggested")
 
 
+@on("store_names", "lists", "list_pages")
+def _(lists, pages):
+    accepted = intake.with_status(lists).where("status = 'added'")
+    return intake.unique_names(intake.named_by_provider(accepted, pages)).select("list_ord", "unique_name")
+
+
+@on("output_names", "part")
+def _(rows):
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(".XLSX"))).when(F.col("p_partkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("p_name")))
+    return rows.select("p_partkey", intake.output_name(name).alias("output"))
+
+
 @on("signature", "lists")
 def _(lists):
     runs = lists.withColumn("run", F.col("list_ord") % 5)
@@ -490,24 +502,14 @@ def _(listings):
     return fuzzy(listings, ratio=similarity.EQUAL).relations()
 
 
-def three_lists(fragments: DataFrame, rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, ...]:
-    """Three lists of many pages, one for each way of reading: positioned words, tables, and lines."""
-    lists = fragments.sparkSession.sql("SELECT * FROM VALUES (0, 'Sysco', 'lists/a.pdf', 0L), (1, ' ', 'lists/b.PDF', 1L), (2, 'Sysco', 'lists/c.pdf', 2L), (3, 'none', 'lists/d.pdf', 3L), (4, 'x', 'lists/a.pdf', 4L) AS t(list_ord, list_name, path, doc_id)")
-    words = fragments.withColumn("page", F.col("doc_id").cast("int")).withColumn("doc_id", F.lit(0).cast("long"))
-    cells = rows.withColumn("table_no", F.col("doc_id").cast("int")).withColumn("doc_id", F.lit(1).cast("long"))
-    lines = pages.withColumn("page", (F.col("doc_id") * 3 + F.col("page")).cast("int")).withColumn("doc_id", F.lit(2).cast("long"))
-    return lists, words, cells, lines
-
+@on("job_comparison", "few_lists", "few_fragments", "few_rows", "few_text")
+def _(*inputs):
+    return jobs.compare_lists(*inputs).bundle.comparison()
 
-@on("job_comparison", "fragments", "table_rows", "page_text")
-def _(fragments, rows, pages):
-    return jobs.compare_lists(*three_lists(fragments, rows, pages)).bundle.comparison()
 
-
-@on("job_log", "fragments", "table_rows", "page_text")
-def _(fragments, rows, pages):
-    stores, listings = jobs.listings_of(*three_lists(fragments, rows, pages))
-    return intake.ingestion_log(stores, listings)
+@on("job_log", "many_lists", "many_fragments", "many_rows", "many_text")
+def _(*inputs):
+    return intake.ingestion_log(*jobs.listings_of(*inputs)).drop("error")
 
 
 def named_pairs(pairs: DataFrame, legacy: bool) -> DataFrame:

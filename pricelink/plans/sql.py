@@ -229,6 +229,16 @@ FROM (SELECT *, unnest([{{'store_pos': 0, 'store': 'SYSCO', 'ref': a}}, {{'store
 DOC_PROVIDER = f"""dp AS (SELECT doc_id, arg_min({provider('left(text, 4000)')}, page) FILTER ({provider('left(text, 4000)')} IS NOT NULL) AS p FROM {{list_pages}} WHERE page <= 2 GROUP BY doc_id),
 lp AS (SELECT list_ord, coalesce({provider("regexp_extract(path, '[^/]*$', 0)")}, p, 'SYSCO') AS provider FROM {{lists}} LEFT JOIN dp USING (doc_id))"""
 
+
+def store_names(lists: str, pages: str) -> str:
+    """sn: list_ord, doc_id and unique_name of the accepted lists; a blank name is the provider's, or a request for one."""
+    given = f"coalesce(nullif({clean('list_name')}, ''), provider)"
+    return f"""acc AS (SELECT * FROM {lists} WHERE suffix(lower(path), '.pdf') QUALIFY row_number() OVER (PARTITION BY path ORDER BY list_ord) = 1),
+{DOC_PROVIDER.replace("{lists}", "acc").replace("{list_pages}", pages)},
+nm AS (SELECT list_ord, doc_id, CASE WHEN {clean('list_name')} = '' AND provider = 'SYSCO' AND list_ord > min(list_ord) FILTER (upper({given}) = 'SYSCO') OVER () THEN 'ENTER SUPPLIER NAME' ELSE {given} END AS base FROM acc JOIN lp USING (list_ord)),
+sn AS (SELECT list_ord, doc_id, base || CASE WHEN k = 1 THEN '' ELSE '_' || k END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY list_ord) AS k FROM nm))"""
+
+
 CASCADE = (f"{POSITIONED}, pos AS ({grouped('dist')}), {TABLES}{ONE.removeprefix(NORMAL)}{FIRST_HIT}".replace("{table_rows}", "{cascade_rows}").replace("{page_text}", "{cascade_text}")
     + f""", every AS (SELECT doc_id, product_name, price, 1 AS way FROM pos UNION ALL SELECT doc_id, product_name, price, 2 FROM extracted UNION ALL SELECT doc_id, product_name, price, 3 FROM single),
 first_way AS (SELECT doc_id, min(way) AS way FROM every GROUP BY doc_id), kept_rows AS (SELECT every.* FROM every SEMI JOIN first_way USING (doc_id, way)), grp AS ({grouped('kept_rows')})""")
@@ -253,6 +263,11 @@ SQL = {
     "unique_names": f"WITH b AS (SELECT list_ord, coalesce(nullif({clean('list_name')}, ''), 'listing') AS base FROM {{lists}}), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY list_ord) AS k FROM b) SELECT list_ord, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS unique_name FROM k",
     "provider_detect_doc": f"WITH {DOC_PROVIDER} SELECT list_ord, provider FROM lp",
     "suggest_names": f"WITH {DOC_PROVIDER} SELECT list_ord, CASE WHEN provider = 'SYSCO' AND count(*) FILTER (provider = 'SYSCO') OVER (ORDER BY list_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'ENTER SUPPLIER NAME' ELSE provider END AS suggested FROM lp",
+    "store_names": f"WITH {store_names('{lists}', '{list_pages}')} SELECT list_ord, unique_name FROM sn",
+    "output_names": "WITH n AS (SELECT p_partkey, trim(regexp_replace(CASE WHEN p_partkey % 5 = 0 THEN p_name || '.XLSX' WHEN p_partkey % 7 = 0 THEN '' ELSE ' ' || p_name END, '\\s+', ' ', 'g')) AS n FROM part) SELECT p_partkey, CASE WHEN n = '' THEN 'price_comparison.xlsx' WHEN suffix(lower(n), '.xlsx') THEN n ELSE n || '.xlsx' END AS output FROM n",
+    "job_log": "WITH RECURSIVE " + CASCADE.replace("{fragments}", "{many_fragments}").replace("{cascade_rows}", "{many_rows}").replace("{cascade_text}", "{many_text}") + f""", {store_names('{many_lists}', '{many_text}')},
+found AS (SELECT doc_id, count(*) AS n, any_value(way) AS way FROM grp JOIN first_way USING (doc_id) GROUP BY doc_id)
+SELECT unique_name AS store, list_ord AS store_ord, coalesce(n, 0) AS product_count, CASE way WHEN 3 THEN 'single-column' WHEN 2 THEN 'tabular' WHEN 1 THEN 'tabular' END AS source_format, CASE WHEN n > 0 THEN 'ok' ELSE 'failed' END AS status FROM sn LEFT JOIN found USING (doc_id)""",
     "signature": f"SELECT list_ord % 5 AS run, sha1(string_agg(l, chr(10) ORDER BY l)) AS signature FROM (SELECT list_ord, upper({clean('list_name')}) || '|' || lower(path) AS l FROM {{lists}}) GROUP BY 1",
     "ingestion_log": f"WITH {CAT}, s AS (SELECT DISTINCT upper({clean('list_name')}) AS store FROM {{lists}}) SELECT s.store, count(cat.store) AS product_count, CASE WHEN count(cat.store) > 0 THEN 'ok' ELSE 'failed' END AS status FROM s LEFT JOIN cat USING (store) GROUP BY s.store",
     "run_summary": f"WITH {SAME} SELECT true AS ok, (SELECT count(DISTINCT store) FROM {{same_listings}}) AS store_count, (SELECT count(DISTINCT product_key) FROM cat WHERE price > 0) AS product_count",

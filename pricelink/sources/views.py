@@ -78,6 +78,24 @@ SELECT p_partkey AS row_ord, CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE p_name
 }
 
 
+def dealt_lists(prefix: str, each: int) -> dict[str, str]:
+    """Views of price lists, `each` for every way of reading (positioned words, tables, lines), with one that has no pages and
+    one that is listed twice. The documents of a way are dealt to its lists."""
+    n = 3 * each
+    return {
+        f"{prefix}_lists": f"""
+SELECT CAST(d AS INT) AS list_ord, CASE WHEN d > {n} THEN 'x' WHEN d % 4 = 0 THEN 'Sysco' WHEN d % 4 = 2 THEN 'Store ' || CAST(d % 6 AS STRING) ELSE ' ' END AS list_name,
+  'lists/' || CASE d % 8 WHEN 1 THEN 'kohls ' WHEN 3 THEN 'US Foods ' ELSE 'list ' END || CAST(CASE WHEN d > {n} THEN 0 ELSE d END AS STRING) || '.PDF' AS path, CAST(d AS BIGINT) AS doc_id
+FROM (SELECT DISTINCT p_partkey % {n + 2} AS d FROM {{part}}) AS x""",
+        f"{prefix}_fragments": f"SELECT CAST(doc_id % {each} AS BIGINT) AS doc_id, CAST(floor(doc_id / {each}) AS INT) AS page, page_height, text, x, end_x, y FROM {{fragments}}",
+        f"{prefix}_rows": f"SELECT CAST({each} + doc_id % {each} AS BIGINT) AS doc_id, page, CAST(floor(doc_id / {each}) AS INT) AS table_no, row_no, cells FROM {{table_rows}}",
+        f"{prefix}_text": f"SELECT CAST({2 * each} + doc_id % {each} AS BIGINT) AS doc_id, CAST(floor(doc_id / {each}) * 3 + page AS INT) AS page, text FROM {{page_text}}",
+    }
+
+
+VIEWS |= dealt_lists("few", 1) | dealt_lists("many", 20)
+
+
 def dialect(sql: str) -> str:
     return sql.replace("ARRAY(", "list_value(")
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricelink.operators import matching, numbering, relations
+from pricelink.operators import intake, matching, numbering, relations
 from pricelink.plans import jobs
 from pricelink.sources import files
 
@@ -17,7 +17,7 @@ def inputs(spark):
     other = ["Loin Beef 10 CT", "Salmon Fillet Fresh 5 CT", "Ribs Pork 8 CT", "Oat Milk 2 CT"]
     line = lambda i, n, p: f"{10000 + i} 1 10 LB Brand {n} $ {p} CS"
     pages = [(d, 1, "\n".join(line(i, n, 3 + i + d) for i, n in enumerate(each))) for d, each in ((0, names), (1, other), (2, names[:2]))]
-    lists = [(0, "Sysco", "a.pdf", 0), (1, "", "b.PDF", 1), (2, "Sysco", "c.pdf", 2), (3, "bad", "d.pdf", 3), (4, "again", "a.pdf", 4), (5, "text", "e.txt", 5)]
+    lists = [(0, "Sysco", "a.pdf", 0), (1, "", "us foods b.PDF", 1), (2, "Sysco", "c.pdf", 2), (3, "bad", "d.pdf", 3), (4, "again", "a.pdf", 4), (5, "text", "e.txt", 5)]
     return (
         spark.createDataFrame(lists, LISTS),
         spark.createDataFrame([], files.SCHEMAS["fragments"]),
@@ -33,10 +33,10 @@ def test_job_writes_a_report_and_the_next_run_starts_from_it(spark, tmp_path):
     job = jobs.compare_lists(*given)
     assert job.counts.first().asDict() == {"added": 4, "skipped": 2}
     log = {r["store"]: (r["product_count"], r["source_format"], r["status"]) for r in job.log.collect()}
-    assert log == {"Sysco": (4, "single-column", "ok"), "us food": (4, "single-column", "ok"), "Sysco_2": (2, "single-column", "ok"), "bad": (0, None, "failed")}
+    assert log == {"Sysco": (4, "single-column", "ok"), "US FOOD": (4, "single-column", "ok"), "Sysco_2": (2, "single-column", "ok"), "bad": (0, None, "failed")}
     written = files.read_relations(spark, out)
     assert written.columns == ["row_ord", *relations.STANDARD_COLUMNS]
-    manual = jobs.saved_relations(["Sysco", "us food", "Sysco_2"], report=written)
+    manual = jobs.saved_relations(["Sysco", "US FOOD", "Sysco_2"], report=written)
     assert manual.select("manual_ord").distinct().count() >= 2
     again = jobs.compare_lists(*given, manual=manual)
     before = {tuple(sorted((r["store"], r["product_key"]) for r in g)) for g in groups(job.bundle)}
@@ -63,6 +63,47 @@ def test_saved_relations_of_one_signature_are_taken_and_written_back(spark, tmp_
     assert {r["ref"] for r in again.collect()} == {"s10", "s11"}
 
 
+def test_one_list_that_cannot_be_read_does_not_stop_the_others(spark, tmp_path):
+    lists, fragments, rows, pages = inputs(spark)
+    lists = lists.union(spark.createDataFrame([(6, " ", "kohls 6.pdf", 6)], LISTS))
+    more = pages.union(pages.where("doc_id = 1").withColumn("doc_id", F.lit(6).cast("long")))
+    broken = more.withColumn("text", F.when(F.col("doc_id") == 1, F.raise_error(F.lit("no text in b"))).otherwise(F.col("text")))
+    job = jobs.compare_lists(lists, fragments, rows, broken)
+    log = {r["store"]: (r["product_count"], r["status"], r["error"]) for r in job.log.collect()}
+    assert {s: x[:2] for s, x in log.items()} == {"Sysco": (4, "ok"), "US FOOD": (0, "failed"), "Sysco_2": (2, "ok"), "bad": (0, "failed"), "KOHL": (4, "ok")}
+    assert "no text in b" in log["US FOOD"][2] and all(log[s][2] is None for s in ("Sysco", "Sysco_2", "bad", "KOHL"))
+    assert job.bundle.stores == ["Sysco", "Sysco_2", "KOHL"] and job.summary.first()["store_count"] == 5
+
+
+def test_a_damaged_file_is_its_lists_fault_and_damage_to_all_the_storages(spark, tmp_path):
+    lists, fragments, rows, pages = inputs(spark)
+    few, path = lists.where("doc_id in (0, 1)"), tmp_path / "pages"
+    pages.write.partitionBy("doc_id").parquet(str(path))
+    read = lambda: spark.read.schema(pages.schema).parquet(str(path))
+    for doc, found in ((1, {0}), (0, None)):
+        for file in (path / f"doc_id={doc}").glob("*.parquet"):
+            file.write_bytes(b"PAR1 not a table PAR1")
+        if found:
+            stores, listings = jobs.listings_of(few, fragments, rows, read())
+            assert {r["store_ord"] for r in listings.select("store_ord").collect()} == found
+            assert [(r["store"], "FAILED_READ_FILE" in (r["error"] or "")) for r in stores.orderBy("store_ord").collect()] == [("Sysco", False), ("US FOOD", True)]
+        else:
+            with pytest.raises(Exception, match="FAILED_READ_FILE"):
+                jobs.listings_of(few, fragments, rows, read())
+
+
+def test_blank_names_are_the_providers(spark):
+    lists = spark.createDataFrame([(0, " ", "a.pdf", 0), (1, "", "b.pdf", 1), (2, "Own", "sysco.pdf", 2), (3, None, "c.pdf", 3)], LISTS)
+    pages = spark.createDataFrame([(3, 3, "kohl"), (3, 2, "US FOODS list"), (1, 1, None)], files.SCHEMAS["page_text"])
+    assert [r["list_name"] for r in intake.named_by_provider(lists, pages).orderBy("list_ord").collect()] == ["SYSCO", intake.ASK, "Own", "US FOOD"]
+    own = spark.createDataFrame([(0, "Own", "a.pdf", 0), (1, "", "b.pdf", 1), (2, "sysco ", "c.pdf", 2), (3, "", "d.pdf", 3)], LISTS)
+    assert [r["list_name"] for r in intake.named_by_provider(own, pages.limit(0)).orderBy("list_ord").collect()] == ["Own", "SYSCO", "sysco", intake.ASK]
+
+
+def test_reports_have_names(spark):
+    assert jobs.output_path(spark, "/x/", "  may  2024 ") == "/x/may 2024" and jobs.output_path(spark, "/x") == "/x/price_comparison"
+
+
 def test_what_the_storage_raises_is_not_a_summary(spark, tmp_path):
     with pytest.raises(Exception, match="nowhere|PATH_NOT_FOUND|exist"):
         lists, fragments, rows, pages = inputs(spark)
