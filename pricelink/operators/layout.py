@@ -5,6 +5,8 @@ All steps work within (doc_id, page). Fragments: doc_id, page, page_height, text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,39 +17,66 @@ from .tables import single_column_records, tabular_records
 
 PAGE = ["doc_id", "page"]
 LINE_GAP, CELL_GAP, GLUE_GAP, HEADER_GAP = 2.5, 6.0, 1.5, 8.0
+#: Headers lie in this upper part of a page; the cells of a header row lie this near to its height.
+HEADER_PART, HEADER_NEAR = 0.48, 8
 
 
-def page_lines(fragments: DataFrame) -> DataFrame:
-    """Fragments with line_no (from 0) and line_y: a fragment joins the line whose first fragment lies within LINE_GAP
-    above it. A pass over the fragments of a page in their order notes where lines start, and the page is cut there; arrays
-    are copied at the start of a line only."""
+def run_starts(items: str, opens: Callable[[Column, Column], Column], mark: str) -> Column:
+    """The indexes at which `opens` starts a new run, in one pass over an array. It sees what has been noted (n: items so far;
+    first, last: `mark` of the run's first item and of the item before) and the item."""
+
+    def step(acc: Column, w: Column) -> Column:
+        new = opens(acc, w)
+        return F.struct((acc["n"] + 1).alias("n"), F.when(new, w[mark]).otherwise(acc["first"]).alias("first"), w[mark].alias("last"),
+            F.when(new, F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"]).alias("starts"))
+
+    none = F.lit(None).cast("double")
+    return F.aggregate(items, F.struct(F.lit(0).alias("n"), none.alias("first"), none.alias("last"), F.array().cast("array<int>").alias("starts")), step)["starts"]
+
+
+def runs_of(items: str, starts: str) -> Column:
+    """The runs of an array, cut at the indexes of another; items are copied once."""
+    end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(items))
+    return F.transform(starts, lambda at, i: F.slice(items, at + 1, end(i) - at))
+
+
+def cut_lines(fragments: DataFrame) -> DataFrame:
+    """One row a line: page_height, line_no (from 0), line_y and `_line`, its fragments from left to right. A fragment joins
+    the line whose first fragment lies within LINE_GAP above it."""
     rows = fragments.withColumn("text", clean_text(F.col("text"))).where("text <> ''")
     ordered = F.sort_array(F.collect_list(F.struct("y", "x", "end_x", "text")))
     pages = rows.groupBy(*PAGE).agg(F.first("page_height").alias("page_height"), ordered.alias("_all"))
+    noted = pages.withColumn("_starts", run_starts("_all", lambda acc, w: acc["first"].isNull() | (w["y"] - acc["first"] > LINE_GAP), "y"))
+    lines = F.transform(runs_of("_all", "_starts"), lambda p, i: F.struct(i.alias("line_no"), F.get(p, F.lit(0))["y"].alias("line_y"), p.alias("_line")))
+    each = noted.select(*PAGE, "page_height", F.inline(lines))
+    return each.withColumn("_line", F.sort_array(F.transform("_line", lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["end_x"].alias("end_x"), w["text"].alias("text")))))
 
-    def step(acc: Column, w: Column) -> Column:
-        opens = acc["y"].isNull() | (w["y"] - acc["y"] > LINE_GAP)
-        starts = F.when(opens, F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"])
-        return F.struct(F.when(opens, w["y"]).otherwise(acc["y"]).alias("y"), (acc["n"] + 1).alias("n"), starts.alias("starts"))
 
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
-    noted = pages.withColumn("_starts", F.aggregate("_all", start, step)["starts"])
-    end = lambda i: F.coalesce(F.get("_starts", i + 1), F.size("_all"))
-    lines = F.transform("_starts", lambda at, i: F.struct(i.alias("line_no"), F.slice("_all", at + 1, end(i) - at).alias("_line")))
-    each = noted.select(*PAGE, "page_height", F.inline(lines)).select(*PAGE, "page_height", "line_no", F.get("_line", F.lit(0))["y"].alias("line_y"), F.explode("_line").alias("w"))
-    return each.select(*PAGE, "page_height", "line_no", "line_y", "w.text", "w.x", "w.end_x", F.col("w.y").alias("y"))
+def page_lines(fragments: DataFrame) -> DataFrame:
+    """Fragments with line_no and line_y."""
+    each = cut_lines(fragments).select(*PAGE, "page_height", "line_no", "line_y", F.explode("_line").alias("w"))
+    return each.select(*PAGE, "page_height", "line_no", "line_y", "w.text", "w.x", "w.end_x", "w.y")
+
+
+def with_merged(lines: DataFrame, items: str, gap: float, out: str) -> DataFrame:
+    """Adds `out`: neighbours in `items` (ordered structs of x, y, end_x and a clean text) at most `gap` apart as one cell."""
+    noted = lines.withColumn("_cuts", run_starts(items, lambda acc, w: (acc["n"] == 0) | (w["x"] - acc["last"] > gap), "end_x"))
+    cell = lambda p: F.struct(F.get(p, F.lit(0))["x"].alias("x"), F.get(p, F.lit(0))["y"].alias("y"), F.element_at(p, -1)["end_x"].alias("end_x"),
+        F.array_join(F.transform(p, lambda w: w["text"]), " ").alias("text"))
+    return noted.withColumn(out, F.transform(runs_of(items, "_cuts"), cell)).drop("_cuts")
+
+
+def cells_of(lines: DataFrame, items: str) -> DataFrame:
+    """One row a cell of an array of cells, numbered from 0."""
+    numbered = F.transform(items, lambda c, i: F.struct(i.alias("cell_no"), c["text"].alias("text"), c["x"].alias("x"), c["end_x"].alias("end_x"), c["y"].alias("y")))
+    return lines.select(*PAGE, "page_height", "line_no", "line_y", F.inline(numbered))
 
 
 def merged(items: DataFrame, gap: float) -> DataFrame:
     """Neighbours of a line (text, x, end_x, y, line_no, line_y) at most `gap` apart as one cell; of those at one x, the
     upper one comes first."""
-    line = Window.partitionBy(*PAGE, "line_no").orderBy("x", "y", "end_x", "text")
-    far = F.col("x") - F.lag("end_x").over(line) > gap
-    marked = items.withColumn("cell_no", F.sum(F.when(far, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.sort_array(F.collect_list(F.struct("x", "y", "end_x", "text")))
-    cells = marked.groupBy(*PAGE, "page_height", "line_no", "line_y", "cell_no").agg(parts.alias("_p"))
-    return cells.select(*PAGE, "page_height", "line_no", "line_y", "cell_no", clean_text(F.array_join(F.transform("_p", lambda p: p["text"]), " ")).alias("text"),
-        F.get("_p", F.lit(0))["x"].alias("x"), F.element_at("_p", -1)["end_x"].alias("end_x"), F.get("_p", F.lit(0))["y"].alias("y"))
+    return cells_of(with_merged(items.groupBy(*PAGE, "page_height", "line_no", "line_y").agg(parts.alias("_p")), "_p", gap, "_cells"), "_cells")
 
 
 def line_cells(lines: DataFrame) -> DataFrame:
@@ -69,7 +98,7 @@ def header_cells(cells: DataFrame) -> DataFrame:
 def header_pairs(heads: DataFrame) -> DataFrame:
     """The pair of a product header and a price header of each page: in the upper part, product left of price, close in
     height; the closest, then the first."""
-    upper = heads.where(F.col("line_y") <= 0.48 * F.col("page_height"))
+    upper = heads.where(F.col("line_y") <= HEADER_PART * F.col("page_height"))
     p = upper.where(is_product_header(F.col("text"))).select(*PAGE, F.col("line_no").alias("p_line"), F.col("cell_no").alias("p_cell"), F.col("line_y").alias("p_y"), F.col("x").alias("p_x"), F.col("end_x").alias("p_end"))
     r = upper.where(is_price_header(F.col("text"))).select(*PAGE, F.col("line_no").alias("r_line"), F.col("cell_no").alias("r_cell"), F.col("line_y").alias("r_y"), F.col("x").alias("r_x"), F.col("end_x").alias("r_end"))
     pairs = p.join(r, PAGE).where((F.col("p_x") < F.col("r_x")) & (F.abs(F.col("p_y") - F.col("r_y")) <= 32))
@@ -80,7 +109,7 @@ def header_pairs(heads: DataFrame) -> DataFrame:
 
 def column_bounds(heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row a page: header_bottom and the start and end of the product, price, pack and id columns."""
-    row = heads.join(pairs, PAGE).where(F.abs(F.col("line_y") - (F.col("p_y") + F.col("r_y")) / 2) <= 8)
+    row = heads.join(pairs, PAGE).where(F.abs(F.col("line_y") - (F.col("p_y") + F.col("r_y")) / 2) <= HEADER_NEAR)
     key, place = normalize_key(F.col("text")), F.struct("line_no", "cell_no")
     cell = F.struct("x", "end_x")
     kind = lambda when, by: F.min_by(F.when(when, cell), F.when(when, by))
@@ -113,7 +142,7 @@ def within(x: Column, name: str) -> Column:
 
 def price_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """Lines below the header with a price (or `no price`) in the price column: line_no, y, price, unit."""
-    below = cells.join(bounds, PAGE).where((F.col("line_y") > F.col("header_bottom")) & within(F.col("x"), "price"))
+    below = cells.join(bounds.hint("shuffle_hash"), PAGE).where((F.col("line_y") > F.col("header_bottom")) & within(F.col("x"), "price"))
     texts = below.groupBy(*PAGE, "line_no", "line_y").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "y", "cell_no", "text"))), lambda p: p["text"]), " ").alias("text"))
     rows = texts.withColumn("_p", price_candidate(F.col("text")))
     none = normalize_key(F.col("text")).contains("no price")
@@ -131,15 +160,18 @@ def row_windows(rows: DataFrame) -> DataFrame:
 
 
 def row_records(cells: DataFrame, bounds: DataFrame, rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """A record for each price row: the texts near it in the product, pack and id columns. rec_ord, by which the records of a
+    """A record for each price row: the texts near it in the product, pack and id columns. Bounds are one row a page, so they are
+    hashed and cells need no sort. rec_ord, by which the records of a
     document are ordered, is the place of the row, so no task has to number a whole document."""
-    below = cells.join(bounds, PAGE).where(F.col("line_y") > F.col("header_bottom"))
-    near = rows.join(windows, PAGE).select(*PAGE, F.col("line_no").alias("row_no"), F.col("y").alias("row_y"), "price", "unit", "row_window")
-    each = near.join(below, PAGE).where(F.abs(F.col("line_y") - F.col("row_y")) <= F.col("row_window"))
+    kinds = ["product", "pack", "ident"]
+    below = cells.join(bounds.hint("shuffle_hash"), PAGE).where(F.col("line_y") > F.col("header_bottom"))
+    below = below.select(*PAGE, "line_y", "x", "y", "cell_no", "text", *[within(F.col("x"), name).alias(name) for name in kinds]).where("product or pack or ident")
+    near = rows.join(windows.hint("shuffle_hash"), PAGE).select(*PAGE, F.col("line_no").alias("row_no"), F.col("y").alias("row_y"), "price", "unit", "row_window")
+    each = below.join(near.hint("shuffle_hash"), PAGE).where(F.abs(F.col("line_y") - F.col("row_y")) <= F.col("row_window"))
 
     def column(name: str) -> Column:
-        got = F.sort_array(F.collect_list(F.when(within(F.col("x"), name), F.struct("line_y", "x", "y", "cell_no", "text"))))
-        return clean_text(F.array_join(F.transform(got, lambda p: p["text"]), " "))
+        got = F.sort_array(F.collect_list(F.when(F.col(name), F.struct("line_y", "x", "y", "cell_no", "text"))))
+        return F.array_join(F.transform(got, lambda p: p["text"]), " ")
 
     found = each.groupBy(*PAGE, "row_no", "row_y", "price", "unit").agg(column("product").alias("product_name"), column("pack").alias("pack_size"), product_id(column("ident")).alias("product_id"))
     return found.where("product_name <> ''").select("doc_id", F.struct("page", "row_y", "row_no").alias("rec_ord"), "product_name", "price", F.col("unit").alias("price_unit"), "pack_size", "product_id")
@@ -165,12 +197,30 @@ def disambiguate(records: DataFrame) -> DataFrame:
     return rows.withColumn("product_name", name).drop("_norm", "_q", "_same", "_again")
 
 
+def line_table(fragments: DataFrame) -> DataFrame:
+    """One row a line with `cells`, and `named`, whether it has words of a header where headers may lie; written in buckets of
+    pages. What follows is done page by page, so this is the only exchange by page."""
+    n_tasks = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = with_merged(cut_lines(fragments.repartition(n_tasks, *PAGE)), "_line", CELL_GAP, "cells").drop("_line")
+    words = normalize_key(F.array_join("cells.text", " ")).rlike("description|product name|price|cost")
+    return staged(lines.withColumn("named", (F.col("line_y") <= HEADER_PART * F.col("page_height")) & words), "lines", PAGE)
+
+
+def heads_of(lines: DataFrame) -> DataFrame:
+    """The header cells of lines with an array of cells."""
+    return cells_of(with_merged(lines.withColumn("cells", F.sort_array("cells")), "cells", HEADER_GAP, "heads"), "heads")
+
+
 def positioned_raw(fragments: DataFrame) -> DataFrame:
-    """The records of all pages that have a header. Cells and price rows are read several times, so they are written."""
-    cells = staged(line_cells(page_lines(fragments)), "cells")
-    heads = header_cells(cells)
-    bounds = staged(column_bounds(heads, header_pairs(heads)), "bounds")
-    rows = staged(price_rows(cells, bounds), "price_rows")
+    """The records of all pages that have a header. Lines, bounds and price rows are read several times, so they are written,
+    in buckets of pages. Header cells are made of the lines with words of a header, then of the lines near the pair found."""
+    lines = line_table(fragments)
+    pairs = staged(header_pairs(heads_of(lines.where("named"))), "pairs", PAGE)
+    place = pairs.select(*PAGE, ((F.col("p_y") + F.col("r_y")) / 2).alias("_y")).hint("shuffle_hash")
+    beside = lines.join(place, PAGE).where(F.abs(F.col("line_y") - F.col("_y")) <= HEADER_NEAR).drop("_y")
+    bounds = staged(column_bounds(heads_of(beside), pairs), "bounds", PAGE)
+    cells = cells_of(lines, "cells")
+    rows = staged(price_rows(cells, bounds), "price_rows", PAGE)
     return row_records(cells, bounds, rows, row_windows(rows))
 
 

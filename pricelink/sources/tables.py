@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write df into the shared folder and read it back. With `by`, in as many buckets of these columns as a shuffle has
+    partitions, which later joins and groupings by them use as they are; such a table has a name in the session's catalog."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    if not by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), os.path.basename(path).replace("-", "_")
+    # no exchange where df is partitioned like this already; else it gives one file a bucket
+    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -31,3 +31,22 @@ def test_stacked_words_come_from_top_to_bottom(spark):
     cells = layout.line_cells(layout.page_lines(spark.createDataFrame(words, SCHEMAS["fragments"])))
     assert [(r["text"], r["x"], r["y"]) for r in cells.orderBy("x").collect()] == [("Zulu Alpha", 100.0, 120.0), ("next", 131.0, 120.5), ("far", 300.0, 122.0)]
     assert [r["text"] for r in layout.line_texts(cells).collect()] == ["Zulu Alpha next far"]
+
+
+def test_pages_are_exchanged_once(spark):
+    words = [(d, p, 792.0, t, x, x + 30.0, y) for d in range(3) for p in range(4) for t, x, y in (("Product Name", 100.0, 80.0), ("Price", 420.0, 80.0), (f"Rice {d}", 100.0, 120.0 + p), ("$2.50", 420.0, 120.0 + p))]
+    lines = layout.line_table(spark.createDataFrame(words, SCHEMAS["fragments"]))
+    pairs = layout.header_pairs(layout.heads_of(lines.where("named")))
+    bounds = layout.column_bounds(layout.heads_of(lines), pairs)
+    cells = layout.cells_of(lines, "cells")
+    rows = layout.price_rows(cells, bounds)
+    found = layout.row_records(cells, bounds, rows, layout.row_windows(rows))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["product_name"], r["price"]) for r in found.collect()) == sorted((d, f"Rice {d}", 2.5) for d in range(3) for _ in range(4))
+
+
+def test_header_words_over_cells_and_beside_the_pair(spark):
+    """A header whose words lie in cells of their own, one with an accent, and a column head on a line near theirs."""
+    words = [(1, 1, 792.0, t, float(x), float(e), float(y)) for t, x, e, y in (("Product", 100, 130, 80), ("Description", 137, 190, 80), ("Prîce", 420, 445, 80), ("Pack", 300, 320, 84), ("Oil", 100, 120, 120), ("2 CT", 300, 320, 120), ("$4", 420, 440, 120))]
+    got = layout.positioned_raw(spark.createDataFrame(words, SCHEMAS["fragments"])).collect()
+    assert [(r["product_name"], r["price"], r["pack_size"]) for r in got] == [("Oil", 4.0, "2 CT")]
