@@ -20,6 +20,11 @@ its words and pairs, sends the counts to buckets of keys, and gets the corpus's
 So a key has at most one count in a block and no hot word is a hot key; a block's texts are read whole, in pieces.
 Shuffled are the texts and about nine bytes for each distinct pair of a block.
 
+There are as many buckets as blocks, so beyond ONE_HOP blocks a block's counts would lie in rows of a few keys each. Then
+blocks form teams, as many as the root of their number, and so do buckets: a block sends its counts to teams of buckets, a
+team of blocks adds them up there and sends the sums on to buckets, and the totals come back in the same two steps. A block
+has as many rows as there are teams, and no task of either step holds more than about a block's counts.
+
 Null or empty texts have no words, and null losses and score. Several labels of a document count as their largest;
 null ids and ids without a label are background only. Repeated rows count as often as they come; each is scored by the
 others. Documents that come in an order that changes from one reading to the next must be written before. An empty
@@ -32,18 +37,21 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import count
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import A_TO_Z, SPACES, may_meet, small_batches
+from .common import A_TO_Z, SPACES, may_meet, small_batches, written
 
 PAIR_WEIGHT = 0.7
 UNIT = 1e6
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
+#: Up to so many blocks (64 GB of text), a row of a block and a bucket has about forty keys or more.
+ONE_HOP = 1 << 14
 
 LOWER = bytes.maketrans(A_TO_Z.encode(), A_TO_Z.lower().encode())
 _spaces = frozenset(SPACES.encode())
@@ -146,6 +154,43 @@ def unpacked(data: bytes) -> np.ndarray:
     return whole.view("<u8").ravel().astype(np.int64)
 
 
+COUNTS = ["keys", "target", "background"]
+
+
+def rows_of(keys: np.ndarray, target: np.ndarray, background: np.ndarray, n: int) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Counts of ascending keys in rows of one bucket (of n) each: the buckets, and COUNTS."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    parts = [[packed(x, 1) for x in np.split(values, cuts)] for values in (target, background)]
+    # keys of a bucket are near each other, so their steps have fewer bytes
+    parts.insert(0, [packed(np.diff(x, prepend=x[:1])) + x[0].tobytes() for x in np.split(keys, cuts)])
+    return bucket[np.concatenate(([0], cuts))].astype(np.int64), parts
+
+
+class Added:
+    """Rows of counts with the same keys in part, and their sums by key."""
+
+    def __init__(self, table: pa.Table):
+        keys = [np.cumsum(unpacked(x[:-8]).view(np.uint64), dtype=np.uint64) + np.frombuffer(x[-8:], np.uint64) for x in table.column("keys").to_pylist()]
+        self.keys, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.cuts = np.cumsum([len(x) for x in keys])[:-1]
+        self.own, self.sums = [], []
+        for side in COUNTS[1:]:
+            own = np.concatenate([unpacked(x) for x in table.column(side).to_pylist()])
+            self.own.append(own)
+            self.sums.append(np.zeros(len(self.keys), np.int64))
+            np.add.at(self.sums[-1], self.place, own)
+
+    def others(self, totals: list[np.ndarray]) -> list[list[bytes]]:
+        """What the totals of the keys hold beyond each row's own: zeros for most, which shuffle in few bytes."""
+        return [[packed(x, 1) for x in np.split(total[self.place] - own, self.cuts)] for total, own in zip(totals, self.own)]
+
+
+def teams(n: int) -> int:
+    """How many teams n blocks form: the root of n, rounded up; one team where one step is enough."""
+    return 1 if n <= ONE_HOP else isqrt(n - 1) + 1
+
+
 def dealt(docs: DataFrame, target: DataFrame, key: str, text: str) -> DataFrame:
     """_id, _text, _row and whether the id is one of the target's (a table of one column, ids). Only rows that a Bloom
     filter of the target ids lets pass are joined to them."""
@@ -167,42 +212,55 @@ def scored(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     def block_of(table: pa.Table) -> Block:
         return Block((x.as_py() for x in table.column("_text")), table.column("_is").to_numpy())
 
+    m = teams(n)
+    n_buckets, first = (n, n) if m == 1 else (m * m, m)
+
     def counted(table: pa.Table) -> pa.Table:
         block = block_of(table)
-        bucket = (block.keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        parts = [[packed(x, 1) for x in np.split(values, cuts)] for values in (block.target, block.background)]
-        # keys of a bucket are near each other, so their steps have fewer bytes
-        parts.insert(0, [packed(np.diff(x, prepend=x[:1])) + x[0].tobytes() for x in np.split(block.keys, cuts)])
-        names = bucket[np.concatenate(([0], cuts))].astype(np.int64)
+        names, parts = rows_of(block.keys, block.target, block.background, first)
         arrays = [pa.array([table.column("_block")[0].as_py()] * len(names), pa.int64()), pa.array(names), *[pa.array(x, pa.binary()) for x in parts]]
-        return pa.Table.from_arrays(arrays, ["block", "bucket", "keys", "target", "background"])
+        return pa.Table.from_arrays(arrays, ["block", "bucket", *COUNTS])
 
     def summed(table: pa.Table) -> pa.Table:
-        """What the other blocks have of each block's keys: zeros for most, which shuffle in few bytes."""
-        keys = [np.cumsum(unpacked(x[:-8]).view(np.uint64), dtype=np.uint64) + np.frombuffer(x[-8:], np.uint64) for x in table.column("keys").to_pylist()]
-        found, place = np.unique(np.concatenate(keys), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        parts = []
-        for side in ("target", "background"):
-            total, own = np.zeros(len(found), np.int64), np.concatenate([unpacked(x) for x in table.column(side).to_pylist()])
-            np.add.at(total, place, own)
-            parts.append([packed(x, 1) for x in np.split(total[place] - own, cuts)])
-        n_words = int((found & np.uint64(1)).sum())
-        columns = [table.column("block").to_pylist() + [None], table.column("bucket").to_pylist() + [None], *[x + [None] for x in parts], [None] * len(keys) + [n_words]]
+        """What the other blocks have of each block's keys, and the number of words among the keys."""
+        added = Added(table)
+        n_words = int((added.keys & np.uint64(1)).sum())
+        columns = [table.column("block").to_pylist() + [None], table.column("bucket").to_pylist() + [None], *[x + [None] for x in added.others(added.sums)], [None] * len(table) + [n_words]]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "bucket", "target", "background", "n_words"])
 
+    def by_team(table: pa.Table) -> pa.Table:
+        """The sums of a team of blocks for a team of buckets, by bucket; the team stands as their block."""
+        added = Added(table)
+        names, parts = rows_of(added.keys, *added.sums, n_buckets)
+        return pa.Table.from_arrays([pa.array([table.column("team")[0].as_py()] * len(names), pa.int64()), pa.array(names), *[pa.array(x, pa.binary()) for x in parts]], ["block", "bucket", *COUNTS])
+
+    def by_block(table: pa.Table, told: pa.Table) -> pa.Table:
+        """What all other blocks have of the keys of each block of a team, from what the other teams have of the team's."""
+        added, told = Added(table), told.sort_by("bucket")
+        totals = [own + np.concatenate([unpacked(x) for x in told.column(side).to_pylist()]) for own, side in zip(added.sums, COUNTS[1:])]
+        return pa.Table.from_arrays([table.column("block"), table.column("bucket"), *[pa.array(x, pa.binary()) for x in added.others(totals)]], ["block", "bucket", "target", "background"])
+
     def judged(table: pa.Table, sums: pa.Table) -> pa.Table:
         block, sums = block_of(table), sums.sort_by("bucket")
         totals = {side: own + np.concatenate([unpacked(x) for x in sums.column(side).to_pylist()]) for side, own in (("target", block.target), ("background", block.background))}
         found = block.losses(totals, sums.column("vocabulary")[0].as_py())
         return pa.Table.from_arrays([table.column("_id"), *[pa.array(x, pa.int64()) for x in found.values()]], ["_id", *found])
 
-    local = rows.groupBy("_block").applyInArrow(counted, "block long, bucket long, keys binary, target binary, background binary")
-    sums = local.groupBy("bucket").applyInArrow(summed, "block long, bucket long, target binary, background binary, n_words long")
+    counts = "block long, bucket long, keys binary, target binary, background binary"
+    local = rows.groupBy("_block").applyInArrow(counted, counts)
+    if m > 1:
+        local = written(local, "counts").withColumn("team", F.pmod("block", F.lit(m).cast("long")))
+    met = local if m == 1 else local.groupBy("team", "bucket").applyInArrow(by_team, counts)
+    sums = met.groupBy("bucket").applyInArrow(summed, "block long, bucket long, target binary, background binary, n_words long")
+    if m > 1:
+        sums = written(sums, "sums")
     # the word 0 is no word of the vocabulary
     size = sums.agg((F.coalesce(F.sum("n_words"), F.lit(0)) - 1).alias("n")).scalar()
-    told = sums.where(F.col("block").isNotNull()).withColumn("vocabulary", size)
+    told = sums.where(F.col("block").isNotNull())
+    if m > 1:
+        back = told.groupBy(F.col("block").alias("team"), F.expr(f"bucket div {m}").alias("coarse"))
+        told = local.groupBy("team", "bucket").cogroup(back).applyInArrow(by_block, "block long, bucket long, target binary, background binary")
+    told = told.withColumn("vocabulary", size)
     kind = rows.schema["_id"].dataType.simpleString()
     losses = rows.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(judged, f"_id {kind}, n_words long, target_loss long, background_loss long")
     means = [(F.col(c) / (F.lit(UNIT) * (F.col("n_words") + 1))).alias(c) for c in ("target_loss", "background_loss")]

@@ -659,13 +659,14 @@ def brute_losses(texts, wanted):
         yield len(w[:-1]), *out
 
 
-@pytest.mark.parametrize("block", [2000, 1 << 24])
-def test_lm_losses_are_those_of_the_other_documents(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, one_hop", [(2000, 1 << 14), (2000, 3), (400, 20), (1 << 24, 1 << 14)])
+def test_lm_losses_are_those_of_the_other_documents(spark, monkeypatch, block, one_hop):
     texts = [" ".join(f"w{(i * 911 + k * k * 31 + k) % 301}" for k in range(i % 40)) + (" The the" if i % 3 else "") for i in range(120)] + [None, "", "é x É", "only once here"]
     texts += texts[20:30] + ["twice told tale"] * 2 + ["x\ny " * 700]
     wanted = [i % 4 == 0 for i in range(len(texts))]
     target = spark.createDataFrame([(i,) for i, w in enumerate(wanted) if w] + [(4,)], "id long")
     monkeypatch.setattr(lm_score, "PIECE_BYTES", 500)
+    monkeypatch.setattr(lm_score, "ONE_HOP", one_hop)
     got = {r["doc_id"]: r for r in lm_score.scored(docs(spark, texts), target, block_bytes=block).collect()}
     assert len(got) == len(texts)
     for i, (n, t, b) in enumerate(brute_losses(texts, wanted)):
@@ -676,6 +677,22 @@ def test_lm_losses_are_those_of_the_other_documents(spark, monkeypatch, block):
     assert got[len(texts) - 2]["background_loss"] < got[123]["background_loss"] - 1
 
 
+def test_lm_counts_of_a_block_grow_little_with_the_number_of_blocks():
+    import numpy as np
+    import pandas as pd
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].tolist()
+    block = lm_score.Block(texts, np.zeros(len(texts), bool))
+    assert lm_score.teams(1) == lm_score.teams(lm_score.ONE_HOP) == 1 and lm_score.teams(250_000) == 500 and lm_score.teams(250_001) == 501
+    size = {}
+    for n in (125, 7_500, 250_000, 25_000_000):
+        m = lm_score.teams(n)
+        names, parts = lm_score.rows_of(block.keys, block.target, block.background, n if m == 1 else m)
+        assert len(names) <= max(lm_score.ONE_HOP, m) and (np.diff(names) > 0).all()
+        size[n] = sum(len(x) for p in parts for x in p) + 16 * len(names)
+    assert size[7_500] < 2 * size[125] and size[250_000] < 2 * size[125] and size[25_000_000] < 2 * size[125]
+
+
 def test_lm_probabilities_add_up():
     import math
 
