@@ -13,15 +13,20 @@ complete distance decides within the join: a pair is kept once, in its first seg
 out. Which segments serve a limit depends on the number of fingerprints (fewer, wider ones for more of them) and is exact
 for each choice.
 
-`near_clusters` is for large limits over several lanes (48 of 256 bits, a similarity of 0.8). There, segments of the
-fingerprint cannot work at every size: what keeps 0.98 of the pairs at 39 differing bits takes 64 segments of 16 bits for a
-million fingerprints, and 2,048 of 36 bits for ten billion, as chance matches grow with their square. Candidates come from
-MinHash bands over the same hashes instead: BANDS keys a document, each the least values of ROWS permutations, at any size.
-Two texts share a band with a probability of 1 - (1 - s ** ROWS) ** BANDS, which is 0.997 at a similarity s of 0.8 and does
-not depend on the number of texts, and texts without common runs share none. The complete distance of the fingerprints
-decides, as before. The members of each bucket are first tied to its least member, each by its complete distance, so the rows
-of a dense group grow with its size, not with its square; once it is one component, only pairs with other components are
-compared.
+`near_clusters` is for large limits over several lanes (48 of 256 bits, a similarity of 0.8). It goes by the same index, over
+the segments of all lanes (`indexed`): every pair within LIMIT bits in some lane is found at every size, so all within
+4 * (LIMIT + 1) - 1 = 19 bits of 256 are, however their texts came to them. Pairs beyond that are links too, if the complete
+distance allows, and the index finds those that come near enough in a segment. It cannot find all of them: complete for 48 bits,
+it takes 516 rows a fingerprint and chance matches of 11 pairs in a hundred, or 6,532 rows and 2 in a hundred (computed).
+So MinHash bands over the same hashes are searched as well (`across`): BANDS keys a document, each the least values of ROWS
+permutations, at any size. Two texts share a band with a probability of 1 - (1 - s ** ROWS) ** BANDS, which is 0.997 at a
+similarity s of 0.8 and does not depend on the number of texts. Bands count a repeated run once and fingerprints count it each
+time, so texts that repeat a passage often and differ in the rest are found by the index only. The complete distance of the
+fingerprints decides in both.
+
+Dense groups: the members of each bucket (a band, or a lane's half) are first tied to its least member, each by its complete
+distance, so the rows of a dense group grow with its size, not with its square; once it is one component, only pairs with other
+components are compared.
 
 Links become components by alternating large-star and small-star steps, every step a written table.
 
@@ -70,6 +75,10 @@ def plans(limit: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
 
 #: Keys of a text, and least values in each of them.
 BANDS, ROWS = 20, 6
+#: A component with more nodes than this in a bucket of the index is not compared with itself there.
+CROWD = 64
+#: A row of that index has all lanes and is sorted, so it costs as much as this many comparisons (an estimate).
+DEAR = 200.0
 #: Hashes of a text that are permuted at once.
 PERMUTED = 1 << 12
 
@@ -149,12 +158,12 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def plan_for(n: int, limit: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """The plan with the least work for n fingerprints: rows (written, so ten times as dear) and comparisons."""
+def plan_for(n: int, limit: int, dear: float = 10.0) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The plan with the least work for n fingerprints: rows (written, so `dear` times a comparison) and comparisons."""
 
     def cost(plan) -> float:
         sides = [[sum(comb(w, i) for i in range(part + 1)) for part in (r - r // 2, r // 2)] for w, r in zip(*plan)]
-        return 10.0 * n * sum(a + b for a, b in sides) + float(n) ** 2 * sum(a * b / 2.0**w for (a, b), w in zip(sides, plan[0]))
+        return dear * n * sum(a + b for a, b in sides) + float(n) ** 2 * sum(a * b / 2.0**w for (a, b), w in zip(sides, plan[0]))
 
     return min(plans(limit), key=cost)
 
@@ -212,6 +221,49 @@ def ties(nodes: DataFrame) -> DataFrame:
     return rows.join(least, F.col("key") == F.col("_key")).where("id > v").select(F.col("id").alias("u"), "v").distinct()
 
 
+def halves(n_lanes: int) -> Column:
+    """A key for each half of each lane of nodes (lanes)."""
+    low = F.lit((1 << 32) - 1).cast("long")
+    parts = [F.shiftrightunsigned(F.get("lanes", F.lit(k)), 32 * i).bitwiseAND(low) for k in range(n_lanes) for i in range(2)]
+    return F.array(*[F.xxhash64(F.lit(i), part) for i, part in enumerate(parts)])
+
+
+def ball_keys(n_lanes: int, widths: tuple[int, ...], radii: list[int]) -> Column:
+    """Keys of nodes (lanes): for each segment of each lane its number and the values within its radius."""
+    found = []
+    for k in range(n_lanes):
+        for i, (width, radius) in enumerate(zip(widths, radii)):
+            part = F.shiftrightunsigned(F.get("lanes", F.lit(k)), sum(widths[:i])).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            number = (k * len(widths) + i) << 32
+            found += [part.bitwiseXOR(F.lit(d | number).cast("long")) for d in flips(width, radius)]
+    return F.array(*found)
+
+
+def indexed(nodes: DataFrame, n_lanes: int, total: int, plan=None, crowd: int = CROWD) -> DataFrame:
+    """Pairs (u > v) of components with nodes (id, lanes, comp), by the multi-index of `links` over the segments of all lanes:
+    all that hold nodes within LIMIT bits (or the plan's limit) in some lane and within `total` bits in all, and those within
+    `total` that come as near in a segment as its radius. In a bucket where a component has more than `crowd` nodes, the
+    largest such component is compared with the others only. The complete distance decides within the join."""
+    widths, radii = plan or plan_for(nodes.count(), LIMIT, DEAR)
+    lanes = [F.get("lanes", F.lit(k)).alias(f"f{k}") for k in range(n_lanes)]
+    held = nodes.select("comp", *lanes, F.explode(ball_keys(n_lanes, widths, [r // 2 for r in radii])).alias("key"))
+    probing = nodes.select("comp", *lanes, F.explode(ball_keys(n_lanes, widths, [r - r // 2 for r in radii])).alias("key"))
+    large = nodes.groupBy(F.col("comp").alias("_comp")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("_comp")
+    crowds = held.select("comp", "key").join(large, F.col("comp") == F.col("_comp")).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    mains = written(crowds.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("n", "comp"))["comp"].alias("main")), "crowds")
+
+    def side(rows: DataFrame, name: str, rest: Column) -> DataFrame:
+        marked = rows.join(mains, F.col("key") == F.col("_key"), "left").withColumn("rest", rest)
+        return marked.select((F.col("key") * 2 + F.col("rest")).alias(f"k{name}"), F.col("comp").alias(f"c{name}"), *[F.col(f"f{k}").alias(f"{name}{k}") for k in range(n_lanes)])
+
+    # the main component of a bucket meets the rest of it (odd keys), all others meet the whole bucket (even keys)
+    us = side(probing, "u", F.coalesce((F.col("comp") == F.col("main")).cast("int"), F.lit(0)))
+    vs = side(held, "v", F.explode(F.when(F.col("comp") != F.col("main"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    bits = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, n_lanes)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+    near = (F.col("cu") > F.col("cv")) & (bits <= total)
+    return us.join(vs, (F.col("ku") == F.col("kv")) & near).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+
+
 def across(nodes: DataFrame, n_lanes: int, total: int) -> DataFrame:
     """Pairs (u > v) of components with nodes (id, lanes, bands, comp) that share a bucket and differ in `total` bits at most.
     In each bucket the rows of all components but its largest are compared with all others, so a component is never
@@ -294,11 +346,13 @@ def clusters(docs: DataFrame, limit: int = LIMIT, run: int = RUN, keep: dict[str
 
 
 def near_clusters(docs: DataFrame, total: int, run: int = 5, lanes: int = 4, keep: dict[str, Column] | None = None) -> DataFrame:
-    """As `clusters`, for pairs within `total` bits of all lanes: no pair beyond is linked, and those within it are found
-    if they share a band."""
+    """As `clusters`, for pairs within `total` bits of all lanes: no pair beyond is linked. Those within LIMIT bits in some lane
+    all are, the others if they meet in the index or share a band."""
     prints, nodes = printed(docs, run, lanes, keep or {"doc_id": F.col("doc_id")}, True)
-    tied = merged(nodes, verified(ties(nodes), nodes, total))
-    return labelled(prints, merged(tied, across(tied, lanes, total), "comp"))
+    buckets = nodes.withColumn("bands", F.concat("bands", halves(lanes)))
+    tied = merged(nodes, verified(ties(buckets), nodes, total))
+    pairs = indexed(tied, lanes, total).union(across(tied, lanes, total))
+    return labelled(prints, merged(tied, pairs, "comp"))
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -591,6 +591,82 @@ def test_near_links_are_true_and_found_by_bands(spark):
     assert len({p for p in near if apart(*p) <= 48} & pairs) >= 0.98 * sum(apart(*p) <= 48 for p in near)
 
 
+def spread(a, b):
+    return sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+
+
+def repeating(r, n, passage, times, own):
+    """n texts that repeat one passage and end in words of their own."""
+    same = [f"w{r.randint(0, 10**6)}" for _ in range(passage)] * times
+    return [" ".join(same + [f"w{r.randint(0, 10**6)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_near_dedup_finds_close_fingerprints_without_a_band(spark):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(6)
+    pairs = [repeating(r, 2, 60, 60, 300) for _ in range(20)]
+    prints = [[simhash.fingerprint(t, 5, 4, True) for t in pair] for pair in pairs]
+    assert all(not set(a[1]) & set(b[1]) for a, b in prints)
+    near = [i for i, (a, b) in enumerate(prints) if spread(a[0], b[0]) <= 19]
+    assert len(near) >= 10
+    table = docs(spark, [t for pair in pairs for t in pair])
+    comp = {x["doc_id"]: x["component_id"] for x in simhash.near_clusters(table, corpus_pipeline.NEAR_BITS).collect()}
+    assert all(comp[2 * i] == comp[2 * i + 1] for i in near)
+    kept = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, table, "").collect()}
+    assert all(2 * i in kept and 2 * i + 1 not in kept for i in near) and kept == set(comp.values())
+
+
+@pytest.mark.parametrize("plan", simhash.plans(4))
+@pytest.mark.parametrize("crowd", [0, 3, 64])
+def test_index_over_all_lanes_is_complete(spark, plan, crowd):
+    import random
+
+    r = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    codes = []
+    for _ in range(8):
+        x = r.getrandbits(256)
+        codes += [x] + [x ^ sum(1 << b for b in r.sample(range(256), k)) for k in (1, 5, 10, 19, 19, 19, 30, 48, 60)]
+        codes += [x ^ 1 << b for b in range(8)]
+    lanes = [[signed(c >> 64 * k & (1 << 64) - 1) for k in range(4)] for c in codes]
+    # some are in one component already, a crowd where few are needed
+    comp = [i - i % 18 + 10 if i % 18 >= 10 else i for i in range(len(codes))]
+    nodes = spark.createDataFrame(list(zip(range(len(codes)), lanes, comp)), "id long, lanes array<long>, comp long")
+    got = [(p["u"], p["v"]) for p in simhash.indexed(nodes, 4, 48, plan, crowd).collect()]
+    within = lambda most: {(max(comp[i], comp[j]), min(comp[i], comp[j])) for i in range(len(codes)) for j in range(i) if comp[i] != comp[j] and spread(lanes[i], lanes[j]) <= most}
+    assert len(got) == len(set(got)) and within(19) <= set(got) <= within(48)
+
+
+@pytest.mark.parametrize("widths, radii", simhash.plans(4))
+def test_keys_of_the_index_are_segments_within_their_radius(spark, widths, radii):
+    import random
+
+    r = random.Random(9)
+    lanes = [[r.getrandbits(63) - r.getrandbits(63) for _ in range(4)] for _ in range(3)]
+    got = spark.createDataFrame([(x,) for x in lanes], "lanes array<long>").select("lanes", simhash.ball_keys(4, widths, [x - x // 2 for x in radii]).alias("keys")).collect()
+    for row in got:
+        want, segment = set(), 0
+        for x in row["lanes"]:
+            rest = x & (1 << 64) - 1
+            for width, radius in zip(widths, radii):
+                want |= {segment << 32 | rest % (1 << width) ^ d for d in simhash.flips(width, radius - radius // 2)}
+                rest, segment = rest >> width, segment + 1
+        assert len(row["keys"]) == len(want) and set(row["keys"]) == want
+
+
+def test_a_dense_group_without_bands_is_tied_too(spark):
+    import random
+
+    nodes = simhash.printed(docs(spark, repeating(random.Random(7), 200, 60, 100, 200)), 5, 4, {"doc_id": F.col("doc_id")}, True)[1].cache()
+    buckets = nodes.withColumn("bands", simhash.halves(4))
+    tied = simhash.merged(nodes, simhash.verified(simhash.ties(buckets), nodes, 48))
+    assert nodes.count() > 150 and simhash.ties(buckets).count() <= 8 * nodes.count()
+    assert tied.select("comp").distinct().count() <= 10
+
+
 def test_a_dense_group_is_tied_before_pairs_are_sought(spark):
     import random
 
