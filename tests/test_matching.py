@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelink.functions.features import FEATURES, with_features
-from pricelink.functions.similarity import char_counts, score_pairs, text_ratio
+from pricelink.functions.similarity import char_counts, lcs_codes, lcs_masks, score_pairs, text_ratio
+from pricelink.functions.similarity import lcs_ratio as ratio_of_subsequence
 from pricelink.operators import matching
+from pricelink.plans import queries
 
 STORES = ["A", "B", "C"]
 WORDS = ["chicken", "breast", "pollo", "frozen", "fresh", "red", "rojo", "onion", "bag", "10", "20", "5lb", "units", "whole", "cheese", "slices", "tomates"]
@@ -125,6 +127,26 @@ def test_subsequences_over_several_words(spark):
     assert [x["x"] for x in got] == [lcs_ratio(a, b) if a or b else 1.0 for a, b in pairs]
 
 
+def test_subsequences_with_masks_made_once_a_text(spark):
+    r = random.Random(9)
+    pairs = [("".join(r.choice("abcd ~7"[: r.randint(1, 7)]) for _ in range(n)), "".join(r.choice("abcd ~") for _ in range(m))) for n in (1, 2, 30, 61, 62, 63, 90) for m in (0, 1, 40, 62, 130)]
+    pairs += [("", "x"), ("é a", "e a"), ("e a", "é a"), ("a\tb", "ab"), ("same", "same"), ("", "")]
+    a, b = F.col("a"), F.col("b")
+    made = spark.createDataFrame([(i, *p) for i, p in enumerate([*pairs, (None, "a")])], "i int, a string, b string").withColumns({"m": lcs_masks(a), "c": lcs_codes(b)})
+    got = made.orderBy("i").select(ratio_of_subsequence(a, b, F.col("m"), F.col("c")).alias("x"), F.col("m").isNotNull().alias("short"), F.col("c").isNotNull().alias("plain")).collect()
+    assert [x["x"] for x in got] == [lcs_ratio(a, b) if a or b else 1.0 for a, b in pairs] + [None]
+    assert [x["short"] for x in got] == [len(a) <= 62 and a.isascii() and a.isprintable() for a, _ in pairs] + [False]
+    assert [x["plain"] for x in got] == [b.isascii() and b.isprintable() for _, b in pairs] + [True]
+
+
+def test_pairs_of_one_number_are_dealt(spark):
+    """Names that all share one number: their pairs lie in several tasks, and none is lost or met twice."""
+    names = [(s, f"word{chr(97 + i // 8) * 2}{chr(97 + i % 8) * 2} beef 10 CT") for s in ("SYSCO", "KOHL") for i in range(40)]
+    got = queries.overlapping(spark.createDataFrame(names, "store string, product_name string")).select("a_name", "b_name", F.spark_partition_id().alias("task")).collect()
+    assert len(got) == 1600 and len({(x["a_name"], x["b_name"]) for x in got}) == 1600
+    assert len({x["task"] for x in got}) > 1
+
+
 def test_text_ratios(spark):
     pairs = [("abc def", "abd def"), ("a", ""), ("same", "same"), ("x" * 250 + "ab", "y" + "x" * 230 + "ab"), (None, "a")]
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
