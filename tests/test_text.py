@@ -1,4 +1,5 @@
 import math
+import re
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ def test_normalize_key_follows_compatibility_decomposition(spark):
     assert run(spark, text.normalize_key, values) == want
 
 
+def test_classes_of_characters_are_few_ranges():
+    """A class tests its parts one by one for each character of a text, so neighbours are ranges; it has the same characters."""
+    several = text.decompositions()[2]
+    found = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", text.char_class(several)))
+    assert {chr(i) for i in range(0x20000) if found.match(chr(i))} == set(several)
+    assert text.char_class(several).count("-") * 8 < len(several)
+
+
 def test_prices(spark):
     values = ["$1,234.50 CS", "12.5/LB", "$ 7", "-3", "42", "no price", "123456", "abc", None]
     got = run(spark, text.price_candidate, values)
